@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +49,17 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of shingles over all documents in 2**bits buckets. Tasks send sparse slices; sums are made in two steps."""
     width = (1 << bits) // SLICES
 
-    def make():
-        def step(batch: pa.RecordBatch) -> dict | None:
-            sets = list(shingle_sets(batch.column(0), words))
-            buckets = (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64)
-            at, counts = np.unique(buckets, return_counts=True)
-            if not len(at):
-                return None
-            cut = np.searchsorted(at, np.arange(SLICES + 1) * width)
-            rows = [(i, at[a:b].astype("<i4").tobytes(), counts[a:b].astype("<i8").tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return {"slice": [r[0] for r in rows], "salt": [int(at[0] + len(buckets)) & 63] * len(rows), "at": [r[1] for r in rows], "n": [r[2] for r in rows]}
-
-        return step
+    def count(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), words):
+                np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        cut = np.searchsorted(at, np.arange(SLICES + 1) * width)
+        salt = TaskContext.get().partitionId() % 64
+        for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b > a:
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "salt": pa.array([salt], pa.int32()), "at": [at[a:b].astype("<i4").tobytes()], "n": [total[at[a:b]].astype("<i8").tobytes()]})
 
     def add(key, pdf):
         import pandas as pd
@@ -71,7 +71,7 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
         return pd.DataFrame({"slice": [key[0]], "salt": [0], "at": [(at + key[0] * width).astype("<i4").tobytes()], "n": [total[at].astype("<i8").tobytes()]})
 
     schema = "slice int, salt int, at binary, n binary"
-    parts = map_arrow(docs.select("text"), make, schema)
+    parts = docs.select("text").mapInArrow(count, schema)
     sums = parts.groupBy("slice", "salt").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema)
     out = np.zeros(1 << bits, np.int64)
     for row in sums.collect():
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, bits: int = SKET
     rank = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
 
     def key(h: np.ndarray, n: int) -> bytes:
-        return b"".join((mix(h ^ s).sum(dtype=np.uint64) + np.uint64(n)).tobytes() for s in _SALT)
+        return b"".join((mix(h ^ s).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).tobytes() for s in _SALT)
 
     def make():
         order = rank.value

@@ -288,6 +288,8 @@ def pack(pieces: DataFrame, cap: int = CAP) -> DataFrame:
     ranked = some.withColumn("rank", F.row_number().over(within) - 1).join(base, ["shard", "length"])
     ranked = ranked.select(*pieces.columns, (F.col("rank") + F.col("base")).alias("rank"))
 
+    names = list(pieces.columns)
+
     def make():
         table = places.value
 
@@ -301,7 +303,7 @@ def pack(pieces: DataFrame, cap: int = CAP) -> DataFrame:
                 turn = rank[rows] - first[k]
                 seq[rows] = bins[k] + turn // a[k]
                 at[rows] = place[k] + turn % a[k] * x
-            return {c: batch.column(c) for c in pieces.columns} | {"sequence_id": seq, "offset": at}
+            return {c: batch.column(c) for c in names} | {"sequence_id": seq, "offset": at}
 
         return step
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import html_text, media, mixing, neardup, packing, quality, secrets, tokens, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,76 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(_table(spark, sf_dir, "documents"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the posterior over domains and the fitted rate of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return mixing.rates(docs, labels, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))[0]
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least=0)
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))[0]
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+ALL = (op1_media_columns, op2_best_fit_packing, op3_html_extraction, op4_mixing_sources, op5_token_counts, op6_exact_topk_search, op7_warc, op8_secret_scans, op9_quality_classifier, op10_ngram_jaccard_join)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_ngram_jaccard_join,)}
+    return {f.__name__: f for f in ALL}
+
+
+#: Exact top-k of the whole numbers floor(64 * x), by brute force.
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_topk_search": _TOPK}

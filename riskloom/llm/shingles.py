@@ -58,7 +58,7 @@ def _sets(data: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:
             yield np.unique(runs[at[d] : at[d] + n - k + 1])
         elif n:
             short = words[at[d] : at[d] + n]
-            yield mix((short * _WORD[:n]).sum(dtype=np.uint64, keepdims=True) + _WORD[k] * np.uint64(n))
+            yield mix((short * _WORD[:n]).sum(dtype=np.uint64, keepdims=True) + _WORD[k : k + 1] * np.uint64(n))
         else:
             yield np.zeros(0, np.uint64)
 
