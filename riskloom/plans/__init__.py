@@ -1 +1,6 @@
-"""Part of riskloom."""
+"""The query catalogue."""
+
+from . import curation, queues
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "curation", "queues"]
