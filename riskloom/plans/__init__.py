@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import curation, queues
+from . import curation, evaluation, queues, star
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "curation", "queues"]
+__all__ = ["QUERIES", "SQL", "curation", "evaluation", "queues", "star"]
