@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import curation, evaluation, queues, star
+from . import calibration, curation, decisions, evaluation, queues, star
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "curation", "evaluation", "queues", "star"]
+__all__ = ["QUERIES", "SQL", "calibration", "curation", "decisions", "evaluation", "queues", "star"]
