@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import calibration, curation, decisions, evaluation, queues, star
+from . import calibration, curation, decisions, evaluation, links, models, queues, sampling, star, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "calibration", "curation", "decisions", "evaluation", "queues", "star"]
+__all__ = ["QUERIES", "SQL", "calibration", "curation", "decisions", "evaluation", "links", "models", "queues", "sampling", "star", "streams"]
