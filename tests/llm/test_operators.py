@@ -1,0 +1,456 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from riskloom.llm import html_text, media, mixing, neardup, packing, quality, secrets, tokens, topk, warc
+from riskloom.llm.queries import vocabulary
+
+VOCABULARY, RANKS = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
+LONG = "lorem ipsum dolor " * 20_000
+ODD = ["", None, " ", "a", "a  b", "\n\n x", "x \n", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "it's we'll '  s", "日本語 テスト 𝔘", "a\x85b \x1c c", "tab\t\tx  ", "１２ ½ ²", "aaaa" * 500, "a\r\n\r\nb", "é ́", "\x00z"]
+
+
+def documents(spark, texts, ids=None):
+    """A documents table with extra columns that clash with the operators' own names."""
+    ids = list(range(len(texts))) if ids is None else ids
+    rows = [(i, t, "en", "s", len(t or ""), 7, "x", "y", 1.0) for i, t in zip(ids, texts, strict=True)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n long, token string, spans string, score double")
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(VOCABULARY)
+
+
+# --- media ---------------------------------------------------------------------------------------------
+
+
+def test_media_round_trip(spark):
+    texts = [*ODD, LONG, "b" * 192, "b" * 193, LONG]
+    got = {r["doc_id"]: r for r in media.digest(documents(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        want = raw + b" " * (-len(raw) % 192 if raw else 192)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(want))
+        assert r["payload_sha256"] == hashlib.sha256(want).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(want[-16:])
+    assert got[len(texts) - 1]["media_sha256"] == got[len(ODD)]["media_sha256"]
+    assert media.digest(documents(spark, [])).collect() == []
+
+
+def test_media_keyframes_point_into_the_payload(spark):
+    r = media.store(documents(spark, [LONG])).first()
+    raw = LONG.encode()
+    assert r["codec"] == "raw" and r["duration"] == r["n_samples"] == -(-len(raw) // 192)
+    for k in r["keyframes"]:
+        at = k["sample"] * 192
+        assert bytes(r["media"][k["start"] : k["start"] + k["size"]]).rstrip() == raw[at : at + 192].rstrip()
+    assert [k["sample"] for k in r["keyframes"]] == list(range(0, r["n_samples"], media.GOP))
+
+
+def test_media_reads_other_layouts():
+    """co64, samples of many sizes, several runs of chunks, no sync table."""
+    box = lambda k, *p: struct.pack(">I4s", 8 + sum(map(len, p)), k) + b"".join(p)
+    full = lambda k, *p: box(k, bytes(4), *p)
+    sizes, runs = [3, 5, 2, 7, 1], [(1, 2), (3, 1)]
+    offsets = [100, 200, 300]
+    stbl = box(
+        b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(8))), full(b"stts", struct.pack(">IIIII", 2, 2, 10, 3, 20)), full(b"stsc", struct.pack(">I", 2), *(struct.pack(">III", c, n, 1) for c, n in runs)),
+        full(b"stsz", struct.pack(">II5I", 0, 5, *sizes)), full(b"co64", struct.pack(">I3Q", 3, *offsets)),
+    )
+    t = media.index(box(b"moov", box(b"trak", box(b"mdia", box(b"minf", stbl)))))[0]
+    assert t.codec == "avc1" and list(t.offsets) == [100, 103, 200, 202, 300] and list(t.keys) == list(range(5)) and list(t.durations) == [10, 10, 20, 20, 20]
+    assert media.index(b"") == [] and media.index(b"\x00\x00\x00\x02moov") == []
+
+
+# --- tokens and packing --------------------------------------------------------------------------------
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*" \n\tabcAB12é'.,!<|　日\u0085\u001c ßs", "'s", "<|endoftext|>", "  "]), max_size=80))
+def test_token_counts_and_ids_are_the_librarys(parts):
+    text = "".join(parts)
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert COUNTER.count(text) == len(ids)
+    assert list(ENCODER.encode(text)) == ids
+
+
+LIBRARY, COUNTER, ENCODER = library(), tokens.MergeCounter(VOCABULARY, cache=50), packing.Encoder(VOCABULARY, RANKS)
+
+
+def test_token_counts(spark):
+    texts = [*ODD, LONG, "ab" * 30_000]
+    got = {r["doc_id"]: r for r in tokens.count_tokens(documents(spark, texts), VOCABULARY, 3).collect()}
+    for i, t in enumerate(texts):
+        n = len(LIBRARY.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 3)
+    assert tokens.count_tokens(documents(spark, []), VOCABULARY).collect() == []
+
+
+def check_packing(rows, texts_by_row, cap=1024):
+    """Pieces as the contract has them; sequences gapless and within the cap."""
+    by_seq = defaultdict(list)
+    for r in rows:
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by_seq.values():
+        at = 0
+        for o, n in sorted(places):
+            assert o == at
+            at += n
+        assert at <= cap
+    pieces = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    want = Counter()
+    for i, t in texts_by_row:
+        ids = np.array([*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % cap or cap, len(ids) + 1, cap)]
+        want.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts)))
+    assert pieces == want
+    return len(by_seq), sum(r["length"] for r in rows)
+
+
+def test_packing(spark):
+    r = random.Random(5)
+    texts = [*ODD, LONG] + [" ".join("word" for _ in range(r.randint(0, 1500))) for _ in range(150)] + ["same text"] * 40
+    ids = list(range(len(texts) - 5)) + [0] * 5
+    rows = packing.pack_documents(documents(spark, texts, ids), VOCABULARY, RANKS).collect()
+    bins, total = check_packing(rows, list(zip(ids, texts, strict=True)))
+    assert bins <= -(-total // 1024) + 2
+    assert packing.pack_documents(documents(spark, []), VOCABULARY, RANKS).collect() == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_packing_plan_is_least_for_small_cases(sizes):
+    cap = 20
+
+    def least(left, bins):
+        if not left:
+            return len(bins)
+        best = 99
+        for i in {b: i for i, b in enumerate(bins)}.values():
+            if bins[i] >= left[0]:
+                best = min(best, least(left[1:], bins[:i] + (bins[i] - left[0],) + bins[i + 1 :]))
+        return min(best, least(left[1:], (*bins, cap - left[0])))
+
+    counts = [sizes.count(i) for i in range(cap + 1)]
+    patterns, _ = packing.plan(list(counts), cap)
+    used = Counter()
+    for p, m in patterns:
+        assert sum(x * a for x, a in p) <= cap
+        for x, a in p:
+            used[x] += a * m
+    assert all(used[i] == counts[i] for i in range(1, cap + 1))
+    assert sum(m for _, m in patterns) == (least(tuple(sorted(sizes, reverse=True)), ()) if sizes else 0)
+
+
+# --- html ----------------------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div><div class="wrap"><article><h1>Title &amp; more</h1><p>First   paragraph with <b>bold</b> and
+a <a href=y>link</a>.<p>Second one, &eacute;tude &#8212; fin<br>same block</p><div class="ad">Buy now</div><form><input>Search</form></article>
+<aside>Related</aside><section id="comments"><p>A reader says a long long comment about it all, really long, with words and words.</p></section></div><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_main_text():
+    assert html_text.main_text(PAGE) == "Title & more\n\nFirst paragraph with bold and a link.\n\nSecond one, étude — fin same block"
+
+
+def test_html_without_article_element():
+    body = "".join(f"<p>Sentence number {i} of the story, long enough to count as text.</p>" for i in range(8))
+    page = f"<body><div id=menu><ul>{''.join(f'<li><a href={i}>Item {i}</a></li>' for i in range(20))}</ul></div><div id=content><h2>Head</h2>{body}</div><div><a href=1>a</a> <a href=2>b</a></div></body>"
+    text = html_text.main_text(page)
+    assert text.startswith("Head\n\nSentence number 0") and "Item" not in text and text.count("\n\n") == 8
+
+
+def test_html_edge_cases(spark):
+    pages = [(1, "u", PAGE, "t"), (2, None, None, "t"), (3, "u", "", "t"), (4, "u", "<p", "t"), (5, "u", "plain &amp text", "t"), (5, "u", "plain &amp text", "t"), (6, "u", "<article><p>cut of", "t"), (None, "u", "<p>x", "t"), (7, "u", "<p>" * 30_000 + "deep", "t"), (8, "u", "<div>" * 3_000 + "deep", "t")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = {(r["page_id"], r["url"]): r for r in html_text.extract(df).collect()}
+    assert got[2, None]["text"] == got[3, "u"]["text"] == got[4, "u"]["text"] == ""
+    assert got[5, "u"]["text"] == "plain & text" and got[6, "u"]["text"] == "cut of" and got[None, "u"]["text"] == "x"
+    assert got[7, "u"]["text"] == got[8, "u"]["text"] == "deep" and got[1, "u"]["n_chars"] == len(got[1, "u"]["text"])
+    assert html_text.extract(df.limit(0)).collect() == []
+
+
+# --- top-k ---------------------------------------------------------------------------------------------
+
+
+def brute_topk(rows, k, every):
+    ok = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            ok[i] = min(ok.get(i, tuple(v)), tuple(v))
+    m = {i: [int(np.floor(np.float64(np.float32(x)) * 64)) for x in v] for i, v in ok.items()}
+    out = set()
+    for q in m:
+        if q % every == 0:
+            best = sorted(((-sum(a * b for a, b in zip(m[q], m[c], strict=True)), c) for c in m if c != q))[:k]
+            out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 700])
+def test_topk_is_exact(spark, n, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 128)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    monkeypatch.setattr(topk, "STEP", 32)
+    r = np.random.default_rng(n)
+    rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(n)]
+    if n > 3:
+        rows += [(1000 + i, rows[20][1]) for i in range(60)] + [(5000, None), (5001, [None] * 8), (5002, [float("nan")] * 8), (5003, [float("inf")] * 8), (None, rows[0][1]), rows[40]]
+    df = spark.createDataFrame([(i, v, 0, 1.0) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double")
+    got = {tuple(x) for x in topk.search(df, k=5, every=20).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute_topk(rows, 5, 20)
+
+
+def test_topk_skips_candidates():
+    """Bounds let far clusters unevaluated, and a tie at the bound is still found."""
+    r = np.random.default_rng(1)
+    c = np.concatenate([np.rint(r.normal(size=(2000, 4)) * 2 + 60), np.rint(r.normal(size=(2000, 4)) * 2 - 60)])
+    ids = np.arange(4000)
+    pivots = topk.choose_pivots(c[:200], 8)
+    far = topk._distances(c, pivots)
+    q, v, s = topk.search_block(ids[:10], c[:10], far[:10], ids, c, far, 5)
+    for i in range(10):
+        want = sorted(((-int(c[i] @ c[j]), j) for j in range(4000) if j != i))[:5]
+        assert sorted((-int(b), int(a)) for x, a, b in zip(q, v, s, strict=True) if x == i) == want
+
+
+# --- warc ----------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    big = "".join(random.Random(1).choices("abcdefgh", k=300_000))
+    pages = [(3, "u\r\nx", "same"), (1, None, "same"), (2, "u", None), (4, "u", ""), (5, "u", big), (6, "u", big), (7, "u", "\x1f\x8b\x08"), (None, "u", "same"), (9, "u", "é"), (9, "u", "é")]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, sha string").repartition(3)
+    folder, archives = warc.write(df, archive=2_000)
+    for split in (100, 5_000, 1 << 30):
+        rows = warc.read(spark, folder, archives, split).collect()
+        assert len(rows) == len(pages)
+        by = defaultdict(list)
+        for r in rows:
+            by[r["page_id"]].append(r)
+        for i, _, h in pages:
+            data = (h or "").encode()
+            for r in by[i]:
+                assert r["payload_bytes"] == len(data) and r["payload_digest"] == warc.sha1(data)
+                assert r["payload"] is None or bytes(r["payload"]) == data
+        refers = {i: [r["refers_to"] for r in rs] for i, rs in by.items()}
+        assert refers == {3: [1], 1: [None], 2: [None], 4: [2], 5: [None], 6: [5], 7: [None], None: [None], 9: [None, None]}
+    got = warc.round_trip(df, least=10)
+    assert {r["page_id"]: r["record_type"] for r in got.collect()}[3] == "response"
+    assert warc.round_trip(df.limit(0)).collect() == []
+
+
+def test_warc_magic_inside_a_record_is_no_record():
+    inner = warc.record("response", 1, "u", "D", 3, b"abc", None)
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    outer = stored.compress(b"WARC/1.1\r\nContent-Length: 4\r\n\r\n" + b"\x1f\x8b\x08 not a member" * 50) + stored.flush()
+    data = outer + inner
+    for cut in range(0, len(data), 7):
+        found = [at for a, b in ((0, cut), (cut, len(data))) for at, _ in warc.members(lambda o, n: data[o : o + n], len(data), a, b)]
+        assert sorted(set(found)) == [0, len(outer)] and len(found) == 2
+
+
+# --- secrets -------------------------------------------------------------------------------------------
+
+
+def brute_spans(text):
+    found = []
+    for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+SECRETS = ["password=abc", "password: token: abcdefgh", 'x API_KEY = "abcdef123"', "token=secret=abcdef", "AKIA" + "Z" * 16, "AKIA" + "Z" * 15, "0" * 24, "g" + "f" * 23 + "g", "é" * 5 + "secret:abcdef", "Kſ token='a'", "ſecret=abcdefgh", "PASSWD=" + "a" * 30, None, "", "clean", "-----BEGIN RSA PRIVATE KEY-----"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Token", "apikey", "api_key", "secret", "=", ":", " ", '"', "'", "abcdef", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", "ſ", "\n", ".", "x"]), max_size=14))
+def test_secret_spans(parts):
+    text = "".join(parts)
+    assert [x for x in secrets.spans(text) if x[1] < 3] == brute_spans(text)
+
+
+def test_secret_scan_and_ledger(spark):
+    texts = [*SECRETS, *SECRETS, LONG + " password=hunter22"]
+    docs = documents(spark, texts)
+    out, ledger = secrets.scan(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        base = brute_spans(t or "")
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [got[i][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(x[1] == k for x in base) for k in range(3)]
+    assert ledger.count() == len({t or "" for t in texts})
+    again, new = secrets.scan(documents(spark, [*texts, "token=new_secret"]), ledger)
+    assert new.count() == 1 and again.where("n_assign > 0").count() == out.where("n_assign > 0").count() + 1
+    assert secrets.scan(docs, ledger, rules="3")[1].count() == ledger.count()
+    assert secrets.scan(documents(spark, []))[0].collect() == []
+
+
+def test_redaction(spark):
+    docs = documents(spark, ["a password=hunter22 b", None, "clean", "secret=" + "0" * 30])
+    got = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert [got[i]["text"] for i in range(4)] == ["a [secret] b", None, "clean", "[secret]"]
+    assert got[0]["n_chars"] == len("a [secret] b") and got[2]["spans"] == "y" and secrets.redact(docs).columns == docs.columns
+
+
+# --- near duplicates -----------------------------------------------------------------------------------
+
+
+def shingle_set(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return set()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)}
+
+
+def brute_components(rows, k, num, den):
+    sets = defaultdict(list)
+    for i, t in rows:
+        if i is not None:
+            sets[i].append(shingle_set(t, k))
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if any(x and y and den * len(x & y) >= num * len(x | y) for x in sets[a] for y in sets[b]):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    return {i: top(i) for i in sets}
+
+
+def corpus(seed):
+    r = random.Random(seed)
+    word = lambda: "w" + str(int(r.expovariate(0.05)))
+    passage = [word() for _ in range(12)]
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(r.randint(1, 60))]
+        if r.random() < 0.4:
+            base = base[:5] + passage + base[5:]
+        texts.append(" ".join(base))
+        for _ in range(r.randint(0, 5)):
+            w = list(base)
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = word()
+            texts.append(" ".join(w).upper() if r.random() < 0.2 else " \n".join(w))
+    return texts
+
+
+@pytest.mark.parametrize(("seed", "k", "num", "den"), [(1, 4, 85, 100), (2, 5, 4, 5), (3, 2, 3, 5), (4, 4, 85, 100)])
+def test_jaccard_components(spark, seed, k, num, den):
+    texts = [*corpus(seed), None, "", " \t", "a", "A", "a b", LONG, LONG + "x"]
+    ids = list(range(len(texts)))
+    random.Random(seed).shuffle(ids)
+    ids[-3:] = [None, ids[0], ids[1]]  # no id, and ids that repeat
+    got = neardup.jaccard_components(documents(spark, texts, ids), k, num, den, sketch_bits=8).collect()
+    want = brute_components(zip(ids, texts, strict=True), k, num, den)
+    assert len(got) == len(ids) - 1
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert Counter((r["doc_id"], r["n_shingles"]) for r in got) == Counter((i, len(shingle_set(t, k))) for i, t in zip(ids, texts, strict=True) if i is not None)
+
+
+def test_one_of_each_group_stays(spark):
+    texts = ["a b c d e f g h i j"] * 3 + ["other text of some length here", None]
+    kept = neardup.keep_one(documents(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4] and len(kept.columns) == 9
+    assert neardup.keep_one(documents(spark, [])).collect() == []
+
+
+# --- quality and mixing --------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = quality.score(docs, model).join(labels, "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert np.mean([r["predicted"] == r["quality"] for r in held]) >= 0.95
+    flipped = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 5 = 0 then 1 - quality else quality end as quality")
+    again = quality.fit(docs, flipped)
+    assert np.array_equal(again.vectors, model.vectors) and np.array_equal(again.labels, model.labels)
+
+
+def test_quality_votes_are_the_exact_neighbours(spark):
+    r = np.random.default_rng(0)
+    v = r.normal(size=(300, 6)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    model = quality.Model(np.eye(6, dtype=np.float32), v[:200], (r.random(200) < 0.5).astype(np.float32))
+    got = quality.votes(v[200:], model, 7, 2)
+    for i, x in enumerate(v[200:]):
+        s = v[:200] @ x
+        top = np.argsort(-s)[:7]
+        w = np.maximum(s[top], 0) ** 2.0
+        assert abs(got[i] - (w * model.labels[top]).sum() / w.sum()) < 1e-5
+
+
+def test_quality_edge_cases(spark):
+    docs = documents(spark, ["fine words", None, "", LONG, "fine words"], [1, 2, 3, 4, None])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {(r["doc_id"]): r for r in quality.score(docs, quality.fit(docs, none)).collect()}
+    assert got[2]["score"] == got[3]["score"] == 0 and got[4]["score"] == 0.5 and got[None]["held_out"] is False
+    labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (None, 0, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    one = quality.fit(docs, labels)
+    assert all(r["score"] in (0, 1) for r in quality.score(docs, one).collect())
+    assert quality.keep(docs, one).columns == docs.columns
+    assert quality.score(documents(spark, []), one).collect() == []
+
+
+def members(spark, n, seed=0):
+    r = np.random.default_rng(seed)
+    p = r.dirichlet([2, 0.5, 0.5], n)
+    rows = [(int(i), int(t), *map(float, x)) for i, (t, x) in enumerate(zip(r.integers(1, 2000, n), p, strict=True))]
+    return spark.createDataFrame(rows, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+
+
+@pytest.mark.parametrize(("targets", "most"), [({"clean": 0.6, "low": 0.2, "toxic": 0.2}, float("inf")), ({"clean": 0.5, "low": 0.3, "toxic": 0.2}, 1.0)])
+def test_rates_meet_feasible_targets(spark, targets, most):
+    m = members(spark, 500)
+    steps, report = mixing.fit_rates(m, targets, most)
+    got = mixing.with_rates(m, steps, most).toPandas()
+    mass = np.array([(got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() for d in mixing.DOMAINS])
+    assert (got["rate"] >= 0).all() and (got["rate"] <= most).all()
+    share = mass / got["n_tokens"].sum()
+    assert np.allclose(share, report["after"], atol=1e-6)
+    if most == float("inf"):
+        assert np.allclose(share, [targets[d] for d in mixing.DOMAINS], atol=1e-3)
+    else:
+        assert report["residual"] < 0.05
+
+
+def test_mixing_edge_cases(spark):
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = documents(spark, ["fine words", None, "", LONG, "fine words"], [1, 2, 3, 4, 4])
+    got, report = mixing.rates(docs, labels, VOCABULARY, RANKS)
+    assert got.count() == 5 and {r["n_tokens"] for r in got.where("doc_id in (2, 3)").collect()} == {0}
+    assert mixing.rates(documents(spark, []), labels, VOCABULARY, RANKS)[0].collect() == []
+    assert mixing.thin(docs, labels.limit(0), VOCABULARY, RANKS).columns == docs.columns
