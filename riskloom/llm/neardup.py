@@ -18,8 +18,8 @@ Nothing is capped: hot shingles are dealt out by plain equi-joins that the engin
 by partial aggregation. The driver sees only counts and the sketch of fixed size.
 
 Null doc_id: the row takes no part and is not returned. Null or blank text: empty set, linked with
-nothing, component is its own doc_id. Rows that repeat a doc_id count as one document of all their texts
-when links are followed, and each is returned. Other columns are not read.
+nothing, component is its own doc_id. Rows that repeat a doc_id with words in them count as one document of
+all their texts when links are followed, and each is returned. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -208,7 +208,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     nodes = scratch.cut(classes.join(groups, "grp").select("rep", "n", "g", "members"), "nodes")
 
     # Entries (prefix shingle, group); at packs position and size so that one long orders and carries both.
-    heads = full.select(F.col("doc_id").alias("g"), "n", "prefix", "cls").join(classes.select("cls", F.col("rep").alias("g")), ["cls", "g"]).join(groups.select("g", "members"), "g").dropDuplicates(["g"])
+    # One row stands for a group: of its class of smallest id (ids that repeat may give more than one).
+    first = classes.join(groups, "grp").where("rep = g").select("cls", "grp", "g", "members").dropDuplicates(["grp"])
+    heads = full.select("cls", F.col("doc_id").alias("g"), "n", "prefix").join(first, ["cls", "g"]).dropDuplicates(["grp"])
     entries = heads.select("g", "n", "members", F.posexplode("prefix").alias("pos", "token"))
     entries = scratch.cut(entries.select("token", "g", F.expr("shiftleft(cast(pos as long), 32) + n").alias("at"), "members"), "entries")
     pivots = entries.groupBy("token").agg(F.count("*").alias("many"), F.sum("members").alias("classes"), F.expr("min_by(g, at)").alias("pg"), F.min("at").alias("pat"))
@@ -221,7 +223,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     star = star.union(nodes.where("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b"))).distinct()
     star = scratch.cut(star, "star-pairs")
     texts = only(docs, star.select(F.col("a").alias("doc_id")).union(star.select("b")), scratch, "star-texts")
-    links = scratch.cut(verify(star, texts, words, num, den), "star-links")
+    # A document that repeats with other texts ties their classes together.
+    repeated = scratch.cut(full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    ties = full.select("doc_id", "cls").join(repeated, "doc_id").join(classes.select("cls", "rep"), "cls").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = scratch.cut(verify(star, texts, words, num, den).unionByName(ties), "star-links")
     scratch.drop(texts)
     comps = scratch.cut(components(links, scratch), "star-components")
 
