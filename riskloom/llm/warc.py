@@ -31,7 +31,9 @@ from .util import Scratch, map_arrow, texts_of
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive after which the next begins, of a split, and of a read.
-ARCHIVE, SPLIT, BLOCK = 64 << 20, 8 << 20, 1 << 20
+ARCHIVE, SPLIT, BLOCK = 64 << 20, 4 << 20, 1 << 20
+#: Most tasks of a read.
+TASKS = 100_000
 _RULES = re.compile(r"[\r\n]+")
 
 
@@ -75,31 +77,27 @@ def write(pages: DataFrame, least: int = 0, archive: int = ARCHIVE) -> tuple[str
     linked = rows.join(firsts, "sha", "left").select("page_id", "url", "html", F.expr("case when first < page_id then first end").alias("refers_to"))
     folder = scratch.path("archives")
 
-    def make():
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _filesystem(folder)
         system.create_dir(top, recursive=True)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        state = {"n": 0}
-
-        def step(batch: pa.RecordBatch) -> dict:
-            done = []
-            urls, refers, ids = (batch.column(i).to_pylist() for i in (1, 3, 0))
-            out, size, name = None, 0, ""
-
-            def close() -> None:
-                nonlocal out
-                if out is not None:
-                    out.close()
-                    final = f"{top}/part-{part:06d}-{state['n']:05d}.warc.gz"
-                    system.move(name, final)
-                    done.append((final, size))
-                    state["n"] += 1
-                    out = None
-
+        done: list[tuple[str, int]] = []
+        out, size, name = None, 0, ""
+
+        def close() -> None:
+            nonlocal out
+            out.close()
+            final = f"{top}/part-{part:06d}-{len(done):05d}.warc.gz"
+            system.move(name, final)
+            done.append((final, size))
+            out = None
+
+        for batch in batches:
+            ids, urls, refers = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for page_id, url, html, refer in zip(ids, urls, texts_of(batch.column(2)), refers, strict=True):
                 if out is None:
-                    name, size = f"{top}/.attempt-{attempt}-{state['n']}", 0
+                    name, size = f"{top}/.attempt-{attempt}-{len(done)}", 0
                     out = system.open_output_stream(name)
                 data = html.encode()
                 member = record("response" if refer is None else "revisit", page_id, url, sha1(data), len(data), data, refer)
@@ -107,12 +105,11 @@ def write(pages: DataFrame, least: int = 0, archive: int = ARCHIVE) -> tuple[str
                 size += len(member)
                 if size >= archive:
                     close()
+        if out is not None:
             close()
-            return {"path": [d[0] for d in done], "bytes": [d[1] for d in done]}
-
-        return step
+        yield pa.RecordBatch.from_pydict({"path": pa.array([d[0] for d in done], pa.string()), "bytes": pa.array([d[1] for d in done], pa.int64())})
 
-    return folder, scratch.cut(map_arrow(linked, make, "path string, bytes long"), "list")
+    return folder, scratch.cut(linked.mapInArrow(store, "path string, bytes long"), "list")
 
 
 def members(data_at, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -205,8 +202,9 @@ def read(spark: SparkSession, folder: str, archives: DataFrame, split: int = SPL
 
         return step
 
-    ranges = splits(spark, archives, split)
-    return map_arrow(ranges.repartition(F.col("path"), F.col("start")), make, RECORD)
+    ranges = Scratch(spark, "splits").cut(splits(spark, archives, split), "splits")
+    # A task for each split, up to a bound beyond which tasks take several in a row.
+    return map_arrow(ranges.repartitionByRange(max(1, min(ranges.count(), TASKS)), "path", "start"), make, RECORD)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
