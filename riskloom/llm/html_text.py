@@ -39,6 +39,10 @@ _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|aside|footer|masthead|header|topbar|toolbar|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|pagination|pager|copyright|legal|disclaimer|paywall|skip\w*)(?:$|[\s_-])",
     re.I,
 )
+#: Of those, what readers wrote, whatever elements it is made of.
+_READERS = re.compile("comment|disqus|respond|repl", re.I)
+#: Of those, what inside an article is the head of the article itself.
+_TITLE = re.compile("header|masthead", re.I)
 _SAME = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}}
 _SPACE = re.compile(r"\s+")
@@ -47,24 +51,30 @@ _SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "parent", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False):
+    def __init__(self, tag: str, parent: Node | None, out: int = 0):
         self.tag, self.parent, self.kids, self.out = tag, parent, [], out
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noisy(tag: str, attrs: str, inside_article: bool) -> bool:
+def _noisy(tag: str, attrs: str, inside_article: bool) -> int:
+    """0: counts; 1: left out by its class unless the article lies in it; 2: left out."""
     if tag in _LEFT_OUT and not (tag == "header" and inside_article):
-        return True
+        return 2
+    out = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and _NOISE.search(value):
-            return True
-    return False
+            return 2
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
+            words = [w[0].strip(" _-") for w in _NOISE.finditer(value)]
+            if any(map(_READERS.match, words)):
+                return 2
+            if any(not (inside_article and _TITLE.fullmatch(w)) for w in words):
+                out = 1
+    return out
 
 
 def parse(page: str) -> Node:
@@ -125,7 +135,11 @@ def parse(page: str) -> Node:
         up, inside = here, False
         while up is not None and not inside:
             inside, up = up.tag in ("article", "main"), up.parent
-        node = Node(tag, here, here.out or _noisy(tag, attrs, inside))
+        node = Node(tag, here, _noisy(tag, attrs, inside))
+        if tag in ("article", "main"):  # what holds the article is no side matter, whatever its class says
+            up = here
+            while up is not None:
+                up.out, up = up.out if up.out == 2 else 0, up.parent
         here.kids.append(node)
         if tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK):
             here = node

@@ -178,6 +178,11 @@ def test_html_without_article_element():
     assert text.startswith("Head\n\nSentence number 0") and "Item" not in text and text.count("\n\n") == 8
 
 
+def test_html_class_names():
+    page = '<body><div class="layout with-sidebar"><article><div class="entry-header"><h1>Head</h1></div><p>Text of it.</p><div class="share-links">Share</div></article><div class="sidebar">Side</div></div><div class="comments"><article><p>I say.</p></article></div></body>'
+    assert html_text.main_text(page) == "Head\n\nText of it."
+
+
 def test_html_edge_cases(spark):
     pages = [(1, "u", PAGE, "t"), (2, None, None, "t"), (3, "u", "", "t"), (4, "u", "<p", "t"), (5, "u", "plain &amp text", "t"), (5, "u", "plain &amp text", "t"), (6, "u", "<article><p>cut of", "t"), (None, "u", "<p>x", "t"), (7, "u", "<p>" * 30_000 + "deep", "t"), (8, "u", "<div>" * 3_000 + "deep", "t")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
