@@ -23,7 +23,7 @@ def _bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bag(column: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
-    """A row of unit length for each text (zero for null or empty ones): roots of counts of hashed byte pairs and
+    """(buckets: a power of two.) A row of unit length for each text (zero for null or empty ones): roots of counts of hashed byte pairs and
     triples, and of words that follow themselves or were in the text before."""
     ends, raw = _bounds(column)
     out = np.zeros((len(column), buckets + 2), np.float32)
@@ -35,24 +35,25 @@ def bag(column: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
         if len(data):
             owner = np.repeat(np.arange(j - i, dtype=np.int64) * buckets, np.diff(ends[i : j + 1]))
             total = np.zeros((j - i) * buckets)
+            key = data
             for k in (2, 3):
                 if len(data) >= k:
-                    key = data[: len(data) - k + 1].copy()
-                    for s in range(1, k):
-                        key = key << np.uint32(8) | data[s : len(data) - k + 1 + s]
-                    own = owner[: len(key)]
-                    same = own == owner[k - 1 :]
-                    slot = ((key + np.uint32(k)) * _MIX >> np.uint32(15)) % np.uint32(buckets)
-                    total += np.bincount(own[same] + slot[same], minlength=len(total))
+                    key = key[: len(data) - k + 1] << np.uint32(8) | data[k - 1 :]
+                    slot = owner[: len(key)] + ((key + np.uint32(k)) * _MIX >> np.uint32(15) & np.uint32(buckets - 1))
+                    total += np.bincount(slot, minlength=len(total))
+                    # Those that reach into the next text are taken back.
+                    across = (ends[i + 1 : j] - ends[i])[:, None] - np.arange(1, k)
+                    across = np.unique(across[(across >= 0) & (across < len(key))])
+                    total -= np.bincount(slot[across], minlength=len(total))
             out[i:j, :buckets] = np.sqrt(total).reshape(j - i, buckets)
             words, counts = _word_hashes(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
             if len(words):
                 of = np.repeat(np.arange(j - i), counts)
                 echo = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
-                order = np.lexsort((words, of))
-                again = (words[order][1:] == words[order][:-1]) & (of[order][1:] == of[order][:-1])
+                starts = np.concatenate(([0], np.cumsum(counts)))
+                known = [n - len(np.unique(words[x : x + n])) if n > 1 else 0 for x, n in zip(starts, counts, strict=False)]
                 out[i:j, buckets] = ECHO * np.sqrt(np.bincount(of[1:][echo], minlength=j - i))
-                out[i:j, buckets + 1] = AGAIN * np.sqrt(np.bincount(of[order][1:][again], minlength=j - i))
+                out[i:j, buckets + 1] = AGAIN * np.sqrt(known)
         i = j
     if valid is not None:
         out[~valid] = 0
