@@ -228,8 +228,18 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=merge, special_tokens={})
         self.common = regex.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧]*").fullmatch
 
+    def plain(self, text: str) -> bool:
+        """Latin characters and usual punctuation only."""
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return bool(self.common(text))
+        return True
+
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and len(text) < 1_000_000 and self.common(text) and not any(s in text for s in self.special):
+        if self.fast is not None and len(text) < 1_000_000 and not any(s in text for s in self.special) and self.plain(text):
             return np.asarray(self.fast.encode_ordinary(text), "<u4")
         if self.exact is None:
             self.exact = self.load()
