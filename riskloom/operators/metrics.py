@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, right_closed_bin
+from .quantiles import exact_quantiles
 
 BUCKETS = 256
 
@@ -67,9 +68,10 @@ def expected_calibration_error(df: DataFrame, by: Sequence[str], bins: int = 15,
 
 def quantile_edges(reference: DataFrame, column: str, bins: int = 10) -> list[float] | None:
     """Distinct inner quantiles of the reference, or None for up to ten distinct values (then values are categories). A few numbers come to the driver."""
-    cuts = ", ".join(f"{i / bins!r}D" for i in range(bins + 1))
-    distinct, q = reference.agg(F.countDistinct(column), F.expr(f"percentile({column}, array({cuts}))")).first()
-    return sorted(set(q))[1:-1] if distinct > 10 else None
+    if reference.select(column).where(F.col(column).isNotNull()).distinct().limit(11).count() <= 10:
+        return None
+    q = exact_quantiles(reference, [], column, [i / bins for i in range(bins + 1)]).first()
+    return sorted({q[f"q{i}"] for i in range(bins + 1)})[1:-1]
 
 
 def psi_category(column: str, edges: list[float] | None) -> Column:
@@ -96,7 +98,7 @@ PUBLISH = 200
 
 def segment_parity(df: DataFrame, segments: Sequence[str], capacity: float, score: str, label: str = "label", publish: int = PUBLISH) -> DataFrame:
     """Rates of each group of each segmentation at one population-wide interpolated threshold; NULL for withheld groups."""
-    cut = df.agg(F.expr(f"percentile({score}, {1.0 - capacity!r}D)").alias("cut"))
+    cut = exact_quantiles(df, [], score, [1.0 - capacity], bounds=(0.0, 1.0)).select(F.col("q0").alias("cut"))
     rows = df.select(score, label, *segments).crossJoin(F.broadcast(cut))
     long = rows.unpivot([score, label, "cut"], list(segments), "segment", "grp") if len(segments) > 1 else rows.select(score, label, "cut", F.lit(segments[0]).alias("segment"), F.col(segments[0]).alias("grp"))
     hit, y = F.col(score) >= F.col("cut"), F.col(label) == 1

@@ -1,7 +1,8 @@
 """Review queues: rank cut, threshold cuts, forced referral, rule flags.
 
-Ranks are taken within groups (model, period); the number of rows a group may review comes from an
-aggregated count that is joined back, so no window spans all rows. Ties fall by id.
+Ranks are taken within groups (model, period) in two steps: rows are ordered inside score buckets of the group,
+and the counts of the buckets above (a small aggregate) are added. So no task orders a whole group, however few
+groups there are. Ties fall by id. Rows whose group key is NULL take no part.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def headcount(n: Column, capacity: Column | float) -> Column:
     """Rows a capacity lets through: floor(n * capacity) in binary doubles, at least 1."""
@@ -19,11 +22,25 @@ def headcount(n: Column, capacity: Column | float) -> Column:
     return F.greatest(F.floor(n.cast("double") * c).cast("long"), F.lit(1).cast("long"))
 
 
+#: Buckets of equal width that scores in [0, 1] fall into; others go to the outer ones.
+RANK_BUCKETS = 2048
+
+
 def ranked(df: DataFrame, by: Sequence[str], score: str = "score", tie: str = "pos", forced: str | None = None) -> DataFrame:
-    """df with ``rank`` (forced rows first, then by falling score, then by id) and ``group_size``."""
-    order = ([F.desc(forced)] if forced else []) + [F.desc(score), F.asc(tie)]
-    w = Window.partitionBy(*by)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("group_size", F.count("*").over(w))
+    """df with ``rank`` (forced rows first, then by falling score, NULL last, then by id) and ``group_size``."""
+    bucket = F.coalesce(F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * RANK_BUCKETS).cast("int"), F.lit(-1))
+    order = [F.desc(score), F.asc(tie)]
+    if forced:
+        bucket = bucket + F.when(F.col(forced), RANK_BUCKETS + 2).otherwise(0)
+        order = [F.desc(forced), *order]
+    keyed = df.withColumn("bucket_", bucket)
+    sums = keyed.groupBy(*by, "bucket_").agg(F.count("*").alias("in_"))
+    group = Window.partitionBy(*by)
+    above = F.coalesce(F.sum("in_").over(group.orderBy(F.desc("bucket_")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "bucket_", above.alias("above_"), F.sum("in_").over(group).alias("group_size"))
+    inside = Window.partitionBy(*by, "bucket_").orderBy(*order)
+    numbered = keyed.withColumn("rank", F.row_number().over(inside))
+    return numbered.join(sums, [*by, "bucket_"]).withColumn("rank", F.col("rank") + F.col("above_")).select(*df.columns, "rank", "group_size")
 
 
 def rank_cut(df: DataFrame, by: Sequence[str], capacity: float, score: str = "score", tie: str = "pos", forced: str | None = None) -> DataFrame:
@@ -35,10 +52,9 @@ def rank_cut(df: DataFrame, by: Sequence[str], capacity: float, score: str = "sc
 
 
 def cutoffs(df: DataFrame, by: Sequence[str], capacity: float, score: str = "score", discrete: bool = False) -> DataFrame:
-    """The score cut of each group: the (1 - capacity) quantile, interpolated or one of the scores."""
-    q = 1.0 - capacity
-    cut = F.expr(f"percentile_disc({q!r}D) WITHIN GROUP (ORDER BY {score})") if discrete else F.expr(f"percentile({score}, {q!r}D)")
-    return df.groupBy(*by).agg(cut.cast("double").alias("cut"), F.count("*").alias("group_size"))
+    """The score cut of each group: the (1 - capacity) quantile of scores in [0, 1], interpolated or one of the scores."""
+    q = exact_quantiles(df, by, score, [1.0 - capacity], discrete, bounds=(0.0, 1.0))
+    return q.select(*by, F.col("q0").alias("cut"), F.col("n").alias("group_size"))
 
 
 def threshold_cut(df: DataFrame, by: Sequence[str], capacity: float, score: str = "score", discrete: bool = False) -> DataFrame:
@@ -61,7 +77,7 @@ RULES = ("rule_velocity", "rule_device", "rule_foreign", "rule_branch")
 
 def rule_flags(df: DataFrame, branch: str = "orders_of_customer", quantile: float = 0.99) -> DataFrame:
     """df with the four concentration predicates; the last against a population quantile (one row, broadcast)."""
-    edge = df.agg(F.expr(f"percentile({branch}, {quantile!r}D)").alias("branch_edge"))
+    edge = exact_quantiles(df, [], branch, [quantile], bounds=(0.0, float(1 << 16))).select(F.col("q0").alias("branch_edge"))
     return df.crossJoin(F.broadcast(edge)).withColumns(
         {
             "rule_velocity": F.col("orders_of_customer") >= 16,

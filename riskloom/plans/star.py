@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import queue, warehouse
+from ..operators.quantiles import exact_quantiles
 from ..sources.tables import SCORED_SQL, applications, scored
 from .registry import query
 
@@ -82,7 +83,7 @@ _BAND_CASE = "CASE WHEN challenger >= e3 THEN 'critical' WHEN challenger >= e2 T
 
 def risk_bands(apps, score="challenger", fit_period=6):
     """apps with band: edges are quantiles .80/.95/.99 of one period's scores (one row, broadcast), bands are >= an edge."""
-    edges = apps.where(F.col("period") == fit_period).agg(F.expr(f"percentile({score}, array(0.8D, 0.95D, 0.99D))").alias("edges"))
+    edges = exact_quantiles(apps.where(F.col("period") == fit_period), [], score, [0.8, 0.95, 0.99], bounds=(0.0, 1.0)).select(F.array("q0", "q1", "q2").alias("edges"))
     s = F.col(score)
     band = F.when(s >= F.col("edges")[2], "critical").when(s >= F.col("edges")[1], "high").when(s >= F.col("edges")[0], "medium").otherwise("low")
     return apps.crossJoin(F.broadcast(edges)).withColumn("band", band).drop("edges")
