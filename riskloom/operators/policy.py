@@ -45,7 +45,7 @@ def capacity_curve(df: DataFrame, by: Sequence[str], capacities: Sequence[float]
     r = ranked(df.select(*by, score, tie, label), by, score, tie)
     # Prefix sums keep one row for each rank that a capacity can end on.
     most = max(capacities)
-    totals = r.groupBy(*by).agg(F.count("*").alias("applications"), F.sum(label).cast("long").alias("positives"))
+    totals = df.groupBy(*by).agg(F.count("*").alias("applications"), F.sum(label).cast("long").alias("positives"))
     head = r.where(F.col("rank") <= headcount(F.col("group_size"), most))
     hits = head.crossJoin(F.broadcast(grid)).where(F.col("rank") <= headcount(F.col("group_size"), F.col("capacity")))
     got = hits.groupBy(*by, "capacity").agg(F.count("*").alias("queue_size"), F.sum(label).cast("long").alias("caught"))
