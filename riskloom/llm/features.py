@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -10,7 +12,8 @@ from .shingles import _word_hashes
 BUCKETS, DIMS = 2048, 48
 #: Weight of the term "a word that follows itself", one of the two that are no byte n-gram; the other is a word seen before in the text.
 ECHO, AGAIN = 6.0, 1.0
-_GROUP = 64
+#: Texts, and bytes of them, counted at a time; a longer text is taken whole.
+_GROUP, _BYTES = 16, 1 << 18
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -22,15 +25,18 @@ def _bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ends, raw
 
 
-def bag(column: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
+def bag(column: pa.Array, buckets: int = BUCKETS, words_of: Callable[[np.ndarray, np.ndarray], None] | None = None) -> np.ndarray:
     """(buckets: a power of two.) A row of unit length for each text (zero for null or empty ones): roots of counts of hashed byte pairs and
-    triples, and of words that follow themselves or were in the text before."""
+    triples, and of words that follow themselves or were in the text before.
+
+    words_of is given the hashes of all words and the row of each, part by part; nulls have none.
+    """
     ends, raw = _bounds(column)
     out = np.zeros((len(column), buckets + 2), np.float32)
     valid = np.asarray(column.is_valid()) if column.null_count else None
     i = 0
     while i < len(column):
-        j = max(i + 1, min(len(column), i + _GROUP, int(np.searchsorted(ends, ends[i] + (1 << 20), "right")) - 1))
+        j = max(i + 1, min(len(column), i + _GROUP, int(np.searchsorted(ends, ends[i] + _BYTES, "right")) - 1))
         data = raw[ends[i] : ends[j]].astype(np.uint32)
         if len(data):
             owner = np.repeat(np.arange(j - i, dtype=np.int64) * buckets, np.diff(ends[i : j + 1]))
@@ -49,6 +55,8 @@ def bag(column: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
             words, counts = _word_hashes(raw[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
             if len(words):
                 of = np.repeat(np.arange(j - i), counts)
+                if words_of is not None:
+                    words_of(words, of + i)
                 echo = (words[1:] == words[:-1]) & (of[1:] == of[:-1])
                 starts = np.concatenate(([0], np.cumsum(counts)))
                 known = [n - len(np.unique(words[x : x + n])) if n > 1 else 0 for x, n in zip(starts, counts, strict=False)]
@@ -61,6 +69,11 @@ def bag(column: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
+def word_slots(hashes: np.ndarray) -> np.ndarray:
+    """One of 65,536 slots for each word."""
+    return (hashes >> np.uint64(48)).astype(np.uint16)
+
+
 def basis(bags: np.ndarray, dims: int = DIMS, weights: np.ndarray | None = None) -> np.ndarray:
     """Right singular vectors of the bags, (buckets x dims): the directions of the latent space."""
     rows = bags if weights is None else bags * np.sqrt(weights)[:, None]

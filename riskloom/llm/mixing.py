@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import bag
+from .features import bag, word_slots
 from .packing import _encoder
 from .quality import sampled_bags
 from .util import Scratch, map_arrow, texts_of
@@ -32,6 +32,8 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 #: Labelled documents taken of each domain, at most.
 PER_DOMAIN = 1500
+#: Word slots that the classifier sees beside the bag, and the value of one that is there.
+WORDS, PRESENT = 256, 0.5
 PASSES, TOLERANCE = 25, 1e-4
 
 
@@ -62,31 +64,76 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, prior: np.ndarray, r
     return w, b - centre @ w + np.log(np.maximum(prior, 1e-12)) * seen
 
 
-def domain_model(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> tuple[np.ndarray, np.ndarray]:
+def telling_words(words: list[np.ndarray], y: np.ndarray, classes: int, n: int = WORDS) -> np.ndarray:
+    """The word slots whose presence tells most about the class: greatest standardised difference from what chance would give."""
+    total = np.zeros(1 << 16)
+    by_class = np.zeros((classes, 1 << 16))
+    for slots, c in zip(words, y, strict=True):
+        total[slots] += 1
+        by_class[c, slots] += 1
+    share = np.bincount(y, minlength=classes)[:, None] / max(1, len(y))
+    chance = share * total
+    gain = ((by_class - chance) / np.sqrt(np.maximum(chance * (1 - share), 1.0))).max(0)
+    gain[total < 3] = 0
+    best = np.argsort(-gain, kind="stable")[:n]
+    return np.sort(best[gain[best] > 0])
+
+
+class Classifier:
+    """Posterior over domains from the bag of a text and the presence of telling words."""
+
+    def __init__(self, weights: np.ndarray, offsets: np.ndarray, words: np.ndarray):
+        self.weights, self.offsets, self.words = weights, offsets, words
+        self.place = np.full(1 << 16, -1, np.int32)
+        self.place[words] = np.arange(len(words))
+
+    def inputs(self, texts: pa.Array) -> np.ndarray:
+        seen = np.zeros((len(texts), len(self.words)), np.float32)
+
+        def put(hashes: np.ndarray, of: np.ndarray) -> None:
+            at = self.place[word_slots(hashes)]
+            hit = at >= 0
+            seen[of[hit], at[hit]] = PRESENT
+
+        return np.concatenate((bag(texts, words_of=put), seen), 1)
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        z = self.inputs(texts) @ self.weights + self.offsets
+        p = np.exp(z - z.max(1, keepdims=True)).astype(np.float64)
+        return p / p.sum(1, keepdims=True)
+
+
+def domain_model(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> Classifier:
     named = domain_of(labels)
-    bags, y = sampled_bags(docs, named, "domain", per_domain)
+    words: list[np.ndarray] = []
+    bags, y = sampled_bags(docs, named, "domain", per_domain, words)
     if not len(y):
-        return np.zeros((bags.shape[1], len(DOMAINS)), np.float32), np.array([0.0, -50.0, -50.0], np.float32)
+        return Classifier(np.zeros((bags.shape[1], len(DOMAINS)), np.float32), np.array([0.0, -50.0, -50.0], np.float32), np.zeros(0, np.int64))
+    y = y.astype(int)
     prior = np.zeros(len(DOMAINS))
     for r in named.where("domain is not null").groupBy("domain").count().collect():
         prior[r["domain"]] = r["count"]
-    seen = np.isin(np.arange(len(DOMAINS)), y)
-    prior = np.where(seen, prior, 0)
-    return softmax_fit(bags, y.astype(int), len(DOMAINS), prior / max(1, prior.sum()))
-
-
-def memberships(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], path: str, ranks: str | None = None) -> DataFrame:
+    prior = np.where(np.isin(np.arange(len(DOMAINS)), y), prior, 0)
+    told = telling_words(words, y, len(DOMAINS))
+    place = np.full(1 << 16, -1)
+    place[told] = np.arange(len(told))
+    seen = np.zeros((len(y), len(told)), np.float32)
+    for i, slots in enumerate(words):
+        at = place[slots]
+        seen[i, at[at >= 0]] = PRESENT
+    return Classifier(*softmax_fit(np.concatenate((bags, seen), 1), y, len(DOMAINS), prior / max(1, prior.sum())), told)
+
+
+def memberships(docs: DataFrame, model: Classifier, path: str, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the posterior p_<domain> of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        (w, b), encoder = shared.value, _encoder(path, ranks)
+        classify, encoder = shared.value, _encoder(path, ranks)
 
         def step(batch: pa.RecordBatch) -> dict:
-            z = bag(batch.column(1)) @ w + b
-            p = np.exp(z - z.max(1, keepdims=True)).astype(np.float64)
-            p /= p.sum(1, keepdims=True)
+            p = classify(batch.column(1))
             return {"doc_id": batch.column(0), "n_tokens": [len(encoder.encode(t)) for t in texts_of(batch.column(1))]} | {f"p_{d}": p[:, i] for i, d in enumerate(DOMAINS)}
 
         return step

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import BUCKETS, DIMS, bag, basis, project
+from .features import BUCKETS, DIMS, bag, basis, project, word_slots
 from .util import map_arrow
 
 #: Labelled documents taken of each class, at most.
@@ -39,8 +39,11 @@ def fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def sampled_bags(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bags, labels) of at most per_class documents of each value of ``target``, fold 0 left out."""
+def sampled_bags(docs: DataFrame, labels: DataFrame, target: str, per_class: int, words: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bags, labels) of at most per_class documents of each value of ``target``, fold 0 left out.
+
+    A doc_id that repeats in the documents counts with its least text. ``words`` gets the word slots of each.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.min(target).alias("y")).where(fold() != 0)
     values = [r[0] for r in known.select("y").distinct().orderBy("y").limit(64).collect()]
     ids = None
@@ -54,14 +57,24 @@ def sampled_bags(docs: DataFrame, labels: DataFrame, target: str, per_class: int
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column(0), "y": batch.column(2), "bag": [b.tobytes() for b in bag(batch.column(1)).astype(np.float16)]}
+            slots: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+
+            def put(hashes: np.ndarray, of: np.ndarray) -> None:
+                for i in np.unique(of):
+                    slots[i].append(np.unique(word_slots(hashes[of == i])))
+
+            got = bag(batch.column(1), words_of=put if want_words else None)
+            return {"doc_id": batch.column(0), "y": batch.column(2), "bag": [b.tobytes() for b in got.astype(np.float16)], "words": [b"".join(x.astype("<u2").tobytes() for x in s) for s in slots]}
 
         return step
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    want_words = words is not None
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
     kind = known.schema["y"].dataType.simpleString()
-    got = map_arrow(texts, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y {kind}, bag binary").collect()
+    got = map_arrow(texts, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y {kind}, bag binary, words binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["bag"]))
+    if words is not None:
+        words += [np.frombuffer(r["words"], "<u2") for r in got]
     bags = np.array([np.frombuffer(r["bag"], np.float16) for r in got], np.float32).reshape(len(got), BUCKETS + 2)
     return bags, np.array([r["y"] for r in got])
 
