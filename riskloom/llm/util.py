@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.own}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once a session, so that no machine needs it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_riskloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="riskloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/riskloom.zip", "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(f"{folder}/riskloom.zip")
+    sc._riskloom_shipped = True
+
+
 class Scratch:
     """Written tables in the shared folder: each cuts the lineage, so a lost executor costs one stage at most."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
@@ -59,6 +77,7 @@ class Scratch:
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str | StructType) -> DataFrame:
     """mapInArrow where ``make()`` runs once in each task and its result turns a batch into columns by name."""
+    ship(df.sparkSession)
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 

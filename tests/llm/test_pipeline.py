@@ -46,3 +46,23 @@ def test_topk_oracle(spark):
     want = sorted(con.execute(entry.oracle_sql()["op6_exact_topk_search"]).fetchall())
     got = sorted(tuple(r) for r in entry.queries()["op6_exact_topk_search"](spark, sf).select("query_id", "rank", "vec_id", "score").collect())
     assert got == want
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """A session started elsewhere, without the repository on its Python path, runs the operators."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).resolve().parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+print("rows", e.queries()["op1_media_columns"](s, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 200" in out.stdout, out.stderr[-800:]
