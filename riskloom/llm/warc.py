@@ -32,6 +32,8 @@ from .util import Scratch, map_arrow, texts_of
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive after which the next begins, of a split, and of a read.
 ARCHIVE, SPLIT, BLOCK = 64 << 20, 4 << 20, 1 << 20
+#: Bytes inflated at a time.
+FEED = 1 << 13
 #: Most tasks of a read.
 TASKS = 100_000
 _RULES = re.compile(r"[\r\n]+")
@@ -126,31 +128,31 @@ def members(data_at, size: int, start: int, end: int) -> Iterator[tuple[int, byt
         return bool(got)
 
     while at < end:
-        buffer, base = buffer[at - base :], at
-        found = buffer.find(MAGIC)
+        if at - base >= BLOCK:
+            buffer, base = buffer[at - base :], at
+        found = buffer.find(MAGIC, at - base)
         while found < 0 and base + len(buffer) < end + 2 and more():
-            found = buffer.find(MAGIC)
+            found = buffer.find(MAGIC, at - base)
         if found < 0 or base + found >= end:
             return
         at = base + found
-        buffer, base = buffer[found:], at
-        inflate, out, fed, ok = zlib.decompressobj(31), [], 0, True
-        while not inflate.eof:
+        inflate, out, fed, ok = zlib.decompressobj(31), [], found, True
+        while ok and not inflate.eof:
             if fed >= len(buffer) and not more():
                 ok = False
                 break
+            part = buffer[fed : fed + FEED]
+            fed += len(part)
             try:
-                out.append(inflate.decompress(buffer[fed : fed + BLOCK]))
+                out.append(inflate.decompress(part))
             except zlib.error:
                 ok = False
-                break
-            fed = min(len(buffer), fed + BLOCK)
-            head = b"".join(out)[:5] if len(out) < 3 else b"WARC/"
-            if not b"WARC/".startswith(head[:5]) and head[:5] != b"WARC/":
-                ok = False
-                break
-        if ok and b"".join(out[:2])[:5] == b"WARC/":
-            yield at, b"".join(out)
+            if ok and len(out) < 3:
+                head = b"".join(out)[:5]
+                ok = head == b"WARC/"[: len(head)]
+        data = b"".join(out)
+        if ok and data.startswith(b"WARC/"):
+            yield at, data
             at = base + fed - len(inflate.unused_data)
         else:
             at += 1
