@@ -16,7 +16,7 @@ _BYTE[_SPACE] = 0
 _PLACE = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes hashed at a time; a longer text is taken whole.
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
