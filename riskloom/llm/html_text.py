@@ -8,8 +8,8 @@ characters and tags that are in links. Its composite density is
 
 (nLC: characters outside links; b: of the body; each of T, LC, LT and nLC is 1 at least). A node's density
 sum is the sum of its children's densities. The least density on the path from the node of greatest sum up
-to the body is the threshold: a subtree at or above it yields its node of greatest sum, others are searched
-further down. Subtrees that say by element, role, class or id that they are menus, adverts, comments and
+to the body is the threshold: a subtree at or above it (and with half the greatest sum at least) yields its
+node of greatest sum, others are searched further down; an article or main element around it is taken whole. Subtrees that say by element, role, class or id that they are menus, adverts, comments and
 the like are left out before.
 
 Null or blank html, or a page without text: empty text. Null url stays null. Rows repeat as they come.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,7 @@ from .util import map_arrow, texts_of
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|aria-hidden|hidden|type)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|\Z)""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noframes", "xmp"}
+_ARTICLE = {"article", "main"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "frame"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _LEFT_OUT = {"nav", "footer", "aside", "form", "header", "menu", "button", "select", "dialog", "head", "fieldset", "label"}
@@ -49,10 +51,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "out", "inside", "holds", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: int = 0):
         self.tag, self.parent, self.kids, self.out = tag, parent, [], out
+        #: Whether it lies in an article, and whether one lies in it.
+        self.inside = parent is not None and (parent.inside or parent.tag in _ARTICLE)
+        self.holds = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -81,6 +86,13 @@ def parse(page: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = here = Node("body", None)
     at, low = 0, None
+    opened: Counter = Counter()
+
+    def leave(to: Node) -> None:
+        nonlocal here
+        while here is not to:
+            opened[here.tag] -= 1
+            here = here.parent
 
     def text(t: str) -> None:
         if t:
@@ -102,14 +114,14 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             continue
         if close:
-            up = here
+            up = here if opened[tag] else root  # nothing to close
             while up is not root and up.tag != tag:
                 if tag not in _BLOCK and up.tag in _BLOCK:
                     up = root
                     break
                 up = up.parent
             if up is not root:
-                here = up.parent
+                leave(up.parent)
             elif tag == "p":
                 here.kids.append(Node("p", here))
             continue
@@ -131,18 +143,17 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
             if last is not None:
-                here = last.parent
-        up, inside = here, False
-        while up is not None and not inside:
-            inside, up = up.tag in ("article", "main"), up.parent
-        node = Node(tag, here, _noisy(tag, attrs, inside))
-        if tag in ("article", "main"):  # what holds the article is no side matter, whatever its class says
+                leave(last.parent)
+        node = Node(tag, here)
+        node.out = _noisy(tag, attrs, node.inside)
+        if tag in _ARTICLE:  # what holds the article is no side matter, whatever its class says
             up = here
-            while up is not None:
-                up.out, up = up.out if up.out == 2 else 0, up.parent
+            while up is not None and not up.holds:
+                up.holds, up.out, up = True, up.out if up.out == 2 else 0, up.parent
         here.kids.append(node)
         if tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK):
             here = node
+            opened[tag] += 1
 
 
 def _find(page: str, tag: str, at: int) -> int:
@@ -210,7 +221,7 @@ def select(root: Node) -> list[Node]:
     whole = []
     for n in found or [best]:  # what the page itself calls the article is taken whole
         up = n
-        while up is not None and up.tag not in ("article", "main"):
+        while up is not None and up.tag not in _ARTICLE:
             up = up.parent
         if (up or n) not in whole:
             whole.append(up or n)
