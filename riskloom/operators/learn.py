@@ -120,3 +120,34 @@ def _through(model: PipelineModel, df: DataFrame) -> DataFrame:
     for stage in model.stages[:-2]:
         df = stage.transform(df)
     return df
+
+
+def tune(df: DataFrame, fits: dict[str, object], folds: Sequence[tuple[int, int]] = ROLLING) -> DataFrame:
+    """Settings (name: fit function) by their average precision over rolling folds: mean, worst and mean + 0.10 * worst."""
+    out = None
+    for name, fit in fits.items():
+        s = rolling(df, fit, ["period", "label"], folds).withColumn("setting", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    by_fold = metrics.average_precision(metrics.score_steps(out, ["setting", "period"]), ["setting", "period"])
+    m = by_fold.groupBy("setting").agg(F.avg("average_precision").alias("mean"), F.min("average_precision").alias("worst"))
+    return m.select("setting", *(F.round(c, 6).alias(c) for c in ("mean", "worst")), F.round(F.col("mean") + 0.10 * F.col("worst"), 6).alias("objective"))
+
+
+def contributions(model: PipelineModel, df: DataFrame, numeric: Sequence[str], top: int = 15) -> DataFrame:
+    """Mean absolute contribution of each numeric feature of a linear model: |coefficient| times the mean absolute standardised value."""
+    scaled = model.stages[-2].transform(_through(model, df)).select(vector_to_array("numeric_s").alias("v"))
+    w = [float(c) for c in model.stages[-1].coefficients.toArray()[: len(numeric)]]
+    sums = scaled.agg(*(F.avg(F.abs(F.col("v")[i]) * abs(w[i])).alias(c) for i, c in enumerate(numeric)))
+    rows = ", ".join(f"'{c}', `{c}`" for c in numeric)
+    return sums.select(F.expr(f"stack({len(numeric)}, {rows}) as (feature, mean_contribution)")).withColumn("mean_contribution", F.round("mean_contribution", 6)).orderBy(F.desc("mean_contribution"), "feature").limit(top)
+
+
+def variants(model: PipelineModel, frames: dict[str, DataFrame], keep: Sequence[str] = ("label",)) -> DataFrame:
+    """A frozen model on several evidence sources: ranking and loss by source."""
+    out = None
+    for name, df in frames.items():
+        s = predict(model, df, keep).withColumn("evidence_source", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    by = ["evidence_source"]
+    m = fold_metrics(out, by).join(metrics.losses(out, by).select(*by, "prevalence", "brier"), by)
+    return m.select(*by, *(F.round(c, 6).alias(c) for c in ("average_precision", "auroc", "prevalence", "brier")))

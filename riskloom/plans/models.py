@@ -100,3 +100,25 @@ def walk_forward(spark, sf):
     s = learn.rolling(d, _logistic, ["pos", "period", "label"], [(t - 2, t) for t in range(3, 8)])
     c = policy.capacity_curve(s, ["period"], [0.05])
     return c.select("period", "queue_size", "caught", F.round(F.col("caught") / F.col("positives"), 6).alias("catch_rate"))
+
+
+@query()
+def hyperparameter_search(spark, sf):
+    """An explicit grid of regularisation, judged on the rolling folds."""
+    d = _data(spark, sf)
+    return learn.tune(d, {f"reg={r:g}": (lambda x, r=r: learn.fit_logistic(x, NUMERIC, CATEGORICAL, r)) for r in (1e-4, 1e-2, 1.0)}, folds=((2, 3), (4, 5)))
+
+
+@query()
+def global_importance(spark, sf):
+    d = _data(spark, sf)
+    return learn.contributions(_logistic(d.where("period <= 5")), d.where("period = 7"), NUMERIC)
+
+
+@query()
+def variant_stress(spark, sf):
+    """The frozen model on the test period as it is, without discounts, and with scores moved."""
+    d = _data(spark, sf)
+    test = d.where("period = 7")
+    shifted = test.withColumn("challenger", F.least(F.col("challenger") + 0.1, F.lit(1.0)))
+    return learn.variants(_logistic(d.where("period <= 5")), {"base": test, "no_discount": test.withColumn("avg_discount", F.lit(None).cast("double")), "moved_scores": shifted})
