@@ -76,9 +76,16 @@ def candidate_pairs(toks: DataFrame) -> DataFrame:
     return left.select("arm", "l", F.explode(F.expr("slice(p, i + 2, size(p))")).alias("r")).distinct()
 
 
-def score_pairs(pairs: DataFrame, toks: DataFrame) -> DataFrame:
-    """pairs with score, strong (email or phone equal) and accepted."""
+def score_pairs(pairs: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """pairs with score, strong (email or phone equal) and accepted.
+
+    Fuzzy tokens, the costly part, are made once and only for records that are in a pair.
+    """
+    pairs = cut(pairs)
+    needed = pairs.select("arm", F.col("l").alias("pos")).union(pairs.select("arm", "r")).distinct()
+    toks = tokens(records.join(needed, ["arm", "pos"], "left_semi"), key)
     wide = toks.groupBy("arm", "pos").agg(F.map_from_entries(F.collect_list(F.struct("signal_type", F.struct(F.col("exact_token").alias("e"), F.col("fuzzy_tokens").alias("f"))))).alias("t"))
+    wide = cut(wide)
     side = lambda c: wide.select("arm", F.col("pos").alias(c), F.col("t").alias(f"t{c}"))
     x = pairs.join(side("l"), ["arm", "l"]).join(side("r"), ["arm", "r"])
     sims = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import linking
 from ..sources.tables import table
 from .registry import query
@@ -64,8 +65,8 @@ def _tokens(spark, sf):
 
 
 def _scored_pairs(spark, sf):
-    toks = _tokens(spark, sf)
-    return linking.score_pairs(linking.candidate_pairs(toks), toks)
+    fix = cut(_fixture(spark, sf))
+    return linking.score_pairs(linking.candidate_pairs(linking.tokens(fix, KEY)), fix, KEY)
 
 
 @query(f"WITH {_FIX} SELECT * FROM fixture")
@@ -137,6 +138,7 @@ _DAY = "CAST(least(floor({p} / ceil(n / 20e0)), 19) AS INTEGER)"
 days AS (SELECT arm, CAST(unnest(range(20)) AS INTEGER) AS day FROM cnt)
 SELECT d.arm, d.day, CAST(coalesce(sum(received), 0) AS BIGINT) AS received, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(rings), 0) AS BIGINT) AS rings, CAST(coalesce(sum(referred), 0) AS BIGINT) AS referred FROM days d LEFT JOIN ev ON ev.arm = d.arm AND ev.day = d.day GROUP BY 1, 2""")
 def daily_suspects(spark, sf):
-    fix, toks = _fixture(spark, sf), _tokens(spark, sf)
-    accepted = linking.score_pairs(linking.candidate_pairs(toks), toks).where("accepted")
+    fix = cut(_fixture(spark, sf))
+    toks = linking.tokens(fix, KEY)
+    accepted = linking.score_pairs(linking.candidate_pairs(toks), fix, KEY).where("accepted")
     return linking.daily_report(fix, accepted, linking.rings(toks, fix), 20)

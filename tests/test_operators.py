@@ -201,7 +201,7 @@ def test_linking_on_the_clean_fixture(spark):
     arms = frame(spark, [("clean", 0.0, "email phone device address"), ("strong", 1.0, "email phone")], "arm string, rate double, signals string")
     fix = linking.fixture(spark.range(1, 600), arms)
     toks = linking.tokens(fix, "a-key-for-tests-only").cache()
-    pairs = linking.score_pairs(linking.candidate_pairs(toks), toks)
+    pairs = linking.score_pairs(linking.candidate_pairs(toks), fix, "a-key-for-tests-only")
     m = {r["arm"]: r for r in linking.pair_metrics(pairs.where("accepted"), fix).collect()}
     assert m["clean"]["f1"] == 1.0 and m["clean"]["fp"] == 0 and m["strong"]["recall"] < 0.25
     assert linking.rings(toks, fix).where("arm = 'clean' and confirmed").count() == fix.where("arm = 'clean'").select("ring").dropna().distinct().count()
