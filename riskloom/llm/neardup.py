@@ -213,8 +213,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     heads = full.select("cls", F.col("doc_id").alias("g"), "n", "prefix").join(first, ["cls", "g"]).dropDuplicates(["grp"])
     entries = heads.select("g", "n", "members", F.posexplode("prefix").alias("pos", "token"))
     entries = scratch.cut(entries.select("token", "g", F.expr("shiftleft(cast(pos as long), 32) + n").alias("at"), "members"), "entries")
+    scratch.drop()
     pivots = entries.groupBy("token").agg(F.count("*").alias("many"), F.sum("members").alias("classes"), F.expr("min_by(g, at)").alias("pg"), F.min("at").alias("pat"))
     pivots = scratch.cut(pivots.where("classes > 1"), "pivots")
+    scratch.drop()
     shared = scratch.cut(entries.join(pivots, "token").selectExpr("token", "g", "at & 4294967295 as n", "shiftright(at, 32) as pos", "members", "classes", "pg", "pat & 4294967295 as pn", "shiftright(pat, 32) as ppos"), "shared")
     scratch.drop(entries, pivots)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -69,10 +70,13 @@ class Scratch:
         return out
 
     def drop(self, *dfs: DataFrame) -> None:
-        """Delete written tables that nothing later reads."""
+        """Delete written tables that nothing later reads, and let go of the shuffle files of the writes that are done."""
         for df in dfs:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        # The engine removes shuffle files when their plans are collected on the driver, which else may be long after.
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str | StructType) -> DataFrame:
