@@ -155,7 +155,8 @@ def _posterior(batch: pa.RecordBatch) -> np.ndarray:
 def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float("inf"), passes: int = PASSES, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], dict]:
     """The gradients that rates are replayed from, and a report: tokens, shares before and after, targets, residual.
 
-    With ``most`` (no document oftener than that) the mix is as large as the scarcest domain allows.
+    With ``most`` (no document oftener than that) the mix is as large as the domain of the greatest target allows;
+    targets of others are upper bounds then: one that falls short stays as it is and costs no other domain's documents.
     """
     want = np.array([targets.get(d, 0.0) for d in DOMAINS])
     want = want / want.sum()
@@ -183,7 +184,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float
     inverse = np.linalg.inv(first[1 + n :].reshape(n, n) / tokens + 1e-6 * np.eye(n))
     goal = want
     if np.isfinite(most):
-        goal = want * min(1.0, most * min(shares[i] / want[i] for i in range(n) if want[i] > 0))
+        main = int(want.argmax())
+        goal = np.minimum(want * most * shares[main] / want[main], most * shares)
     steps: list[np.ndarray] = []
     got = shares
     for _ in range(passes):

@@ -459,3 +459,23 @@ def test_mixing_edge_cases(spark):
     assert got.count() == 5 and {r["n_tokens"] for r in got.where("doc_id in (2, 3)").collect()} == {0}
     assert mixing.rates(documents(spark, []), labels, VOCABULARY, RANKS)[0].collect() == []
     assert mixing.thin(docs, labels.limit(0), VOCABULARY, RANKS).columns == docs.columns
+
+
+@pytest.mark.parametrize("toxic", [0, 3, 30, 120])
+def test_thinning_keeps_clean_documents_where_toxic_ones_are_few(spark, toxic):
+    r = np.random.default_rng(toxic)
+    rows = [(i, 100, *((0.002, 0.001, 0.997) if i < toxic else (0.996, 0.003, 0.001))) for i in range(1000)]
+    m = spark.createDataFrame([rows[i] for i in r.permutation(1000)], "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+    steps, _ = mixing.fit_rates(m, {"clean": 0.97, "low": 0.0, "toxic": 0.03}, 1.0)
+    got = mixing.with_rates(m, steps, 1.0).toPandas()
+    bad = got["doc_id"] < toxic
+    assert got["rate"][~bad].mean() > 0.99
+    assert got["rate"][bad].sum() / got["rate"].sum() < 0.035
+    if toxic == 3:
+        assert got["rate"][bad].mean() > 0.9
+
+
+def test_thinning_without_labels_keeps_all(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0)
+    docs = documents(spark, ["fine words", None, "", "more of them", "fine words"], [1, 2, 3, 4, 4])
+    assert sorted(r["doc_id"] for r in mixing.thin(docs, labels, VOCABULARY, RANKS).collect()) == [1, 2, 3, 4, 4]
