@@ -22,6 +22,7 @@ import html
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,13 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
 _ATTR = re.compile(r"""(class|id|role|aria-hidden|hidden|type)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|\Z)""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noframes", "xmp"}
 _ARTICLE = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Least density of a parent, as a share of the found node's, for it to be taken in its place.
+WIDEN = 0.5
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "frame"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: Blocks that are no part of the text around them if all they hold is links.
+_LINKS_ONLY = _BLOCK - _HEADINGS - {"p"}
 _LEFT_OUT = {"nav", "footer", "aside", "form", "header", "menu", "button", "select", "dialog", "head", "fieldset", "label"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 #: Words of class and id values that mark what is not the article.
@@ -195,37 +201,72 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def _around(n: Node, widened: set[int], passed: dict[int, Iterator]) -> list[Node]:
+    """A found node with what stands beside it: its parent as long as that is not much thinner (without blocks of links only), then the headings
+    before it on the way up. Found nodes come in page order; ``widened`` and ``passed`` hold the parents seen, so that none is gone through twice."""
+    while n.parent is not None and n.parent.density >= WIDEN * n.density:
+        n = n.parent
+        if id(n) not in widened:
+            widened.add(id(n))
+            for k in n.kids:
+                if isinstance(k, Node) and k.chars == k.link_chars and k.tag in _LINKS_ONLY:
+                    k.out = k.out or 1
+    got, up = [n], n
+    while up.parent is not None and id(up) not in passed:
+        kids = passed.setdefault(-id(up.parent), iter(up.parent.kids))
+        passed[id(up)] = kids
+        for k in kids:
+            if k is up:
+                break
+            if isinstance(k, Node) and k.tag in _HEADINGS and not k.out:
+                got.append(k)
+        up = up.parent
+    return got
+
+
 def select(root: Node) -> list[Node]:
     """The subtrees taken as the main text, in page order."""
     order = measure(root)
     place = {id(n): i for i, n in enumerate(order)}
+    peak = {id(n): n for n in order}
+    for n in reversed(order):  # children before parents
+        if n.parent is not None:
+            a, b = peak[id(n)], peak[id(n.parent)]
+            if (a.total, place[id(a)]) > (b.total, place[id(b)]):
+                peak[id(n.parent)] = a
 
-    def peak(top: Node) -> Node:
-        return max(_nodes(top), key=lambda n: (n.total, place[id(n)]))
-
-    best = peak(root)
+    best = peak[id(root)]
     if not best.total:
         return [root] if root.chars else []
     least, up = best.density, best
     while up is not None:
         least, up = min(least, up.density), up.parent
-    found, stack = [], [root]
-    while stack:
-        n = stack.pop()
-        if n is not root and n.density >= least and n.total >= 0.5 * best.total or n is best:
-            found.append(peak(n))
-        elif n is root and not any(isinstance(k, Node) and not k.out for k in n.kids):
-            found.append(n)
-        else:
-            stack.extend(k for k in reversed(n.kids) if isinstance(k, Node) and not k.out)
-    whole = []
-    for n in found or [best]:  # what the page itself calls the article is taken whole
+    found: dict[int, Node] = {}
+    for n in order:  # below a node that passes the search goes on, for what its peak does not hold
+        if n.density >= least and peak[id(n)].total:
+            found[id(peak[id(n)])] = peak[id(n)]
+    wanted: dict[int, Node] = {}
+    widened: set[int] = set()
+    passed: dict[int, Iterator] = {}
+    for n in _topmost(order, found):
         up = n
         while up is not None and up.tag not in _ARTICLE:
             up = up.parent
-        if (up or n) not in whole:
-            whole.append(up or n)
-    return whole
+        for k in [up] if up is not None else _around(n, widened, passed):  # what the page itself calls the article is taken whole
+            wanted[id(k)] = k
+    return _topmost(order, wanted)
+
+
+def _topmost(order: list[Node], chosen: dict[int, Node]) -> list[Node]:
+    """Of chosen nodes those that lie in no other, in page order."""
+    under: set[int] = set()
+    top = []
+    for n in order:
+        if n.parent is not None and (id(n.parent) in under or id(n.parent) in chosen):
+            under.add(id(n))
+        elif id(n) in chosen:
+            top.append(n)
+    return top
 
 
 def blocks(node: Node) -> list[str]:

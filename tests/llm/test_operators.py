@@ -183,6 +183,36 @@ def test_html_class_names():
     assert html_text.main_text(page) == "Head\n\nText of it."
 
 
+LINKS = "<div>" + "".join(f"<a href={i}>Some link {i}</a> " for i in range(20)) + "</div>"
+
+
+def paragraphs(n, size, word):
+    return "".join(f"<p>{(word + str(i) + ' ') * (size // (len(word) + 2))}</p>" for i in range(n))
+
+
+def test_html_split_article():
+    """Every part of a text above the threshold is found, not only those near the largest."""
+    for links in (LINKS, ""):
+        for parts in (("longer", "short"), ("short", "longer")):
+            sections = "".join(f"<section>{paragraphs(10 if p == 'longer' else 3, 300, p)}</section>" for p in parts)
+            text = html_text.main_text(f"<body>{links}<div id=content>{sections}</div></body>")
+            assert text.count("\n\n") == 12 and "longer9" in text and "short2" in text and "Some link" not in text
+    apart = html_text.main_text(f"<body><div><section>{paragraphs(10, 300, 'longer')}</section>{LINKS}</div><div>{paragraphs(3, 300, 'short')}</div></body>")
+    assert "longer9" in apart and "short2" in apart and "Some link" not in apart
+
+
+def test_html_heading_beside_the_body():
+    body = paragraphs(10, 300, "word")
+    for page in (
+        f"<body>{LINKS}<div id=content><h1>Title</h1><div class=text>{body}</div></div></body>",
+        f"<body>{LINKS}<h1>Title</h1><div class=text>{body}</div></body>",
+        f"<body>{LINKS}<div><h1><a href=x>Title</a></h1>{LINKS}<div class=text>{body}</div></div></body>",
+    ):
+        text = html_text.main_text(page)
+        assert text.startswith("Title\n\nword0") and "word9" in text and "Some link" not in text
+    assert html_text.main_text(f"<body>{LINKS}<div>By A. Writer<div class=text>{body}</div></div></body>").startswith("By A. Writer\n\nword0")
+
+
 def test_html_edge_cases(spark):
     pages = [(1, "u", PAGE, "t"), (2, None, None, "t"), (3, "u", "", "t"), (4, "u", "<p", "t"), (5, "u", "plain &amp text", "t"), (5, "u", "plain &amp text", "t"), (6, "u", "<article><p>cut of", "t"), (None, "u", "<p>x", "t"), (7, "u", "<p>" * 30_000 + "deep", "t"), (8, "u", "<div>" * 3_000 + "deep", "t")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
