@@ -43,12 +43,17 @@ _LINKS_ONLY = _BLOCK - _HEADINGS - {"p"}
 _LEFT_OUT = {"nav", "footer", "aside", "form", "header", "menu", "button", "select", "dialog", "head", "fieldset", "label"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 #: Words of class and id values that mark what is not the article.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|aside|footer|masthead|header|topbar|toolbar|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|pagination|pager|copyright|legal|disclaimer|paywall|skip\w*)(?:$|[\s_-])",
-    re.I,
-)
-#: Of those, what readers wrote, whatever elements it is made of.
-_READERS = re.compile("comment|disqus|respond|repl", re.I)
+_WORD = r"(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|aside|footer|masthead|header|topbar|toolbar|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|pagination|pager|copyright|legal|disclaimer|paywall|skip\w*)"
+_NOISE = re.compile(rf"(?:^|[\s_-]){_WORD}(?:$|[\s_-])", re.I)
+#: What may stand before and after such a word in a name that means the whole element.
+_BEFORE = r"(?:(?:post|entry|article|page|site|story|single|main|inline|sticky|floating|top|bottom|left|right|google|fb|user|reader|jp|wp|block|btn|js)[_-])*"
+_AFTER = r"(?:[_-](?:links?|buttons?|btns?|bar|box|lists?|icons?|posts?|articles?|stories|items?|content|body|title|containers?|wrap|wrapper|block|section|area|slots?|units?|thread|forms?|inner|outer|top|bottom|left|right|tools|module|group|panel|text|message|\d+))*"
+_PLAIN = _WORD.replace(r"\w*", "[^\\W_]*")  # no word runs over a delimiter, so that a name is cut up in one way only
+_KNOWN = re.compile(rf"{_BEFORE}{_PLAIN}(?:[_-]{_PLAIN})*{_AFTER}", re.I)
+#: Names of what readers wrote, whatever elements it is made of.
+_READERS = re.compile(rf"{_BEFORE}(?:comments?|commentlist|disqus|respond|reply|replies)(?:[_-](?:comments?|respond|reply|replies))*{_AFTER}", re.I)
+#: Values that tell a state of an element or of the page, not what the element is.
+_STATE = re.compile(r"(?:has|with|without|no|is|show|hide|hides)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|on|off|active|true|false)", re.I)
 #: Of those, what inside an article is the head of the article itself.
 _TITLE = re.compile("header|masthead", re.I)
 _SAME = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -69,22 +74,32 @@ class Node:
 
 
 def _noisy(tag: str, attrs: str, inside_article: bool) -> int:
-    """0: counts; 1: left out by its class unless the article lies in it; 2: left out."""
-    if tag in _LEFT_OUT and not (tag == "header" and inside_article):
-        return 2
+    """0: counts; 1: left out by its class or as a form unless the article lies in it; 2: left out."""
     out = 0
+    if tag in _LEFT_OUT and not (tag == "header" and inside_article):
+        if tag not in ("form", "fieldset"):
+            return 2
+        out = 1
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return 2
         if name == "role" and value.lower() in _ROLES:
             return 2
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            words = [w[0].strip(" _-") for w in _NOISE.finditer(value)]
-            if any(map(_READERS.match, words)):
-                return 2
-            if any(not (inside_article and _TITLE.fullmatch(w)) for w in words):
-                out = 1
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
+            if name == "id" and (tag in _HEADINGS or tag == "section" and inside_article and not _READERS.fullmatch(value)):
+                continue  # an anchor made of the heading's words
+            for one in value.split():
+                if _STATE.fullmatch(one):
+                    continue
+                if _READERS.fullmatch(one):
+                    return 2
+                if tag == "article":
+                    continue
+                if inside_article:
+                    out = out or int(bool(_KNOWN.fullmatch(one)) and not any(_TITLE.fullmatch(w[0].strip(" _-")) for w in _NOISE.finditer(one)))
+                elif _NOISE.search(one):
+                    out = 1
     return out
 
 
@@ -152,7 +167,7 @@ def parse(page: str) -> Node:
                 leave(last.parent)
         node = Node(tag, here)
         node.out = _noisy(tag, attrs, node.inside)
-        if tag in _ARTICLE:  # what holds the article is no side matter, whatever its class says
+        if tag in _ARTICLE and not node.out:  # what holds the article is no side matter, whatever its class says
             up = here
             while up is not None and not up.holds:
                 up.holds, up.out, up = True, up.out if up.out == 2 else 0, up.parent
@@ -201,9 +216,9 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def _around(n: Node, widened: set[int], passed: dict[int, Iterator]) -> list[Node]:
+def _around(n: Node, widened: set[int], passed: set[int], kids_of: dict[int, Iterator]) -> list[Node]:
     """A found node with what stands beside it: its parent as long as that is not much thinner (without blocks of links only), then the headings
-    before it on the way up. Found nodes come in page order; ``widened`` and ``passed`` hold the parents seen, so that none is gone through twice."""
+    before it on the way up. Found nodes come in page order; the rest holds what was seen, so that nothing is gone through twice."""
     while n.parent is not None and n.parent.density >= WIDEN * n.density:
         n = n.parent
         if id(n) not in widened:
@@ -213,9 +228,8 @@ def _around(n: Node, widened: set[int], passed: dict[int, Iterator]) -> list[Nod
                     k.out = k.out or 1
     got, up = [n], n
     while up.parent is not None and id(up) not in passed:
-        kids = passed.setdefault(-id(up.parent), iter(up.parent.kids))
-        passed[id(up)] = kids
-        for k in kids:
+        passed.add(id(up))
+        for k in kids_of.setdefault(id(up.parent), iter(up.parent.kids)):
             if k is up:
                 break
             if isinstance(k, Node) and k.tag in _HEADINGS and not k.out:
@@ -247,12 +261,13 @@ def select(root: Node) -> list[Node]:
             found[id(peak[id(n)])] = peak[id(n)]
     wanted: dict[int, Node] = {}
     widened: set[int] = set()
-    passed: dict[int, Iterator] = {}
+    passed: set[int] = set()
+    kids_of: dict[int, Iterator] = {}
     for n in _topmost(order, found):
         up = n
         while up is not None and up.tag not in _ARTICLE:
             up = up.parent
-        for k in [up] if up is not None else _around(n, widened, passed):  # what the page itself calls the article is taken whole
+        for k in [up] if up is not None else _around(n, widened, passed, kids_of):  # what the page itself calls the article is taken whole
             wanted[id(k)] = k
     return _topmost(order, wanted)
 

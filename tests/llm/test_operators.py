@@ -183,6 +183,19 @@ def test_html_class_names():
     assert html_text.main_text(page) == "Head\n\nText of it."
 
 
+@pytest.mark.parametrize("around", ["div class='post comments-open'", "div class='has-comments'", "div class='post no-replies comments-closed'", "div class='comments-enabled-layout'", "form id=aspnetForm"])
+def test_html_what_holds_the_article_stays(around):
+    tag = around.split()[0]
+    page = f"<body><{around}><article><h1>Head</h1><p>Text of it.</p></article><div id=comments class='comments-area'><ol class='comment-list'><li class='comment'><article class='comment-body'><p>I say.</p></article></ol></div></{tag}></body>"
+    assert html_text.main_text(page) == "Head\n\nText of it."
+
+
+def test_html_anchors_inside_the_article_are_no_noise():
+    inside = "<h2 id='related-work'>Related work</h2><p>One.</p><section id='legal-history'><h3 id='social-impact'>Impact</h3><p>Two.</p></section><h2 id='comments'>Comments</h2><div id='reply-to-critics'><p>Three.</p></div><div class='legal-history'>Four.</div>"
+    noise = "<div class='share-links'>Share</div><div class='related-posts'>More</div><div id='ad-slot-3'>Buy</div><div class='post-share'>Share</div><section id='comments'>I say.</section><ul class='social-icons'><li>f</li></ul>"
+    assert html_text.main_text(f"<body><article><h1>Head</h1>{inside}{noise}</article></body>") == "Head\n\nRelated work\n\nOne.\n\nImpact\n\nTwo.\n\nComments\n\nThree.\n\nFour."
+
+
 LINKS = "<div>" + "".join(f"<a href={i}>Some link {i}</a> " for i in range(20)) + "</div>"
 
 
