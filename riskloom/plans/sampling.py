@@ -9,33 +9,34 @@ from ..sources.tables import APPS_SQL, applications, scored
 from .queues import HEAD5
 from .registry import query
 
-N, SEED = 50, "boot"
+#: Replicates of the delta and of the lift: bounds at 2.5 % then rest on 125 and on 25 draws beyond them.
+DELTA_N, LIFT_N, SEED = 5000, 1000, "boot"
 _U = "CAST(CAST('0x' || substr(sha256('boot|' || CAST(replicate AS VARCHAR) || '|' || CAST(pos AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296e0"
 _W = "(" + " + ".join(f"CASE WHEN {_U} >= {p!r} THEN 1 ELSE 0 END" for p in resample.POISSON_1) + ")"
-_REPS = f"(SELECT CAST(unnest(range(1, {N} + 1)) AS INTEGER) AS replicate)"
+_REPS = lambda n: f"(SELECT CAST(unnest(range(1, {n} + 1)) AS INTEGER) AS replicate)"
 
 
 @query(f"""WITH {APPS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY challenger DESC, pos) AS ra, row_number() OVER (PARTITION BY period ORDER BY incumbent DESC, pos) AS rb, count(*) OVER (PARTITION BY period) AS n FROM apps),
-d AS (SELECT pos, label * (CAST(ra <= {HEAD5} AS INTEGER) - CAST(rb <= {HEAD5} AS INTEGER)) AS d FROM r), b AS (SELECT replicate, CAST(sum(d * {_W}) AS BIGINT) AS total FROM d, {_REPS} WHERE d <> 0 GROUP BY 1),
+d AS (SELECT pos, label * (CAST(ra <= {HEAD5} AS INTEGER) - CAST(rb <= {HEAD5} AS INTEGER)) AS d FROM r), b AS (SELECT replicate, CAST(sum(d * {_W}) AS BIGINT) AS total FROM d, {_REPS(DELTA_N)} WHERE d <> 0 GROUP BY 1),
 q AS (SELECT CAST(floor(quantile_cont(total, 25e-3)) AS BIGINT) AS lo, CAST(ceil(quantile_cont(total, 975e-3)) AS BIGINT) AS hi FROM b) SELECT (SELECT CAST(sum(d) AS BIGINT) FROM d) AS delta, lo, hi FROM q""")
 def bootstrap_delta(spark, sf):
     a = queue.ranked(applications(spark, sf), ["period"], "challenger").withColumnRenamed("rank", "ra").drop("group_size")
     r = queue.ranked(a, ["period"], "incumbent")
     h = queue.headcount(F.col("group_size"), 0.05)
     d = r.select("pos", (F.col("label") * ((F.col("ra") <= h).cast("int") - (F.col("rank") <= h).cast("int"))).alias("d"))
-    b = resample.delta_bootstrap(d, "d", N, SEED, "pos")
+    b = resample.delta_bootstrap(d, "d", DELTA_N, SEED, "pos")
     bounds = b.agg(F.floor(F.percentile("total", 0.025)).alias("lo"), F.ceil(F.percentile("total", 0.975)).alias("hi"))
     return d.agg(F.sum("d").alias("delta")).crossJoin(bounds)
 
 
-@query(f"""WITH {APPS_SQL}, w AS (SELECT replicate, pos, label, challenger, incumbent, {_W} AS weight FROM apps, {_REPS} WHERE period = 7), s AS (SELECT replicate, 'challenger' AS model, challenger AS score, label, weight FROM w WHERE weight > 0 UNION ALL SELECT replicate, 'incumbent', incumbent, label, weight FROM w WHERE weight > 0),
+@query(f"""WITH {APPS_SQL}, w AS (SELECT replicate, pos, label, challenger, incumbent, {_W} AS weight FROM apps, {_REPS(LIFT_N)} WHERE period = 7), s AS (SELECT replicate, 'challenger' AS model, challenger AS score, label, weight FROM w WHERE weight > 0 UNION ALL SELECT replicate, 'incumbent', incumbent, label, weight FROM w WHERE weight > 0),
 t AS (SELECT replicate, model, score, sum(weight) AS n, sum(weight * label) AS tp FROM s GROUP BY ALL), c AS (SELECT *, sum(n) OVER k AS cn, sum(tp) OVER k AS ct FROM t WINDOW k AS (PARTITION BY replicate, model ORDER BY score DESC)),
 a AS (SELECT replicate, model, sum(CAST(tp AS DOUBLE) * CAST(ct AS DOUBLE) / CAST(cn AS DOUBLE)) / CAST(sum(tp) AS DOUBLE) AS ap FROM c GROUP BY ALL), l AS (SELECT replicate, max(ap) FILTER (WHERE model = 'challenger') - max(ap) FILTER (WHERE model = 'incumbent') AS lift FROM a GROUP BY 1)
 SELECT count(*) AS replicates, round(avg(lift), 6) AS lift, round(quantile_cont(lift, 25e-3), 6) AS lo, round(quantile_cont(lift, 975e-3), 6) AS hi FROM l""")
 def bootstrap_ap_lift(spark, sf):
     """Paired: both models see a replicate's rows with the same weights."""
     s = scored(applications(spark, sf).where("period = 7"))
-    ap = resample.weighted_average_precision(resample.replicates(s, N, SEED, "pos"), ["replicate", "model"])
+    ap = resample.weighted_average_precision(resample.replicates(s, LIFT_N, SEED, "pos"), ["replicate", "model"])
     of = lambda m: F.max(F.when(F.col("model") == m, F.col("average_precision")))
     lift = ap.groupBy("replicate").agg((of("challenger") - of("incumbent")).alias("lift"))
     return lift.agg(F.count("*").alias("replicates"), F.round(F.avg("lift"), 6).alias("lift"), F.round(F.percentile("lift", 0.025), 6).alias("lo"), F.round(F.percentile("lift", 0.975), 6).alias("hi"))

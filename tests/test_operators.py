@@ -260,6 +260,15 @@ def test_poisson_weights_have_mean_one(spark):
     assert abs(df.agg(F.avg("w")).first()[0] - 1) < 0.03
 
 
+def test_bootstraps_draw_as_often_as_the_reference(spark, sf, monkeypatch):
+    from riskloom.plans import QUERIES
+
+    drawn = []
+    monkeypatch.setattr(resample, "delta_bootstrap", lambda df, delta, n, *a, f=resample.delta_bootstrap: drawn.append(n) or f(df, delta, n, *a))
+    QUERIES["bootstrap_delta"](spark, sf)
+    assert drawn == [5000] and QUERIES["bootstrap_ap_lift"](spark, sf).first()["replicates"] == 1000
+
+
 def test_fingerprint_follows_values_not_order(spark):
     a = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") / 7.0).alias("v"))
     b = a.orderBy(F.desc("k")).repartition(3)
