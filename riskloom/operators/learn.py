@@ -43,8 +43,8 @@ def fit_logistic(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     return Pipeline(stages=[*encoders(numeric, categorical, True), lr]).fit(balanced(df, label))
 
 
-def fit_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rounds: int = 10, depth: int = 3, label: str = "label") -> PipelineModel:
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, seed=17)
+def fit_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rounds: int = 10, depth: int = 3, label: str = "label", step: float = 0.1, share: float = 1.0) -> PipelineModel:
+    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=share, seed=17)
     return Pipeline(stages=[*encoders(numeric, categorical, False), gbt]).fit(df)
 
 

@@ -10,6 +10,9 @@ from .registry import query
 
 NUMERIC, CATEGORICAL = ("challenger", "incumbent", "orders_of_customer", "avg_discount"), ("channel", "segment")
 
+#: Boosted trees of the search: rounds, depth, step, share of rows for each tree.
+TREES = ((10, 3, 0.1, 1.0), (20, 3, 0.1, 0.8), (10, 5, 0.05, 1.0), (20, 5, 0.1, 0.8))
+
 
 def _data(spark, sf):
     a = features(spark, sf, applications(spark, sf))
@@ -104,9 +107,12 @@ def walk_forward(spark, sf):
 
 @query()
 def hyperparameter_search(spark, sf):
-    """An explicit grid of regularisation, judged on the rolling folds."""
+    """An explicit grid, judged on all rolling folds: regularisation of the logistic model; rounds, depth, step and sampled share of boosted trees."""
     d = _data(spark, sf)
-    return learn.tune(d, {f"reg={r:g}": (lambda x, r=r: learn.fit_logistic(x, NUMERIC, CATEGORICAL, r)) for r in (1e-4, 1e-2, 1.0)}, folds=((2, 3), (4, 5)))
+    fits = {f"reg={r:g}": (lambda x, r=r: learn.fit_logistic(x, NUMERIC, CATEGORICAL, r)) for r in (1e-4, 1e-2, 1.0)}
+    for rounds, depth, step, share in TREES:
+        fits[f"rounds={rounds},depth={depth},step={step:g},share={share:g}"] = lambda x, k=dict(rounds=rounds, depth=depth, step=step, share=share): learn.fit_trees(x, NUMERIC, CATEGORICAL, **k)
+    return learn.tune(d, fits)
 
 
 @query()

@@ -104,6 +104,15 @@ def test_models(spark, sf):
     assert learn.fit_trees(d.where("period <= 3"), NUMERIC, CATEGORICAL, rounds=2).transform(d.limit(5)).count() == 5
 
 
+def test_search_judges_at_least_six_settings_on_all_folds(spark, sf, monkeypatch):
+    from riskloom.plans import QUERIES
+
+    seen = []
+    monkeypatch.setattr(learn, "rolling", lambda df, fit, keep, folds=learn.ROLLING: seen.append(tuple(folds)) or df.where("period between 3 and 5").selectExpr(*keep, "challenger as score"))
+    got = QUERIES["hyperparameter_search"](spark, sf).collect()
+    assert len(got) == len(seen) >= 6 and set(seen) == {((2, 3), (3, 4), (4, 5))}
+
+
 def test_calibrators_recover_a_known_line(spark):
     from riskloom.functions.scalars import expit, logit, uniform
 
