@@ -11,8 +11,13 @@ from .registry import query
 
 KEY = "a-test-key-of-32-bytes-0123456789"
 SEED = "17"
-#: Settings: name, corruption rate, signals that it touches.
-ARMS = (("clean", 0.0, "email phone device address"), ("low", 0.15, "email phone device address"), ("high", 0.30, "email phone device address"), ("strong_only", 1.0, "email phone"), ("weak_only", 1.0, "device address"))
+#: Settings: name, corruption rate, signals that it touches. The name is part of the hash of every draw, so _2 and _3 are other seeds of a rate;
+#: nothing is drawn at rate 0.
+_ALL = "email phone device address"
+ARMS = (
+    ("clean", 0.0, _ALL), ("low", 0.15, _ALL), ("high", 0.30, _ALL), ("strong_only", 1.0, "email phone"), ("weak_only", 1.0, "device address"),
+    *((f"slight{n}", 0.05, _ALL) for n in ("", "_2", "_3")), *((f"{a}_{n}", r, _ALL) for a, r in (("low", 0.15), ("high", 0.30)) for n in (2, 3)),
+)
 
 _U = lambda *k: "CAST(CAST('0x' || substr(sha256(" + " || '|' || ".join([f"'{SEED}'", *k]) + "), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296e0"
 _H = lambda *k: "sha256(" + " || '|' || ".join([f"'{SEED}'", *k]) + ")"
@@ -125,6 +130,33 @@ def link_gates(spark, sf):
     return gates(one, [("clean_f1", "a", 0.9, ">="), ("low_f1", "b", 0.8, ">="), ("false_merge", "c", 0.02, "<=")])
 
 
+_RATES = f"""{_PM}, rates AS (SELECT rate, count(*) AS runs, round(avg(f1), 6) AS f1_mean, min(f1) AS f1_min, round(max(f1) - min(f1), 6) AS f1_range, max(false_merge_rate) AS false_merge_max FROM pm JOIN arms USING (arm) WHERE signals = '{_ALL}' GROUP BY 1)"""
+
+
+def _rates(spark, sf):
+    arms = spark.createDataFrame([(a, r) for a, r, signals in ARMS if signals == _ALL], "arm string, rate double")
+    m = linking.pair_metrics(_scored_pairs(spark, sf).where("accepted"), _fixture(spark, sf)).join(F.broadcast(arms), "arm")
+    return m.groupBy("rate").agg(F.count("*").alias("runs"), F.round(F.avg("f1"), 6).alias("f1_mean"), F.min("f1").alias("f1_min"), F.round(F.max("f1") - F.min("f1"), 6).alias("f1_range"), F.max("false_merge_rate").alias("false_merge_max"))
+
+
+@query(f"WITH {_RATES} SELECT * FROM rates")
+def link_rates(spark, sf):
+    """F1 over the seeds of each corruption rate: mean, least and range, and the greatest false-merge rate."""
+    return _rates(spark, sf)
+
+
+@query(f"""WITH {_RATES}, o AS (SELECT max(f1_min) FILTER (WHERE rate = 0) AS a, max(f1_min) FILTER (WHERE rate = 15e-2) AS b, max(false_merge_max) FILTER (WHERE rate <= 15e-2) AS c, max(f1_range) FILTER (WHERE rate IN (0, 15e-2)) AS d FROM rates)
+SELECT 'clean_f1' AS gate, a AS observed, CAST(9e-1 AS DOUBLE) AS threshold, a >= 9e-1 AS passed FROM o UNION ALL SELECT 'low_f1', b, 8e-1, b >= 8e-1 FROM o UNION ALL SELECT 'false_merge', c, 2e-2, c <= 2e-2 FROM o UNION ALL SELECT 'stability', d, 2e-2, d <= 2e-2 FROM o""")
+def link_program_gates(spark, sf):
+    """The gates of the whole program: worst seeds, false merges at all rates up to 0.15, and the range of F1."""
+    from ..operators.decide import gates
+
+    r = F.col("rate")
+    worst = lambda c, when: F.max(F.when(when, F.col(c)))
+    one = _rates(spark, sf).agg(worst("f1_min", r == 0).alias("a"), worst("f1_min", r == 0.15).alias("b"), worst("false_merge_max", r <= 0.15).alias("c"), worst("f1_range", r.isin(0.0, 0.15)).alias("d"))
+    return gates(one, [("clean_f1", "a", 0.9, ">="), ("low_f1", "b", 0.8, ">="), ("false_merge", "c", 0.02, "<="), ("stability", "d", 0.02, "<=")])
+
+
 @query(f"WITH {_RINGS} SELECT * FROM rings")
 def link_rings(spark, sf):
     return linking.rings(_tokens(spark, sf), _fixture(spark, sf))

@@ -208,6 +208,12 @@ def test_linking_on_the_clean_fixture(spark):
     assert fix.exceptAll(linking.fixture(spark.range(1, 600), arms)).isEmpty()
 
 
+def test_link_program_has_the_rates_and_seeds_of_the_reference(spark, sf):
+    from riskloom.plans import QUERIES
+
+    assert {r["rate"]: r["runs"] for r in QUERIES["link_rates"](spark, sf).collect()} == {0.0: 1, 0.05: 3, 0.15: 3, 0.3: 3}
+
+
 def test_components_of_a_chain(spark):
     n = 40
     nodes = spark.range(n + 1).select(F.lit("a").alias("arm"), F.col("id").alias("pos"))
