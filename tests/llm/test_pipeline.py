@@ -5,7 +5,7 @@ from __future__ import annotations
 import __spark_entry__ as entry
 import corpus_pipeline
 import duckdb
-from test_operators import brute_components, brute_spans, check_packing
+from test_llm_operators import brute_components, brute_spans, check_packing
 
 
 def test_stages(spark, tmp_path):
