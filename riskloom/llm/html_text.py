@@ -7,10 +7,12 @@ characters and tags that are in links. Its composite density is
     C/T * log_b( C*T / (LC*LT) )   with   b = ln(C/nLC * LC + LCb/Cb * C + e)
 
 (nLC: characters outside links; b: of the body; each of T, LC, LT and nLC is 1 at least). A node's density
-sum is the sum of its children's densities. The least density on the path from the node of greatest sum up
-to the body is the threshold: a subtree at or above it (and with half the greatest sum at least) yields its
-node of greatest sum, others are searched further down; an article or main element around it is taken whole. Subtrees that say by element, role, class or id that they are menus, adverts, comments and
-the like are left out before.
+sum is the sum of its children's densities, and its own where it has text of its own; a node without blocks
+below it is one paragraph and has its own density only; what marks it up inside is no candidate. The least density on
+the path from the node of greatest sum up to the body is the threshold: every subtree at or above it yields
+its node of greatest sum, and the search goes on below. No element is taken because of its name. Subtrees
+that say by element, role, class or id that they are menus, adverts, comments and the like are left out
+before; inline elements only where they are adverts or links to share or skip.
 
 Null or blank html, or a page without text: empty text. Null url stays null. Rows repeat as they come.
 Other columns are not read.
@@ -31,7 +33,7 @@ from .util import map_arrow, texts_of
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|aria-hidden|hidden|type)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|\Z)""", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noframes", "xmp"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "noframes", "xmp"}
 _ARTICLE = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Least density of a parent, as a share of the found node's, for it to be taken in its place.
@@ -54,6 +56,9 @@ _KNOWN = re.compile(rf"{_BEFORE}{_PLAIN}(?:[_-]{_PLAIN})*{_AFTER}", re.I)
 _READERS = re.compile(rf"{_BEFORE}(?:comments?|commentlist|disqus|respond|reply|replies)(?:[_-](?:comments?|respond|reply|replies))*{_AFTER}", re.I)
 #: Values that tell a state of an element or of the page, not what the element is.
 _STATE = re.compile(r"(?:has|with|without|no|is|show|hide|hides)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|on|off|active|true|false)", re.I)
+#: What an inline element is left out for; links also where they share or skip.
+_ADVERT = re.compile(r"ads?|adv|advert[^\W_]*|adsense|ad[_-].*|.*[_-]ads?|sponsor[^\W_]*|promo[^\W_]*", re.I)
+_SERVICE = re.compile(r"(?:share|skip|comments|reply)(?:[_-].*)?", re.I)
 #: Of those, what inside an article is the head of the article itself.
 _TITLE = re.compile("header|masthead", re.I)
 _SAME = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -62,13 +67,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "inside", "holds", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "out", "inside", "holds", "nests", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: int = 0):
         self.tag, self.parent, self.kids, self.out = tag, parent, [], out
         #: Whether it lies in an article, and whether one lies in it.
         self.inside = parent is not None and (parent.inside or parent.tag in _ARTICLE)
         self.holds = False
+        #: Whether blocks lie in it.
+        self.nests = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -92,6 +99,9 @@ def _noisy(tag: str, attrs: str, inside_article: bool) -> int:
             for one in value.split():
                 if _STATE.fullmatch(one):
                     continue
+                if tag not in _BLOCK:
+                    out = out or int(bool(_ADVERT.fullmatch(one) or tag == "a" and _SERVICE.fullmatch(one)))
+                    continue
                 if _READERS.fullmatch(one):
                     return 2
                 if tag == "article":
@@ -201,6 +211,7 @@ def measure(root: Node) -> list[Node]:
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
         if n.parent is not None:
             p = n.parent
+            p.nests = p.nests or n.nests or n.tag in _BLOCK
             p.chars += n.chars
             p.tags += n.tags + 1
             p.link_chars += n.link_chars
@@ -212,6 +223,9 @@ def measure(root: Node) -> list[Node]:
             base = math.log(c / max(1, c - n.link_chars) * lc + share * c + math.e)
             n.density = c / t * max(0.0, math.log(c / lc * t / lt) / math.log(base)) if c > n.link_chars else 0.0
     for n in order:
+        if not n.nests:
+            n.total = n.density if n.tag in _BLOCK or n.parent is None or n.parent.nests else 0.0
+            continue
         n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.out) + (n.density if any(isinstance(k, str) and k.strip() for k in n.kids) else 0.0)
     return order
 
@@ -264,10 +278,7 @@ def select(root: Node) -> list[Node]:
     passed: set[int] = set()
     kids_of: dict[int, Iterator] = {}
     for n in _topmost(order, found):
-        up = n
-        while up is not None and up.tag not in _ARTICLE:
-            up = up.parent
-        for k in [up] if up is not None else _around(n, widened, passed, kids_of):  # what the page itself calls the article is taken whole
+        for k in _around(n, widened, passed, kids_of):
             wanted[id(k)] = k
     return _topmost(order, wanted)
 
