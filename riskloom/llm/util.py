@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +25,30 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is made and removed at exit.
+    Only where the setting is absent and the session has one machine (tests) a temporary folder is made and removed at
+    exit; a cluster without the setting is an error, since executors would not see each other's files.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = tempfile.mkdtemp(prefix="riskloom-")
         atexit.register(shutil.rmtree, shared_dir.own, ignore_errors=True)
     return f"file://{shared_dir.own}"
 
 
+def filesystem(uri: str):
+    """(file system, path) of pyarrow for a URI."""
+    from pyarrow import fs
+
+    if "://" in uri and not uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri)
+    path = unquote(urlparse(uri).path) if uri.startswith("file:") else uri
+    return fs.LocalFileSystem(), path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once a session, so that no machine needs it installed."""
     sc = spark.sparkContext
@@ -109,6 +123,18 @@ def as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column in ``taken`` is called that (case apart)."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [x or "" for x in column.to_pylist()]

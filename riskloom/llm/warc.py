@@ -20,14 +20,13 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import Scratch, map_arrow, texts_of
+from .util import Scratch, filesystem, map_arrow, texts_of
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of an archive after which the next begins, of a split, and of a read.
@@ -36,19 +35,11 @@ ARCHIVE, SPLIT, BLOCK = 64 << 20, 4 << 20, 1 << 20
 FEED = 1 << 13
 #: Most tasks of a read.
 TASKS = 100_000
+#: Repeated digests that a broadcast may hold (about 100 bytes each), and the tasks that share one digest beyond that.
+BROADCAST_ROWS, SALTS = 1 << 16, 64
 _RULES = re.compile(r"[\r\n]+")
 
 
-def _filesystem(uri: str):
-    """(file system, path) of pyarrow for a URI."""
-    from pyarrow import fs
-
-    if "://" in uri and not uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri)
-    path = unquote(urlparse(uri).path) if uri.startswith("file:") else uri
-    return fs.LocalFileSystem(), path
-
-
 def record(kind: str, page_id: int | None, url: str | None, digest: str, size: int, payload: bytes, refers_to: int | None) -> bytes:
     """One gzip member with a response, or a revisit that has the HTTP head only (its length is the full payload's)."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -76,11 +67,18 @@ def write(pages: DataFrame, least: int = 0, archive: int = ARCHIVE) -> tuple[str
     rows = rows.withColumn("sha", F.sha1("html"))
     firsts = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     firsts = scratch.cut(firsts.where("n > 1").select("sha", "first"), "firsts")
-    linked = rows.join(firsts, "sha", "left").select("page_id", "url", "html", F.expr("case when first < page_id then first end").alias("refers_to"))
+    # Few repeated digests go to the pages. Beyond the bound both sides are salted, so that pages of one digest (empty ones, say)
+    # are dealt out over SALTS tasks.
+    if firsts.count() <= BROADCAST_ROWS:
+        linked = rows.join(F.broadcast(firsts), "sha", "left")
+    else:
+        salts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        linked = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salts, ["sha", "salt"], "left")
+    linked = linked.select("page_id", "url", "html", F.expr("case when first < page_id then first end").alias("refers_to"))
     folder = scratch.path("archives")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, top = _filesystem(folder)
+        system, top = filesystem(folder)
         system.create_dir(top, recursive=True)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
@@ -183,7 +181,7 @@ def read(spark: SparkSession, folder: str, archives: DataFrame, split: int = SPL
     """The records of the archives. A response's digest and size are of the payload as read; a revisit's are in its heads."""
 
     def make():
-        system, _ = _filesystem(folder)
+        system, _ = filesystem(folder)
 
         def step(batch: pa.RecordBatch) -> dict:
             rows = []
