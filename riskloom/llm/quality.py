@@ -24,6 +24,8 @@ from .util import map_arrow
 
 #: Labelled documents taken of each class, at most.
 PER_CLASS = 2048
+#: Values of a label that are taken as classes; more are an error.
+CLASSES = 64
 NEIGHBOURS, POWER, THRESHOLD = 16, 8, 0.3
 
 
@@ -45,7 +47,9 @@ def sampled_bags(docs: DataFrame, labels: DataFrame, target: str, per_class: int
     A doc_id that repeats in the documents counts with its least text. ``words`` gets the word slots of each.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.min(target).alias("y")).where(fold() != 0)
-    values = [r[0] for r in known.select("y").distinct().orderBy("y").limit(64).collect()]
+    values = [r[0] for r in known.select("y").distinct().orderBy("y").limit(CLASSES + 1).collect()]
+    if len(values) > CLASSES:
+        raise ValueError(f"more than {CLASSES} values of {target}: no classes")
     ids = None
     for v in values:
         part = known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

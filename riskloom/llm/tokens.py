@@ -46,6 +46,8 @@ class MergeCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
+        if max(vocab.values(), default=0) >> _ID or len(spec["model"]["merges"]) >> 63 - _POS - 2:
+            raise ValueError("the vocabulary is too large for packed pairs")
         self.first = [vocab[s] for _, s in sorted(byte_symbols().items())]
         self.rule: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
