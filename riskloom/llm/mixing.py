@@ -4,15 +4,18 @@ A classifier learned from the labelled table gives each document a posterior ove
 documents are fitted by projected gradient so that expected domain tokens, sum(r * tokens * posterior),
 match the targets in the least-squares sense. The objective is weighted by the inverse second moment G of
 the posteriors and each document's step by its tokens, so the step for all documents is
-``r <- clip(r - posterior . inv(G) (totals - targets))``: it meets feasible targets at once where nothing is
-clipped and goes on until the residual is small otherwise. A pass is one aggregation over the written
-posteriors; rates aren't stored between passes but replayed from the few gradients so far.
+``r <- clip(r - posterior . inv(G) (totals - targets))``, with momentum: it meets feasible targets at once where nothing is
+clipped and goes on until the residual is small or no pass makes it smaller any more (targets that no rates
+meet; the residual is reported with every row). A pass is one aggregation over the written posteriors; rates
+aren't stored between passes but replayed from the few gradients so far.
 
 Domains: ``toxic`` (labels.toxic = 1), else ``low`` (quality = 0), else ``clean``.
 
 Null text: empty, 0 tokens; its posterior is the classifier's for an empty text, its rate is as others'.
 No labelled documents: all documents are ``clean``. Domains that no labelled document has get posterior 0,
-and a positive target for one can't be met (the residual says so). Documents repeat as they come.
+and a positive target for one can't be met (the residual says so). Documents repeat as they come, each row with
+its own rate; a null doc_id is kept like any other. Of the documents only doc_id and text are read; ``thin``
+keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .features import bag, word_slots
 from .packing import _encoder
 from .quality import sampled_bags
-from .util import Scratch, map_arrow, texts_of
+from .util import Scratch, fresh, map_arrow, texts_of
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of all tokens that the mix should have.
@@ -34,7 +37,8 @@ TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 PER_DOMAIN = 1500
 #: Word slots that the classifier sees beside the bag, and the value of one that is there.
 WORDS, PRESENT = 256, 0.5
-PASSES, TOLERANCE = 25, 1e-4
+#: Residual (share of all tokens) that is small, passes without a better one after which the fit ends, and a bound for all.
+TOLERANCE, STALL, PASSES = 1e-4, 10, 200
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -124,36 +128,57 @@ def domain_model(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAI
     return Classifier(*softmax_fit(np.concatenate((bags, seen), 1), y, len(DOMAINS), prior / max(1, prior.sum())), told)
 
 
-def memberships(docs: DataFrame, model: Classifier, path: str, ranks: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the posterior p_<domain> of every whole text."""
+def _measured(docs: DataFrame, model: Classifier, path: str, ranks: str | None, keep: list[str], names: list[str]) -> DataFrame:
+    """The columns ``keep`` with tokens and the posterior of every whole text under the names given."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = next(c for c in docs.columns if c.lower() == "text")
+    kept = docs.select(*keep, *([] if text in keep else [text]))
+    at = kept.columns.index(text)
+    schema = type(docs.schema)([kept.schema[c] for c in keep]).add(names[0], "long")
+    for name in names[1:]:
+        schema = schema.add(name, "double")
 
     def make():
         classify, encoder = shared.value, _encoder(path, ranks)
 
         def step(batch: pa.RecordBatch) -> dict:
-            p = classify(batch.column(1))
-            return {"doc_id": batch.column(0), "n_tokens": [len(encoder.encode(t)) for t in texts_of(batch.column(1))]} | {f"p_{d}": p[:, i] for i, d in enumerate(DOMAINS)}
+            p = classify(batch.column(at))
+            out = {c: batch.column(i) for i, c in enumerate(keep)}
+            out[names[0]] = [len(encoder.encode(t)) for t in texts_of(batch.column(at))]
+            return out | {c: p[:, i] for i, c in enumerate(names[1:])}
 
         return step
 
-    return map_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    return map_arrow(kept, make, schema)
+
+
+NAMES = ["n_tokens", *(f"p_{d}" for d in DOMAINS)]
+
+
+def memberships(docs: DataFrame, model: Classifier, path: str, ranks: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and the posterior p_<domain> of every whole text."""
+    return _measured(docs, model, path, ranks, ["doc_id"], NAMES)
+
 
+#: A pass: the gradient, and the momentum with which the rates went on before it.
+Step = tuple[np.ndarray, float]
 
-def _replay(p: np.ndarray, steps: list[np.ndarray], most: float) -> np.ndarray:
-    r = np.ones(len(p))
-    for g in steps:
-        r = np.clip(r - p @ g, 0, most)
+
+def _replay(p: np.ndarray, steps: list[Step], most: float) -> np.ndarray:
+    r = before = np.ones(len(p))
+    for g, momentum in steps:
+        before, r = r, np.clip(r + momentum * (r - before) - p @ g, 0, most)
     return r
 
 
-def _posterior(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([np.asarray(batch.column(f"p_{d}")) for d in DOMAINS], 1)
+def _posterior(batch: pa.RecordBatch, names: list[str] = NAMES) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(c)) for c in names[1:]], 1)
+
 
+def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float("inf"), passes: int = PASSES, tolerance: float = TOLERANCE, names: list[str] = NAMES) -> tuple[list[Step], dict]:
+    """The passes that rates are replayed from, and a report: tokens, shares before and after, targets, goal, residual.
 
-def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float("inf"), passes: int = PASSES, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], dict]:
-    """The gradients that rates are replayed from, and a report: tokens, shares before and after, targets, residual.
+    The residual is the greatest distance of a domain's share from its goal, in shares of all tokens.
 
     With ``most`` (no document oftener than that) the mix is as large as the domain of the greatest target allows;
     targets of others are upper bounds then: one that falls short stays as it is and costs no other domain's documents.
@@ -162,10 +187,10 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float
     want = want / want.sum()
     n = len(DOMAINS)
 
-    def sums(steps: list[np.ndarray], moments: bool) -> np.ndarray:
+    def sums(steps: list[Step], moments: bool) -> np.ndarray:
         def make():
             def step(batch: pa.RecordBatch) -> dict:
-                t, p = np.asarray(batch.column("n_tokens")).astype(float), _posterior(batch)
+                t, p = np.asarray(batch.column(names[0])).astype(float), _posterior(batch, names)
                 tp = t[:, None] * p
                 got = [t.sum(), *(_replay(p, steps, most) @ tp)]
                 return {"s": [got + (list((tp.T @ p).ravel()) if moments else [])]}
@@ -186,24 +211,37 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float
     if np.isfinite(most):
         main = int(want.argmax())
         goal = np.minimum(want * most * shares[main] / want[main], most * shares)
-    steps: list[np.ndarray] = []
-    got = shares
-    for _ in range(passes):
-        report |= {"after": got, "residual": float(np.abs(got - goal).max())}
-        if report["residual"] <= tolerance:
+    # The objective is the distance from the goal weighted by the inverse moments, under which a step of 1 is safe.
+    steps: list[Step] = []
+    best, kept, after = np.inf, 0, shares
+    got = before = shares
+    pace, last = 1.0, np.inf
+    while True:
+        lost = float((got - goal) @ inverse @ (got - goal))
+        if lost < best * (1 - 1e-3):
+            best, kept, after = lost, len(steps), got
+        if np.abs(got - goal).max() <= tolerance or len(steps) - kept >= STALL or len(steps) >= passes:
             break
-        steps.append(inverse @ (got - goal))
-        got = sums(steps, False)[1 : 1 + n] / tokens
-    report |= {"after": got, "residual": float(np.abs(got - goal).max())}
+        if lost > last:  # too fast: momentum starts anew
+            pace = 1.0
+        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        momentum, pace, last = (pace - 1) / faster, faster, lost
+        # Totals are linear in the rates, so those of the rates gone on with need no pass of their own.
+        ahead = got + momentum * (got - before)
+        steps.append((inverse @ (ahead - goal), momentum))
+        before, got = got, sums(steps, False)[1 : 1 + n] / tokens
+    if np.abs(got - goal).max() > tolerance:
+        steps, got = steps[:kept], after
+    report |= {"after": got, "goal": goal, "residual": float(np.abs(got - goal).max())}
     return steps, report
 
 
-def with_rates(members: DataFrame, steps: list[np.ndarray], most: float = float("inf")) -> DataFrame:
-    schema, names = type(members.schema)([*members.schema.fields]).add("rate", "double"), list(members.columns)
+def with_rates(members: DataFrame, steps: list[Step], most: float = float("inf"), names: list[str] = NAMES, rate: str = "rate") -> DataFrame:
+    schema, columns = type(members.schema)([*members.schema.fields]).add(rate, "double"), list(members.columns)
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            return {c: batch.column(c) for c in names} | {"rate": np.round(_replay(_posterior(batch), steps, most), 9)}
+            return {c: batch.column(i) for i, c in enumerate(columns)} | {rate: np.round(_replay(_posterior(batch, names), steps, most), 9)}
 
         return step
 
@@ -211,16 +249,24 @@ def with_rates(members: DataFrame, steps: list[np.ndarray], most: float = float(
 
 
 def rates(docs: DataFrame, labels: DataFrame, path: str, ranks: str | None = None, targets: dict[str, float] = TARGETS, most: float = float("inf")) -> tuple[DataFrame, dict]:
-    """(doc_id, n_tokens, p_<domain>, rate; report) of every document."""
+    """(doc_id, n_tokens, p_<domain>, rate, residual; report) of every document. The residual is that of the whole mix."""
     model = domain_model(docs, labels)
     members = Scratch(docs.sparkSession, "mixing").cut(memberships(docs, model, path, ranks), "memberships")
     steps, report = fit_rates(members, targets, most)
-    return with_rates(members, steps, most), report
+    return with_rates(members, steps, most).withColumn("residual", F.lit(round(report["residual"], 9))), report
 
 
 def thin(docs: DataFrame, labels: DataFrame, path: str, ranks: str | None = None, targets: dict[str, float] = TARGETS, seed: int = 17) -> DataFrame:
-    """The documents in the target mix, each at most once: one stays where a hash of its id falls below its rate."""
-    got, _ = rates(docs, labels, path, ranks, targets, most=1.0)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    gone = Scratch(docs.sparkSession, "thin").cut(got.where(drawn >= F.col("rate")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The documents in the target mix, each row at most once: it stays where a hash of its id and text falls below its own rate.
+
+    Rows that repeat an id have rates and draws of their own, as have rows without one; equal rows share both.
+    """
+    model = domain_model(docs, labels)
+    columns = list(docs.columns)
+    *names, rate, drawn = fresh(columns, *NAMES, "rate", "drawn")
+    measured = _measured(docs.withColumn(drawn, F.xxhash64(F.lit(seed), "doc_id", "text")), model, path, ranks, [*columns, drawn], names)
+    members = Scratch(docs.sparkSession, "thin").cut(measured, "memberships")
+    steps, _ = fit_rates(members.select(names), targets, 1.0, names=names)
+    below = F.pmod(F.col(drawn), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col(rate)
+    rated = with_rates(members, steps, 1.0, names, rate)
+    return rated.where(below).select(*(F.col(f"`{c}`") for c in columns))

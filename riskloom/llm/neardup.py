@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import mix, shingle_sets
-from .util import Scratch, map_arrow
+from .util import Scratch, fresh, map_arrow
 
 SKETCH_BITS = 20
 SLICES = 64
@@ -45,6 +45,11 @@ def need(n, num: int, den: int):
     return -(-n * num // den)
 
 
+def set_key(h: np.ndarray, n: int) -> bytes:
+    """16 bytes that name a set of hashes and a size."""
+    return b"".join((mix(h ^ s).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).tobytes() for s in _SALT)
+
+
 def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of shingles over all documents in 2**bits buckets. Tasks send sparse slices; sums are made in two steps."""
     width = (1 << bits) // SLICES
@@ -85,9 +90,6 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, bits: int = SKET
     counts = sketch(docs, words, bits)
     rank = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
 
-    def key(h: np.ndarray, n: int) -> bytes:
-        return b"".join((mix(h ^ s).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)).tobytes() for s in _SALT)
-
     def make():
         order = rank.value
 
@@ -100,7 +102,7 @@ def signatures(docs: DataFrame, words: int, num: int, den: int, bits: int = SKET
                     continue
                 often = order[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 first = s[np.argsort(often, kind="stable")[: len(s) - need(len(s), num, den) + 1]]
-                cls.append(key(s, len(s))), grp.append(key(first, len(s))), prefix.append(first.view(np.int64))
+                cls.append(set_key(s, len(s))), grp.append(set_key(first, len(s))), prefix.append(first.view(np.int64))
             return {"doc_id": batch.column(0), "n": n, "cls": cls, "grp": grp, "prefix": prefix}
 
         return step
@@ -119,6 +121,12 @@ def only(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFr
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold, tested on whole texts."""
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    return _verified(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b"), words, num, den)
+
+
+def _verified(both: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The first two columns of the rows whose texts, the last two, reach the threshold."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict | None:
@@ -129,13 +137,12 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -
                     if den * both >= num * (len(x) + len(y) - both):
                         keep.append(i)
             got = batch.take(pa.array(keep, pa.int64()))
-            return {"a": got.column(0), "b": got.column(1)}
+            return {c: got.column(i) for i, c in enumerate(names)}
 
         return step
 
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return map_arrow(both, make, "a long, b long")
+    names = both.columns[:2]
+    return map_arrow(both, make, type(both.schema)([both.schema[c] for c in names]))
 
 
 def _local_forest(links: DataFrame) -> DataFrame:
@@ -264,12 +271,79 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def jaccard_pairs(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """(links, members) of the whole join: every link between different sets, none left out because others imply it.
+
+    links: a, b (a < b), the smallest doc_ids of two sets with Jaccard >= num/den. members: doc_id, n_shingles, rep
+    (the smallest doc_id with the same set; null for rows without words) and links, the number of other documents
+    linked with the row's text: copies of its own set and all copies of the sets linked with it. Rows that repeat a
+    doc_id count each.
+    """
+    scratch = Scratch(docs.sparkSession, "pairs")
+    sig = scratch.cut(signatures(docs, words, num, den, sketch_bits), "signatures")
+    full = sig.where("n > 0")
+    classes = scratch.cut(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.min("prefix").alias("prefix")), "classes")
+    # A doc_id that repeats may be the smallest of two sets: sets are told apart by their keys until the end.
+    groups = scratch.cut(classes.groupBy("grp").agg(F.min("n").alias("n"), F.min("prefix").alias("prefix"), F.count("*").alias("sets")), "groups")
+    entries = scratch.cut(groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token")), "entries")
+    often = entries.groupBy("token").count().where("count > 1").select("token")
+    entries = scratch.cut(entries.join(often, "token"), "shared")
+    x, y = (entries.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("grp", "n", "pos"))) for side in "xy")
+    pairs = x.join(y, "token").where("grp_x < grp_y").where(_fits(num, den, "n_x", "pos_x", "n_y", "pos_y")).select("grp_x", "grp_y").distinct()
+    same = groups.where("sets > 1").select(F.col("grp").alias("grp_x"), F.col("grp").alias("grp_y"))
+    pairs = scratch.cut(pairs.union(same), "group-pairs")
+    one, two = (classes.select(F.col("grp").alias(f"grp_{side}"), F.col("cls").alias(f"cls_{side}"), F.col("rep").alias(f"rep_{side}")) for side in "xy")
+    sets = scratch.cut(pairs.join(one, "grp_x").join(two, "grp_y").where("grp_x <> grp_y or cls_x < cls_y").select("cls_x", "rep_x", "cls_y", "rep_y"), "set-pairs")
+    keyed = full.select("cls", "doc_id").join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi").distinct()
+    wanted = scratch.cut(sets.select(F.col("cls_x").alias("cls")).union(sets.select("cls_y")).distinct().join(keyed, "cls"), "wanted")
+    texts = scratch.cut(_texts_by_set(docs, wanted, words), "texts")
+    side = lambda c: texts.select(F.col("cls").alias(f"cls_{c}"), F.col("text").alias(f"text_{c}"))
+    both = sets.join(side("x"), "cls_x").join(side("y"), "cls_y").select("cls_x", "cls_y", "text_x", "text_y")
+    linked = scratch.cut(_verified(both, words, num, den), "linked")
+    ends = linked.union(linked.select("cls_y", "cls_x")).toDF("cls", "other")
+    beside = ends.join(classes.select(F.col("cls").alias("other"), "copies"), "other").groupBy("cls").agg(F.sum("copies").alias("beside"))
+    counted = classes.join(beside, "cls", "left").select("cls", "rep", (F.col("copies") - 1 + F.coalesce("beside", F.lit(0))).alias("links"))
+    members = sig.join(counted, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "rep", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    reps = classes.select("cls", "rep")
+    links = linked.join(reps.toDF("cls_x", "x"), "cls_x").join(reps.toDF("cls_y", "y"), "cls_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return links, members
+
+
+def _texts_by_set(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """cls and a text that has it, for the sets in ``wanted`` (cls, doc_id)."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict | None:
+            keep = [i for i, (s, c) in enumerate(zip(shingle_sets(batch.column(0), words), batch.column(1).to_pylist(), strict=True)) if len(s) and set_key(s, len(s)) == c]
+            got = batch.take(pa.array(keep, pa.int64()))
+            return {"cls": got.column(1), "text": got.column(0)}
+
+        return step
+
+    return map_arrow(rows.select("text", "cls"), make, "cls binary, text string").groupBy("cls").agg(F.min("text").alias("text"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents without those that stand behind another of their component; all columns stay.
 
-    Rows without doc_id are kept: they take no part in the join.
+    Rows without doc_id, and rows without words, are kept: they take no part in the join. Of rows that repeat the
+    doc_id that stays, with words in them, one stays: that of the smallest text, the first written of equal ones.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    found = jaccard_components(docs, words, num, den)
-    gone = scratch.cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    columns = list(docs.columns)
+    gone_id, again_id, row, has_words = fresh(columns, "gone_id", "again_id", "row", "has_words")
+    found = scratch.cut(jaccard_components(docs, words, num, den), "found")
+    gone = scratch.cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    kept = docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
+    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    again = scratch.cut(again.select(F.col("doc_id").alias(again_id)), "again")
+    if again.isEmpty():
+        return kept
+    # Rows of repeated ids get a number of their own, and a partial aggregation finds the one that stays.
+    on = kept["doc_id"].cast("long") == again[again_id]
+    some = kept.join(again, on).withColumns({row: F.monotonically_increasing_id(), has_words: F.col("text").rlike(r"[^\x20\x09-\x0D]")})
+    some = scratch.cut(some, "repeated")
+    first = some.where(has_words).groupBy(F.col(again_id).alias("first_of")).agg(F.min(F.struct("text", row)).alias("first")).select(F.col(f"first.{row}").alias(gone_id))
+    ones = some.join(first, some[row] == first[gone_id], "left").where(~F.col(has_words) | F.col(gone_id).isNotNull())
+    return kept.join(again, on, "left_anti").select(*columns).unionByName(ones.select(*columns))
