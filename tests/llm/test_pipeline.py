@@ -5,6 +5,7 @@ from __future__ import annotations
 import __spark_entry__ as entry
 import corpus_pipeline
 import duckdb
+from pyspark.sql import functions as F
 from test_llm_operators import brute_components, brute_spans, check_packing
 
 
@@ -34,6 +35,34 @@ def test_stages(spark, tmp_path):
         docs = after
 
 
+def test_run_on_odd_documents(spark, tmp_path):
+    """The whole pipeline on nulls, empty texts, repeated ids and rows and extra columns, and on an empty table."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = [F.lit(1).alias(c) for c in ("spans", "blob_", "rate", "row", "gone_id", "piece", "length", "drawn", "n_tokens")]
+    some = docs.limit(60)
+    odd = some.select("*", *extra).unionByName(some.limit(20).select("*", *extra)).unionByName(some.limit(10).withColumn("doc_id", F.lit(None).cast("long")).select("*", *extra))
+    odd = odd.unionByName(some.limit(3).withColumn("text", F.lit(None).cast("string")).select("*", *extra)).unionByName(some.limit(3).withColumn("text", F.lit("")).select("*", *extra))
+    for name, table in (("odd", odd), ("none", odd.limit(0))):
+        at = tmp_path / name
+        table.write.parquet(f"{at}/documents.parquet")
+        spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{at}/labels.parquet")
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        if name == "none":
+            assert got == []
+            continue
+        assert got and {r["doc_id"] for r in got} <= {r["doc_id"] for r in odd.collect()}
+        ends = [(r["sequence_id"], r["offset"], r["length"]) for r in got]
+        by_seq = {}
+        for s, o, n in sorted(ends):
+            assert o == by_seq.get(s, 0)
+            by_seq[s] = o + n
+        assert max(by_seq.values()) <= 1024
+        # One row of each id with words is left, whose text is packed whole.
+        pieces = sorted((r["doc_id"], r["piece"], r["start"]) for r in got if r["doc_id"] is not None)
+        assert len(pieces) == len(set(pieces))
+
+
 def test_every_query_is_registered(spark):
     names = entry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
