@@ -33,6 +33,8 @@ from .util import Scratch, filesystem, map_arrow
 
 #: Pivots, vectors that they are chosen from, queries searched together, candidates of a block, candidates evaluated first.
 PIVOTS, POOL, QUERIES, CANDIDATES, STEP = 128, 1024, 256, 4096, 128
+#: One candidate of so many is in the sample that says whether bounds are worth it, and the share that says no.
+SAMPLE, DENSE = 16, 0.75
 #: Blocks of a file of the table, and the number of tasks up to which a task makes one block.
 BLOCKS, TASKS = 64, 200
 #: Components from which on distances are no use as bounds: single precision runs out.
@@ -134,25 +136,51 @@ class Queries:
             np.maximum(low, np.maximum(q - heads["hi"][None, :, p], heads["lo"][None, :, p] - q), out=low)
         return self._upper(low, heads["norm"])
 
+    def _pairs(self, some: np.ndarray, c: Block, at: slice) -> np.ndarray:
+        """What the products of some queries with the block's candidates ``at`` may reach at most."""
+        norms = c.norms[at]
+        if not len(self.shape.pivots):
+            return np.full((len(some), len(norms)), np.inf)
+        low = np.zeros((len(some), len(norms)), np.float32)
+        gap = np.empty_like(low)
+        for p in range(len(self.shape.pivots)):
+            np.subtract(self.block.far[some, p, None], c.far[None, at, p], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(low, gap, out=low)
+        low -= np.float32(1e-5) * (np.float32(1) + self.block.far.max(initial=0) + c.far.max(initial=0))
+        np.maximum(low, 0, out=low)
+        both = self.block.norms[some, None] + norms[None, :]
+        return (both - low.astype(np.float64) ** 2) / 2 + 1 + 1e-5 * both
+
     def meet(self, c: Block, live: np.ndarray) -> None:
-        """Evaluate what the block has for the queries in ``live``, each in the order of its bounds."""
-        for a in range(0, len(live), 32):
-            some = live[a : a + 32]
-            low = np.zeros((len(some), len(c.ids)), np.float32)
-            gap = np.empty_like(low)
-            for p in range(len(self.shape.pivots)):
-                np.subtract(self.block.far[some, p, None], c.far[None, :, p], out=gap)
-                np.abs(gap, out=gap)
-                np.maximum(low, gap, out=low)
-            if len(self.shape.pivots):
-                low -= np.float32(1e-5) * (np.float32(1) + self.block.far.max(initial=0) + c.far.max(initial=0))
-                np.maximum(low, 0, out=low)
-                both = self.block.norms[some, None] + c.norms[None, :]
-                upper = (both - low.astype(np.float64) ** 2) / 2 + 1 + 1e-5 * both
-            else:
-                upper = np.full(low.shape, np.inf)
-            for i, q in enumerate(some):
-                self._one(int(q), c, upper[i])
+        """Evaluate what the block has for the queries in ``live``, each in the order of its bounds.
+
+        Where a query has its k results and a sample of the block shows that it needs DENSE of the candidates anyway,
+        bounds cost more than they save: the block's products are made at once.
+        """
+        for a in range(0, len(live), 64):
+            some = live[a : a + 64]
+            ready = self.shape.plain & (self.kth[some] > -np.inf)
+            dense = ready.copy()
+            if ready.any():
+                dense[ready] = (self._pairs(some[ready], c, slice(None, None, SAMPLE)) >= self.kth[some[ready], None]).mean(1) >= DENSE
+            if dense.any():
+                self._all(some[dense], c)
+            if not dense.all():
+                some = some[~dense]
+                for q, upper in zip(some, self._pairs(some, c, slice(None)), strict=True):
+                    self._one(int(q), c, upper)
+
+    def _all(self, some: np.ndarray, c: Block) -> None:
+        scores = np.rint(self.block.m[some] @ c.m.T)
+        self.evaluated += scores.size
+        at, col = np.nonzero(scores >= self.kth[some, None])
+        ends = np.searchsorted(at, np.arange(len(some) + 1))
+        for i, q in enumerate(some):
+            now = col[ends[i] : ends[i + 1]]
+            now = now[c.rows[now] != self.block.rows[q]]
+            if len(now):
+                self._take(int(q), c, now, scores[i, now].astype(np.int64))
 
     def _one(self, q: int, c: Block, upper: np.ndarray) -> None:
         left = np.flatnonzero((upper >= self.kth[q]) & (c.rows != self.block.rows[q]))
@@ -167,17 +195,21 @@ class Queries:
             self.evaluated += len(now)
             scores = self.shape.products(c.m[now], self.block.m[q])
             good = scores >= self.kth[q]
-            if good.any():
-                now, scores = now[good], scores[good]
-                if self.shape.plain and len(now) > 2 * self.k:
-                    top = np.lexsort((c.rows[now], c.ids[now], -scores))[: self.k]
-                    now, scores = now[top], scores[top]
-                more = [(-int(s), int(i), int(r)) for s, i, r in zip(scores, c.ids[now], c.rows[now], strict=True)]
-                self.found[q] = sorted(self.found[q] + more)[: self.k]
-                if len(self.found[q]) == self.k:
-                    worst = -self.found[q][-1][0]
-                    self.kth[q] = worst if abs(worst) < 2**53 else np.nextafter(float(worst), -np.inf)
-                    left = left[upper[left] >= self.kth[q]]
+            if good.any() and self._take(q, c, now[good], scores[good]):
+                left = left[upper[left] >= self.kth[q]]
+
+    def _take(self, q: int, c: Block, now: np.ndarray, scores: np.ndarray) -> bool:
+        """Add candidates that reach the k-th score; whether there are k now."""
+        if self.shape.plain and len(now) > 2 * self.k:
+            top = np.lexsort((c.rows[now], c.ids[now], -scores))[: self.k]
+            now, scores = now[top], scores[top]
+        more = [(-int(s), int(i), int(r)) for s, i, r in zip(scores, c.ids[now], c.rows[now], strict=True)]
+        self.found[q] = sorted(self.found[q] + more)[: self.k]
+        if len(self.found[q]) < self.k:
+            return False
+        worst = -self.found[q][-1][0]
+        self.kth[q] = worst if abs(worst) < 2**53 else np.nextafter(float(worst), -np.inf)
+        return True
 
 
 def search_files(queries: Queries, heads: np.ndarray, blocks_of: Callable[[int], tuple[np.ndarray, Callable[[int], Block]]]) -> None:
