@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
@@ -13,30 +14,112 @@ from ..functions.scalars import uniform
 POISSON_1 = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
+#: The same as the first 32 bits of a hash in hex: a draw counts one for each bound that its hex digits reach.
+POISSON_HEX = tuple(f"{math.ceil(p * 2**32):08x}" for p in POISSON_1)
+#: Draws that one SHA-256 gives.
+DRAWS = 8
+
+
 def poisson_weight(u: Column) -> Column:
     """A Poisson(1) count from a uniform number: how often a row is drawn in a replicate."""
     return sum(((u >= p).cast("int") for p in POISSON_1), F.lit(0))
 
 
 def replicates(df: DataFrame, n: int, seed: str, key: str) -> DataFrame:
-    """df with replicate 1..n and a weight; rows drawn 0 times are left out."""
-    ids = df.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("replicate"))
-    x = df.crossJoin(F.broadcast(ids)).withColumn("weight", poisson_weight(uniform(seed, "replicate", key)))
-    return x.where("weight > 0")
-
-
-def delta_bootstrap(df: DataFrame, delta: str, n: int, seed: str, key: str) -> DataFrame:
-    """Replicate sums of a column of -1, 0 and 1; only rows other than 0 take part."""
-    r = replicates(df.where(F.col(delta) != 0).select(key, delta), n, seed, key)
-    return r.groupBy("replicate").agg(F.sum(F.col(delta) * F.col("weight")).cast("long").alias("total"))
-
-
-def weighted_average_precision(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", weight: str = "weight") -> DataFrame:
-    """Average precision of weighted rows, group by group (a group is a replicate of one model)."""
-    steps = df.groupBy(*by, score).agg(F.sum(weight).alias("n"), F.sum(F.col(weight) * F.col(label)).alias("tp"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = steps.withColumn("cn", F.sum("n").over(w)).withColumn("ct", F.sum("tp").over(w))
-    return c.groupBy(*by).agg((F.sum(F.col("tp") * F.col("ct") / F.col("cn")) / F.nullif(F.sum("tp"), F.lit(0))).alias("average_precision"))
+    """df with replicate 1..n and a weight; rows drawn 0 times are left out. One hash gives a row's draws of eight replicates."""
+    per = df.sparkSession.range(-(-n // DRAWS)).select(F.col("id").cast("int").alias("turn"))
+    text = F.concat_ws("|", F.lit(seed), F.col("turn").cast("string"), F.col(key).cast("string"))
+    # A row becomes n of them, so they are dealt out first; the generators keep hash and draws columns of their own, so that
+    # neither is computed once for each use.
+    wide = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(per))
+    hashed = wide.select(*df.columns, "turn", F.explode(F.array(F.sha2(text, 256))).alias("hash"))
+    draws = F.array(*(F.substring("hash", 8 * i + 1, 8) for i in range(DRAWS)))
+    drawn = hashed.select(*df.columns, "turn", F.posexplode(draws).alias("nth", "draw")).where(F.col("draw") >= POISSON_HEX[0])
+    weight = F.lit(len(POISSON_HEX))
+    for i, bound in reversed(list(enumerate(POISSON_HEX[1:], 1))):
+        weight = F.when(F.col("draw") < bound, i).otherwise(weight)
+    return drawn.select(*df.columns, (F.col("turn") * DRAWS + F.col("nth") + 1).alias("replicate"), weight.alias("weight")).where(F.col("replicate") <= n)
+
+
+def poisson_table(spark: SparkSession, mean: int) -> DataFrame:
+    """k and cdf of a Poisson distribution over all k that a 32-bit draw can meet: some 20 square roots of the mean."""
+    if mean <= 0:
+        return spark.createDataFrame([(0, 1.0)], "k long, cdf double")
+    reach = 12 * math.isqrt(mean) + 40
+    k = F.col("id").cast("double")
+    # ln k! by Stirling's series at k + 8, less the factors in between.
+    z = k + 9
+    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    log_factorial = series - sum((F.ln(k + i) for i in range(1, 9)), F.lit(0.0))
+    rows = spark.range(max(0, mean - reach), mean + reach + 1).select(F.col("id").alias("k"), F.exp(k * math.log(mean) - mean - log_factorial).alias("p"))
+    return rows.select("k", F.sum("p").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).alias("cdf"))
+
+
+def poisson_draws(spark: SparkSession, mean: int, n: int, seed: str) -> DataFrame:
+    """replicate 1..n and a Poisson count: the least k whose cdf exceeds the replicate's uniform number. Draws and table (both bounded) are merged in order."""
+    u = spark.range(1, n + 1).select(F.col("id").cast("int").alias("replicate"), uniform(seed, "id").alias("at"), F.lit(None).cast("long").alias("k"))
+    t = poisson_table(spark, mean).select(F.lit(None).cast("int").alias("replicate"), F.col("cdf").alias("at"), F.col("k"))
+    # Table rows come before draws of the same value, as a cdf must exceed the draw.
+    before = Window.orderBy("at", F.col("replicate").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    least = max(0, mean - 12 * math.isqrt(mean) - 40) if mean > 0 else 0
+    merged = u.unionByName(t).withColumn("count", F.coalesce(F.max("k").over(before) + 1, F.lit(least)))
+    return merged.where("replicate is not null").select("replicate", F.when(F.lit(mean > 0), F.col("count")).otherwise(F.lit(0)).cast("long").alias("count"))
+
+
+def delta_bootstrap(df: DataFrame, delta: str, n: int, seed: str) -> DataFrame:
+    """Replicate totals of a column of -1, 0 and 1 from its counts (two numbers come to the driver).
+
+    c rows drawn Poisson(1) times each are together drawn Poisson(c) times, so no row meets a replicate.
+    """
+    less, more = df.agg(F.count_if(F.col(delta) == -1), F.count_if(F.col(delta) == 1)).first()
+    a = poisson_draws(df.sparkSession, more, n, f"{seed}+")
+    b = poisson_draws(df.sparkSession, less, n, f"{seed}-").withColumnRenamed("count", "less")
+    return a.join(b, "replicate").select("replicate", (F.col("count") - F.col("less")).alias("total"))
+
+
+#: Buckets of a replicate's scores in which running sums are taken.
+SCORE_BUCKETS = 32
+
+
+#: Buckets of scores in which the step of a row is looked for.
+STEP_BUCKETS = 2048
+
+
+def positive_steps(df: DataFrame, score: str, label: str = "label") -> DataFrame:
+    """df with its score lowered to the largest score of a positive at or below it, NULL where there is none.
+
+    Average precision looks at the scores of positives only, so it is the same on these, and rows of one step can be
+    added up before anything is ordered. Two steps: inside buckets of scores, then the largest of the buckets below.
+    """
+    bucket = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * STEP_BUCKETS).cast("int")
+    hit = F.when(F.col(label) == 1, F.col(score))
+    x = df.withColumn("bucket_", bucket)
+    below = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy("bucket_").agg(F.max(hit).alias("top_")).select("bucket_", F.max("top_").over(below).alias("below_"))
+    inside = Window.partitionBy("bucket_").orderBy(score).rangeBetween(Window.unboundedPreceding, 0)
+    run = x.withColumn("inside_", F.max(hit).over(inside)).join(F.broadcast(base), "bucket_")
+    return run.withColumn(score, F.coalesce("inside_", "below_")).select(*df.columns)
+
+
+def stratified_average_precision(df: DataFrame, by: Sequence[str], positives: int, negatives: int, score: str = "score", label: str = "label", weight: str = "weight") -> DataFrame:
+    """Average precision of weighted rows, group by group (a group is a replicate of one model).
+
+    Weights of each label are scaled to the rows it has, as if positives and negatives had been drawn apart. Running
+    sums go in two steps over score buckets; rows of one score count together.
+    """
+    steps = df.groupBy(*by, score).agg(F.sum(F.col(weight) * F.col(label)).alias("tp"), F.sum(F.col(weight) * (1 - F.col(label))).alias("fp"))
+    # Rows without a score lie below all others.
+    steps = steps.withColumn("bucket", F.coalesce(F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * SCORE_BUCKETS).cast("int"), F.lit(-1)))
+    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    run = steps.withColumns({"ct": F.sum("tp").over(inside), "cf": F.sum("fp").over(inside)})
+    sums = steps.groupBy(*by, "bucket").agg(F.sum("tp").alias("bt"), F.sum("fp").alias("bf"))
+    above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    base = sums.select(*by, "bucket", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"above_{c}") for c in ("bt", "bf")), *(F.sum(c).over(whole).alias(f"all_{c}") for c in ("bt", "bf")))
+    c = run.where("tp > 0").join(base, [*by, "bucket"])
+    hits = (F.col("above_bt") + F.col("ct")) * (positives / F.col("all_bt"))
+    misses = (F.col("above_bf") + F.col("cf")) * (negatives / F.greatest(F.col("all_bf"), F.lit(1)))
+    return c.groupBy(*by).agg(F.sum(F.col("tp") / F.col("all_bt") * hits / (hits + misses)).alias("average_precision"))
 
 
 def stratified(df: DataFrame, strata: Sequence[str], per: int, seed: str, key: str) -> DataFrame:
@@ -46,9 +129,18 @@ def stratified(df: DataFrame, strata: Sequence[str], per: int, seed: str, key: s
     return df.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= per).drop("draw")
 
 
-def fingerprint(df: DataFrame, key: str, value: str, places: int = 6) -> DataFrame:
-    """One digest of rounded values in key order: digests of blocks of 1,024 keys, then a digest of those, so no task holds all values."""
+def fingerprint(df: DataFrame, key: str, value: str, places: int = 6, width: int = 1024) -> DataFrame:
+    """One digest of rounded values in key order: digests of blocks of ``width`` keys, digests of as many of those, and so on up to one.
+
+    No task holds more than ``width`` digests of a group, however many rows there are.
+    """
     text = F.concat_ws(":", F.col(key).cast("string"), F.format_string(f"%.{places}f", F.round(value, places)))
-    blocks = df.groupBy(F.floor(F.col(key) / 1024).alias("block")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), text.alias("t")))), lambda x: x["t"]), ","), 256).alias("d"), F.count("*").alias("n"))
-    total = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), ",")
-    return blocks.agg(F.sum("n").alias("rows"), F.sha2(total, 256).alias("fingerprint"))
+    joined = lambda k, t: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), t.alias("t")))), lambda x: x["t"]), ","), 256)
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    levels = df.groupBy(F.floor(F.col(key) / width).alias("block")).agg(joined(F.col(key), text).alias("d"), F.count("*").alias("n"))
+    low, high = (low or 0) // width, (high or 0) // width
+    while low != high:
+        up = F.floor(F.col("block") / width).alias("block")
+        levels = levels.groupBy(up).agg(joined(F.col("block"), F.col("d")).alias("d"), F.sum("n").alias("n"))
+        low, high = low // width, high // width
+    return levels.select(F.col("n").alias("rows"), F.col("d").alias("fingerprint"))

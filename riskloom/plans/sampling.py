@@ -4,39 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import queue, resample
-from ..sources.tables import APPS_SQL, applications, scored
+from ..sources.tables import APPS_SQL, applications
 from .queues import HEAD5
 from .registry import query
 
 #: Replicates of the delta and of the lift: bounds at 2.5 % then rest on 125 and on 25 draws beyond them.
 DELTA_N, LIFT_N, SEED = 5000, 1000, "boot"
-_U = "CAST(CAST('0x' || substr(sha256('boot|' || CAST(replicate AS VARCHAR) || '|' || CAST(pos AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296e0"
-_W = "(" + " + ".join(f"CASE WHEN {_U} >= {p!r} THEN 1 ELSE 0 END" for p in resample.POISSON_1) + ")"
+#: Eight draws of a row from one hash, each counted against the bounds of the Poisson(1) distribution.
+_HASH = f"sha256('{SEED}|' || CAST((replicate - 1) // 8 AS VARCHAR) || '|' || CAST(pos AS VARCHAR))"
+_DRAW = f"substr({_HASH}, CAST(8 * ((replicate - 1) % 8) + 1 AS BIGINT), 8)"
+_W = "(" + " + ".join(f"CASE WHEN draw >= '{h}' THEN 1 ELSE 0 END" for h in resample.POISSON_HEX) + ")"
 _REPS = lambda n: f"(SELECT CAST(unnest(range(1, {n} + 1)) AS INTEGER) AS replicate)"
+#: The draws of a Poisson count by its distribution, as the operator has them.
+_POISSON = lambda name, mean, sign: f"""{name}_m AS (SELECT CAST({mean} AS DOUBLE) AS m), {name}_t AS (SELECT k, sum(exp(k * ln(m) - m - lgamma(k + 1))) OVER (ORDER BY k) AS cdf
+FROM (SELECT m, unnest(range(greatest(0, CAST(m - 12 * floor(sqrt(m)) - 40 AS BIGINT)), CAST(m + 12 * floor(sqrt(m)) + 41 AS BIGINT))) AS k FROM {name}_m WHERE m > 0)),
+{name}_u AS (SELECT replicate, CAST(CAST('0x' || substr(sha256('{SEED}{sign}|' || CAST(replicate AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296e0 AS u FROM {_REPS(DELTA_N)}),
+{name} AS (SELECT replicate, CASE WHEN (SELECT m FROM {name}_m) > 0 THEN coalesce(max(k) + 1, (SELECT min(k) FROM {name}_t)) ELSE 0 END AS times FROM {name}_u LEFT JOIN {name}_t ON cdf <= u GROUP BY replicate)"""
 
 
 @query(f"""WITH {APPS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY challenger DESC, pos) AS ra, row_number() OVER (PARTITION BY period ORDER BY incumbent DESC, pos) AS rb, count(*) OVER (PARTITION BY period) AS n FROM apps),
-d AS (SELECT pos, label * (CAST(ra <= {HEAD5} AS INTEGER) - CAST(rb <= {HEAD5} AS INTEGER)) AS d FROM r), b AS (SELECT replicate, CAST(sum(d * {_W}) AS BIGINT) AS total FROM d, {_REPS(DELTA_N)} WHERE d <> 0 GROUP BY 1),
+d AS (SELECT pos, label * (CAST(ra <= {HEAD5} AS INTEGER) - CAST(rb <= {HEAD5} AS INTEGER)) AS d FROM r), {_POISSON("more", "(SELECT count(*) FROM d WHERE d = 1)", "+")}, {_POISSON("less", "(SELECT count(*) FROM d WHERE d = -1)", "-")},
+b AS (SELECT more.times - less.times AS total FROM more JOIN less USING (replicate)),
 q AS (SELECT CAST(floor(quantile_cont(total, 25e-3)) AS BIGINT) AS lo, CAST(ceil(quantile_cont(total, 975e-3)) AS BIGINT) AS hi FROM b) SELECT (SELECT CAST(sum(d) AS BIGINT) FROM d) AS delta, lo, hi FROM q""")
 def bootstrap_delta(spark, sf):
     a = queue.ranked(applications(spark, sf), ["period"], "challenger").withColumnRenamed("rank", "ra").drop("group_size")
     r = queue.ranked(a, ["period"], "incumbent")
     h = queue.headcount(F.col("group_size"), 0.05)
     d = r.select("pos", (F.col("label") * ((F.col("ra") <= h).cast("int") - (F.col("rank") <= h).cast("int"))).alias("d"))
-    b = resample.delta_bootstrap(d, "d", DELTA_N, SEED, "pos")
+    d = cut(d.where("d <> 0"))
+    b = resample.delta_bootstrap(d, "d", DELTA_N, SEED)
     bounds = b.agg(F.floor(F.percentile("total", 0.025)).alias("lo"), F.ceil(F.percentile("total", 0.975)).alias("hi"))
-    return d.agg(F.sum("d").alias("delta")).crossJoin(bounds)
+    return d.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("delta")).crossJoin(bounds)
 
 
-@query(f"""WITH {APPS_SQL}, w AS (SELECT replicate, pos, label, challenger, incumbent, {_W} AS weight FROM apps, {_REPS(LIFT_N)} WHERE period = 7), s AS (SELECT replicate, 'challenger' AS model, challenger AS score, label, weight FROM w WHERE weight > 0 UNION ALL SELECT replicate, 'incumbent', incumbent, label, weight FROM w WHERE weight > 0),
-t AS (SELECT replicate, model, score, sum(weight) AS n, sum(weight * label) AS tp FROM s GROUP BY ALL), c AS (SELECT *, sum(n) OVER k AS cn, sum(tp) OVER k AS ct FROM t WINDOW k AS (PARTITION BY replicate, model ORDER BY score DESC)),
-a AS (SELECT replicate, model, sum(CAST(tp AS DOUBLE) * CAST(ct AS DOUBLE) / CAST(cn AS DOUBLE)) / CAST(sum(tp) AS DOUBLE) AS ap FROM c GROUP BY ALL), l AS (SELECT replicate, max(ap) FILTER (WHERE model = 'challenger') - max(ap) FILTER (WHERE model = 'incumbent') AS lift FROM a GROUP BY 1)
+@query(f"""WITH {APPS_SQL}, h AS (SELECT replicate, pos, label, challenger, incumbent, {_DRAW} AS draw FROM apps, {_REPS(LIFT_N)} WHERE period = 7), w AS (SELECT *, {_W} AS weight FROM h),
+s AS (SELECT replicate, 'challenger' AS model, challenger AS score, label, weight FROM w WHERE weight > 0 UNION ALL SELECT replicate, 'incumbent', incumbent, label, weight FROM w WHERE weight > 0),
+z AS (SELECT sum(label) AS positives, count(*) - sum(label) AS negatives FROM apps WHERE period = 7),
+t AS (SELECT replicate, model, score, sum(weight * label) AS tp, sum(weight * (1 - label)) AS fp FROM s GROUP BY ALL),
+c AS (SELECT *, sum(tp) OVER k AS ct, sum(fp) OVER k AS cf, sum(tp) OVER g AS pt, sum(fp) OVER g AS pf FROM t WINDOW k AS (PARTITION BY replicate, model ORDER BY score DESC), g AS (PARTITION BY replicate, model)),
+a AS (SELECT replicate, model, sum(tp / pt * (ct * (positives / pt)) / (ct * (positives / pt) + cf * (negatives / greatest(pf, 1)))) AS ap FROM c, z WHERE tp > 0 GROUP BY ALL),
+l AS (SELECT replicate, max(ap) FILTER (WHERE model = 'challenger') - max(ap) FILTER (WHERE model = 'incumbent') AS lift FROM a GROUP BY 1)
 SELECT count(*) AS replicates, round(avg(lift), 6) AS lift, round(quantile_cont(lift, 25e-3), 6) AS lo, round(quantile_cont(lift, 975e-3), 6) AS hi FROM l""")
 def bootstrap_ap_lift(spark, sf):
-    """Paired: both models see a replicate's rows with the same weights."""
-    s = scored(applications(spark, sf).where("period = 7"))
-    ap = resample.weighted_average_precision(resample.replicates(s, LIFT_N, SEED, "pos"), ["replicate", "model"])
+    """Paired and stratified: both models see a replicate's rows with the same weights, positives and negatives keep their totals."""
+    a = cut(applications(spark, sf).where("period = 7").select("pos", "label", "challenger", "incumbent"))
+    positives, rows = a.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    steps = cut(resample.positive_steps(resample.positive_steps(a, "challenger"), "incumbent"))
+    drawn = resample.replicates(steps, LIFT_N, SEED, "pos").select("replicate", "label", "weight", "challenger", "incumbent")
+    s = drawn.unpivot(["replicate", "label", "weight"], ["challenger", "incumbent"], "model", "score")
+    ap = resample.stratified_average_precision(s, ["replicate", "model"], int(positives), int(rows - positives))
     of = lambda m: F.max(F.when(F.col("model") == m, F.col("average_precision")))
     lift = ap.groupBy("replicate").agg((of("challenger") - of("incumbent")).alias("lift"))
     return lift.agg(F.count("*").alias("replicates"), F.round(F.avg("lift"), 6).alias("lift"), F.round(F.percentile("lift", 0.025), 6).alias("lo"), F.round(F.percentile("lift", 0.975), 6).alias("hi"))
@@ -47,6 +65,6 @@ def stratified_sample(spark, sf):
     return resample.stratified(applications(spark, sf).select("pos", "period", "label"), ["period", "label"], 50, "sample", "pos")
 
 
-@query(f"""WITH {APPS_SQL}, b AS (SELECT pos // 1024 AS block, count(*) AS n, sha256(string_agg(CAST(pos AS VARCHAR) || ':' || printf('%.6f', round(challenger, 6)), ',' ORDER BY pos)) AS d FROM apps GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(d, ',' ORDER BY block)) AS fingerprint FROM b""")
+@query(f"""WITH {APPS_SQL}, b AS (SELECT pos // 1024 AS block, count(*) AS n, sha256(string_agg(CAST(pos AS VARCHAR) || ':' || printf('%.6f', round(challenger, 6)), ',' ORDER BY pos)) AS d FROM apps GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, ',' ORDER BY block)) END AS fingerprint FROM b""")
 def behaviour_fingerprint(spark, sf):
     return resample.fingerprint(applications(spark, sf), "pos", "challenger")
