@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import expit, logit
+from .quantiles import exact_quantiles
 
-#: Share of labels that have arrived by age in periods; between the knots it is linear, after the last it stays.
+#: Share of labels that have arrived by age in periods; between the knots it is linear, after the last it stays.
 MATURITY = {0: 0.0, 1: 0.35, 2: 0.60, 3: 0.78, 4: 0.86, 6: 0.92, 12: 1.0}
-#: Share of outcomes that are never labelled.
+#: Fixed: share of outcomes that are never labelled.
 NEVER = 0.15
 TRIGGER = 0.10
 
 
 def score_reference(df: DataFrame, value: str, fit: Column) -> DataFrame:
     """One row: median and scale (population deviation, floored) of the fitting rows."""
-    return df.where(fit).agg(F.percentile(value, 0.5).alias("median"), F.greatest(F.stddev_pop(value), F.lit(1e-9)).alias("scale"))
+    rows = df.where(fit)
+    spread = rows.agg(F.greatest(F.stddev_pop(value), F.lit(1e-9)).alias("scale"))
+    return exact_quantiles(rows, [], value, [0.5]).select(F.col("q0").alias("median")).crossJoin(F.broadcast(spread))
 
 
 def score_map(value: Column, median: Column, scale: Column) -> Column:
@@ -48,6 +51,33 @@ def label_latency(priors: DataFrame, lags: Sequence[int], period: str = "period"
     return x.withColumns({"fires": F.abs("observed_move") > TRIGGER, "agrees": (F.abs("observed_move") > TRIGGER) == (F.abs("true_move") > TRIGGER)}).select(period, "lag", "true_move", "observed_move", "bias", "fires", "agrees")
 
 
+def corrected_latency(priors: DataFrame, lags: Sequence[int], period: str = "period", prior: str = "prior") -> DataFrame:
+    """The trigger with observed rates divided by the maturity that the curve gives them, lag by lag.
+
+    As exact as the curve is: where it holds, the corrected move is the true one. NULL where nothing has matured.
+    """
+    grid = priors.sparkSession.createDataFrame([(x,) for x in lags], "lag int")
+    w = Window.partitionBy("lag").orderBy(period)
+    x = priors.crossJoin(F.broadcast(grid)).withColumn("before", F.lag(prior).over(w)).where(F.col("before").isNotNull())
+    share = lambda age: maturity(age) * (1 - NEVER)
+    back = lambda p, age: logit(p * share(age) / F.nullif(share(age), F.lit(0.0)))
+    true = logit(F.col(prior)) - logit(F.col("before"))
+    moved = F.when(maturity(F.col("lag")) > 0, back(F.col(prior), F.col("lag")) - back(F.col("before"), F.col("lag") + 1))
+    x = x.withColumns({"true_move": F.round(true, 6), "corrected_move": F.round(moved, 6)})
+    return x.withColumn("agrees", (F.abs("corrected_move") > TRIGGER) == (F.abs("true_move") > TRIGGER)).select(period, "lag", "true_move", "corrected_move", "agrees")
+
+
+def lag_summary(latency: DataFrame) -> DataFrame:
+    """By lag: decisions that can be made, how many agree with the true priors, the bias, and whether it is below the trigger."""
+    g = latency.groupBy("lag").agg(F.count("observed_move").alias("decisions"), F.count_if(F.col("agrees")).alias("agreeing"), F.max("bias").alias("bias"))
+    return g.withColumn("usable", F.coalesce(F.abs("bias") < TRIGGER, F.lit(False)))
+
+
+def minimum_usable_lag(summary: DataFrame) -> DataFrame:
+    """One row: the least lag whose bias stays below the trigger (NULL: none)."""
+    return summary.agg(F.min(F.when(F.col("usable"), F.col("lag"))).alias("minimum_usable_lag"))
+
+
 def prior_forecasts(priors: DataFrame, period: str = "period", prior: str = "prior") -> DataFrame:
     """One-step-ahead forecasts on the logit scale by three rules: carry, and last + damping * slope of the last three."""
     w = Window.orderBy(period)  # a row for each period

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.scalars import ratio
 from .decide import utility
+from .quantiles import exact_quantiles
 
 #: (exposure, review cost, friction cost) at the low and the high end of a value range.
 LOW, HIGH = (5000.0, 27.0, 300.0), (20000.0, 7.0, 0.0)
@@ -50,6 +51,6 @@ def run_id(*parts: Column | str) -> Column:
 
 def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Exact p50, p95, p99 and maximum."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = df.groupBy(*by).agg(F.count("*").alias("samples"), q.alias("q"), F.max(value).alias("worst"))
-    return rows.select(*by, "samples", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))), F.round("worst", 6).alias("worst"))
+    q = exact_quantiles(df, by, value, [0.5, 0.95, 0.99])
+    worst = df.groupBy(*by).agg(F.count("*").alias("samples"), F.max(value).alias("worst"))
+    return worst.join(q.drop("n"), by).select(*by, "samples", *(F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))), F.round("worst", 6).alias("worst"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .queue import RULES, headcount
+from ..functions.lineage import cut
+from .queue import RANK_BUCKETS, RULES, headcount
 
-#: Economic assumptions that are varied together.
+#: Economic assumptions that are varied together (fixed values).
 EXPOSURE = (5000.0, 8900.0, 12500.0, 16900.0, 20000.0)
 REVIEW = (7.0, 17.0, 27.0)
 FRICTION = (0.0, 50.0, 150.0, 300.0)
@@ -43,30 +44,62 @@ def compare(pairs: DataFrame, assumptions: DataFrame, keys: Sequence[str], cell:
 
 
 def policy_grid(flagged: DataFrame, models: Sequence[str], capacities: Sequence[float], by: Sequence[str] = ("period",), tie: str = "pos", label: str = "label") -> DataFrame:
-    """Counts of every (model, capacity, subset of rules): each row is ranked once for each model and subset; capacities are read off that ranking."""
+    """Counts of every (model, capacity, subset of rules), from one histogram of scores for each model and set of fired rules.
+
+    A subset puts the rows on which one of its rules fired first; the rest of the queue goes by score. The histogram says in
+    which score bucket each queue ends, so only rows of those buckets are ordered; no row is copied for every subset.
+    """
     spark = flagged.sparkSession
+    bits = sum((F.when(F.col(r), F.shiftleft(F.lit(1), i)).otherwise(0) for i, r in enumerate(RULES)), F.lit(0)).cast("int")
+    long = flagged.select(*by, tie, label, bits.alias("bits"), *models).unpivot([*by, tie, label, "bits"], list(models), "model", "score")
+    bucket = F.coalesce(F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * RANK_BUCKETS).cast("int"), F.lit(-1))
+    long = long.withColumn("bucket", bucket)
+    group = [*by, "model", "mask"]
     masks = spark.range(1 << len(RULES)).select(F.col("id").cast("int").alias("mask"))
-    long = flagged.select(*by, tie, label, *RULES, *models).unpivot([*by, tie, label, *RULES], list(models), "model", "score").crossJoin(F.broadcast(masks))
-    bits = sum((F.when(F.col(r), F.shiftleft(F.lit(1), i)).otherwise(0) for i, r in enumerate(RULES)), F.lit(0))
-    from .queue import ranked
-
-    r = ranked(long.withColumn("forced", bits.bitwiseAND(F.col("mask")) != 0), [*by, "model", "mask"], "score", tie, "forced")
-    # Totals of forced rows come from the same pass; only ranks within the largest capacity or forced ones matter.
     caps = spark.createDataFrame([(float(c),) for c in capacities], "capacity double")
-    keep = r.where(F.col("forced") | (F.col("rank") <= headcount(F.col("group_size"), max(capacities))))
-    x = keep.crossJoin(F.broadcast(caps))
-    review = F.col("rank") <= headcount(F.col("group_size"), F.col("capacity"))
-    y = F.col(label)
-    return x.groupBy(*by, "model", "mask", "capacity").agg(
-        F.count_if(review).alias("queue_size"),
-        F.count_if(F.col("forced") & ~review).alias("overflow"),
-        F.sum(F.when(review | F.col("forced"), y).otherwise(0)).cast("long").alias("caught"),
-        F.sum(F.when(review | F.col("forced"), 1 - y).otherwise(0)).cast("long").alias("false_positives"),
+
+    hist = long.groupBy(*by, "model", "bucket", "bits").agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("hits"))
+    each = hist.crossJoin(F.broadcast(masks)).withColumn("forced", F.col("bits").bitwiseAND(F.col("mask")) != 0)
+    rest = lambda c: F.sum(F.when(~F.col("forced"), F.col(c)).otherwise(0))
+    steps = each.groupBy(*group, "bucket").agg(rest("n").alias("n"), rest("hits").alias("hits"), F.sum("n").alias("all_n"), F.sum("hits").alias("all_hits"))
+    whole, down = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns(
+        {
+            "upto": F.sum("n").over(down), "hits_upto": F.sum("hits").over(down), "size": F.sum("all_n").over(whole),
+            "forced_n": F.sum(F.col("all_n") - F.col("n")).over(whole), "forced_hits": F.sum(F.col("all_hits") - F.col("hits")).over(whole), "lowest": F.min("bucket").over(whole),
+        }
     )
+    # Places that are left for other rows; where there are none, the lowest bucket stands for the queue.
+    places = F.greatest(headcount(F.col("size"), F.col("capacity")) - F.col("forced_n"), F.lit(0))
+    cells = steps.crossJoin(F.broadcast(caps)).withColumn("places", places)
+    ends = cells.where(((F.col("places") > 0) & (F.col("upto") - F.col("n") < F.col("places")) & (F.col("places") <= F.col("upto"))) | ((F.col("places") == 0) & (F.col("bucket") == F.col("lowest"))))
+    ends = cut(ends.select(*group, "capacity", "bucket", "size", "forced_n", "forced_hits", "places", (F.col("places") - F.col("upto") + F.col("n")).alias("taken"), (F.col("hits_upto") - F.col("hits")).alias("hits_above")))
+
+    wanted = ends.where("places > 0").groupBy(*group, "bucket").agg(F.max("taken").alias("most"))
+    inside = long.join(wanted, [*by, "model", "bucket"]).where(F.col("bits").bitwiseAND(F.col("mask")) == 0)
+    order = Window.partitionBy(*group, "bucket").orderBy(F.desc("score"), F.asc(tie))
+    inside = inside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("most"))
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.select(*group, "bucket", F.col("place").cast("long").alias("taken"), F.sum(label).over(run).cast("long").alias("hits_inside"))
+    x = ends.join(inside, [*group, "bucket", "taken"], "left")
+    reviewed_forced = F.least("forced_n", headcount(F.col("size"), F.col("capacity")))
+    caught = F.col("forced_hits") + F.when(F.col("places") > 0, F.col("hits_above") + F.col("hits_inside")).otherwise(0)
+    acted = F.col("forced_n") + F.col("places")
+    return x.select(
+        *group, "capacity", (reviewed_forced + F.col("places")).alias("queue_size"), (F.col("forced_n") - reviewed_forced).alias("overflow"),
+        caught.cast("long").alias("caught"), (acted - caught).cast("long").alias("false_positives"),
+    )
+
+
+#: Policies that may be compared pair by pair.
+POLICIES = 20_000
 
 
 def pareto(policies: DataFrame, key: str, more: Sequence[str], less: Sequence[str]) -> DataFrame:
-    """Policies that no other dominates: as good everywhere and better somewhere. For policy tables (some thousands of rows)."""
+    """Policies that no other dominates: as good everywhere and better somewhere. For policy tables of up to POLICIES rows; more are an error."""
+    policies = cut(policies)
+    if policies.count() > POLICIES:
+        raise ValueError(f"more than {POLICIES} policies are no policy table")
     other = policies.select(*(F.col(c).alias(f"o_{c}") for c in [*more, *less]))
     good = [F.col(f"o_{c}") >= F.col(c) for c in more] + [F.col(f"o_{c}") <= F.col(c) for c in less]
     strict = [F.col(f"o_{c}") > F.col(c) for c in more] + [F.col(f"o_{c}") < F.col(c) for c in less]

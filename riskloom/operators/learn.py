@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import logit
+from ..functions.lineage import cut
+from ..functions.scalars import expit, logit, uniform
 from . import metrics
+from .quantiles import exact_quantiles
+from .queue import ranked
 
 #: Expanding folds: train on periods up to the first, test on the second.
 ROLLING = ((2, 3), (3, 4), (4, 5))
@@ -64,6 +69,74 @@ def isotonic(df: DataFrame, score: str = "score", label: str = "label"):
     return IsotonicRegression(featuresCol="features", labelCol="label").fit(x)
 
 
+def calibrator(df: DataFrame, score: str = "score", label: str = "label", tolerance: float = 0.01) -> tuple[str, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(the chosen method, figures of both, a function that replaces the score by the calibrated one).
+
+    Sigmoid unless isotonic's Brier score on the fitting rows is smaller by more than the tolerance.
+    """
+    a, b = platt(df, score, label)
+    steps = isotonic(df, score, label)
+
+    def sigmoid(x: DataFrame) -> DataFrame:
+        return x.withColumn(score, expit(a * logit(F.col(score)) + b))
+
+    def stepped(x: DataFrame) -> DataFrame:
+        got = steps.transform(x.withColumn("features", F.col(score)))
+        return got.withColumn(score, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).drop("features", "prediction")
+
+    ways = {"sigmoid": sigmoid, "isotonic": stepped}
+    both = None
+    for name, way in ways.items():
+        one = way(df.select(score, label)).select(score, label, F.lit(name).alias("method"))
+        both = one if both is None else both.unionByName(one)
+    figures = metrics.losses(both, ["method"], score, label).join(metrics.expected_calibration_error(both, ["method"], score=score, label=label), "method").select("method", "brier", "ece")
+    brier = {r["method"]: (r["brier"], r["ece"]) for r in figures.collect()}
+    chosen = "sigmoid" if brier["sigmoid"][0] <= brier["isotonic"][0] * (1 + tolerance) else min(brier, key=brier.get)
+    return chosen, figures, ways[chosen]
+
+
+def walk_forward(df: DataFrame, fit, keep: Sequence[str], tests: Sequence[int], period: str = "period") -> DataFrame:
+    """Scores of each test period t by the model of the periods up to t - 2, calibrated on t - 1; ``method`` says how."""
+    out = None
+    for t in tests:
+        model = fit(df.where(F.col(period) <= t - 2))
+        name, _, calibrated = calibrator(cut(predict(model, df.where(F.col(period) == t - 1), keep)))
+        s = calibrated(predict(model, df.where(F.col(period) == t), keep)).withColumn("method", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def save(model: PipelineModel, path: str, manifest: dict) -> DataFrame:
+    """Write a fitted model and its manifest, with a digest of the model's parameters, to a shared folder; the manifest as a row."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    row = {**manifest, "stages": [type(s).__name__ for s in model.stages], "digest": digest(model)}
+    spark.createDataFrame([(json.dumps(row, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return spark.read.text(f"{path}/manifest").withColumnRenamed("value", "manifest")
+
+
+def load(path: str) -> tuple[PipelineModel, dict]:
+    """The model and its manifest; a model that is not the one of the manifest is an error."""
+    manifest = json.loads(SparkSession.active().read.text(f"{path}/manifest").first()[0])
+    model = PipelineModel.load(f"{path}/model")
+    if digest(model) != manifest["digest"]:
+        raise ValueError(f"the model in {path} is not that of its manifest")
+    return model, manifest
+
+
+def digest(model: PipelineModel) -> str:
+    """SHA-256 of what a fitted pipeline has learned: coefficients, trees, categories, centres."""
+    known = []
+    for s in model.stages:
+        for name in ("coefficientMatrix", "interceptVector", "toDebugString", "labelsArray", "categorySizes", "mean", "std"):
+            if hasattr(s, name):
+                text = str(getattr(s, name))
+                known.append(f"{type(s).__name__}.{name}=" + (text.partition("\n")[2] if name == "toDebugString" else text))
+        if hasattr(s, "surrogateDF"):
+            known.append(str([tuple(r) for r in s.surrogateDF.collect()]))
+    return hashlib.sha256("\n".join(known).encode()).hexdigest()
+
+
 def rolling(df: DataFrame, fit, keep: Sequence[str], folds: Sequence[tuple[int, int]] = ROLLING, period: str = "period") -> DataFrame:
     """Scores of each test period by the model fitted on the periods before it."""
     out = None
@@ -80,12 +153,14 @@ def fold_metrics(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def permuted(df: DataFrame, column: str, key: str, seed: str, by: Sequence[str]) -> DataFrame:
-    """df with the column's values dealt anew within groups, by the order of a hash."""
-    order = Window.partitionBy(*by).orderBy(key)
-    mixed = Window.partitionBy(*by).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.lit(column), F.col(key).cast("string")), 256), key)
-    a = df.withColumn("slot", F.row_number().over(order))
-    b = df.select(*by, F.col(column).alias("dealt"), F.row_number().over(mixed).alias("slot"))
-    return a.join(b, [*by, "slot"]).withColumn(column, F.col("dealt")).drop("slot", "dealt")
+    """df with the column's values dealt anew within groups: the row at each place of one random order gets the value at that place of another.
+
+    Places are ranks of hash-uniform numbers, taken in two steps as queues are, so no task orders a group.
+    """
+    place = lambda name: ranked(df.withColumn("draw_", uniform(f"{seed}|{name}", F.lit(column), key)), by, "draw_", key)
+    a = place("to").drop("draw_", "group_size")
+    b = place("from").select(*by, F.col(column).alias("dealt_"), "rank")
+    return a.join(b, [*by, "rank"]).withColumn(column, F.col("dealt_")).select(*df.columns)
 
 
 def importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], key: str = "pos", by: Sequence[str] = ("period",), seed: str = "perm") -> DataFrame:
@@ -100,8 +175,8 @@ def importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], key:
 
 def dependence(model: PipelineModel, df: DataFrame, column: str, points: int = 5) -> DataFrame:
     """Mean score with the column held at each of a few quantiles."""
-    cuts = ", ".join(f"{(i + 0.5) / points!r}D" for i in range(points))
-    grid = df.agg(F.expr(f"percentile({column}, array({cuts}))").alias("q")).select(F.posexplode("q").alias("point", "held"))
+    q = exact_quantiles(df, [], column, [(i + 0.5) / points for i in range(points)])
+    grid = q.select(F.posexplode(F.array(*(f"q{i}" for i in range(points)))).alias("point", "held"))
     x = df.crossJoin(F.broadcast(grid)).withColumn(column, F.col("held").cast("double"))
     return predict(model, x, ["point", "held"]).groupBy("point", "held").agg(F.round(F.avg("score"), 6).alias("mean_score"))
 

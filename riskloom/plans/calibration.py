@@ -70,6 +70,34 @@ def label_latency_trigger(spark, sf):
     return calibrate.label_latency(_priors(spark, sf), [0, 1, 2, 3, 6])
 
 
+LAGS = [0, 1, 2, 3, 6]
+
+
+def _corrected_sql():
+    back = lambda p, a: _LOGIT.format(p=f"({p} * ({_maturity_sql(a)} * 85e-2) / ({_maturity_sql(a)} * 85e-2))")
+    return f"""WITH {_PRIORS_SQL}, x AS (SELECT period, prior, CAST(lag AS INTEGER) AS lag, lag(prior) OVER (PARTITION BY lag ORDER BY period) AS before FROM priors, (SELECT unnest({LAGS}) AS lag)),
+m AS (SELECT period, lag, round({_LOGIT.format(p="prior")} - {_LOGIT.format(p="before")}, 6) AS true_move, CASE WHEN lag > 0 THEN round({back("prior", "lag")} - {back("before", "(lag + 1)")}, 6) END AS corrected_move FROM x WHERE before IS NOT NULL)
+SELECT *, (abs(corrected_move) > 1e-1) = (abs(true_move) > 1e-1) AS agrees FROM m"""
+
+
+@query(_corrected_sql())
+def label_latency_correction(spark, sf):
+    return calibrate.corrected_latency(_priors(spark, sf), LAGS)
+
+
+_LAGS_SQL = f"l AS ({_latency_sql()}), g AS (SELECT lag, count(observed_move) AS decisions, count(*) FILTER (WHERE agrees) AS agreeing, max(bias) AS bias, coalesce(abs(max(bias)) < 1e-1, false) AS usable FROM l GROUP BY 1)"
+
+
+@query(f"WITH {_LAGS_SQL} SELECT * FROM g")
+def label_lag_summary(spark, sf):
+    return calibrate.lag_summary(label_latency_trigger(spark, sf))
+
+
+@query(f"WITH {_LAGS_SQL} SELECT min(lag) FILTER (WHERE usable) AS minimum_usable_lag FROM g")
+def minimum_usable_lag(spark, sf):
+    return calibrate.minimum_usable_lag(label_lag_summary(spark, sf))
+
+
 @query(f"""WITH {SCORED_SQL}, {_RANKED}, f AS (SELECT period, sum(CASE WHEN rank <= {HEAD5} THEN label ELSE 0 END) / CAST(sum(label) AS DOUBLE) AS catch FROM ranked WHERE model = 'challenger' AND period BETWEEN 3 AND 7 GROUP BY 1), a AS (SELECT count(*) AS n, avg(catch) AS m, stddev_samp(catch) AS s FROM f)
 SELECT n, round(m, 6) AS mean, round(s, 6) AS sd, round(m - 2776e-3 * s / sqrt(5e0), 6) AS mean_lo, round(m + 2776e-3 * s / sqrt(5e0), 6) AS mean_hi, round(m - 2776e-3 * s * sqrt(1 + 2e-1), 6) AS next_lo, round(m + 2776e-3 * s * sqrt(1 + 2e-1), 6) AS next_hi FROM a""")
 def walk_forward_interval(spark, sf):

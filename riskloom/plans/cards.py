@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import dashboard, metrics, policy, queue, warehouse
 from ..sources.tables import CAPACITIES, SCORED_SQL, applications, scored, table
 from .evaluation import _STEPS_SQL
-from .queues import _CURVE_SQL, _RULES_SQL, GROUP, HEAD5, _forced, _scored
+from .queues import _CURVE_SQL, _RULES_SQL, CURVE, GROUP, HEAD5, _forced, _scored
 from .registry import query
 from .star import _ACTED_SQL, _fact, _kpi_sql
 
-CURVE = tuple(i / 100 for i in (0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20))
 _R = lambda a, b: f"round({a} / CAST(nullif({b}, 0) AS DOUBLE), 6)"
 
 

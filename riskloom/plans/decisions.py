@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import decide, metrics, policy
 from ..sources.tables import CAPACITIES, SCORED_SQL, applications, scored
 from .evaluation import _parity, _parity_sql
-from .queues import _CURVE_SQL, _RULES_SQL, GROUP, _flagged, _scored
+from .queues import _CURVE_SQL, _RULES_SQL, CURVE, GROUP, _flagged, _scored
 from .registry import query
 
 _L = lambda xs: "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "]"
@@ -38,11 +38,16 @@ def utility_surface(spark, sf):
     return out.withColumn("sign_holds", F.col("worst") > 0)
 
 
+#: The two scores and two blends of them, as SQL that both engines read.
+_MODELS = {"challenger": "challenger", "incumbent": "incumbent", "mean": "(challenger + incumbent) / 2", "greater": "greatest(challenger, incumbent)"}
+
+
 def _policy_grid_sql():
     bits = " + ".join(f"CASE WHEN {r} THEN {1 << i} ELSE 0 END" for i, r in enumerate(("rule_velocity", "rule_device", "rule_foreign", "rule_branch")))
-    return f"""{_RULES_SQL}, b AS (SELECT period, pos, label, 'challenger' AS model, challenger AS score, {bits} AS bits FROM flags UNION ALL SELECT period, pos, label, 'incumbent', incumbent, {bits} FROM flags),
+    both = " UNION ALL ".join(f"SELECT period, pos, label, '{m}' AS model, {e} AS score, {bits} AS bits FROM flags" for m, e in _MODELS.items())
+    return f"""{_RULES_SQL}, b AS ({both}),
 m AS (SELECT *, (bits & mask) <> 0 AS f FROM b, (SELECT CAST(unnest(range(16)) AS INTEGER) AS mask)), k AS (SELECT *, row_number() OVER (PARTITION BY period, model, mask ORDER BY f DESC, score DESC, pos) AS rank, count(*) OVER (PARTITION BY period, model, mask) AS n FROM m),
-c AS (SELECT *, rank <= greatest(CAST(floor(CAST(n AS DOUBLE) * capacity) AS BIGINT), 1) AS review FROM k, (SELECT unnest([1e-2, 5e-2, 1e-1]) AS capacity)),
+c AS (SELECT *, rank <= greatest(CAST(floor(CAST(n AS DOUBLE) * capacity) AS BIGINT), 1) AS review FROM k, (SELECT unnest({_L(CURVE)}) AS capacity)),
 pg AS (SELECT period, model, mask, capacity, count(*) FILTER (WHERE review) AS queue_size, count(*) FILTER (WHERE f AND NOT review) AS overflow, CAST(sum(CASE WHEN review OR f THEN label ELSE 0 END) AS BIGINT) AS caught,
   CAST(sum(CASE WHEN review OR f THEN 1 - label ELSE 0 END) AS BIGINT) AS false_positives FROM c WHERE f OR review GROUP BY 1, 2, 3, 4)"""
 
@@ -53,7 +58,9 @@ def policy_grid(spark, sf):
 
 
 def _policy_grid(spark, sf):
-    return decide.policy_grid(_flagged(spark, sf), ["challenger", "incumbent"], [0.01, 0.05, 0.10])
+    """4 scores at 18 capacities with the 16 subsets of rules: 1,152 policies a period."""
+    flagged = _flagged(spark, sf).withColumns({m: F.expr(e) for m, e in _MODELS.items() if m != e})
+    return decide.policy_grid(flagged, list(_MODELS), CURVE)
 
 
 _FRONT_SQL = f"""{_policy_grid_sql()}, p AS (SELECT model, mask, capacity, CAST(sum(caught) AS BIGINT) AS caught, CAST(sum(false_positives) AS BIGINT) AS false_positives, CAST(sum(queue_size) AS BIGINT) AS queue_size, CAST(sum(overflow) AS BIGINT) AS overflow FROM pg GROUP BY 1, 2, 3),
@@ -70,7 +77,7 @@ def _policies(spark, sf):
 @query(f"""WITH {_FRONT_SQL} SELECT policy, caught, false_positives, queue_size, utility FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.caught >= a.caught AND b.utility >= a.utility AND b.false_positives <= a.false_positives AND b.queue_size <= a.queue_size
   AND (b.caught > a.caught OR b.utility > a.utility OR b.false_positives < a.false_positives OR b.queue_size < a.queue_size))""")
 def pareto_frontier(spark, sf):
-    """The 96 policies of the grid are broadcast against themselves."""
+    """The 1,152 policies of the grid are broadcast against themselves."""
     return decide.pareto(_policies(spark, sf), "policy", ["caught", "utility"], ["false_positives", "queue_size"]).select("policy", "caught", "false_positives", "queue_size", "utility")
 
 

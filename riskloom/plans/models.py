@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import learn, metrics
+from ..operators.quantiles import exact_quantiles
 from ..sources.tables import applications, features
 from .registry import query
 
@@ -42,16 +44,13 @@ def _calibration_scores(spark, sf):
 
 @query()
 def calibrator_selection(spark, sf):
-    """Platt against isotonic, fitted on period 6, judged on period 7: Brier score and calibration error."""
+    """Sigmoid against isotonic, fitted and compared on period 6 (sigmoid within 1 % of the Brier score), and what the chosen one gives on period 7."""
     s = _calibration_scores(spark, sf)
-    fit, test = s.where("period = 6"), s.where("period = 7")
-    a, b = learn.platt(fit)
-    from ..functions.scalars import expit, logit
-
-    sig = test.select("label", expit(a * logit(F.col("score")) + b).alias("score"), F.lit("sigmoid").alias("method"))
-    iso = learn.isotonic(fit).transform(test.select("label", F.col("score").alias("features"))).select("label", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score"), F.lit("isotonic").alias("method"))
-    both = sig.unionByName(iso)
-    return metrics.losses(both, ["method"]).join(metrics.expected_calibration_error(both, ["method"]), "method").select("method", F.round("brier", 6).alias("brier"), F.round("ece", 6).alias("ece"))
+    chosen, figures, calibrated = learn.calibrator(cut(s.where("period = 6")))
+    test = calibrated(s.where("period = 7")).withColumn("method", F.lit(chosen))
+    later = metrics.losses(test, ["method"]).join(metrics.expected_calibration_error(test, ["method"]), "method").select("method", F.col("brier").alias("test_brier"), F.col("ece").alias("test_ece"))
+    rows = figures.join(later, "method", "left").withColumn("selected", F.col("method") == chosen)
+    return rows.select("method", *(F.round(c, 6).alias(c) for c in ("brier", "ece", "test_brier", "test_ece")), "selected")
 
 
 @query()
@@ -99,10 +98,26 @@ def walk_forward(spark, sf):
     """Test period t: train to t - 2, calibrate on t - 1, for t = 3..7; catch rate at 5 % of each fold."""
     from ..operators import policy
 
-    d = _data(spark, sf)
-    s = learn.rolling(d, _logistic, ["pos", "period", "label"], [(t - 2, t) for t in range(3, 8)])
+    s = cut(learn.walk_forward(_data(spark, sf), _logistic, ["pos", "period", "label"], range(3, 8)))
     c = policy.capacity_curve(s, ["period"], [0.05])
-    return c.select("period", "queue_size", "caught", F.round(F.col("caught") / F.col("positives"), 6).alias("catch_rate"))
+    how = s.groupBy("period").agg(F.min("method").alias("calibrator"), F.round(F.avg((F.col("score") - F.col("label")) ** 2), 6).alias("brier"))
+    return c.join(how, "period").select("period", "queue_size", "caught", F.round(F.col("caught") / F.col("positives"), 6).alias("catch_rate"), "calibrator", "brier")
+
+
+@query()
+def proxy_recoverability(spark, sf):
+    """How well each left-out feature can be told from the others: AUROC, on period 7, of a model of the feature being above its median."""
+    d = _data(spark, sf)
+    out = None
+    for name in ("challenger", "orders_of_customer"):
+        rest = [c for c in NUMERIC if c != name]
+        middle = exact_quantiles(d.where("period <= 5"), [], name, [0.5]).first()["q0"]
+        y = d.withColumn("label", (F.col(name) > middle).cast("int"))
+        m = learn.fit_logistic(y.where("period <= 5"), rest, CATEGORICAL)
+        s = learn.predict(m, y.where("period = 7"), ["label"]).withColumn("feature", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    auc = metrics.auroc(metrics.score_steps(out, ["feature"]), ["feature"])
+    return auc.select("feature", F.round("auroc", 6).alias("recoverability"))
 
 
 @query()

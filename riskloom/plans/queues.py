@@ -9,6 +9,8 @@ from ..sources.tables import APPS_SQL, CAPACITIES, FEATURES_SQL, SCORED_SQL, app
 from .registry import query
 
 GROUP = ["model", "period"]
+#: Capacities of curves and of the policy grid.
+CURVE = tuple(i / 100 for i in (0.5, 1, 1.5, 2, 2.5, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20))
 _RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY model, period ORDER BY score DESC, pos) AS rank, count(*) OVER (PARTITION BY model, period) AS n FROM scored)"""
 _HEAD = "greatest(CAST(floor(CAST(n AS DOUBLE) * {c}) AS BIGINT), 1)"
 HEAD5 = _HEAD.format(c="5e-2")
