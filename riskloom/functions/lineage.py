@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the session's shared folder (spark.checkpoint.dir), which survives lost executors.
 
-    Only where no folder is set, as on a single machine, a temporary one is made and removed at exit.
+    Only where no folder is set and there is one machine, a temporary one is made and removed at exit; a cluster without
+    the setting is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not found:
             found = tempfile.mkdtemp(prefix="riskloom-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)

@@ -86,3 +86,14 @@ def right_closed_bin(x: Column, edges: list[float] | Column) -> Column:
     """Number of edges below x, so bins are (a, b]."""
     e = F.array(*(F.lit(float(v)) for v in edges)) if isinstance(edges, list) else edges
     return F.size(F.filter(e, lambda v: v < x))
+
+
+#: Fixed: the namespace of names that are URLs, in hex.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The version-5 UUID of a name: SHA-1 of namespace and name with the bits of version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab89ab89ab89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))

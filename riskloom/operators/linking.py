@@ -31,7 +31,7 @@ def corrupted(value: Column, seed: str, arm: Column, pos: Column, signal: str, r
     one, two, rest = F.substring(value, F.lit(1), at - 1), F.substring(value, at, F.lit(1)), F.substr(value, at + 1)
     swapped = F.concat(one, F.substr(value, at + 1, F.lit(1)), two, F.substr(value, at + 2))
     kind = F.floor(h / 65536) % 3
-    return F.when(u >= rate, value).when(kind == 0, F.concat(one, rest)).when(kind == 1, F.concat(one, F.lit("x"), rest)).otherwise(swapped)
+    return F.when((rate <= 0) | (u >= rate), value).when(kind == 0, F.concat(one, rest)).when(kind == 1, F.concat(one, F.lit("x"), rest)).otherwise(swapped)
 
 
 def fixture(entities: DataFrame, arms: DataFrame, seed: str = "17") -> DataFrame:
@@ -52,7 +52,9 @@ def fixture(entities: DataFrame, arms: DataFrame, seed: str = "17") -> DataFrame
         "device": F.substring(_hash(seed, "device", shared), 1, 16),
         "address": F.concat(F.substring(_hash(seed, "address", shared), 1, 14), F.lit(" Street")),
     }
-    rows = rows.select("entity", "ring", "copy", pos.cast("long").alias("pos"), *(c.alias(s) for s, c in clean.items())).crossJoin(F.broadcast(arms))
+    rows = rows.select("entity", "ring", "copy", pos.cast("long").alias("pos"), *(c.alias(s) for s, c in clean.items()))
+    # Hashes of clean values are made once, not in every arm, and rows are dealt out before each becomes one for every arm.
+    rows = cut(rows.repartition(2 * entities.sparkSession.sparkContext.defaultParallelism, "pos")).crossJoin(F.broadcast(arms))
     on = {s: F.when((F.col("copy") == 2) & F.col("signals").contains(s), F.col("rate")).otherwise(F.lit(0.0)) for s in SIGNALS}
     return rows.select("arm", "pos", "entity", "ring", *(corrupted(F.col(s), seed, F.col("arm"), F.col("pos"), s, on[s]).alias(s) for s in SIGNALS))
 
@@ -99,20 +101,26 @@ def score_pairs(pairs: DataFrame, records: DataFrame, key: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(arm, pos, cluster): cluster is the smallest pos reachable. Labels take the least of their neighbours' and jump to the label's label
-    until nothing changes; each round is checkpointed."""
-    edges = cut(links.select("arm", F.col("l").alias("a"), F.col("r").alias("b")).union(links.select("arm", F.col("r"), F.col("l"))).distinct())
-    linked = edges.select("arm", F.col("a").alias("pos")).distinct()
-    label = linked.withColumn("cluster", F.col("pos"))
+    """(arm, pos, cluster): cluster is the smallest pos reachable.
+
+    Large-star and small-star rounds in turn until nothing changes: every node links its larger neighbours to the smallest
+    around it, then its smaller ones. Neighbourhoods are aggregated in part before they are shuffled, each round is checkpointed.
+    """
+    pair = lambda x, y: (F.col(x).alias("a"), F.col(y).alias("b"))
+    edges = cut(links.select("arm", *pair("l", "r")).where("a <> b").distinct())
+    seen = None
     while True:
-        near = edges.join(label.withColumnRenamed("pos", "b"), ["arm", "b"]).groupBy("arm", F.col("a").alias("pos")).agg(F.min("cluster").alias("near"))
-        step = label.join(near, ["arm", "pos"]).select("arm", "pos", "cluster", F.least("cluster", "near").alias("next"))
-        jump = step.select("arm", F.col("pos").alias("next"), F.col("next").alias("far"))
-        new = cut(step.join(jump, ["arm", "next"]).select("arm", "pos", "cluster", F.least("next", "far").alias("next")))
-        changed = not new.where("next <> cluster").isEmpty()
-        label = new.select("arm", "pos", F.col("next").alias("cluster"))
-        if not changed:
+        both = edges.union(edges.select("arm", *pair("b", "a")))
+        least = both.groupBy("arm", "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, ["arm", "a"]).select("arm", *pair("b", "m")).distinct()
+        least = large.groupBy("arm", "a").agg(F.min("b").alias("m"))
+        small = large.join(least, ["arm", "a"]).where("b <> m").select("arm", *pair("b", "m")).union(least.select("arm", *pair("a", "m"))).distinct()
+        edges = cut(small)
+        state = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("arm", "a", "b"), F.lit(1 << 40)))).first())
+        if state == seen:
             break
+        seen = state
+    label = edges.select("arm", F.col("a").alias("pos"), F.col("b").alias("cluster"))
     return nodes.select("arm", "pos").join(label, ["arm", "pos"], "left").withColumn("cluster", F.coalesce("cluster", "pos"))
 
 

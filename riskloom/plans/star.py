@@ -120,9 +120,11 @@ FROM acted GROUP BY GROUPING SETS ((model, period), (model, channel), (model, se
 def kpi_grouping_sets(spark, sf):
     """All roll-ups from one aggregation to the fact grain."""
     fact = _fact(spark, sf, "model", "period", "channel", "segment")
-    fact.createOrReplaceTempView("kpi_fact")
-    return spark.sql("""SELECT model, period, channel, segment, cast(grouping(period) * 4 + grouping(channel) * 2 + grouping(segment) as int) AS level, sum(application_count) AS applications, sum(fraud_count) AS fraud_attempts, sum(fraud_caught) AS fraud_caught
-      FROM kpi_fact GROUP BY model, period, channel, segment GROUPING SETS ((model, period), (model, channel), (model, segment), (model))""")
+    return spark.sql(
+        """SELECT model, period, channel, segment, cast(grouping(period) * 4 + grouping(channel) * 2 + grouping(segment) as int) AS level, sum(application_count) AS applications, sum(fraud_count) AS fraud_attempts, sum(fraud_caught) AS fraud_caught
+        FROM {fact} GROUP BY model, period, channel, segment GROUPING SETS ((model, period), (model, channel), (model, segment), (model))""",
+        fact=fact,
+    )
 
 
 @query(f"""WITH {_ACTED_SQL}, k AS ({_kpi_sql("model, period")} GROUP BY 1, 2)
