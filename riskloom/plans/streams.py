@@ -35,6 +35,21 @@ def third_arrivals(spark, sf):
     return table(spark, sf, "events", "event_id", "user_id", "ts").withColumn("k", F.row_number().over(w)).where("k = 3").select("user_id", F.col("ts").alias("flagged_at"))
 
 
+@query("""SELECT a.user_id, a.event_id AS l, b.event_id AS r, b.ts AS flagged_at FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR AND (a.ts < b.ts OR a.event_id < b.event_id)""")
+def pair_arrivals(spark, sf):
+    """Pairs of a user's events at most six hours apart, at the time of the later one."""
+    return v.pair_arrivals(table(spark, sf, "events", "event_id", "ts", "user_id"), "user_id", "6 HOURS")
+
+
+@query("""WITH a AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1), o AS (SELECT user_id, min(ts) AS ts FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT a.user_id, a.ts AS applied_at, CAST(o.ts IS NOT NULL AS INTEGER) AS label FROM a LEFT JOIN o ON a.user_id = o.user_id AND o.ts >= a.ts AND o.ts <= a.ts + INTERVAL 5 DAY""")
+def matured_labels(spark, sf):
+    """The first event of a user as the application, the first purchase within five days as its outcome."""
+    e = table(spark, sf, "events", "ts", "user_id", "event_type")
+    first = lambda df: df.groupBy("user_id").agg(F.min("ts").alias("ts"))
+    return v.matured(first(e), first(e.where("event_type = 'purchase'")), "user_id", "5 DAYS")
+
+
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, max(event_id) AS at FROM events GROUP BY 1")
 def latest_outcomes(spark, sf):
     e = table(spark, sf, "events", "user_id", "event_id").withColumn("at", F.col("event_id"))

@@ -35,6 +35,34 @@ def third_arrivals(spark_events: DataFrame, key: str = "user_id", kth: int = 3)
     return spark_events.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} long, flagged_at timestamp", "n long, done boolean", "append", "NoTimeout")
 
 
+def pair_arrivals(records: DataFrame, key: str, within: str, late: str | None = None) -> DataFrame:
+    """(key, l, r, flagged_at): two records of one key at most ``within`` apart, visible when the later one arrives.
+
+    records: event_id, ts and the key. On a stream this is an inner join of the stream with itself; watermarks on both
+    sides and the bound in time let old records leave the state.
+    """
+    sides = []
+    for c in "lr":
+        side = records.select(F.col("event_id").alias(c), F.col("ts").alias(f"ts_{c}"), F.col(key).alias(f"key_{c}"))
+        sides.append(side.withWatermark(f"ts_{c}", late) if late else side)
+    on = F.expr(f"key_l = key_r AND ts_r >= ts_l AND ts_r <= ts_l + INTERVAL {within} AND (ts_l < ts_r OR l < r) AND l <> r")
+    return sides[0].join(sides[1], on).select(F.col("key_l").alias(key), "l", "r", F.col("ts_r").alias("flagged_at"))
+
+
+def matured(applications: DataFrame, outcomes: DataFrame, key: str, horizon: str, late: str | None = None) -> DataFrame:
+    """Applications (key, ts) with their label once it is final: 1 if an outcome (key, ts) came within the horizon, else 0.
+
+    On a stream an application without an outcome is given out only when the watermark has passed its horizon, so no label
+    is taken before it has matured.
+    """
+    a = applications.select(F.col(key).alias("key_a"), F.col("ts").alias("applied_at"))
+    o = outcomes.select(F.col(key).alias("key_o"), F.col("ts").alias("told_at"))
+    if late:
+        a, o = a.withWatermark("applied_at", late), o.withWatermark("told_at", late)
+    on = F.expr(f"key_a = key_o AND told_at >= applied_at AND told_at <= applied_at + INTERVAL {horizon}")
+    return a.join(o, on, "left_outer").select(F.col("key_a").alias(key), "applied_at", F.col("told_at").isNotNull().cast("int").alias("label"))
+
+
 def latest_outcomes(outcomes: DataFrame, key: str, at: str) -> DataFrame:
     """Append-only outcomes: the row that supersedes the others of its key, by time."""
     return outcomes.groupBy(key).agg(F.max_by(F.struct(*outcomes.columns), F.col(at)).alias("r")).select("r.*")

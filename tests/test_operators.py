@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars
-from riskloom.operators import calibrate, curate, decide, linking, metrics, policy, queue, resample, warehouse
+from riskloom.operators import calibrate, curate, decide, governance, linking, metrics, policy, queue, resample, warehouse
 
 
 def frame(spark, rows, schema):
@@ -275,6 +275,116 @@ def test_bootstraps_draw_as_often_as_the_reference(spark, sf, monkeypatch):
     assert drawn == [5000] and QUERIES["bootstrap_ap_lift"](spark, sf).first()["replicates"] == 1000
 
 
+@pytest.mark.parametrize("mean", [0, 1, 7, 400, 250_000])
+def test_poisson_draws_have_the_distribution(spark, mean):
+    got = [r["count"] for r in resample.poisson_draws(spark, mean, 4000, "s").collect()]
+    assert len(got) == 4000 and abs(sum(got) / 4000 - mean) <= 4 * (mean / 4000) ** 0.5
+    if mean:
+        spread = sum((x - mean) ** 2 for x in got) / 4000
+        assert 0.88 < spread / mean < 1.12 and resample.poisson_table(spark, mean).agg(F.max("cdf")).first()[0] == pytest.approx(1, abs=1e-9)
+
+
+def test_lift_bootstrap_is_that_of_the_rows(spark):
+    """Steps, buckets and scaling change nothing: average precision of each replicate's rows, drawn row by row, by its definition."""
+    import hashlib
+    import random
+
+    r = random.Random(3)
+    rows = [(i, int(r.random() < 0.3), round(r.random(), 2), r.random()) for i in range(120)]
+    df = frame(spark, rows, "pos long, label int, a double, b double")
+    drawn = resample.replicates(resample.positive_steps(resample.positive_steps(df, "a"), "b"), 20, "s", "pos")
+    positives = sum(x[1] for x in rows)
+    long = drawn.unpivot(["replicate", "label", "weight"], ["a", "b"], "model", "score")
+    got = {(x["replicate"], x["model"]): x["average_precision"] for x in resample.stratified_average_precision(long, ["replicate", "model"], positives, 120 - positives).collect()}
+    for k in range(1, 21):
+        draw = lambda i: hashlib.sha256(f"s|{(k - 1) // 8}|{i}".encode()).hexdigest()[8 * ((k - 1) % 8) :][:8]  # noqa: B023, E731
+        weights = [sum(int(draw(i), 16) / 2**32 >= p for p in resample.POISSON_1) for i, *_ in rows]
+        up = positives / sum(w for w, x in zip(weights, rows) if x[1])
+        down = (120 - positives) / sum(w for w, x in zip(weights, rows) if not x[1])
+        scaled = [w * (up if x[1] else down) for w, x in zip(weights, rows)]
+        for m, column in (("a", 2), ("b", 3)):
+            ap = 0.0
+            for w, x in zip(scaled, rows):
+                if x[1]:
+                    above = [(v, y[1]) for v, y in zip(scaled, rows) if y[column] >= x[column]]
+                    ap += w / positives * sum(v for v, y in above if y) / sum(v for v, _ in above) if w else 0.0
+            assert got[k, m] == pytest.approx(ap)
+
+
+def test_fingerprint_is_a_tree_of_bounded_width(spark):
+    import hashlib
+
+    sha = lambda xs: hashlib.sha256(",".join(xs).encode()).hexdigest()
+    leaves = [f"{i}:{i / 7:.6f}" for i in range(30)]
+    for width in (3, 4, 100):
+        level = leaves
+        while True:
+            level = [sha(level[a : a + width]) for a in range(0, len(level), width)]
+            if len(level) == 1:
+                break
+        got = resample.fingerprint(spark.range(30).select(F.col("id").alias("k"), (F.col("id") / 7.0).alias("v")), "k", "v", width=width).first()
+        assert (got["rows"], got["fingerprint"]) == (30, level[0])
+
+
+def test_uuid5(spark):
+    import uuid
+
+    names = ["", "a", "x:operations:p7", "é"]
+    got = [r[0] for r in frame(spark, [(n,) for n in names], "n string").select(scalars.uuid5(F.col("n"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+
+
+def test_policy_grid_is_that_of_ranked_rows(spark):
+    import random
+
+    r = random.Random(8)
+    names = [f"pos long, period int, label int, {', '.join(f'{c} boolean' for c in queue.RULES)}, m double, k double"]
+    rows = [(i, i % 2, int(r.random() < 0.3), *(r.random() < p for p in (0.1, 0.3, 0.02, 0.6)), round(r.random(), 1), 0.5) for i in range(150)]
+    got = {(x["period"], x["model"], x["mask"], x["capacity"]): (x["queue_size"], x["overflow"], x["caught"], x["false_positives"]) for x in decide.policy_grid(frame(spark, rows, names[0]), ["m", "k"], [0.001, 0.05, 0.4, 1.0]).collect()}
+    assert len(got) == 2 * 2 * 16 * 4
+    for (period, model, mask, capacity), value in got.items():
+        some = [x for x in rows if x[1] == period]
+        forced = lambda x: any(x[3 + i] for i in range(4) if mask >> i & 1)  # noqa: B023, E731
+        some.sort(key=lambda x: (not forced(x), -x[7 if model == "m" else 8], x[0]))  # noqa: B023
+        head = max(1, int(len(some) * capacity))
+        acted = some[:head] + [x for x in some[head:] if forced(x)]
+        caught = sum(x[2] for x in acted)
+        assert value == (head, len(acted) - head, caught, len(acted) - caught)
+
+
+def test_components_of_long_paths_and_stars(spark):
+    links_ = [("p", i, i + 1) for i in range(40)] + [("s", 0, i) for i in range(1, 60)] + [("s", 100 + i, 100 + (i * 7) % 30) for i in range(30)]
+    nodes = frame(spark, [(a, i) for a in "ps" for i in range(140)], "arm string, pos long")
+    got = {(x["arm"], x["pos"]): x["cluster"] for x in linking.components(nodes, frame(spark, links_, "arm string, l long, r long")).collect()}
+    up = {k: k[1] for k in got}
+    changed = True
+    while changed:
+        changed = False
+        for a, x, y in links_:
+            low = min(up[a, x], up[a, y])
+            changed |= up[a, x] != low or up[a, y] != low
+            up[a, x] = up[a, y] = low
+    assert got == up
+
+
+def test_registry_and_audit(spark):
+    schema = "model_version string, approval_state string, promoted_at string"
+    old = frame(spark, [("a", "draft", "1"), ("b", "retained", None)], schema)
+    new = frame(spark, [("a", "approved", "2"), ("b", "gone", "2"), ("c", "draft", "2"), ("c", "draft", "2"), (None, "x", "2")], schema)
+    assert {tuple(r) for r in governance.register(old, new, ["approval_state"]).collect()} == {("a", "approved", "1"), ("b", "gone", None), ("c", "draft", "2")}
+    events = frame(spark, [("1", "x")], "event_id string, what string")
+    more = frame(spark, [("1", "y"), ("2", "z"), ("2", "z")], "event_id string, what string")
+    once = governance.audit(events, more)
+    assert {tuple(r) for r in governance.audit(once, more).collect()} == {("1", "x"), ("2", "z")} and once.count() == 2
+
+
+def test_corrected_moves_are_the_true_ones(spark):
+    priors = frame(spark, [(i, p) for i, p in enumerate([0.01, 0.012, 0.011, 0.02])], "period int, prior double")
+    rows = calibrate.corrected_latency(priors, [0, 1, 3]).collect()
+    assert len(rows) == 9 and all((r["corrected_move"] is None) == (r["lag"] == 0) for r in rows)
+    assert all(r["corrected_move"] == pytest.approx(r["true_move"], abs=2e-6) and r["agrees"] for r in rows if r["lag"])
+
+
 def test_fingerprint_follows_values_not_order(spark):
     a = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") / 7.0).alias("v"))
     b = a.orderBy(F.desc("k")).repartition(3)

@@ -88,6 +88,94 @@ def test_idempotent_sink(spark, events, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(path).count()
 
 
+def test_pairs_are_seen_when_the_later_record_arrives(spark, events):
+    path, schema = events
+    got = drained(v.pair_arrivals(v.stream(spark, path, schema, files=1), "user_id", "6 HOURS", late="40 days"), "s_pairs", "append")
+    want = {tuple(r) for r in v.pair_arrivals(spark.read.parquet(path), "user_id", "6 HOURS").collect()}
+    assert want and {tuple(r) for r in got.collect()} == want
+
+
+def test_labels_are_given_out_when_they_have_matured(spark, tmp_path):
+    at = lambda day: f"timestamp'2024-01-{day:02d} 00:00:00'"
+    schema = "id long, ts timestamp"
+    for name, rows in {"a": [(1, 1), (2, 2), (3, 20), (4, 28)], "o": [(1, 3), (2, 9), (3, 21), (9, 29)]}.items():
+        spark.sql(" UNION ALL ".join(f"SELECT {i}L AS id, {at(d)} AS ts" for i, d in rows)).coalesce(1).write.parquet(str(tmp_path / name))
+    sides = lambda read: [read(str(tmp_path / n)) for n in "ao"]
+    whole = {(r["id"], r["label"]) for r in v.matured(*sides(spark.read.schema(schema).parquet), "id", "5 DAYS").collect()}
+    assert whole == {(1, 1), (2, 0), (3, 1), (4, 0)}
+    # On the stream the last application has not matured yet: its horizon lies beyond the watermark.
+    got = drained(v.matured(*sides(spark.readStream.schema(schema).parquet), "id", "5 DAYS", late="1 hour"), "s_mature", "append")
+    assert {(r["id"], r["label"]) for r in got.collect()} == whole - {(4, 0)}
+
+
+def test_jdbc_reads_in_ranges_and_appends(spark):
+    """Against the engine's own embedded database."""
+    url, driver = "jdbc:derby:memory:risk;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(1000).selectExpr("cast(id as int) as k", "cast(id * 2 as double) as v")
+    df.limit(0).write.jdbc(url, "t", mode="overwrite", properties=driver)
+    files.write_jdbc(df, url, "t", batch=100, **driver)
+    files.write_jdbc(df.selectExpr("k + 1000 as k", "v"), url, "t", **driver)
+    got = files.read_jdbc(spark, url, "t", "k", (0, 2000), 5, **driver)
+    assert got.rdd.getNumPartitions() == 5
+    assert {(r["K"], r["V"]) for r in got.toDF("K", "V").collect()} == {(i, 2.0 * (i % 1000)) for i in range(2000)}
+
+
+def test_model_files(spark, sf, tmp_path):
+    d = _data(spark, sf)
+    for fit, name in ((_logistic, "linear"), (lambda x: learn.fit_trees(x, NUMERIC, CATEGORICAL, rounds=2), "trees")):
+        m = fit(d.where("period <= 3"))
+        path = f"file://{tmp_path}/{name}"
+        row = learn.save(m, path, {"model_version": name, "code_sha": "c0de"}).collect()
+        again, manifest = learn.load(path)
+        assert len(row) == 1 and manifest["model_version"] == name and manifest["stages"][-1].endswith("Model")
+        x = d.where("period = 7")
+        score = lambda k: {r["pos"]: r["score"] for r in learn.predict(k, x, ["pos"]).collect()}
+        assert score(m) == score(again)
+    learn.fit_logistic(d.where("period <= 4"), NUMERIC, CATEGORICAL).write().overwrite().save(f"{tmp_path}/linear/model")
+    with pytest.raises(ValueError, match="not that of its manifest"):
+        learn.load(f"file://{tmp_path}/linear")
+
+
+def test_linear_scores_reasons_and_contributions_follow_from_coefficients(spark, sf):
+    import math
+
+    d = _data(spark, sf)
+    m = _logistic(d.where("period <= 5"))
+    test = d.where("period = 7").where("avg_discount is not null")
+    lr, scaler, indexers = m.stages[-1], next(s for s in m.stages if type(s).__name__ == "StandardScalerModel"), [s for s in m.stages if type(s).__name__ == "StringIndexerModel"]
+    w, n = lr.coefficients.toArray(), len(NUMERIC)
+    sizes = [len(x) for s in indexers for x in s.labelsArray]
+    scores = {r["pos"]: r["score"] for r in learn.predict(m, test, ["pos"]).collect()}
+    codes = {r["pos"]: r["reasons"] for r in learn.reasons(m, test, NUMERIC).collect()}
+    total = [0.0] * n
+    rows = test.collect()
+    for r in rows:
+        z = [(r[c] - scaler.mean[i]) / scaler.std[i] for i, c in enumerate(NUMERIC)]
+        logit, at = lr.intercept + sum(a * b for a, b in zip(w, z)), n
+        for s in indexers:
+            for column, labels in zip(s.getInputCols(), s.labelsArray):
+                logit += w[at + labels.index(r[column])] if at + labels.index(r[column]) < at + len(labels) else 0.0
+                at += len(labels)
+        assert scores[r["pos"]] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-9)
+        parts = sorted(((-w[i] * z[i], c) for i, c in enumerate(NUMERIC) if w[i] * z[i] > 0))[:3]
+        assert codes[r["pos"]] == ", ".join(c for _, c in parts)
+        total = [t + abs(w[i] * z[i]) for i, t in enumerate(total)]
+    assert sizes and {r["feature"]: r["mean_contribution"] for r in learn.contributions(m, test, NUMERIC).collect()} == {c: pytest.approx(total[i] / len(rows), abs=1e-6) for i, c in enumerate(NUMERIC)}
+
+
+def test_walk_forward_is_calibrated_on_the_period_before(spark, sf):
+    """The calibrated fold is the fitted model's scores put through the calibrator that the period before gives."""
+    d = _data(spark, sf)
+    got = {r["pos"]: r["score"] for r in learn.walk_forward(d, _logistic, ["pos", "period", "label"], [4]).collect()}
+    m = _logistic(d.where("period <= 2"))
+    name, figures, calibrated = learn.calibrator(learn.predict(m, d.where("period = 3"), ["pos", "label"]))
+    want = {r["pos"]: r["score"] for r in calibrated(learn.predict(m, d.where("period = 4"), ["pos", "label"])).collect()}
+    raw = {r["pos"]: r["score"] for r in learn.predict(m, d.where("period = 4"), ["pos"]).collect()}
+    assert got == pytest.approx(want) and want != raw
+    brier = {r["method"]: r["brier"] for r in figures.collect()}
+    assert name == ("sigmoid" if brier["sigmoid"] <= brier["isotonic"] * 1.01 else "isotonic")
+
+
 def test_models(spark, sf):
     d = _data(spark, sf).cache()
     m = _logistic(d.where("period <= 5"))
