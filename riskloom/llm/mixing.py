@@ -37,8 +37,11 @@ TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 PER_DOMAIN = 1500
 #: Word slots that the classifier sees beside the bag, and the value of one that is there.
 WORDS, PRESENT = 256, 0.5
-#: Residual (share of all tokens) that is small, passes without a better one after which the fit ends, and a bound for all.
-TOLERANCE, STALL, PASSES = 1e-4, 10, 200
+#: Residual (share of all tokens) that is small, and a bound for all passes.
+TOLERANCE, PASSES = 1e-4, 200
+#: The fit ends where the objective falls by less than a share in so many passes. Thinning, whose bounds can seldom all be met and
+#: whose draws are noisier than what more passes gain, ends sooner.
+STALL, THIN_STALL = (1e-3, 10), (0.05, 5)
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -175,7 +178,7 @@ def _posterior(batch: pa.RecordBatch, names: list[str] = NAMES) -> np.ndarray:
     return np.stack([np.asarray(batch.column(c)) for c in names[1:]], 1)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float("inf"), passes: int = PASSES, tolerance: float = TOLERANCE, names: list[str] = NAMES) -> tuple[list[Step], dict]:
+def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float("inf"), passes: int = PASSES, tolerance: float = TOLERANCE, names: list[str] = NAMES, stall: tuple[float, int] = STALL) -> tuple[list[Step], dict]:
     """The passes that rates are replayed from, and a report: tokens, shares before and after, targets, goal, residual.
 
     The residual is the greatest distance of a domain's share from its goal, in shares of all tokens.
@@ -218,9 +221,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most: float = float
     pace, last = 1.0, np.inf
     while True:
         lost = float((got - goal) @ inverse @ (got - goal))
-        if lost < best * (1 - 1e-3):
+        if lost < best * (1 - stall[0]):
             best, kept, after = lost, len(steps), got
-        if np.abs(got - goal).max() <= tolerance or len(steps) - kept >= STALL or len(steps) >= passes:
+        if np.abs(got - goal).max() <= tolerance or len(steps) - kept >= stall[1] or len(steps) >= passes:
             break
         if lost > last:  # too fast: momentum starts anew
             pace = 1.0
@@ -266,7 +269,7 @@ def thin(docs: DataFrame, labels: DataFrame, path: str, ranks: str | None = None
     *names, rate, drawn = fresh(columns, *NAMES, "rate", "drawn")
     measured = _measured(docs.withColumn(drawn, F.xxhash64(F.lit(seed), "doc_id", "text")), model, path, ranks, [*columns, drawn], names)
     members = Scratch(docs.sparkSession, "thin").cut(measured, "memberships")
-    steps, _ = fit_rates(members.select(names), targets, 1.0, names=names)
+    steps, _ = fit_rates(members.select(names), targets, 1.0, names=names, stall=THIN_STALL)
     below = F.pmod(F.col(drawn), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col(rate)
     rated = with_rates(members, steps, 1.0, names, rate)
     return rated.where(below).select(*(F.col(f"`{c}`") for c in columns))
