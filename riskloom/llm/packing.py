@@ -31,6 +31,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ SHARD_ROWS, SHARDS = 1 << 16, 1 << 16
 #: Steps of the search (lengths tried for a place in a bin) before it settles for its incumbent; rounds in which wasteful
 #: bins of the incumbent are completed anew, steps of each, and rounds without gain after which no more are made.
 STEPS, ROUNDS, ROUND_STEPS, STALL = 20_000, 400, 4_000, 80
+#: Entries of a worker's table of words and their ids (some 200 bytes each).
+TABLE = 200_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -300,61 +303,71 @@ def ranges(patterns: list[tuple[Pattern, int]], cap: int) -> dict[int, tuple[np.
     return {x: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for x, rows in out.items()}
 
 
-class Encoder:
-    """Token ids of whole texts, as the library gives them for the vocabulary file, as little-endian 32-bit arrays.
+class _Words(dict):
+    """Ids by word; those of the batch that found no room are looked up beside it."""
 
-    The rank file of the same vocabulary gives the same ids (tests compare them at every code point) in a third of
-    the time. Special strings, which ranks don't have, and runs of white space on which the faster library's pattern
-    would run out of stack go through the vocabulary file itself, as does everything where no rank file is given.
-    """
+    beyond: dict[str, bytes]
 
-    def __init__(self, path: str, ranks: str | None):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.load = lambda: Tokenizer.from_file(path)
-        self.exact = None
-        with open(path, encoding="utf-8") as f:
-            special = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        self.other = regex.compile("|".join([*map(regex.escape, special), r"\s{10000}"])).search
-        self.fast = None
-        if ranks:
-            import base64
+    def __missing__(self, word: str) -> bytes:
+        return self.beyond[word]
 
-            import tiktoken
 
-            with open(ranks, "rb") as f:
-                merge = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            #: Fixed: the published byte-level pre-tokenization pattern.
-            split = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-            self.fast = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=merge, special_tokens={})
+class Encoder:
+    """Token ids of whole texts by the library for the vocabulary file, as little-endian 32-bit arrays.
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and not self.other(text):
-            return np.asarray(self.fast.encode_ordinary(text), "<u4")
-        if self.exact is None:
-            self.exact = self.load()
-        return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
+    Texts break at single spaces, where the byte-level pattern always begins a new pre-token, so a word with the space
+    before it has the same ids wherever it stands: the library encodes the words of a batch that are new, a bounded
+    table holds those met before (``table`` entries). Texts with special strings or other runs of white space at
+    word starts go through the library whole, as all do with a vocabulary of another kind.
+    """
 
+    def __init__(self, path: str, table: int = TABLE):
+        from tokenizers import Tokenizer
 
-def _encoder(path: str, ranks: str | None) -> Encoder:
+        self.library, self.table = Tokenizer.from_file(path), table
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.by_words = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("dropout")
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.held = _Words()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        words: list[list[str] | None] = []
+        for text in texts:
+            first, *rest = text.split(" ")
+            usual = self.by_words and all(w and not w[0].isspace() for w in rest) and not any(s in text for s in self.special)
+            # A list of words keeps the space before each but the first.
+            words.append([first, *(" " + w for w in rest)] if usual else None)
+        need = list({w for row in words if row for w in row} - self.held.keys())
+        new = self.held.beyond = dict(zip(need, self._whole(need), strict=True))
+        self.held.update(islice(new.items(), max(self.table - len(self.held), 0)))
+        whole = iter(self._whole([t for t, row in zip(texts, words, strict=True) if row is None]))
+        return [np.frombuffer(next(whole) if row is None else b"".join(map(self.held.__getitem__, row)), "<u4") for row in words]
+
+
+def _encoder(path: str) -> Encoder:
+    """One encoder for each worker process, whose table serves task after task."""
     held = _encoder.__dict__.setdefault("held", {})
-    if (path, ranks) not in held:
-        held[path, ranks] = Encoder(path, ranks)
-    return held[path, ranks]
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
-def token_pieces(docs: DataFrame, path: str, ranks: str | None = None, cap: int = CAP, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: ids and the end token, longer ones cut, the first piece the shorter one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        encoder = _encoder(path, ranks)
+        encoder = _encoder(path)
 
         def step(batch: pa.RecordBatch) -> dict:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(texts_of(batch.column(1))):
-                ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
+            for i, found in enumerate(encoder.encode(texts_of(batch.column(1)))):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 n = len(ids)
                 cuts = [0, *range(n % cap or cap, n + 1, cap)]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -416,7 +429,7 @@ def pack(pieces: DataFrame, cap: int = CAP) -> DataFrame:
     return map_arrow(ranked, make, schema).unionByName(whole)
 
 
-def pack_documents(docs: DataFrame, path: str, ranks: str | None = None, cap: int = CAP, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every document."""
-    pieces = Scratch(docs.sparkSession, "pieces").cut(token_pieces(docs, path, ranks, cap, end_id).withColumn("piece_row", F.monotonically_increasing_id()), "pieces")
+    pieces = Scratch(docs.sparkSession, "pieces").cut(token_pieces(docs, path, cap, end_id).withColumn("piece_row", F.monotonically_increasing_id()), "pieces")
     return pack(pieces, cap)

@@ -134,10 +134,13 @@ def test_token_counts_and_ids_are_the_librarys(parts):
     text = "".join(parts)
     ids = LIBRARY.encode(text, add_special_tokens=False).ids
     assert COUNTER.count(text) == len(ids)
-    assert list(ENCODER.encode(text)) == ids
+    assert list(RANKED.encode(text)) == ids
+    for encoder in ENCODERS:
+        assert [list(x) for x in encoder.encode([text, "", text + " " + text])] == [ids, [], LIBRARY.encode(text + " " + text, add_special_tokens=False).ids]
 
 
-LIBRARY, COUNTER, ENCODER = library(), tokens.MergeCounter(VOCABULARY, cache=50), packing.Encoder(VOCABULARY, RANKS)
+LIBRARY, COUNTER, RANKED = library(), tokens.MergeCounter(VOCABULARY, cache=50), mixing.RankEncoder(VOCABULARY, RANKS)
+ENCODERS = packing.Encoder(VOCABULARY, table=5), packing.Encoder(VOCABULARY)
 
 
 def test_token_counts(spark):
@@ -174,10 +177,10 @@ def test_packing(spark):
     r = random.Random(5)
     texts = [*ODD, LONG] + [" ".join("word" for _ in range(r.randint(0, 1500))) for _ in range(150)] + ["same text"] * 40
     ids = list(range(len(texts) - 5)) + [0] * 5
-    rows = packing.pack_documents(documents(spark, texts, ids), VOCABULARY, RANKS).collect()
+    rows = packing.pack_documents(documents(spark, texts, ids), VOCABULARY).collect()
     bins, total = check_packing(rows, list(zip(ids, texts, strict=True)))
     assert bins <= -(-total // 1024) + 2
-    assert packing.pack_documents(documents(spark, []), VOCABULARY, RANKS).collect() == []
+    assert packing.pack_documents(documents(spark, []), VOCABULARY).collect() == []
 
 
 def least_bins(sizes, cap):
@@ -271,9 +274,9 @@ def test_ids_of_all_characters_are_the_librarys():
     points = [chr(c) for c in itertools.chain(range(0xD800), range(0xE000, 0x20000, 3))]
     for a in range(0, len(points), 50):
         text = "".join(f"a{c}a 1{c}1 .{c}. {c} {c}" for c in points[a : a + 50])
-        assert list(ENCODER.encode(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert list(RANKED.encode(text)) == list(ENCODERS[1].encode([text])[0]) == LIBRARY.encode(text, add_special_tokens=False).ids
     for text in ("a" + " " * 30_000 + "b", "\n" * 25_000):
-        assert list(ENCODER.encode(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert list(RANKED.encode(text)) == list(ENCODERS[1].encode([text])[0]) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 # --- html ----------------------------------------------------------------------------------------------
