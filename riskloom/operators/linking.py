@@ -145,6 +145,21 @@ def pair_metrics(accepted: DataFrame, truth: DataFrame) -> DataFrame:
     return c.select("arm", "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2.0 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)), 6).alias("f1"), F.round(F.col("fp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), 6).alias("false_merge_rate"))
 
 
+def false_splits(clusters: DataFrame, truth: DataFrame) -> DataFrame:
+    """By arm: entities with several records, and how many of them lie in more than one cluster."""
+    x = clusters.join(truth.select("arm", "pos", "entity"), ["arm", "pos"])
+    e = x.groupBy("arm", "entity").agg(F.count("*").alias("n"), (F.min("cluster") < F.max("cluster")).alias("split"))
+    return e.groupBy("arm").agg(F.count_if(F.col("n") > 1).alias("duplicated"), F.count_if((F.col("n") > 1) & F.col("split")).alias("false_splits"))
+
+
+def thinned(records: DataFrame, shares: DataFrame, seed: str = "17") -> DataFrame:
+    """Records of one arm of the fixture once for each row of shares (base, share), in an arm of that name: a second record stays for
+    that share of the entities only, so each smaller share is part of the larger ones."""
+    x = records.drop("arm").crossJoin(F.broadcast(shares)).withColumnRenamed("base", "arm")
+    kept = (F.col("pos") == F.col("entity") - 1) | (uniform(seed, F.lit("dup"), "entity") < F.col("share"))
+    return x.where(kept).select(*records.columns)
+
+
 def rings(toks: DataFrame, truth: DataFrame) -> DataFrame:
     """Groups of 3 to 12 records on equal device and address: size, first and third arrival, delay, and whether three members are of one true ring."""
     wide = toks.where(F.col("signal_type").isin("device", "address")).groupBy("arm", "pos").agg(

@@ -162,6 +162,29 @@ def link_program_gates(spark, sf):
     return gates(one, [("clean_f1", "a", 0.9, ">="), ("low_f1", "b", 0.8, ">="), ("false_merge", "c", 0.02, "<="), ("stability", "d", 0.02, "<=")])
 
 
+@query(f"""WITH {_COMP}, x AS (SELECT c.arm, entity, count(*) AS n, count(DISTINCT cluster) AS k FROM clusters c JOIN fixture f ON f.arm = c.arm AND f.pos = c.pos GROUP BY 1, 2)
+SELECT arm, count(*) FILTER (WHERE n > 1) AS duplicated, count(*) FILTER (WHERE n > 1 AND k > 1) AS false_splits FROM x GROUP BY 1""")
+def link_false_splits(spark, sf):
+    fix = cut(_fixture(spark, sf))
+    accepted = linking.score_pairs(linking.candidate_pairs(_exact(fix)), fix, KEY).where("accepted")
+    return linking.false_splits(linking.components(fix, accepted), fix)
+
+
+#: Shares of entities with a second record, from the fixture's own down.
+BASES = (("share_1", 0.05), ("share_2", 0.025), ("share_3", 0.01), ("share_4", 0.005), ("share_5", 0.0025))
+_BASE_FIX = f"""{_FIX.replace("fixture AS (", "every AS (", 1)}, bases(base, share) AS (VALUES {", ".join(f"('{b}', CAST({s} AS DOUBLE))" for b, s in BASES)}),
+fixture AS (SELECT base AS arm, pos, entity, ring, {", ".join(linking.SIGNALS)} FROM every, bases WHERE every.arm = 'clean' AND (pos = entity - 1 OR {_U("'dup'", "CAST(entity AS VARCHAR)")} < share))"""
+
+
+@query(f"WITH {_PM.replace(_FIX, _BASE_FIX)} SELECT share, pm.* FROM pm JOIN bases ON base = pm.arm")
+def link_base_rates(spark, sf):
+    """Clean records at falling rates of duplicates."""
+    bases = spark.createDataFrame(list(BASES), "base string, share double")
+    fix = cut(linking.thinned(_fixture(spark, sf).where("arm = 'clean'"), bases, SEED))
+    accepted = linking.score_pairs(linking.candidate_pairs(_exact(fix)), fix, KEY).where("accepted")
+    return linking.pair_metrics(accepted, fix).join(F.broadcast(bases.withColumnRenamed("base", "arm")), "arm")
+
+
 @query(f"WITH {_RINGS} SELECT * FROM rings")
 def link_rings(spark, sf):
     return linking.rings(_tokens(spark, sf), _fixture(spark, sf))

@@ -208,6 +208,17 @@ def test_linking_on_the_clean_fixture(spark):
     assert fix.exceptAll(linking.fixture(spark.range(1, 600), arms)).isEmpty()
 
 
+def test_false_splits_and_thinned_records(spark):
+    truth = frame(spark, [("a", 0, 1), ("a", 1, 1), ("a", 2, 2), ("a", 3, 2), ("a", 4, 3)], "arm string, pos long, entity long")
+    clusters = frame(spark, [("a", 0, 0), ("a", 1, 0), ("a", 2, 2), ("a", 3, 3), ("a", 4, 4)], "arm string, pos long, cluster long")
+    assert [tuple(r) for r in linking.false_splits(clusters, truth).collect()] == [("a", 2, 1)]
+    assert linking.false_splits(clusters.limit(0), truth).collect() == []
+    fix = linking.fixture(spark.range(1, 600), frame(spark, [("clean", 0.0, "email")], "arm string, rate double, signals string"))
+    got = linking.thinned(fix, frame(spark, [("all", 1.0), ("some", 0.02), ("none", 0.0)], "base string, share double"))
+    n = {r["arm"]: r["count"] for r in got.groupBy("arm").count().collect()}
+    assert n["all"] == fix.count() > n["some"] > n["none"] == 599
+
+
 def test_link_program_has_the_rates_and_seeds_of_the_reference(spark, sf):
     from riskloom.plans import QUERIES
 
