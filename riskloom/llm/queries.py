@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, media, mixing, neardup, packing, quality, secrets, tokens, topk, warc
+from . import align, html_text, media, mixing, neardup, packing, quality, secrets, shards, tokens, topk, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,7 +65,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
-ALL = (op1_media_columns, op2_best_fit_packing, op3_html_extraction, op4_mixing_sources, op5_token_counts, op6_exact_topk_search, op7_warc, op8_secret_scans, op9_quality_classifier, op10_ngram_jaccard_join)
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000, components=16)
+
+
+def op12_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+ALL = (op1_media_columns, op2_best_fit_packing, op3_html_extraction, op4_mixing_sources, op5_token_counts, op6_exact_topk_search, op7_warc, op8_secret_scans, op9_quality_classifier, op10_ngram_jaccard_join, op11_embedding_whitening, op12_token_id_shards, op13_tokenizer_alignment)
 
 
 def queries() -> dict[str, Query]:

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-#: Most rows of an Arrow batch between the JVM and Python; operators here lower the session's setting to it.
-BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most rows and bytes of an Arrow batch between the JVM and Python; operators here lower the session's settings to them.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -100,9 +100,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(kind)
-    # Whole texts are large: small batches keep the JVM's and the worker's buffers small.
-    if int(df.sparkSession.conf.get(_ROWS)) > BATCH_ROWS:
-        df.sparkSession.conf.set(_ROWS, str(BATCH_ROWS))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -115,6 +113,13 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, kind)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are large: small batches keep the JVM's and the worker's buffers small, by rows and by bytes."""
+    for key, most in ((_ROWS, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        if int(spark.conf.get(key).removesuffix("b")) > most:
+            spark.conf.set(key, str(most))
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
