@@ -14,8 +14,8 @@ import numpy as np
 
 from .tokens import _SPLIT, byte_symbols
 
-#: Entries of each table of a worker (about 150 bytes each); a full table is begun anew.
-TABLE = 200_000
+#: Entries of each of the two tables of a worker (about 150 bytes each); a full table is begun anew.
+TABLE = 500_000
 _STOPS = frozenset(".,;:!?")
 
 
@@ -55,23 +55,23 @@ class LibraryIds:
         class PreTokens(Table):
             def __missing__(self, part: str) -> bytes:
                 if part.isascii() and part[1:].isalpha():
-                    shown = space + part[1:] if part[0] == " " else part if part[0].isalpha() else None
+                    shown = space + part[1:] if part[0] == " " else part if part[0].isalpha() else part.translate(symbols)
                 else:
-                    shown = None
-                if shown is None:
                     shown = part.encode().decode("latin-1").translate(symbols)
                 ids = [t.id for t in merge(shown)]
                 return self.keep(part, packs[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes())
 
         class Words(Table):
-            """Ids of ' ' + word, by word. Letters, and letters before one stop, need no pattern to be cut."""
+            """Ids of ' ' + word, by word. Letters, letters before one stop, and letters after one line end need no pattern to be cut."""
 
             def __missing__(self, word: str) -> bytes:
-                if word.isascii():
-                    if word.isalpha():
-                        return self.keep(word, pre(" " + word))
-                    if word[:-1].isalpha() and word[-1:] in _STOPS:
-                        return self.keep(word, pre(" " + word[:-1]) + pre(word[-1]))
+                if word.isalpha():
+                    return self.keep(word, pre(" " + word))
+                if word[-1:] in _STOPS and word[:-1].isalpha():
+                    return self.keep(word, pre(" " + word[:-1]) + pre(word[-1]))
+                head, line, tail = word.partition("\n")
+                if line and head and tail.isalpha() and not head[-1].isspace():
+                    return self[head] + pre("\n") + pre(tail)
                 if not word or word[0].isspace():
                     raise _Odd
                 return self.keep(word, b"".join(map(pre, parts(" " + word))))
