@@ -9,10 +9,14 @@ characters and tags that are in links. Its composite density is
 (nLC: characters outside links; b: of the body; each of T, LC, LT and nLC is 1 at least). A node's density
 sum is the sum of its children's densities, and its own where it has text of its own; a node without blocks
 below it is one paragraph and has its own density only; what marks it up inside is no candidate. The least density on
-the path from the node of greatest sum up to the body is the threshold: every subtree at or above it yields
-its node of greatest sum, and the search goes on below. No element is taken because of its name. Subtrees
-that say by element, role, class or id that they are menus, adverts, comments and the like are left out
-before; inline elements only where they are adverts or links to share or skip.
+the path from the node of greatest sum up to below the body is the threshold (the body holds the rest of the page too): every subtree at or above it yields
+its node of greatest sum, and the search goes on below. All of this is measured on the whole page, before any
+name is looked at. Several found nodes below one container give way to their least common parent (the body is none); what
+stands beside a found node is not taken, but for headings before it and a parent that holds nothing else.
+
+Names come after: inside the chosen subtrees, elements that say by tag, role, class or id that they are menus, adverts, forms
+and the like are left out, unless they hold half of the chosen text or more. Menus, asides, footers, hidden elements and
+comments of readers are no candidates; if nothing but them has text, names of classes count for nothing.
 
 Null or blank html, or a page without text: empty text. Null url stays null. Rows repeat as they come.
 Other columns are not read.
@@ -34,15 +38,16 @@ from .util import map_arrow, texts_of
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|aria-hidden|hidden|type)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|\Z)""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "noframes", "xmp"}
-_ARTICLE = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Least density of a parent, as a share of the found node's, for it to be taken in its place.
-WIDEN = 0.5
+#: What a name says of an element: nothing, a word in it hints at noise, it is noise, its class says it is by readers, its tag says it is noise.
+CLEAN, HINT, NOISE, READERS, ASIDE = range(5)
+#: Share of the threshold for what lies in one container with the node of greatest sum, and the least share of that sum for a
+#: lone block elsewhere (a block without blocks has a density that no tags thin out).
+WIDEN, LONE = 0.5, 0.25
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "frame"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-#: Blocks that are no part of the text around them if all they hold is links.
-_LINKS_ONLY = _BLOCK - _HEADINGS - {"p"}
-_LEFT_OUT = {"nav", "footer", "aside", "form", "header", "menu", "button", "select", "dialog", "head", "fieldset", "label"}
+_ASIDE = {"nav", "footer", "aside", "menu", "dialog", "head", "button", "select", "label"}
+_SOFT = {"form", "fieldset", "header"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 #: Words of class and id values that mark what is not the article.
 _WORD = r"(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-bar|aside|footer|masthead|header|topbar|toolbar|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|pagination|pager|copyright|legal|disclaimer|paywall|skip\w*)"
@@ -53,13 +58,14 @@ _AFTER = r"(?:[_-](?:links?|buttons?|btns?|bar|box|lists?|icons?|posts?|articles
 _PLAIN = _WORD.replace(r"\w*", "[^\\W_]*")  # no word runs over a delimiter, so that a name is cut up in one way only
 _KNOWN = re.compile(rf"{_BEFORE}{_PLAIN}(?:[_-]{_PLAIN})*{_AFTER}", re.I)
 #: Names of what readers wrote, whatever elements it is made of.
-_READERS = re.compile(rf"{_BEFORE}(?:comments?|commentlist|disqus|respond|reply|replies)(?:[_-](?:comments?|respond|reply|replies))*{_AFTER}", re.I)
+_READERS = re.compile(rf"{_BEFORE}(?:comments?|commentlist|disqus|respond|reply|replies|(?:reader|user)[_-](?:responses?|reviews?|opinions?|letters?))(?:[_-](?:comments?|respond|reply|replies))*{_AFTER}", re.I)
 #: Values that tell a state of an element or of the page, not what the element is.
 _STATE = re.compile(r"(?:has|with|without|no|is|show|hide|hides)[_-].*|.*[_-](?:open|opened|closed|enabled|disabled|on|off|active|true|false)", re.I)
-#: What an inline element is left out for; links also where they share or skip.
-_ADVERT = re.compile(r"ads?|adv|advert[^\W_]*|adsense|ad[_-].*|.*[_-]ads?|sponsor[^\W_]*|promo[^\W_]*", re.I)
+#: Inline elements that may be adverts, and their names; links also where they share or skip.
+_CARRIERS = {"a", "span", "ins"}
+_ADVERT = re.compile(r"ads?|adv|advert[^\W_]*|adsense|ad[_-].*|.*[_-]ads?|sponsor[^\W_]*|promo", re.I)
 _SERVICE = re.compile(r"(?:share|skip|comments|reply)(?:[_-].*)?", re.I)
-#: Of those, what inside an article is the head of the article itself.
+#: Names of heads: of the article if a heading is in them.
 _TITLE = re.compile("header|masthead", re.I)
 _SAME = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "dt": {"dl"}, "dd": {"dl"}}
@@ -67,50 +73,48 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "inside", "holds", "nests", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "mark", "head", "out", "nests", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: int = 0):
-        self.tag, self.parent, self.kids, self.out = tag, parent, [], out
-        #: Whether it lies in an article, and whether one lies in it.
-        self.inside = parent is not None and (parent.inside or parent.tag in _ARTICLE)
-        self.holds = False
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.kids = tag, parent, []
+        #: What names say of it, whether they say it is a head, and whether it is left out of the text.
+        self.mark, self.head, self.out = CLEAN, False, 0
         #: Whether blocks lie in it.
         self.nests = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noisy(tag: str, attrs: str, inside_article: bool) -> int:
-    """0: counts; 1: left out by its class or as a form unless the article lies in it; 2: left out."""
-    out = 0
-    if tag in _LEFT_OUT and not (tag == "header" and inside_article):
-        if tag not in ("form", "fieldset"):
-            return 2
-        out = 1
+def _named(node: Node, attrs: str) -> None:
+    """What tag, role, class and id say of a node."""
+    tag, mark = node.tag, CLEAN
+    if tag in _ASIDE:
+        mark = ASIDE
+    elif tag in _SOFT:
+        mark, node.head = NOISE, tag == "header"
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 2
-        if name == "role" and value.lower() in _ROLES:
-            return 2
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
+            mark = ASIDE
         if name in ("class", "id") and tag not in ("body", "html", "main"):
-            if name == "id" and (tag in _HEADINGS or tag == "section" and inside_article and not _READERS.fullmatch(value)):
+            if name == "id" and (tag in _HEADINGS or tag == "section" and not _READERS.fullmatch(value)):
                 continue  # an anchor made of the heading's words
             for one in value.split():
                 if _STATE.fullmatch(one):
                     continue
                 if tag not in _BLOCK:
-                    out = out or int(bool(_ADVERT.fullmatch(one) or tag == "a" and _SERVICE.fullmatch(one)))
-                    continue
-                if _READERS.fullmatch(one):
-                    return 2
-                if tag == "article":
+                    if tag in _CARRIERS and (_ADVERT.fullmatch(one) or tag == "a" and _SERVICE.fullmatch(one)):
+                        mark = max(mark, NOISE)
+                elif _READERS.fullmatch(one):
+                    mark = max(mark, READERS)
+                elif tag == "article":
                     continue
-                if inside_article:
-                    out = out or int(bool(_KNOWN.fullmatch(one)) and not any(_TITLE.fullmatch(w[0].strip(" _-")) for w in _NOISE.finditer(one)))
+                elif _KNOWN.fullmatch(one):
+                    node.head = node.head or any(_TITLE.fullmatch(w[0].strip(" _-")) for w in _NOISE.finditer(one))
+                    mark = max(mark, NOISE)
                 elif _NOISE.search(one):
-                    out = 1
-    return out
+                    mark = max(mark, HINT)
+    node.mark = mark
 
 
 def parse(page: str) -> Node:
@@ -176,11 +180,7 @@ def parse(page: str) -> Node:
             if last is not None:
                 leave(last.parent)
         node = Node(tag, here)
-        node.out = _noisy(tag, attrs, node.inside)
-        if tag in _ARTICLE and not node.out:  # what holds the article is no side matter, whatever its class says
-            up = here
-            while up is not None and not up.holds:
-                up.holds, up.out, up = True, up.out if up.out == 2 else 0, up.parent
+        _named(node, attrs)
         here.kids.append(node)
         if tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK):
             here = node
@@ -193,13 +193,12 @@ def _find(page: str, tag: str, at: int) -> int:
 
 
 def _nodes(root: Node) -> list[Node]:
-    """All nodes that count, parents before children."""
+    """All nodes, parents before children."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
-        if not n.out:
-            order.append(n)
-            stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
+        order.append(n)
+        stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
     return order
 
 
@@ -226,61 +225,172 @@ def measure(root: Node) -> list[Node]:
         if not n.nests:
             n.total = n.density if n.tag in _BLOCK or n.parent is None or n.parent.nests else 0.0
             continue
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.out) + (n.density if any(isinstance(k, str) and k.strip() for k in n.kids) else 0.0)
+        n.total = sum(k.density for k in n.kids if isinstance(k, Node)) + (n.density if any(isinstance(k, str) and k.strip() for k in n.kids) else 0.0)
     return order
 
 
-def _around(n: Node, widened: set[int], passed: set[int], kids_of: dict[int, Iterator]) -> list[Node]:
-    """A found node with what stands beside it: its parent as long as that is not much thinner (without blocks of links only), then the headings
-    before it on the way up. Found nodes come in page order; the rest holds what was seen, so that nothing is gone through twice."""
-    while n.parent is not None and n.parent.density >= WIDEN * n.density:
-        n = n.parent
-        if id(n) not in widened:
-            widened.add(id(n))
-            for k in n.kids:
-                if isinstance(k, Node) and k.chars == k.link_chars and k.tag in _LINKS_ONLY:
-                    k.out = k.out or 1
-    got, up = [n], n
-    while up.parent is not None and id(up) not in passed:
-        passed.add(id(up))
-        for k in kids_of.setdefault(id(up.parent), iter(up.parent.kids)):
-            if k is up:
-                break
-            if isinstance(k, Node) and k.tag in _HEADINGS and not k.out:
-                got.append(k)
-        up = up.parent
-    return got
-
-
-def select(root: Node) -> list[Node]:
-    """The subtrees taken as the main text, in page order."""
-    order = measure(root)
+def found(order: list[Node], least_mark: int = READERS) -> tuple[Node | None, list[Node]]:
+    """(node of greatest density sum, topmost nodes that pass the threshold), names apart but for those marked ``least_mark`` or above."""
+    root = order[0]
+    apart: set[int] = set()
+    for n in order:
+        if n.mark >= least_mark or n.parent is not None and id(n.parent) in apart:
+            apart.add(id(n))
+    total = {id(n): n.total for n in order}
+    for p in {id(n.parent): n.parent for n in order if id(n) in apart and n.parent is not None and n.parent.nests}.values():
+        rest = sum(k.density for k in p.kids if isinstance(k, Node) and id(k) not in apart)
+        total[id(p)] = rest + (p.density if any(isinstance(k, str) and k.strip() for k in p.kids) else 0.0)
     place = {id(n): i for i, n in enumerate(order)}
     peak = {id(n): n for n in order}
     for n in reversed(order):  # children before parents
-        if n.parent is not None:
+        if n.parent is not None and id(n) not in apart:
             a, b = peak[id(n)], peak[id(n.parent)]
-            if (a.total, place[id(a)]) > (b.total, place[id(b)]):
+            if (total[id(a)], place[id(a)]) > (total[id(b)], place[id(b)]):
                 peak[id(n.parent)] = a
-
     best = peak[id(root)]
-    if not best.total:
-        return [root] if root.chars else []
-    least, up = best.density, best
-    while up is not None:
-        least, up = min(least, up.density), up.parent
-    found: dict[int, Node] = {}
+    if not total[id(best)]:
+        return None, []
+    trunk = _trunk(root)
+    path = _path(best)
+    below = path[path.index(trunk) + 1 :] if trunk in path else []
+    least = min(n.density for n in below or [best])
+    beside: set[int] = {id(below[0])} if below else set()  # what lies in the container of the best node, up to below the trunk
+    got: dict[int, Node] = {}
     for n in order:  # below a node that passes the search goes on, for what its peak does not hold
-        if n.density >= least and peak[id(n)].total:
-            found[id(peak[id(n)])] = peak[id(n)]
-    wanted: dict[int, Node] = {}
-    widened: set[int] = set()
-    passed: set[int] = set()
-    kids_of: dict[int, Iterator] = {}
-    for n in _topmost(order, found):
-        for k in _around(n, widened, passed, kids_of):
-            wanted[id(k)] = k
-    return _topmost(order, wanted)
+        if n.parent is not None and id(n.parent) in beside:
+            beside.add(id(n))
+        top = peak[id(n)]
+        if id(n) in apart or not total[id(top)]:
+            continue
+        if n.density >= least * (WIDEN if id(n) in beside else 1) and (top.nests or top is best or id(n) in beside or total[id(top)] >= LONE * total[id(best)]):
+            got[id(top)] = top
+    return best, _topmost(order, got)
+
+
+def _trunk(root: Node) -> Node:
+    """The body, or the wrapper inside it that has all its text, a menu (a block that is links for the most part) among it."""
+
+    def full(n: Node) -> list:
+        return [k for k in n.kids if (k.chars if isinstance(k, Node) else k.strip())]
+
+    trunk = root
+    while True:
+        kids = full(root)
+        if len(kids) != 1 or not isinstance(kids[0], Node):
+            return trunk
+        root = kids[0]
+        if any(isinstance(k, Node) and k.tag in _BLOCK and 2 * k.link_chars >= k.chars for k in full(root)):
+            trunk = root
+
+
+def _path(n: Node) -> list[Node]:
+    """From the body down to a node."""
+    up = [n]
+    while up[-1].parent is not None:
+        up.append(up[-1].parent)
+    return up[::-1]
+
+
+def _joined(order: list[Node], top: list[Node], trunk: Node) -> list[Node]:
+    """Found nodes, those in one child of the trunk by their least common parent."""
+    holds = {id(n): 1 for n in top}
+    for n in reversed(order):
+        if n.parent is not None and id(n) in holds:
+            holds[id(n.parent)] = holds.get(id(n.parent), 0) + holds[id(n)]
+    above, found_, out = {id(n) for n in _path(trunk)}, {id(n) for n in top}, []
+    stack = [order[0]]
+    while stack:
+        n = stack.pop()
+        if id(n) in found_:
+            out.append(n)
+            continue
+        kids = [k for k in n.kids if isinstance(k, Node) and id(k) in holds]
+        if id(n) in above or len(kids) == 1:
+            stack.extend(reversed(kids))
+        elif kids:
+            out.append(n)
+    return out
+
+
+def _heads(n: Node) -> list[Node]:
+    """Headings of a block that is one or is the head of something."""
+    if n.tag in _HEADINGS:
+        return [n]
+    if not n.head:
+        return []
+    return [k for k in _nodes(n) if k.tag in _HEADINGS]
+
+
+def _before(order: list[Node], top: list[Node]) -> list[Node]:
+    """The headings before chosen nodes on the way up to the body: first ones anywhere, others if nothing but headings stands between."""
+    on_path = {id(n) for n in top}
+    for n in reversed(order):
+        if n.parent is not None and id(n) in on_path:
+            on_path.add(id(n.parent))
+    chosen, got = {id(n) for n in top}, []
+    stack = [order[0]]
+    while stack:
+        n = stack.pop()
+        line: list[Node] = []
+        for k in n.kids if id(n) not in chosen else ():
+            if not isinstance(k, Node) or not k.chars:
+                continue
+            if id(k) in on_path:
+                got += line
+                line = []
+                stack.append(k)
+            else:
+                heads = _heads(k) if k.mark < READERS else []
+                line = [*(line if heads else [x for x in line if x.tag == "h1"]), *heads]
+    return got
+
+
+def select(root: Node, names: bool = True) -> list[Node]:
+    """The subtrees taken as the main text, in page order; what is left out inside them is marked. Without ``names`` density alone decides."""
+    order = measure(root)
+    best, top = found(order, READERS if names else ASIDE + 1)
+    if best is None and names:
+        best, top = found(order, ASIDE)
+    if best is None:
+        return [root] if root.chars and not any(n.mark == ASIDE and n.chars for n in order) else []
+    top = _joined(order, top, _trunk(root))
+    chosen = {id(n): n for n in top}
+    for n in reversed(order):  # a parent that holds nothing beside what is chosen, but for headings and text of its own
+        p = n.parent
+        if p is not None and id(n) in chosen and all(k is n or not isinstance(k, Node) or not k.chars or id(k) in chosen or k.tag not in _BLOCK or k.tag in _HEADINGS for k in p.kids):
+            chosen[id(p)] = p
+    top = _topmost(order, chosen)
+    chosen = {id(n): n for n in [*top, *_before(order, top)]}
+    top = _topmost(order, chosen)
+    if names:
+        _leave_out(order, top, best)
+    return [n for n in top if not n.out]
+
+
+def _leave_out(order: list[Node], top: list[Node], best: Node) -> None:
+    """Mark what names say is no part of the text, unless it holds half of the chosen text or more."""
+    half = sum(n.chars for n in top) / 2
+    main = {id(n) for n in _path(best)}
+    region: dict[int, bool] = {}  # nodes in chosen subtrees; whether the subtree is the one of the best node
+    chosen = {id(n) for n in top}
+    headed: set[int] = set()
+    for n in reversed(order):
+        if n.parent is not None and (n.tag in _HEADINGS or id(n) in headed):
+            headed.add(id(n.parent))
+    for n in order:
+        if id(n) in chosen:
+            region[id(n)] = id(n) in main or best is n
+        elif n.parent is not None and id(n.parent) in region:
+            region[id(n)] = region[id(n.parent)]
+        else:
+            continue
+        if n.mark == CLEAN or n.chars >= half and n.mark < READERS or id(n) in main:
+            continue
+        if n.mark == HINT and region[id(n)]:
+            continue  # a word in a name is not enough inside the main text
+        if n.head and region[id(n)] and n.mark < READERS and id(n) in headed:
+            continue
+        n.out = 1
 
 
 def _topmost(order: list[Node], chosen: dict[int, Node]) -> list[Node]:
@@ -324,10 +434,10 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, names: bool = True) -> str:
     if not page.strip():
         return ""
-    return "\n\n".join(b for n in select(parse(page)) for b in blocks(n))
+    return "\n\n".join(b for n in select(parse(page), names) for b in blocks(n))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -392,6 +392,80 @@ def test_html_densities_are_those_of_the_definition():
                 assert n.total == pytest.approx(sum(brute_density(k, root) for k in kids) + own)
 
 
+def articles(html):
+    """The article of a page by its own markup, and the page with all names of elements, classes and roles gone."""
+    inside = re.search(r"<article>.*?</article>", html, re.S)[0]
+    bare = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b", r"<\1div", html)
+    return "\n\n".join(html_text.blocks(html_text.parse(inside).kids[0])), re.sub(r'\s(class|id|role)="[^"]*"', "", bare)
+
+
+def test_html_density_alone_finds_the_articles(spark):
+    """Without a name to look at, and with the lists of names switched off, at least 95 of 100 articles come out letter for letter."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    alone = named = 0
+    for r in pages:
+        want, bare = articles(r["html"])
+        alone += html_text.main_text(bare, names=False) == want
+        named += html_text.main_text(r["html"]) == want
+    assert named == len(pages) and alone >= 0.95 * len(pages)
+
+
+def test_html_names_lose_no_article():
+    body = "".join(f"<p>Paragraph {i} of the story has a number of words in it, as paragraphs do.</p>" for i in range(5))
+    want = "\n\n".join(f"Paragraph {i} of the story has a number of words in it, as paragraphs do." for i in range(5))
+    for name in ("legal-analysis", "social-history", "widget", "sidebar", "comments", "promo-box"):
+        for links in ("", LINKS):
+            assert html_text.main_text(f'<body>{links}<div class="{name}">{body}</div></body>') == want, name
+    inline = '<p>The <em class="promotion">promoted</em> pawn <b class="ads">adds</b> up<span class="ad">Buy</span>.</p>'
+    assert html_text.main_text(f"<body><div>{body}{inline}</div></body>") == want + "\n\nThe promoted pawn adds up."
+    assert html_text.main_text(f'<body><article>{body}<div class="reader-responses"><p>I say.</p></div></article></body>') == want
+    for page in (f"<body>{LINKS}<header><h1>Head</h1></header><div>{body}</div></body>", f"<body><div><div>We use cookies.</div>{LINKS}<h1>Head</h1><div>{body}</div></div></body>"):
+        assert html_text.main_text(page) == "Head\n\n" + want
+
+
+def brute_select(root):
+    """(best node, threshold, peaks of the nodes that pass) by trying every node, on a page whose trunk is the body."""
+    order = html_text._nodes(root)
+
+    def below(n):
+        return [n, *(x for k in n.kids if isinstance(k, html_text.Node) for x in below(k))]
+
+    peak = lambda n: max(below(n), key=lambda x: (x.total, order.index(x)))
+    best = peak(root)
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    least = min(n.density for n in (path[:-1] or [root]))
+    container = below(path[-2]) if len(path) > 1 else []
+    got = []
+    for n in order:
+        top, near = peak(n), any(n is x for x in container)
+        if top.total and n.density >= least * (html_text.WIDEN if near else 1) and (top.nests or top is best or near or top.total >= html_text.LONE * best.total):
+            got.append(top)
+    inside = lambda n: any(n is x for g in got if g is not n for x in below(g))
+    return best, [n for n in order if any(n is g for g in got) and not inside(n)]
+
+
+def test_html_selection_is_that_of_the_definition():
+    r = random.Random(4)
+
+    def tree(depth):
+        tag = r.choice(["div", "p", "ul", "li", "a", "b", "section"])
+        return f"<{tag}>" + "".join(tree(depth - 1) if depth and r.random() < 0.6 else " ".join("word" * r.randint(1, 3) for _ in range(r.randint(0, 12))) for _ in range(r.randint(0, 4))) + f"</{tag}>"
+
+    seen = 0
+    for _ in range(150):
+        root = html_text.parse("".join(tree(4) for _ in range(3)))
+        order = html_text.measure(root)
+        best, top = html_text.found(order)
+        if best is None or html_text._trunk(root) is not root:
+            continue
+        seen += 1
+        want, nodes = brute_select(root)
+        assert best is want and [id(n) for n in top] == [id(n) for n in nodes]
+    assert seen > 50
+
+
 def test_html_names_of_elements_decide_nothing(spark):
     """On whole pages the text is the same when article and main are called div."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
