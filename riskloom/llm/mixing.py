@@ -20,6 +20,8 @@ keeps all columns, whatever they are called.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +41,8 @@ PER_DOMAIN = 1500
 WORDS, PRESENT = 256, 0.5
 #: Residual (share of all tokens) that is small, and a bound for all passes.
 TOLERANCE, PASSES = 1e-4, 200
-#: The fit ends where the objective falls by less than a share in so many passes. Thinning, whose bounds can seldom all be met and
-#: whose draws are noisier than what more passes gain, ends sooner.
-STALL, THIN_STALL = (1e-3, 10), (0.05, 5)
+#: The fit ends where the objective falls by less than a share in so many passes.
+STALL = (1e-3, 10)
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -269,7 +270,9 @@ def thin(docs: DataFrame, labels: DataFrame, path: str, ranks: str | None = None
     *names, rate, drawn = fresh(columns, *NAMES, "rate", "drawn")
     measured = _measured(docs.withColumn(drawn, F.xxhash64(F.lit(seed), "doc_id", "text")), model, path, ranks, [*columns, drawn], names)
     members = Scratch(docs.sparkSession, "thin").cut(measured, "memberships")
-    steps, _ = fit_rates(members.select(names), targets, 1.0, names=names, stall=THIN_STALL)
+    steps, report = fit_rates(members.select(names), targets, 1.0, names=names)
+    said = ", ".join(f"{d} {got:.4f} for {goal:.4f}" for d, got, goal in zip(DOMAINS, report["after"], report.get("goal", report["targets"]), strict=True))
+    logging.getLogger(__name__).warning("thinning: %s of all tokens after %d passes, residual %.5f", said, len(steps), report["residual"])
     below = F.pmod(F.col(drawn), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.col(rate)
     rated = with_rates(members, steps, 1.0, names, rate)
     return rated.where(below).select(*(F.col(f"`{c}`") for c in columns))
