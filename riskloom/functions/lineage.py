@@ -6,16 +6,12 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the session's shared folder (spark.checkpoint.dir), which survives lost executors.
-
-    Only where no folder is set and there is one machine, a temporary one is made and removed at exit; a cluster without
-    the setting is an error.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder (spark.checkpoint.dir); a temporary one where none is set and there is one machine."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         found = sc.getConf().get("spark.checkpoint.dir")
         if not found and sc.master.split("[")[0] != "local":
@@ -24,4 +20,14 @@ def cut(df: DataFrame) -> DataFrame:
             found = tempfile.mkdtemp(prefix="riskloom-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the session's shared folder (spark.checkpoint.dir), which survives lost executors.
+
+    Only where no folder is set and there is one machine, a temporary one is made and removed at exit; a cluster without
+    the setting is an error.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import learn, metrics
+from ..operators import explain, learn, metrics
 from ..operators.quantiles import exact_quantiles
 from ..sources.tables import applications, features
 from .registry import query
@@ -143,3 +143,21 @@ def variant_stress(spark, sf):
     test = d.where("period = 7")
     shifted = test.withColumn("challenger", F.least(F.col("challenger") + 0.1, F.lit(1.0)))
     return learn.variants(_logistic(d.where("period <= 5")), {"base": test, "no_discount": test.withColumn("avg_discount", F.lit(None).cast("double")), "moved_scores": shifted})
+
+
+def _tree_contributions(spark, sf):
+    d = _data(spark, sf)
+    model = learn.fit_trees(d.where("period <= 5"), NUMERIC, CATEGORICAL)
+    return explain.tree_contributions(model, d.where("period = 7"), ["pos"])
+
+
+@query()
+def tree_reason_codes(spark, sf):
+    """The three features that raise the margin of boosted trees most, for every row of the test period, by Shapley values."""
+    return explain.tree_reasons(_tree_contributions(spark, sf), [*NUMERIC, *CATEGORICAL], ["pos"])
+
+
+@query()
+def tree_global_importance(spark, sf):
+    """Mean absolute Shapley value of each feature of boosted trees over the test period."""
+    return explain.tree_importance(_tree_contributions(spark, sf), [*NUMERIC, *CATEGORICAL])
