@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import explain, learn, metrics
+from ..operators import explain, learn, metrics, search
 from ..operators.quantiles import exact_quantiles
 from ..sources.tables import applications, features
 from .registry import query
@@ -161,3 +161,15 @@ def tree_reason_codes(spark, sf):
 def tree_global_importance(spark, sf):
     """Mean absolute Shapley value of each feature of boosted trees over the test period."""
     return explain.tree_importance(_tree_contributions(spark, sf), [*NUMERIC, *CATEGORICAL])
+
+
+#: What the adaptive search may choose, and the share of the classes' weights evened out.
+SPACE: search.Space = {"rounds": search.Number(10, 30, step=10), "depth": search.Number(2, 5, step=1), "step": search.Number(0.035, 0.2, log=True), "share": search.Number(0.5, 1.0)}
+
+
+@query()
+def adaptive_search(spark, sf):
+    """The boosted-tree settings of the grid first, then proposals of Parzen estimators, on all rolling folds unless a median rule ends them."""
+    d = cut(_data(spark, sf).where("period <= 5"))
+    grid = [dict(zip(("rounds", "depth", "step", "share"), t, strict=True)) for t in TREES]
+    return search.search(d, lambda rows, **k: learn.fit_trees(rows, NUMERIC, CATEGORICAL, **k), SPACE, len(grid) + 3, first=grid)

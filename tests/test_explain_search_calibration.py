@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import explain, learn
+from riskloom.operators import explain, learn, search
 from riskloom.plans.models import CATEGORICAL, NUMERIC, _data
 
 
@@ -90,3 +90,50 @@ def test_contributions_of_a_fitted_model_add_up_to_its_margin(spark, sf):
     means = {r["feature"]: r["mean_contribution"] for r in explain.tree_importance(got, names).collect()}
     assert means == pytest.approx({n: float(np.mean([abs(r["contributions"][i]) for r in rows])) for i, n in enumerate(names)}, abs=1e-6)
     assert explain.tree_contributions(model, test.limit(0), ["pos"]).collect() == []
+
+
+# --- search --------------------------------------------------------------------------------------------
+
+SPACE = {"x": search.Number(0.0, 1.0), "n": search.Number(1, 9, step=2), "rate": search.Number(0.01, 1.0, log=True), "how": search.Choice(("a", "b", None))}
+
+
+def bowl(settings, fold):
+    """Best at x = 0.7, n = 5, rate = 0.1, how = b."""
+    return 1 - (settings["x"] - 0.7) ** 2 - 0.02 * abs(settings["n"] - 5) - 0.1 * abs(math.log10(settings["rate"]) + 1) - 0.2 * (settings["how"] != "b") - 0.01 * fold
+
+
+def test_search_repeats_prunes_and_gains():
+    one, two = (search.run(bowl, 3, SPACE, 40, seed=5) for _ in range(2))
+    assert [(t.settings, t.scores, t.objective) for t in one] == [(t.settings, t.scores, t.objective) for t in two]
+    assert any(t.pruned and len(t.scores) == 2 for t in one) and not any(t.pruned for t in one[:2])
+    for k, t in enumerate(one):
+        assert 0 <= t.settings["x"] <= 1 and t.settings["n"] in (1, 3, 5, 7, 9) and 0.01 <= t.settings["rate"] <= 1
+        finished = [o for o in one[:k] if not o.pruned]
+        cut = next((j for j in (2,) if len(finished) >= 2 and np.mean(t.scores[:j]) < np.median([np.mean(o.scores[:j]) for o in finished])), None)
+        assert t.pruned == (cut is not None)
+    best = lambda trials: max(t.objective for t in trials if not t.pruned)
+    gained = [best(search.run(bowl, 3, SPACE, 40, seed=s)) - max(1.1 * bowl({n: k.random(r) for n, k in SPACE.items()}, 1) for _ in range(40)) for s in range(8) for r in [random.Random(s)]]
+    assert np.mean(gained) > 0
+
+
+def test_search_is_never_worse_than_the_given_settings():
+    grid = [{"x": 0.7, "n": 5, "rate": 0.1, "how": "b"}, {"x": 0.0, "n": 1, "rate": 1.0, "how": "a"}]
+    done = search.run(bowl, 3, SPACE, 6, first=grid)
+    assert [t.settings for t in done[:2]] == grid and not any(t.pruned for t in done[:2])
+    assert max(t.objective for t in done if not t.pruned) >= done[0].objective
+
+
+def test_parzen_densities_are_densities():
+    for kind, values in ((SPACE["x"], [0.1, 0.1, 0.9]), (SPACE["rate"], [0.02, 0.5]), (SPACE["x"], [])):
+        p = search.Parzen(kind, values)
+        grid = np.linspace(p.low, p.high, 20_001)
+        assert np.mean([p.density(v) for v in grid]) * (p.high - p.low) == pytest.approx(1, abs=1e-3)
+        assert all(p.low <= p.draw(random.Random(i)) <= p.high for i in range(50))
+
+
+def test_search_on_models(spark, sf):
+    d = _data(spark, sf).where("period <= 5")
+    fit = lambda rows, reg: learn.fit_logistic(rows, NUMERIC, CATEGORICAL, reg)
+    rows = search.search(d, fit, {"reg": search.Number(1e-4, 1.0, log=True)}, 3, folds=((2, 3), (3, 4)), first=[{"reg": 0.01}, {"reg": 1.0}]).collect()
+    assert [r["trial"] for r in rows] == [0, 1, 2] and all(0 < r["mean"] <= 1 for r in rows)
+    assert all((r["objective"] is None) == (r["state"] == "pruned") for r in rows)
