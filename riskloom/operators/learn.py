@@ -10,13 +10,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.scalars import expit, logit, uniform
 from . import metrics
+from .isotonic import isotonic_fit, isotonic_knots, isotonic_predict
 from .quantiles import exact_quantiles
 from .queue import ranked
 
@@ -64,25 +64,19 @@ def platt(df: DataFrame, score: str = "score", label: str = "label") -> tuple[fl
     return float(m.coefficients[0]), float(m.intercept)
 
 
-def isotonic(df: DataFrame, score: str = "score", label: str = "label"):
-    x = df.select(F.col(score).alias("features"), F.col(label).cast("double").alias("label"))
-    return IsotonicRegression(featuresCol="features", labelCol="label").fit(x)
-
-
 def calibrator(df: DataFrame, score: str = "score", label: str = "label", tolerance: float = 0.01) -> tuple[str, DataFrame, Callable[[DataFrame], DataFrame]]:
     """(the chosen method, figures of both, a function that replaces the score by the calibrated one).
 
     Sigmoid unless isotonic's Brier score on the fitting rows is smaller by more than the tolerance.
     """
     a, b = platt(df, score, label)
-    steps = isotonic(df, score, label)
+    knots = isotonic_knots(isotonic_fit(df, [], score, label), score)
 
     def sigmoid(x: DataFrame) -> DataFrame:
         return x.withColumn(score, expit(a * logit(F.col(score)) + b))
 
     def stepped(x: DataFrame) -> DataFrame:
-        got = steps.transform(x.withColumn("features", F.col(score)))
-        return got.withColumn(score, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).drop("features", "prediction")
+        return isotonic_predict(x, knots, score)
 
     ways = {"sigmoid": sigmoid, "isotonic": stepped}
     both = None

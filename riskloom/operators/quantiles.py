@@ -7,6 +7,7 @@ rank falls are ordered. A group costs at most ``BUCKETS`` rows beside those buck
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,3 +62,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], column: str, qs: Sequence[
             out.append((a + (at - F.floor(at)) * (b - a)).alias(f"q{k}"))
             i += 2
     return found.select(*by, "n", *out)
+
+
+def upper_median(df: DataFrame, by: Sequence[str], column: str, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """(by…, n, q0): the value at rank n // 2, counted from 0, of each group's non-null values.
+
+    That is the least value whose share of values at or below it exceeds one half: the discrete quantile just above it."""
+    return exact_quantiles(df, by, column, [math.nextafter(0.5, 1.0)], discrete=True, bounds=bounds)

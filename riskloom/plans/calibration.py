@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import prior_shift as shift
-from ..operators import calibrate, policy
+from ..operators import calibrate, isotonic, policy
+from ..operators.quantiles import upper_median
 from ..sources.tables import APPS_SQL, SCORED_SQL, applications, scored
 from .queues import _RANKED, HEAD5
 from .registry import query
@@ -104,3 +105,52 @@ def walk_forward_interval(spark, sf):
     s = scored(applications(spark, sf)).where("model = 'challenger' and period between 3 and 7")
     folds = policy.capacity_curve(s, ["period"], [0.05]).select((F.col("caught") / F.col("positives")).alias("catch"))
     return calibrate.interval(folds, "catch", 5)
+
+
+@query(f"""WITH {APPS_SQL}, steps AS (SELECT period, challenger AS score, count(*) AS n, sum(label) AS tp FROM apps GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct, row_number() OVER w AS k FROM steps WINDOW w AS (PARTITION BY period ORDER BY score)),
+pairs AS (SELECT a.period, a.k AS a, b.k AS b, CAST(b.ct - a.ct + a.tp AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM c a JOIN c b ON a.period = b.period AND a.k <= b.k),
+least_mean AS (SELECT period, a, b, min(m) OVER (PARTITION BY period, a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM pairs)
+SELECT c.period, round(c.score, 9) AS score, CAST(c.n AS BIGINT) AS n, CAST(c.tp AS BIGINT) AS tp, round(max(m), 6) AS value FROM least_mean l JOIN c ON c.period = l.period AND c.k = l.b GROUP BY c.period, c.score, c.n, c.tp""")
+def isotonic_calibration(spark, sf):
+    """The isotonic fit of labels on the challenger's scores in every period; SQL takes the greatest of the least means of all ranges."""
+    a = applications(spark, sf).select("period", "label", F.col("challenger").alias("score"))
+    return isotonic.isotonic_fit(a, ["period"]).select("period", F.round("score", 9).alias("score"), "n", "tp", F.round("value", 6).alias("value"))
+
+
+def _newton_sql(steps: int) -> str:
+    """Newton's steps, one after another, from five sums of every group."""
+    parts = [
+        "g AS MATERIALIZED (SELECT model, period, " + _LOGIT.format(p="score") + " AS l, CAST(label AS DOUBLE) AS y FROM scored)",
+        "t0 AS (SELECT model, period, CAST(0 AS DOUBLE) AS a, ln(avg(y) / (1 - avg(y))) AS b FROM g GROUP BY 1, 2 HAVING avg(y) > 0 AND avg(y) < 1)",
+    ]
+    for k in range(steps):
+        parts.append(f"s{k} AS (SELECT model, period, a, b, sum((y - p) * l) - {isotonic.RIDGE} * a AS ga, sum(y - p) AS gb, sum(p * (1 - p) * l * l) + {isotonic.RIDGE} AS haa, sum(p * (1 - p) * l) AS hab, sum(p * (1 - p)) AS hbb FROM (SELECT g.*, a, b, 1 / (1 + exp(-(a * l + b))) AS p FROM g JOIN t{k} USING (model, period)) GROUP BY 1, 2, 3, 4)")
+        parts.append(f"t{k + 1} AS (SELECT model, period, a + (ga * hbb - gb * hab) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM s{k})")
+    parts.append(f"lines AS (SELECT model, period, a AS slope, b AS intercept, m AS mean_logit, q AS prevalence FROM (SELECT model, period, avg(l) AS m, avg(y) AS q FROM g GROUP BY 1, 2) LEFT JOIN t{steps} USING (model, period))")
+    return f"WITH {SCORED_SQL}, " + ", ".join(parts)
+
+
+@query(f"{_newton_sql(8)} SELECT model, period, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(mean_logit, 6) AS mean_logit, round(prevalence, 6) AS prevalence FROM lines")
+def calibration_newton(spark, sf):
+    """Slope and intercept of labels on logits for every model and period, by Newton steps."""
+    lines = isotonic.calibration_lines(scored(applications(spark, sf)), ["model", "period"])
+    return lines.select("model", "period", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "mean_logit", "prevalence")))
+
+
+@query(f"""{_newton_sql(8)}, parts AS (SELECT t.model, t.period, t.slope, t.intercept, -(t.slope - 1) * t.mean_logit AS slope_term, {_LOGIT.format(p="t.prevalence")} - {_LOGIT.format(p="b.prevalence")} AS prior_move FROM lines t LEFT JOIN lines b ON b.model = t.model AND b.period = t.period - 1)
+SELECT model, period, round(intercept, 6) AS intercept, round(slope_term, 6) AS slope_term, round(intercept - slope_term, 6) AS offset_at_scores, round(prior_move, 6) AS prior_move FROM parts""")
+def calibration_decomposition(spark, sf):
+    """The intercept split into what the slope puts there and the level error where scores lie, with the move of the prevalence from the period before."""
+    lines = isotonic.calibration_lines(scored(applications(spark, sf)), ["model", "period"])
+    before = lines.select("model", (F.col("period") + 1).alias("period"), F.col("prevalence").alias("prior"))
+    parts = isotonic.intercept_parts(lines.join(before, ["model", "period"], "left"))
+    return parts.select("model", "period", *(F.round(c, 6).alias(name) for c, name in (("intercept", "intercept"), ("slope_term", "slope_term"), ("offset", "offset_at_scores"), ("prior_move", "prior_move"))))
+
+
+@query(f"""WITH {APPS_SQL}, r AS (SELECT period, channel, challenger, row_number() OVER (PARTITION BY period, channel ORDER BY challenger) - 1 AS k, count(*) OVER (PARTITION BY period, channel) AS n FROM apps)
+SELECT period, channel, n, round(challenger, 9) AS upper_median FROM r WHERE k = n // 2""")
+def upper_medians(spark, sf):
+    """The score at rank n // 2 of every period and channel: of two middle ones the greater."""
+    a = applications(spark, sf)
+    return upper_median(a, ["period", "channel"], "challenger", bounds=(0.0, 1.0)).select("period", "channel", "n", F.round("q0", 9).alias("upper_median"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import explain, learn, search
+from riskloom.operators import explain, isotonic, learn, search
 from riskloom.plans.models import CATEGORICAL, NUMERIC, _data
 
 
@@ -137,3 +137,72 @@ def test_search_on_models(spark, sf):
     rows = search.search(d, fit, {"reg": search.Number(1e-4, 1.0, log=True)}, 3, folds=((2, 3), (3, 4)), first=[{"reg": 0.01}, {"reg": 1.0}]).collect()
     assert [r["trial"] for r in rows] == [0, 1, 2] and all(0 < r["mean"] <= 1 for r in rows)
     assert all((r["objective"] is None) == (r["state"] == "pruned") for r in rows)
+
+
+# --- isotonic fits and calibration lines ---------------------------------------------------------------
+
+
+def brute_isotonic(rows):
+    """Pool adjacent violators, one after another."""
+    blocks = []
+    for s in sorted({s for s, _ in rows}):
+        y = [v for t, v in rows if t == s]
+        blocks.append([[s], sum(y), len(y)])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+    return {s: t / n for scores, t, n in blocks for s in scores}
+
+
+@pytest.mark.parametrize("part", [3, 17, 1 << 16])
+def test_isotonic_fit_equals_pooling(spark, part):
+    r = random.Random(part)
+    groups = {
+        "a": [(round(r.random(), 2), int(r.random() < 0.4)) for _ in range(300)], "up": [(i / 50, int(i > 25)) for i in range(50)], "down": [(i / 50, int(i < 25)) for i in range(50)],
+        "one": [(0.5, 1)], "ties": [(0.3, i % 2) for i in range(40)], "skew": [(1e-6 * i, int(r.random() < i / 200)) for i in range(200)], None: [(0.1, 0), (0.2, 1), (0.15, 1)],
+    }
+    rows = [(g, s, y, 1, 2) for g, v in groups.items() for s, y in v] + [("a", None, 1, 1, 2), ("a", 0.5, None, 1, 2)]
+    df = spark.createDataFrame(rows, "g string, score double, label int, value int, cum_n int").select("g", "score", "label")
+    got = isotonic.isotonic_fit(df, ["g"], part=part).collect()
+    want = {(g, s): v for g, rows in groups.items() if g for s, v in brute_isotonic(rows).items()}
+    assert {(r["g"], r["score"]): r["value"] for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert isotonic.isotonic_fit(df.limit(0), ["g"]).collect() == [] and isotonic.isotonic_fit(df.limit(0).drop("g")).collect() == []
+
+
+def test_isotonic_prediction_is_the_engines(spark):
+    from pyspark.ml.regression import IsotonicRegression
+
+    r = random.Random(2)
+    df = spark.createDataFrame([(s, int(r.random() < s)) for s in (round(r.random(), 2) for _ in range(500))], "score double, label int")
+    test = spark.createDataFrame([(i / 400 - 0.1,) for i in range(480)], "score double")
+    ours = isotonic.isotonic_predict(test.withColumn("fit", F.col("score")), isotonic.isotonic_knots(isotonic.isotonic_fit(df, part=50)), "fit")
+    engine = IsotonicRegression(featuresCol="score", labelCol="label").fit(df.withColumn("label", F.col("label").cast("double")))
+    theirs = {r["score"]: r["prediction"] for r in engine.transform(test).collect()}
+    assert {r["score"]: r["fit"] for r in ours.collect()} == pytest.approx(theirs, abs=1e-9)
+    odd = spark.createDataFrame([(None,), (0.5,)], "score double")
+    assert [r["score"] is None for r in isotonic.isotonic_predict(odd, isotonic.isotonic_knots(isotonic.isotonic_fit(df))).collect()] == [True, False]
+
+
+def test_lines_are_the_likeliest_and_odd_groups_are_told(spark):
+    r = random.Random(8)
+    expit = lambda v: 1 / (1 + math.exp(-v))
+    line = [(s, int(r.random() < expit(0.6 * math.log(s / (1 - s)) - 0.4))) for s in (r.uniform(0.01, 0.99) for _ in range(3000))]
+    groups = {"line": line, "apart": [(0.1, 0), (0.2, 0), (0.8, 1), (0.9, 1)], "one": [(0.2, 1), (0.7, 1)], "same": [(0.3, 0), (0.3, 1), (0.3, 1)], None: line[:500]}
+    df = spark.createDataFrame([(g, s, y) for g, v in groups.items() for s, y in v] + [("line", None, 1), ("line", 0.4, None)], "g string, score double, label int")
+    got = {r["g"]: r for r in isotonic.calibration_lines(df, ["g"]).collect()}
+    assert set(got) == set(groups)
+    x, y = (np.array(v, float) for v in zip(*line, strict=True))
+    x = np.log(x / (1 - x))
+    for a, b, least in ((got["line"]["slope"], got["line"]["intercept"], True), (0.6, -0.4, False)):
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        if least:
+            assert abs(((y - p) * x).sum()) < 1e-5 and abs((y - p).sum()) < 1e-5
+    assert got["line"]["converged"] and abs(got["line"]["slope"] - 0.6) < 0.1 and got[None]["converged"]
+    assert not got["apart"]["converged"] and got["apart"]["slope"] > 1
+    assert got["one"]["slope"] is None and got["one"]["intercept"] is None and not got["one"]["converged"] and got["one"]["prevalence"] == 1
+    assert got["same"]["slope"] == pytest.approx(math.log(2) * math.log(0.3 / 0.7) / (1 + math.log(0.3 / 0.7) ** 2), abs=1e-2) or got["same"]["slope"] * math.log(0.3 / 0.7) + got["same"]["intercept"] == pytest.approx(math.log(2), abs=1e-3)
+    assert isotonic.calibration_lines(df.limit(0), ["g"]).collect() == []
+    alone = isotonic.calibration_lines(df.where("g = 'line'").drop("g"), []).first()
+    assert (alone["slope"], alone["intercept"]) == pytest.approx((got["line"]["slope"], got["line"]["intercept"]))
+    parts = isotonic.intercept_parts(isotonic.calibration_lines(df, ["g"]).where("g = 'line'").withColumn("prior", F.lit(0.5))).first()
+    assert parts["slope_term"] + parts["offset"] == pytest.approx(parts["intercept"])

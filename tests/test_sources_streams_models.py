@@ -208,6 +208,6 @@ def test_calibrators_recover_a_known_line(spark):
     df = p.select("score", (F.col("u") < expit(0.5 * logit(F.col("score")) - 0.3)).cast("int").alias("label"))
     a, b = learn.platt(df)
     assert abs(a - 0.5) < 0.1 and abs(b + 0.3) < 0.15
-    iso = learn.isotonic(df)
-    out = [r["prediction"] for r in iso.transform(df.select(F.col("score").alias("features"))).orderBy("features").collect()]
+    knots = learn.isotonic_knots(learn.isotonic_fit(df))
+    out = [r["fit"] for r in learn.isotonic_predict(df.withColumn("fit", F.col("score")), knots, "fit").orderBy("score").collect()]
     assert out == sorted(out) and 0 <= out[0] and out[-1] <= 1
