@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .queue import RANK_BUCKETS, RULES, headcount
+from .queue import RULES, headcount, rank_bucket
 
 #: Economic assumptions that are varied together (fixed values).
 EXPOSURE = (5000.0, 8900.0, 12500.0, 16900.0, 20000.0)
@@ -52,8 +52,7 @@ def policy_grid(flagged: DataFrame, models: Sequence[str], capacities: Sequence[
     spark = flagged.sparkSession
     bits = sum((F.when(F.col(r), F.shiftleft(F.lit(1), i)).otherwise(0) for i, r in enumerate(RULES)), F.lit(0)).cast("int")
     long = flagged.select(*by, tie, label, bits.alias("bits"), *models).unpivot([*by, tie, label, "bits"], list(models), "model", "score")
-    bucket = F.coalesce(F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * RANK_BUCKETS).cast("int"), F.lit(-1))
-    long = long.withColumn("bucket", bucket)
+    long = long.withColumn("bucket", rank_bucket(long, "score", tie)[0])
     group = [*by, "model", "mask"]
     masks = spark.range(1 << len(RULES)).select(F.col("id").cast("int").alias("mask"))
     caps = spark.createDataFrame([(float(c),) for c in capacities], "capacity double")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, right_closed_bin
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, spread
 
 BUCKETS = 256
 
@@ -21,7 +21,7 @@ BUCKETS = 256
 def score_steps(df: DataFrame, by: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
     """Distinct scores of each group with n, tp, and the rows and positives at or above them (cum_n, cum_tp)."""
     steps = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("tp"))
-    steps = steps.withColumn("bucket", F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int"))
+    steps = steps.withColumn("bucket", spread(df, score, F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int")))
     sums = steps.groupBy(*by, "bucket").agg(F.sum("n").alias("bn"), F.sum("tp").alias("bt"))
     above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*by, "bucket", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("base_n"), F.coalesce(F.sum("bt").over(above), F.lit(0)).alias("base_tp"))

@@ -2,7 +2,8 @@
 
 The engine's exact percentile holds all distinct values of a group in one task. Here values are counted first
 (a partial aggregation), counts are summed by bucket of equal width, and only the buckets in which a wanted
-rank falls are ordered. A group costs at most ``BUCKETS`` rows beside those buckets.
+rank falls are ordered. A group costs at most ``BUCKETS`` rows beside those buckets. Where values crowd in a few
+buckets, the buckets lie between splitters of a sketch instead.
 """
 
 from __future__ import annotations
@@ -14,6 +15,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 65_536
+#: Rows of a bucket that one task orders without trouble; bytes of input below which no bucket has more.
+CROWDED, SMALL = 1 << 20, 32 << 20
+#: Splitters of crowded values and of the ids of ties.
+SPLITTERS, TIE_SPLITTERS = 2048, 1024
+
+
+def place(x: Column, edges: Sequence[float]) -> Column:
+    """How many of the ascending edges are at or below x, by halving; NULL for NULL."""
+    e, m = F.array(*(F.lit(v) for v in edges)), len(edges)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(m.bit_length()))))
+    found = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= m) & (F.get(e, lo + s - 1) <= x), lo + s).otherwise(lo))
+    return F.when(x.isNotNull(), found)
+
+
+def splitters(df: DataFrame, column: str, n: int) -> list[float]:
+    """n - 1 values between which about as many rows lie, by a mergeable sketch; values that repeat are those of many ties."""
+    got = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0]
+    return list(got or [])
+
+
+def _input_bytes(df: DataFrame) -> int:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def crowded(df: DataFrame, bucket: Column) -> bool:
+    """Whether a bucket holds more rows than one task should order. Small inputs need no pass to tell."""
+    if _input_bytes(df) <= SMALL:
+        return False
+    return (df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0] or 0) > CROWDED
+
+
+def spread(df: DataFrame, column: str, plain: Column) -> Column:
+    """A bucket that rises with the column: ``plain`` (of equal width, as a rule) unless its buckets are crowded, then between splitters."""
+    if not crowded(df, plain):
+        return plain
+    return F.coalesce(place(F.col(column).cast("double"), sorted(set(splitters(df, column, SPLITTERS)))), F.lit(0)).cast("int")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], column: str, qs: Sequence[float], discrete: bool = False, bounds: tuple[float, float] | None = None) -> DataFrame:
@@ -28,8 +66,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], column: str, qs: Sequence[
         lo, hi = rows.agg(F.min("value_"), F.max("value_")).first()
         bounds = (lo or 0.0, hi if hi is not None and hi > (lo or 0.0) else (lo or 0.0) + 1.0)
     lo, hi = (float(b) for b in bounds)
-    place = F.least(F.greatest(F.floor((F.col("value_") - lo) / (hi - lo) * BUCKETS), F.lit(-1)), F.lit(BUCKETS)).cast("int")
-    keyed = rows.groupBy(*by, "value_").agg(F.count("*").alias("n_")).withColumn("bucket_", place)
+    cell = F.least(F.greatest(F.floor((F.col("value_") - lo) / (hi - lo) * BUCKETS), F.lit(-1)), F.lit(BUCKETS)).cast("int")
+    keyed = rows.groupBy(*by, "value_").agg(F.count("*").alias("n_")).withColumn("bucket_", spread(rows, "value_", cell))
     sums = keyed.groupBy(*by, "bucket_").agg(F.sum("n_").alias("in_"))
     group = Window.partitionBy(*by)
     sums = sums.withColumn("before_", F.sum("in_").over(group.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_")).withColumn("n", F.sum("in_").over(group))

@@ -2,7 +2,7 @@
 
 Ranks are taken within groups (model, period) in two steps: rows are ordered inside score buckets of the group,
 and the counts of the buckets above (a small aggregate) are added. So no task orders a whole group, however few
-groups there are. Ties fall by id. Rows whose group key is NULL take no part.
+groups there are, and where scores crowd the buckets are cut between splitters of a sketch. Ties fall by id. Rows whose group key is NULL take no part.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from . import quantiles
 from .quantiles import exact_quantiles
 
 
@@ -26,12 +28,32 @@ def headcount(n: Column, capacity: Column | float) -> Column:
 RANK_BUCKETS = 2048
 
 
+def rank_bucket(df: DataFrame, score: str, tie: str) -> tuple[Column, int]:
+    """(a bucket that falls from rank to rank, the number of buckets).
+
+    Of equal width as long as none is crowded. Else between splitters of a sketch of the scores, and rows of one score that
+    many share (NULL too) between splitters of their ids, so that no bucket has much more than its share whatever the scores are."""
+    plain = F.coalesce(F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * RANK_BUCKETS).cast("int"), F.lit(-1))
+    if not quantiles.crowded(df, plain):
+        return plain, RANK_BUCKETS + 2
+    edges = quantiles.splitters(df, score, quantiles.SPLITTERS)
+    heavy = sorted({a for a, b in zip(edges, edges[1:], strict=False) if a == b})
+    wide = quantiles.TIE_SPLITTERS
+    later = F.lit(0)
+    if isinstance(df.schema[tie].dataType, NumericType):
+        among = quantiles.place(F.col(tie).cast("double"), sorted(set(quantiles.splitters(df, tie, wide))))
+        shared = F.col(score).isNull() | F.col(score).cast("double").isin(heavy)
+        later = F.when(shared, F.coalesce(among, F.lit(0))).otherwise(0)
+    value = F.coalesce(quantiles.place(F.col(score).cast("double"), sorted(set(edges))), F.lit(-1))
+    return (value + 1) * wide + (wide - 1 - later), (len(edges) + 2) * wide
+
+
 def ranked(df: DataFrame, by: Sequence[str], score: str = "score", tie: str = "pos", forced: str | None = None) -> DataFrame:
     """df with ``rank`` (forced rows first, then by falling score, NULL last, then by id) and ``group_size``."""
-    bucket = F.coalesce(F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * RANK_BUCKETS).cast("int"), F.lit(-1))
+    bucket, buckets = rank_bucket(df, score, tie)
     order = [F.desc(score), F.asc(tie)]
     if forced:
-        bucket = bucket + F.when(F.col(forced), RANK_BUCKETS + 2).otherwise(0)
+        bucket = bucket + F.when(F.col(forced), buckets).otherwise(0)
         order = [F.desc(forced), *order]
     keyed = df.withColumn("bucket_", bucket)
     sums = keyed.groupBy(*by, "bucket_").agg(F.count("*").alias("in_"))

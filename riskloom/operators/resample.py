@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from .quantiles import spread
 
 #: Cumulative Poisson(1) probabilities of 0, 1, 2, … (fixed values).
 POISSON_1 = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
@@ -91,7 +92,7 @@ def positive_steps(df: DataFrame, score: str, label: str = "label") -> DataFrame
     Average precision looks at the scores of positives only, so it is the same on these, and rows of one step can be
     added up before anything is ordered. Two steps: inside buckets of scores, then the largest of the buckets below.
     """
-    bucket = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * STEP_BUCKETS).cast("int")
+    bucket = spread(df, score, F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * STEP_BUCKETS).cast("int"))
     hit = F.when(F.col(label) == 1, F.col(score))
     x = df.withColumn("bucket_", bucket)
     below = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
