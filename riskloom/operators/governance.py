@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uuid5
@@ -26,6 +26,14 @@ def register(registry: DataFrame, models: DataFrame, replaced: Sequence[str] = R
     return upsert(registry, kept.select(*columns), ["model_version"])
 
 
+def history(registrations: DataFrame, at: str) -> DataFrame:
+    """registrations with replaced_by (the next one of the version), current, and changed (the state differs from the one before)."""
+    w = Window.partitionBy("model_version").orderBy(at)
+    before = F.lag("approval_state").over(w)
+    out = registrations.where(F.col("model_version").isNotNull()).withColumn("replaced_by", F.lead(at).over(w))
+    return out.withColumn("current", F.col("replaced_by").isNull()).withColumn("changed", F.coalesce(before != F.col("approval_state"), F.lit(False)))
+
+
 def audit(events: DataFrame, more: DataFrame) -> DataFrame:
     """Append-only events: those whose event_id is there already are left out."""
     return upsert(events, more.dropDuplicates(["event_id"]).select(*events.columns), ["event_id"], update=False)

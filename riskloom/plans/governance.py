@@ -4,30 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, governance
+from ..operators import contract, dashboard, governance, metrics
+from ..sources.tables import APPS_SQL, SCORED_SQL, applications, scored
 from . import cards, curation, decisions, evaluation, links, queues, star  # noqa: F401  (fill the catalogue)
 from .registry import QUERIES, SQL, query
 
-VERSIONS = (("challenger", "v1", "candidate"), ("challenger", "v2", "approved"), ("incumbent", "v1", "retained"))
-_REGISTRY = "model_version string, dataset_version string, artifact_hash string, code_sha string, approval_state string, manifest string, promoted_at string"
 _PROJECT, _CODE = "riskloom", "c0de"
+#: Registration runs: their periods, code and dataset version. The second comes back to some versions of the first.
+RUNS = (("run1", 0, 4), ("run2", 3, 99))
+
+
+def registrations(spark, sf):
+    """A version of each model for every period that a run covers, from the applications scored in it: approved if its average
+    precision is above the prevalence, else a draft in the first run and retained later."""
+    s = scored(applications(spark, sf))
+    by = ["model", "period"]
+    steps = metrics.score_steps(s, by)
+    seen = s.groupBy(*by).agg(F.count("*").alias("n"), F.sum("label").alias("positives")).join(metrics.average_precision(steps, by), by)
+    runs = F.broadcast(spark.createDataFrame(RUNS, "run string, low int, high int"))
+    name = F.concat(F.col("model"), F.lit("-p"), F.col("period").cast("string"))
+    good = F.coalesce(F.round("average_precision", 6) > F.round(F.col("positives") / F.col("n"), 6), F.lit(False))
+    state = F.when(good, "approved").when(F.col("run") == RUNS[0][0], "draft").otherwise("retained")
+    manifest = F.to_json(F.struct("model", "period", "n", "positives", F.col("run").alias("code")))
+    rows = seen.join(runs, F.col("period").between(F.col("low"), F.col("high")))
+    return rows.select(
+        "run", name.alias("model_version"), F.concat(F.lit("orders-"), F.col("run")).alias("dataset_version"), F.sha2(F.concat_ws("|", name, F.col("n").cast("string"), F.col("positives").cast("string")), 256).alias("artifact_hash"),
+        F.col("run").alias("code_sha"), state.alias("approval_state"), manifest.alias("manifest"), F.col("run").alias("created_at"),
+    )
+
+
+_REGISTRATIONS = f"""{SCORED_SQL}, steps AS (SELECT model, period, score, sum(label) AS tp, count(*) AS n FROM scored GROUP BY 1, 2, 3),
+cum AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM steps WINDOW w AS (PARTITION BY model, period ORDER BY score DESC)),
+seen AS (SELECT model, period, CAST(sum(n) AS BIGINT) AS n, CAST(sum(tp) AS BIGINT) AS positives, sum(CAST(tp AS DOUBLE) * CAST(ct AS DOUBLE) / CAST(cn AS DOUBLE)) / nullif(CAST(sum(tp) AS DOUBLE), 0) AS ap FROM cum GROUP BY 1, 2),
+runs AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {lo}, {hi})" for r, lo, hi in RUNS)}) t(run, low, high)),
+regs AS (SELECT run, model || '-p' || CAST(period AS VARCHAR) AS model_version, 'orders-' || run AS dataset_version, sha256(model || '-p' || CAST(period AS VARCHAR) || '|' || CAST(n AS VARCHAR) || '|' || CAST(positives AS VARCHAR)) AS artifact_hash, run AS code_sha,
+  CASE WHEN coalesce(round(ap, 6) > round(positives / CAST(n AS DOUBLE), 6), FALSE) THEN 'approved' WHEN run = '{RUNS[0][0]}' THEN 'draft' ELSE 'retained' END AS approval_state,
+  '{{"model":"' || model || '","period":' || CAST(period AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || ',"positives":' || CAST(positives AS VARCHAR) || ',"code":"' || run || '"}}' AS manifest, run AS created_at
+  FROM seen JOIN runs ON period BETWEEN low AND high)"""
+
+
+@query(f"""WITH {_REGISTRATIONS}
+SELECT a.model_version, b.dataset_version, a.artifact_hash, a.code_sha, a.approval_state, a.manifest, b.created_at FROM (SELECT *, row_number() OVER (PARTITION BY model_version ORDER BY run DESC) AS k FROM regs) a JOIN (SELECT *, row_number() OVER (PARTITION BY model_version ORDER BY run) AS k FROM regs) b ON a.model_version = b.model_version WHERE a.k = 1 AND b.k = 1""")
+def model_registry(spark, sf):
+    """Two registrations of models scored on the applications: the second replaces state, manifest and hashes of known versions, adds new ones, and
+    leaves data set and date of the first."""
+    regs = registrations(spark, sf)
+    out = regs.drop("run").limit(0)
+    for run, _, _ in RUNS:
+        out = governance.register(out, regs.where(F.col("run") == run).drop("run"))
+    return out
 
 
-def _versions(spark, rows, code):
-    df = spark.createDataFrame(rows, "model string, version string, approval_state string")
-    name = F.concat_ws("-", "model", "version")
-    manifest = F.to_json(F.struct("model", "version", F.lit(code).alias("code")))
-    return df.select(name.alias("model_version"), F.lit("d1").alias("dataset_version"), F.sha2(name, 256).alias("artifact_hash"), F.lit(code).alias("code_sha"), "approval_state", manifest.alias("manifest"), F.lit(code).alias("promoted_at"))
-
-
-_ROWS = lambda rows, code: "SELECT * FROM (VALUES " + ", ".join(f"('{m}-{v}', 'd1', sha256('{m}-{v}'), '{code}', '{s}', '{{\"model\":\"{m}\",\"version\":\"{v}\",\"code\":\"{code}\"}}', 'a')" for m, v, s in rows) + ") t(model_version, dataset_version, artifact_hash, code_sha, approval_state, manifest, promoted_at)"
-
-
-@query(f"""SELECT model_version, dataset_version, artifact_hash, code_sha, approval_state, manifest, CASE WHEN model_version = 'challenger-v2' THEN 'b' ELSE promoted_at END AS promoted_at FROM ({_ROWS(VERSIONS, "b")} WHERE approval_state <> 'retained' UNION ALL {_ROWS(VERSIONS[2:], "a")})""")
-def model_registry(spark, sf):
-    """Two registrations: the second replaces state and manifest of a known version, adds a new one, and leaves the date of the first."""
-    first = governance.register(_versions(spark, VERSIONS[:0], "a"), _versions(spark, [("challenger", "v1", "draft"), VERSIONS[2]], "a"))
-    return governance.register(first, _versions(spark, VERSIONS[:2], "b"))
+@query(f"WITH {_REGISTRATIONS} SELECT model_version, run, approval_state, artifact_hash, lead(run) OVER w AS replaced_by, lead(run) OVER w IS NULL AS current, coalesce(lag(approval_state) OVER w <> approval_state, FALSE) AS changed FROM regs WINDOW w AS (PARTITION BY model_version ORDER BY run)")
+def registry_history(spark, sf):
+    """Every registration with the run that replaced it, and whether the state changed."""
+    return governance.history(registrations(spark, sf), "run").select("model_version", "run", "approval_state", "artifact_hash", "replaced_by", "current", "changed")
 
 
 def _events(spark, sf):
@@ -119,3 +150,64 @@ def bi_drift(spark, sf):
 @query(f"SELECT min(f1) AS worst_pairwise_f1, max(false_merge_rate) AS worst_false_merge_rate, count(*) AS linking_runs FROM ({SQL['link_program']})")
 def bi_linking(spark, sf):
     return QUERIES["link_program"](spark, sf).agg(F.min("f1").alias("worst_pairwise_f1"), F.max("false_merge_rate").alias("worst_false_merge_rate"), F.count("*").alias("linking_runs"))
+
+
+SOURCES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
+
+
+def _contract_rules():
+    """Rules of the five contracts under one another's names, for rows that have the fields of all."""
+    parts = {"application": contract.application_rules(SOURCES, 6), "score": contract.score_rules(SOURCES), "link": contract.link_rules(SOURCES), "request": contract.request_rules(), "result": contract.result_rules()}
+    return [contract.Rule(f"{part}: {r.name}", r.fine, r.shown) for part, rules in parts.items() for r in rules]
+
+
+#: Fields of the contracts, as expressions on applications that both engines read alike.
+_FIELDS = {
+    "dataset_version": "CASE WHEN period = 0 THEN NULL ELSE 'd1' END", "period": "period", "channel": "CASE WHEN nation = 3 THEN NULL ELSE channel END", "evidence_source": "channel", "model_version": "'m1'", "policy_version": "CASE WHEN nation = 4 THEN NULL ELSE 'p1' END",
+    "calibrated_fraud_probability": "round(challenger * 15e-1, 6)", "risk_band": "CASE WHEN incumbent_score < 0 THEN 'none' WHEN incumbent_score < 50 THEN 'low' WHEN incumbent_score < 90 THEN 'high' ELSE 'critical' END", "artifact_hash": "CASE WHEN label = 1 THEN NULL ELSE 'h' END",
+    "cluster_id": "CASE WHEN nation = 5 THEN NULL ELSE 'c1' END", "match_strength": "round(incumbent * 12e-1, 6)", "cluster_risk": "round(incumbent_score / 1e2, 6)", "score_cut": "round(challenger, 6)", "review_capacity": "round(nation / 24e0, 6)", "fraud_exposure": "CAST(incumbent_score AS DOUBLE)",
+    "review_cost": "CAST(nation AS DOUBLE)", "friction_cost": "CAST(custkey - 50 AS DOUBLE)", "idempotency_key": "substr(application_id, 1, CAST(nation + 1 AS INTEGER))", "catch_rate": "round(challenger, 6)", "false_positive_rate": "round(incumbent, 6)", "review_rate": "round(challenger + incumbent, 6)",
+    "queue_size": "nation", "overflow": "incumbent_score", "recommendation": "CASE WHEN segment = 'BUILDING' THEN NULL ELSE segment END",
+}
+
+
+def _contract_sql() -> str:
+    need = lambda f: f"{f} IS NOT NULL"
+    of = lambda f: f"({f} IS NULL OR {f} IN ({', '.join(repr(x) for x in SOURCES)}))"
+    span = lambda f, lo, hi=None: f"({f} IS NULL OR ({f} {lo}" + (f" AND {f} <= {hi}" if hi is not None else "") + "))"
+    source = "evidence_source is one of " + ", ".join(SOURCES)
+    bands = ("low", "medium", "high", "critical")
+    rules = [
+        *(("application: " + n, c, v) for n, c, v in (
+            ("dataset_version is required", need("dataset_version"), None), ("application_id is required", need("application_id"), None), ("application_id has 1 characters or more", "(application_id IS NULL OR length(application_id) >= 1)", "application_id"), ("period is required", need("period"), None),
+            ("period in [0, 6]", span("period", ">= 0", 6), "period"), ("channel is required", need("channel"), None), ("evidence_source is required", need("evidence_source"), None), (source, of("evidence_source"), "evidence_source"))),
+        *(("score: " + n, c, v) for n, c, v in (
+            ("application_id is required", need("application_id"), None), ("model_version is required", need("model_version"), None), ("calibrated_fraud_probability is required", need("calibrated_fraud_probability"), None), ("calibrated_fraud_probability in [0, 1]", span("calibrated_fraud_probability", ">= 0", 1), "calibrated_fraud_probability"),
+            ("risk_band is required", need("risk_band"), None), ("risk_band is one of " + ", ".join(bands), f"(risk_band IS NULL OR risk_band IN {bands})", "risk_band"), ("reason_codes is required", need("reason_codes"), None), ("artifact_hash is required", need("artifact_hash"), None), ("evidence_source is required", need("evidence_source"), None), (source, of("evidence_source"), "evidence_source"))),
+        *(("link: " + n, c, v) for n, c, v in (
+            ("application_id is required", need("application_id"), None), ("cluster_id is required", need("cluster_id"), None), ("match_strength is required", need("match_strength"), None), ("match_strength in [0, 1]", span("match_strength", ">= 0", 1), "match_strength"), ("cluster_risk is required", need("cluster_risk"), None),
+            ("cluster_risk in [0, 1]", span("cluster_risk", ">= 0", 1), "cluster_risk"), ("signal_types is required", need("signal_types"), None), (source, of("evidence_source"), "evidence_source"))),
+        *(("request: " + n, c, v) for n, c, v in (
+            ("model_version is required", need("model_version"), None), ("policy_version is required", need("policy_version"), None), ("score_cut is required", need("score_cut"), None), ("score_cut in [0, 1]", span("score_cut", ">= 0", 1), "score_cut"), ("review_capacity is required", need("review_capacity"), None), ("review_capacity in (0, 1]", span("review_capacity", "> 0", 1), "review_capacity"),
+            *((x, c, v) for f in ("fraud_exposure", "review_cost", "friction_cost") for x, c, v in ((f"{f} is required", need(f), None), (f"{f} in [0, ]", span(f, ">= 0"), f))), ("idempotency_key is required", need("idempotency_key"), None), ("idempotency_key has 8 to 128 characters", "(idempotency_key IS NULL OR length(idempotency_key) BETWEEN 8 AND 128)", "idempotency_key"))),
+        *(("result: " + n, c, v) for n, c, v in (
+            ("model_version is required", need("model_version"), None), ("policy_version is required", need("policy_version"), None), *((x, c, v) for f in ("catch_rate", "false_positive_rate", "review_rate") for x, c, v in ((f"{f} is required", need(f), None), (f"{f} in [0, 1]", span(f, ">= 0", 1), f))),
+            *((x, c, v) for f in ("queue_size", "overflow") for x, c, v in ((f"{f} is required", need(f), None), (f"{f} in [0, ]", span(f, ">= 0"), f))), ("recommendation is required", need("recommendation"), None), ("refusal_reasons is required", need("refusal_reasons"), None),
+            ("capacity overflow has a refusal reason", "coalesce(overflow <= 0 OR len(refusal_reasons) > 0, FALSE)", "overflow"))),
+    ]
+    fields = ", ".join(f"{e} AS {n}" for n, e in _FIELDS.items())
+    rows = f"WITH {APPS_SQL}, r AS (SELECT pos, CASE WHEN nation = 6 THEN NULL ELSE application_id END AS application_id, {fields}, CASE WHEN nation = 7 THEN NULL ELSE [channel] END AS reason_codes, CASE WHEN nation = 8 THEN NULL ELSE [segment] END AS signal_types, CASE WHEN nation = 9 THEN NULL WHEN nation > 12 THEN [] ELSE ['a'] END AS refusal_reasons FROM apps)"
+    quote = lambda n: n.replace("'", "''")
+    return rows + " " + " UNION ALL ".join(f"SELECT '{quote(n)}' AS rule, count(*) AS rows, count(*) FILTER (WHERE NOT ({c})) AS broken FROM r" for n, c, _ in rules)
+
+
+@query(_contract_sql())
+def contract_violations(spark, sf):
+    """How many applications break each rule of the contracts of applications, scores, links, strategy requests and results; all rules in one pass."""
+    a = applications(spark, sf)
+    without = lambda n, c: F.when(F.col("nation") == n, None).otherwise(c)
+    rows = a.select(
+        "pos", without(6, F.col("application_id")).alias("application_id"), *(F.expr(e).alias(n) for n, e in _FIELDS.items()),
+        without(7, F.array("channel")).alias("reason_codes"), without(8, F.array("segment")).alias("signal_types"), without(9, F.when(F.col("nation") > 12, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))).alias("refusal_reasons"),
+    )
+    return contract.summary(rows, _contract_rules()).select("rule", "rows", "broken")
