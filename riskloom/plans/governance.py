@@ -79,10 +79,109 @@ def audit_events(spark, sf):
     return governance.audit(governance.audit(once.limit(0), once), _events(spark, sf))
 
 
-#: Tables of the star extract, and the query whose rows their evidence document holds.
+@query(f"""SELECT count(*) AS drift_checks, count(*) FILTER (WHERE status = 'warn') AS drift_warnings, count(*) FILTER (WHERE status = 'block') AS drift_blocks, max(psi) AS max_psi, CAST(count(*) FILTER (WHERE status = 'warn') AS VARCHAR) || ' warnings, ' || CAST(count(*) FILTER (WHERE status = 'block') AS VARCHAR) || ' blocks' AS drift_summary FROM ({SQL["drift_matrix"]})""")
+def bi_drift(spark, sf):
+    d = QUERIES["drift_matrix"](spark, sf).agg(F.count("*").alias("drift_checks"), F.count_if(F.col("status") == "warn").alias("drift_warnings"), F.count_if(F.col("status") == "block").alias("drift_blocks"), F.max("psi").alias("max_psi"))
+    return d.withColumn("drift_summary", F.concat(F.col("drift_warnings").cast("string"), F.lit(" warnings, "), F.col("drift_blocks").cast("string"), F.lit(" blocks")))
+
+
+@query(f"SELECT DISTINCT a.model AS comparator_key, a.model = g.champion AS is_champion, a.model <> g.champion AS is_challenger FROM ({SQL['average_precision']}) a, ({SQL['governance_refusal']}) g")
+def extract_comparators(spark, sf):
+    """The models that are compared, and which of them is the champion."""
+    champion = F.broadcast(QUERIES["governance_refusal"](spark, sf).select("champion"))
+    m = QUERIES["average_precision"](spark, sf).select("model").distinct().crossJoin(champion)
+    return m.select(F.col("model").alias("comparator_key"), (F.col("model") == F.col("champion")).alias("is_champion"), (F.col("model") != F.col("champion")).alias("is_challenger"))
+
+
+#: Variants of the challenger's score under which it is looked at again: as it is, moved up, and in ten steps.
+VARIANTS = {"base": "challenger", "moved_scores": "least(challenger + 1e-1, 1e0)", "coarse_scores": "floor(challenger * 1e1) / 1e1"}
+
+
+def _variants(spark, sf):
+    a = applications(spark, sf).select("pos", "label", *(F.expr(e).cast("double").alias(n) for n, e in VARIANTS.items()))
+    return a.unpivot(["pos", "label"], list(VARIANTS), "evidence_source_key", "score")
+
+
+_VARIANT_ROWS = APPS_SQL + ", v AS (" + " UNION ALL ".join(f"SELECT pos, label, '{n}' AS evidence_source_key, CAST({e} AS DOUBLE) AS score FROM apps" for n, e in VARIANTS.items()) + ")"
+
+
+@query(f"""WITH {_VARIANT_ROWS} SELECT evidence_source_key, 'Orders' AS family, count(*) AS applications FROM v GROUP BY 1 UNION ALL SELECT 'link_fixture', 'Synthetic fixture', count(*) FROM ({SQL["link_fixture"]})""")
+def extract_sources(spark, sf):
+    """Where evidence comes from: the variants of the scored applications, and the fixture of linking."""
+    v = _variants(spark, sf).groupBy("evidence_source_key").agg(F.count("*").alias("applications")).select("evidence_source_key", F.lit("Orders").alias("family"), "applications")
+    return v.unionByName(QUERIES["link_fixture"](spark, sf).agg(F.count("*").alias("applications")).select(F.lit("link_fixture").alias("evidence_source_key"), F.lit("Synthetic fixture").alias("family"), "applications"))
+
+
+@query(f"""WITH {_VARIANT_ROWS}, steps AS (SELECT evidence_source_key, score, count(*) AS n, sum(label) AS tp FROM v GROUP BY 1, 2),
+cum AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM steps WINDOW w AS (PARTITION BY evidence_source_key ORDER BY score DESC)),
+m AS (SELECT evidence_source_key, 'average_precision' AS metric_name, sum(CAST(tp AS DOUBLE) * CAST(ct AS DOUBLE) / CAST(cn AS DOUBLE)) / CAST(sum(tp) AS DOUBLE) AS metric_value FROM cum GROUP BY 1
+  UNION ALL SELECT evidence_source_key, 'brier', avg((score - label) * (score - label)) FROM v GROUP BY 1 UNION ALL SELECT evidence_source_key, 'prevalence', avg(label) FROM v GROUP BY 1)
+SELECT m.evidence_source_key, c.applications, metric_name, round(metric_value, 6) AS metric_value FROM m JOIN (SELECT evidence_source_key, count(*) AS applications FROM v GROUP BY 1) c USING (evidence_source_key)""")
+def extract_variants(spark, sf):
+    """The challenger's figures under every variant of its score."""
+    v, by = _variants(spark, sf), ["evidence_source_key"]
+    one = metrics.average_precision(metrics.score_steps(v, by), by).join(metrics.losses(v, by).select(*by, "brier", "prevalence"), by).join(v.groupBy(*by).agg(F.count("*").alias("applications")), by)
+    return one.unpivot([*by, "applications"], ["average_precision", "brier", "prevalence"], "metric_name", "metric_value").withColumn("metric_value", F.round("metric_value", 6))
+
+
+_METRIC_SOURCES = {"average_precision": "average_precision", "auroc": "auroc", "ece": "ece_15", "brier": "brier_logloss", "log_loss": "brier_logloss", "prevalence": "brier_logloss"}
+
+
+@query(" UNION ALL ".join(f"SELECT model AS comparator_key, 'base' AS evidence_source_key, '{m}' AS metric_name, {m} AS metric_value FROM ({SQL[q]})" for m, q in _METRIC_SOURCES.items()))
+def extract_model_metrics(spark, sf):
+    """Every figure of every model, a row each."""
+    out = None
+    for m, q in _METRIC_SOURCES.items():
+        one = QUERIES[q](spark, sf).select(F.col("model").alias("comparator_key"), F.lit("base").alias("evidence_source_key"), F.lit(m).alias("metric_name"), F.col(m).alias("metric_value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT gate AS gate_key, passed AS gate_passed, 'Model promotion' AS gate_family FROM ({SQL['promotion_gates']}) UNION ALL SELECT gate, passed, 'Identity linking' FROM ({SQL['link_program_gates']})")
+def extract_gates(spark, sf):
+    of = lambda q, family: QUERIES[q](spark, sf).select(F.col("gate").alias("gate_key"), F.col("passed").alias("gate_passed"), F.lit(family).alias("gate_family"))
+    return of("promotion_gates", "Model promotion").unionByName(of("link_program_gates", "Identity linking"))
+
+
+@query(f"""WITH g AS ({SQL["governance_refusal"]}), d AS ({SQL["bi_drift"]}), l AS ({SQL["link_program_gates"]}), {APPS_SQL}
+SELECT 'champion' AS context_key, champion AS context_value FROM g UNION ALL SELECT 'strategy_recommendation', recommendation FROM g UNION ALL SELECT 'drift_warnings', CAST(drift_warnings AS VARCHAR) FROM d UNION ALL SELECT 'drift_blocks', CAST(drift_blocks AS VARCHAR) FROM d
+UNION ALL SELECT 'linking_all_gates_pass', CASE WHEN bool_and(passed) THEN 'true' ELSE 'false' END FROM l UNION ALL SELECT 'applications', CAST(count(*) AS VARCHAR) FROM apps
+UNION ALL SELECT 'refusal_reason_' || CAST(k AS VARCHAR), r FROM (SELECT unnest(string_split(reasons, '; ')) AS r, generate_subscripts(string_split(reasons, '; '), 1) AS k FROM g WHERE reasons <> '')""")
+def extract_run_context(spark, sf):
+    """What the extract says of its run, key by key; refusal reasons are numbered."""
+    pair = lambda df, key, value: df.select(F.lit(key).alias("context_key") if isinstance(key, str) else key.alias("context_key"), value.cast("string").alias("context_value"))
+    g, d = QUERIES["governance_refusal"](spark, sf), QUERIES["bi_drift"](spark, sf)
+    passed = QUERIES["link_program_gates"](spark, sf).agg(F.bool_and("passed").alias("p"))
+    why = g.where("reasons <> ''").select(F.posexplode(F.split("reasons", "; ")).alias("k", "r"))
+    parts = [
+        pair(g, "champion", F.col("champion")), pair(g, "strategy_recommendation", F.col("recommendation")), pair(d, "drift_warnings", F.col("drift_warnings")), pair(d, "drift_blocks", F.col("drift_blocks")), pair(passed, "linking_all_gates_pass", F.col("p")),
+        pair(applications(spark, sf).agg(F.count("*").alias("n")), "applications", F.col("n")), pair(why, F.concat(F.lit("refusal_reason_"), (F.col("k") + 1).cast("string")), F.col("r")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH c AS ({SQL["extract_comparators"]}), s AS ({SQL["extract_sources"]})
+SELECT 'fact_model_metric' AS fact, count(*) FILTER (WHERE comparator_key NOT IN (SELECT comparator_key FROM c)) AS comparators_missing, count(*) FILTER (WHERE evidence_source_key NOT IN (SELECT evidence_source_key FROM s)) AS sources_missing FROM ({SQL["extract_model_metrics"]})
+UNION ALL SELECT 'fact_capacity', count(*) FILTER (WHERE model NOT IN (SELECT comparator_key FROM c)), 0 FROM ({SQL["capacity_sweep_wilson"]}) UNION ALL SELECT 'fact_variant', 0, count(*) FILTER (WHERE evidence_source_key NOT IN (SELECT evidence_source_key FROM s)) FROM ({SQL["extract_variants"]})""")
+def extract_orphans(spark, sf):
+    """Rows of facts whose key is in no dimension: none."""
+    c, s = QUERIES["extract_comparators"](spark, sf).select("comparator_key"), QUERIES["extract_sources"](spark, sf).select("evidence_source_key")
+    facts = {"fact_model_metric": QUERIES["extract_model_metrics"](spark, sf), "fact_capacity": QUERIES["capacity_sweep_wilson"](spark, sf).withColumnRenamed("model", "comparator_key"), "fact_variant": QUERIES["extract_variants"](spark, sf)}
+    out = None
+    for name, fact in facts.items():
+        missing = lambda dim, key: fact.join(F.broadcast(dim), key, "left_anti").agg(F.count("*").alias(f"{key}_n")) if key in fact.columns else spark.range(1).select(F.lit(0).cast("long").alias(f"{key}_n"))  # noqa: B023, E731
+        one = missing(c, "comparator_key").crossJoin(missing(s, "evidence_source_key")).select(F.lit(name).alias("fact"), F.col("comparator_key_n").alias("comparators_missing"), F.col("evidence_source_key_n").alias("sources_missing"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Tables of the star extract, and the query whose rows their evidence document holds (each is held against SQL row by row).
 EXTRACT = {
-    "dim_comparator": "model_comparison", "dim_evidence_source": "validate_source", "fact_model_metric": "ece_15", "fact_capacity": "capacity_sweep_wilson", "fact_promotion_gate": "promotion_gates",
-    "fact_strategy_policy": "policy_cards", "fact_fairness_group": "segment_parity", "fact_drift": "drift_matrix", "fact_variant": "error_cohorts", "fact_linking_run": "audit_events", "fact_monthly_kpi": "kpi_monthly_lag", "fact_run_context": "scenario_runs",
+    "dim_comparator": "extract_comparators", "dim_evidence_source": "extract_sources", "fact_model_metric": "extract_model_metrics", "fact_capacity": "capacity_sweep_wilson", "fact_promotion_gate": "extract_gates",
+    "fact_strategy_policy": "policy_cards", "fact_fairness_group": "segment_parity", "fact_drift": "drift_matrix", "fact_variant": "extract_variants", "fact_linking_run": "link_program", "fact_data_quality": "validate_source", "fact_run_context": "extract_run_context",
 }
 
 
@@ -141,12 +240,6 @@ def bi_segments(spark, sf):
     return QUERIES["fairness_review"](spark, sf).agg(F.sum("publishable_groups").alias("publishable_groups"), F.sum("withheld_groups").alias("withheld_groups"), F.count_if(F.col("reasons") != "").alias("segments_triggering_review"))
 
 
-@query(f"""SELECT count(*) AS drift_checks, count(*) FILTER (WHERE status = 'warn') AS drift_warnings, count(*) FILTER (WHERE status = 'block') AS drift_blocks, max(psi) AS max_psi, CAST(count(*) FILTER (WHERE status = 'warn') AS VARCHAR) || ' warnings, ' || CAST(count(*) FILTER (WHERE status = 'block') AS VARCHAR) || ' blocks' AS drift_summary FROM ({SQL["drift_matrix"]})""")
-def bi_drift(spark, sf):
-    d = QUERIES["drift_matrix"](spark, sf).agg(F.count("*").alias("drift_checks"), F.count_if(F.col("status") == "warn").alias("drift_warnings"), F.count_if(F.col("status") == "block").alias("drift_blocks"), F.max("psi").alias("max_psi"))
-    return d.withColumn("drift_summary", F.concat(F.col("drift_warnings").cast("string"), F.lit(" warnings, "), F.col("drift_blocks").cast("string"), F.lit(" blocks")))
-
-
 @query(f"SELECT min(f1) AS worst_pairwise_f1, max(false_merge_rate) AS worst_false_merge_rate, count(*) AS linking_runs FROM ({SQL['link_program']})")
 def bi_linking(spark, sf):
     return QUERIES["link_program"](spark, sf).agg(F.min("f1").alias("worst_pairwise_f1"), F.max("false_merge_rate").alias("worst_false_merge_rate"), F.count("*").alias("linking_runs"))
