@@ -113,10 +113,12 @@ def fillings(rest: int, counts: list[int], budget: Budget, least: int | None = N
                 if not budget.take():
                     return
                 left = free if m < counts[x] else free & ~(1 << x)
-                some, new = parts, 0
+                # Sums with some of these in them, also those that larger lengths alone make up as well.
+                more, new = parts, 0
                 for _ in range(m):
-                    more = some << x
-                    new, some = new | more & ~some, some | more
+                    more <<= x
+                    new |= more
+                some = parts | new
                 # A single length gives way only to larger ones, several together also to one of their sum.
                 single = spread(1 << x + 1, waste - 1) & left if waste else 0
                 if single or spread(new & ~(1 << x), waste) & left & full:

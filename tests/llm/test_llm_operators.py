@@ -256,6 +256,11 @@ def undominated(rest, counts):
     return out
 
 
+def test_packing_filling_whose_sum_a_larger_length_makes_too_is_dominated():
+    counts = [0, 5, 0, 0, 0, 2, *[0] * 14]  # five ones give way to the second five, though one five is used
+    assert list(packing.fillings(10, counts, packing.Budget(10**9))) == [((5, 2),)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 18), st.lists(st.integers(1, 18), max_size=7))
 def test_packing_fillings_are_all_the_undominated_ones(rest, sizes):
