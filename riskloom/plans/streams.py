@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from ..streaming import arrivals
 from ..streaming import velocity as v
 from .registry import query
 
@@ -35,6 +38,19 @@ def third_arrivals(spark, sf):
     return table(spark, sf, "events", "event_id", "user_id", "ts").withColumn("k", F.row_number().over(w)).where("k = 3").select("user_id", F.col("ts").alias("flagged_at"))
 
 
+#: An event more than this after the last one of its user begins a new spell.
+GAP_HOURS = 12
+
+
+@query(f"""WITH e AS (SELECT *, CAST(coalesce(ts > lag(ts) OVER w + INTERVAL {GAP_HOURS} HOUR, TRUE) AS INTEGER) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spell FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, spell ORDER BY ts, event_id) AS k FROM s)
+SELECT user_id, event_id, ts AS flagged_at FROM k WHERE k = 3""")
+def third_arrivals_in_spell(spark, sf):
+    """The third event of every spell of a user; the stream of it keeps state for open spells only."""
+    e = table(spark, sf, "events", "event_id", "user_id", "ts")
+    return arrivals.kth_arrivals(e, "user_id", 3, timedelta(hours=GAP_HOURS))
+
+
 @query("""SELECT a.user_id, a.event_id AS l, b.event_id AS r, b.ts AS flagged_at FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR AND (a.ts < b.ts OR a.event_id < b.event_id)""")
 def pair_arrivals(spark, sf):
     """Pairs of a user's events at most six hours apart, at the time of the later one."""

@@ -18,23 +18,6 @@ def daily_arrivals(events: DataFrame, late: str | None = None) -> DataFrame:
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("events")).select(F.col("w.start").alias("day"), "event_type", "events")
 
 
-def third_arrivals(spark_events: DataFrame, key: str = "user_id", kth: int = 3) -> DataFrame:
-    """On a stream: a key once, at the time its k-th event arrives; state is a counter and one time for each key."""
-    import pandas as pd
-
-    def step(k, batches, state):
-        n, done = state.get if state.exists else (0, False)
-        for pdf in batches:
-            times = pdf["ts"].sort_values().tolist()
-            if not done and n + len(times) >= kth:
-                done = True
-                yield pd.DataFrame({key: [k[0]], "flagged_at": [times[kth - n - 1]]})
-            n += len(times)
-        state.update((n, done))
-
-    return spark_events.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"{key} long, flagged_at timestamp", "n long, done boolean", "append", "NoTimeout")
-
-
 def pair_arrivals(records: DataFrame, key: str, within: str, late: str | None = None) -> DataFrame:
     """(key, l, r, flagged_at): two records of one key at most ``within`` apart, visible when the later one arrives.
 

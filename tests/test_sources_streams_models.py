@@ -73,14 +73,6 @@ def test_stream_equals_batch(spark, events, f):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_third_arrival_stream(spark, events):
-    path, schema = events
-    e = spark.read.parquet(path)
-    got = {r["user_id"]: r["flagged_at"] for r in drained(v.third_arrivals(v.stream(spark, path, schema)), "s_third", "append").collect()}
-    want = {r["user_id"]: sorted(r["t"])[2] for r in e.groupBy("user_id").agg(F.collect_list("ts").alias("t")).where(F.size("t") >= 3).collect()}
-    assert got == want
-
-
 def test_idempotent_sink(spark, events, tmp_path):
     path, schema = events
     for _ in range(2):
