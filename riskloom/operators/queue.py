@@ -119,3 +119,26 @@ def top_k(df: DataFrame, by: Sequence[str], k: int, score: str = "score", tie: s
     """The k best rows of each group with their rank."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def assignments(cut: DataFrame, run: Column) -> DataFrame:
+    """(scenario_run_id, application_id, queue_rank, action) of the reviewed rows of a cut, as a sink takes them.
+
+    The id of a run follows from its name, so that a load that runs again meets its own rows.
+    """
+    reviewed = cut.where(F.col("action") == "manual_review")
+    return reviewed.select(uuid5(run).alias("scenario_run_id"), "application_id", F.col("rank").cast("long").alias("queue_rank"), "action")
+
+
+def completeness(assigned: DataFrame, expected: DataFrame) -> DataFrame:
+    """expected (scenario_run_id, headcount) with the rows a queue has, and status: complete if ranks go from 1 to the head count without gap
+    or copy and each application is there once; missing if no row is there, else partial. Runs that nobody expected are unexpected.
+    """
+    seen = assigned.groupBy("scenario_run_id").agg(
+        F.count("*").alias("assigned"), F.count_distinct("queue_rank").alias("ranks"), F.count_distinct("application_id").alias("applications"), F.min("queue_rank").alias("low"), F.max("queue_rank").alias("high")
+    )
+    both = expected.join(seen, "scenario_run_id", "full").withColumn("assigned", F.coalesce("assigned", F.lit(0).cast("long")))
+    n = F.col("headcount")
+    whole = (F.col("assigned") == n) & (F.col("ranks") == n) & (F.col("applications") == n) & (F.col("low") == 1) & (F.col("high") == n)
+    status = F.when(n.isNull(), "unexpected").when((F.col("assigned") == 0) & (n > 0), "missing").when(whole | (F.col("assigned") + n == 0), "complete").otherwise("partial")
+    return both.select("scenario_run_id", "headcount", "assigned", status.alias("status"))
