@@ -7,7 +7,7 @@ task orders all scores.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,12 +96,20 @@ def psi_status(psi: Column) -> Column:
 PUBLISH = 200
 
 
-def segment_parity(df: DataFrame, segments: Sequence[str], capacity: float, score: str, label: str = "label", publish: int = PUBLISH) -> DataFrame:
-    """Rates of each group of each segmentation at one population-wide interpolated threshold; NULL for withheld groups."""
+def segment_parity(df: DataFrame, segments: Sequence[str], capacity: float, score: str, label: str = "label", publish: int = PUBLISH, transform: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Rates of each group of each segmentation at one population-wide interpolated threshold; NULL for withheld groups.
+
+    ``transform`` maps a segmentation to a function of its column that gives the groups (bands of a number, say); rows
+    for which it is NULL take no part in that segmentation, but in the threshold.
+    """
+    for name, f in (transform or {}).items():
+        df = df.withColumn(name, f(F.col(name)).cast("string"))
     cut = exact_quantiles(df, [], score, [1.0 - capacity], bounds=(0.0, 1.0)).select(F.col("q0").alias("cut"))
     rows = df.select(score, label, *segments).crossJoin(F.broadcast(cut))
     long = rows.unpivot([score, label, "cut"], list(segments), "segment", "grp") if len(segments) > 1 else rows.select(score, label, "cut", F.lit(segments[0]).alias("segment"), F.col(segments[0]).alias("grp"))
     hit, y = F.col(score) >= F.col("cut"), F.col(label) == 1
+    if transform:
+        long = long.where(F.col("grp").isNotNull() | ~F.col("segment").isin(*transform))
     g = long.groupBy("segment", "grp").agg(
         F.count("*").alias("rows"),
         F.count_if(y).alias("positives"),

@@ -42,6 +42,19 @@ def prior_forecast_backtest(spark, sf):
     return calibrate.backtest(calibrate.prior_forecasts(_priors(spark, sf)), start=3)
 
 
+#: The operator's rules and two of our own.
+RULES = calibrate.RULES | {"mean": lambda h: F.aggregate(h, F.lit(0.0), lambda a, v: a + v) / F.size(h), "halfway": lambda h: (F.element_at(h, -1) + F.element_at(h, 1)) / 2}
+
+
+@query(f"""WITH {_PRIORS_SQL}, l AS (SELECT period, {_LOGIT.format(p="prior")} AS l FROM priors), x AS (SELECT *, lead(l) OVER w AS target, coalesce((l - lag(l, 2) OVER w) / 2, l - lag(l) OVER w, 0e0) AS slope, avg(l) OVER w AS mean, first_value(l) OVER w AS origin FROM l WINDOW w AS (ORDER BY period)),
+f AS (SELECT period, target, unnest([0, 1, 2, 3, 4]) AS nth, unnest(['carry', 'damped', 'full', 'mean', 'halfway']) AS rule, unnest([l, l + 5e-1 * slope, l + slope, mean, (l + origin) / 2]) AS f FROM x),
+m AS (SELECT nth, rule, avg(abs(target - f)) FILTER (WHERE period >= 2) AS mae, arg_max(f, period) AS next FROM f GROUP BY 1, 2), b AS (SELECT CASE WHEN min(mae) FILTER (WHERE nth > 0) < max(mae) FILTER (WHERE nth = 0) - 2e-2 THEN arg_min(nth, mae) FILTER (WHERE nth > 0) ELSE 0 END AS pick FROM m)
+SELECT rule, round(mae, 6) AS mae, round(1 / (1 + exp(-next)), 6) AS forecast, nth = pick AS chosen FROM m, b""")
+def prior_forecast_rules(spark, sf):
+    """Forecast rules as a table of functions, so that a rule is one line."""
+    return calibrate.backtest_rules(_priors(spark, sf), RULES)
+
+
 @query(f"""WITH {_PRIORS_SQL}, d AS (SELECT {_LOGIT.format(p="max(CASE WHEN period = 7 THEN prior END)")} - {_LOGIT.format(p="max(CASE WHEN period = 6 THEN prior END)")} AS d FROM priors)
 SELECT pos, round(CASE WHEN d = 0 THEN challenger ELSE 1 / (1 + exp(-({_LOGIT.format(p="challenger")} + d))) END, 6) AS shifted FROM apps, d WHERE period = 7""")
 def prior_shift(spark, sf):
@@ -49,7 +62,7 @@ def prior_shift(spark, sf):
 
     at = lambda p: logit(F.max(F.when(F.col("period") == p, F.col("prior"))))
     delta = _priors(spark, sf).agg((at(7) - at(6)).alias("d"))
-    return applications(spark, sf).where("period = 7").crossJoin(F.broadcast(delta)).select("pos", F.round(shift(F.col("challenger"), F.col("d")), 6).alias("shifted"))
+    return applications(spark, sf, 7, 7).crossJoin(F.broadcast(delta)).select("pos", F.round(shift(F.col("challenger"), F.col("d")), 6).alias("shifted"))
 
 
 def _maturity_sql(a: str) -> str:

@@ -30,7 +30,7 @@ c AS (SELECT model, capacity, count(*) FILTER (WHERE hit) AS queue_size, CAST(su
 SELECT capacity, round(max(queue_size / CAST(n AS DOUBLE)) FILTER (WHERE model = 'challenger'), 6) AS review_rate, round(max(caught / CAST(positives AS DOUBLE)) FILTER (WHERE model = 'challenger'), 6) AS challenger_capture, round(max(caught / CAST(positives AS DOUBLE)) FILTER (WHERE model = 'incumbent'), 6) AS incumbent_capture FROM c GROUP BY 1""")
 def capture_curve(spark, sf):
     """Capture against review rate at 18 capacities, both models, from one ranking."""
-    c = policy.capacity_curve(_scored(spark, sf).where("period = 7"), ["model"], CURVE)
+    c = policy.capacity_curve(scored(applications(spark, sf, 7, 7)), ["model"], CURVE)
     of = lambda m, e: F.round(F.max(F.when(F.col("model") == m, e)), 6)
     capture = F.col("caught") / F.col("positives")
     return c.groupBy("capacity").agg(of("challenger", F.col("queue_size") / F.col("applications")).alias("review_rate"), of("challenger", capture).alias("challenger_capture"), of("incumbent", capture).alias("incumbent_capture"))

@@ -111,9 +111,12 @@ def drift_matrix(spark, sf):
     return out.withColumn("status", metrics.psi_status(F.col("psi"))).withColumn("in_window", F.col("month") <= 5)
 
 
-def _parity_sql():
+_PLAIN_LONG = "SELECT 'segment' AS segment, segment AS grp, challenger AS p, label, challenger >= cut AS hit FROM apps, cut UNION ALL SELECT 'nation', CAST(nation AS VARCHAR), challenger, label, challenger >= cut FROM apps, cut"
+
+
+def _parity_sql(long=_PLAIN_LONG):
     return f"""{APPS_SQL}, cut AS (SELECT quantile_cont(challenger, CAST(1 AS DOUBLE) - 5e-2) AS cut FROM apps), long AS (
-  SELECT 'segment' AS segment, segment AS grp, challenger AS p, label, challenger >= cut AS hit FROM apps, cut UNION ALL SELECT 'nation', CAST(nation AS VARCHAR), challenger, label, challenger >= cut FROM apps, cut),
+  {long}),
 g AS (SELECT segment, grp, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE hit) AS selected, count(*) FILTER (WHERE hit AND label = 1) AS caught, abs(avg(p) - avg(label)) AS gap FROM long GROUP BY 1, 2),
 groups AS (SELECT segment, grp, rows, positives, positives >= 200 AS publishable, CASE WHEN positives >= 200 THEN round(caught / CAST(positives AS DOUBLE), 6) END AS tpr,
   CASE WHEN positives >= 200 THEN round((selected - caught) / CAST(nullif(rows - positives, 0) AS DOUBLE), 6) END AS fpr, CASE WHEN positives >= 200 THEN round(caught / CAST(greatest(selected, 1) AS DOUBLE), 6) END AS precision,
@@ -133,6 +136,18 @@ def segment_parity(spark, sf):
     return _parity(spark, sf)
 
 
+#: Groups of a segmentation from its values: bands of five nations (the last ones stay out), bands of fifty of the incumbent score.
+BANDS = {"nation": lambda c: F.when(c < 20, F.floor(c / 5)), "incumbent_score": lambda c: F.when(c < 0, "below 0").when(c < 50, "0 to 49").otherwise("50 and more")}
+
+
+@query("WITH " + _parity_sql("""SELECT 'nation' AS segment, CAST(nation // 5 AS VARCHAR) AS grp, challenger AS p, label, challenger >= cut AS hit FROM apps, cut WHERE nation < 20
+  UNION ALL SELECT 'incumbent_score', CASE WHEN incumbent_score < 0 THEN 'below 0' WHEN incumbent_score < 50 THEN '0 to 49' ELSE '50 and more' END, challenger, label, challenger >= cut FROM apps, cut""") + " SELECT * FROM groups")
+def segment_parity_bands(spark, sf):
+    """Parity over groups that functions of the columns give."""
+    a = applications(spark, sf).select("challenger", "label", "nation", "incumbent_score")
+    return metrics.segment_parity(a, list(BANDS), 0.05, "challenger", transform=BANDS)
+
+
 @query(f"""WITH {_parity_sql()} SELECT *, concat_ws('; ', CASE WHEN tpr_gap > 1e-1 THEN segment || ' TPR exceeds 0.10' END, CASE WHEN fpr_gap > 1e-1 THEN segment || ' FPR exceeds 0.10' END,
   CASE WHEN NOT review_rate_ratio BETWEEN 8e-1 AND 125e-2 THEN segment || ' review-rate ratio is outside 0.80-1.25' END) AS reasons FROM gaps""")
 def fairness_review(spark, sf):

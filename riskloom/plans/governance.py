@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contract, dashboard, governance, metrics
+from ..functions.lineage import cut
+from ..operators import contract, dashboard, decide, governance, metrics, queue
 from ..sources.tables import APPS_SQL, SCORED_SQL, applications, scored
-from . import cards, curation, decisions, evaluation, links, queues, star  # noqa: F401  (fill the catalogue)
+from . import cards, curation, decisions, evaluation, links, queues, sampling, star  # noqa: F401  (fill the catalogue)
 from .registry import QUERIES, SQL, query
 
 _PROJECT, _CODE = "riskloom", "c0de"
@@ -79,6 +80,34 @@ def audit_events(spark, sf):
     return governance.audit(governance.audit(once.limit(0), once), _events(spark, sf))
 
 
+_RUN = lambda m, p: F.concat(F.lit(f"{_PROJECT}:cap-050-p"), p.cast("string"), F.lit(":"), m)
+_RUN_SQL = _UUID(f"'{_PROJECT}:cap-050-p' || CAST(period AS VARCHAR) || ':' || model")
+_ASSIGNED = f"""{SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY model, period ORDER BY score DESC, pos) AS rank, count(*) OVER (PARTITION BY model, period) AS n FROM scored),
+h AS (SELECT *, greatest(CAST(floor(CAST(n AS DOUBLE) * 5e-2) AS BIGINT), 1) AS headcount FROM r), runs AS (SELECT {_RUN_SQL} AS scenario_run_id, model, period, headcount FROM (SELECT model, period, max(headcount) AS headcount FROM h GROUP BY 1, 2) g),
+assigned AS (SELECT scenario_run_id, application_id, CAST(rank AS BIGINT) AS queue_rank, 'manual_review' AS action, period FROM h JOIN runs USING (model, period) WHERE rank <= h.headcount)"""
+
+
+def _cut(spark, sf):
+    return queue.rank_cut(scored(applications(spark, sf), "application_id"), ["model", "period"], 0.05)
+
+
+@query(f"WITH {_ASSIGNED} SELECT scenario_run_id, application_id, queue_rank, action FROM assigned")
+def queue_assignments(spark, sf):
+    """The queues of all runs as a load takes them (see sources.loads)."""
+    return queue.assignments(_cut(spark, sf), _RUN(F.col("model"), F.col("period")))
+
+
+@query(f"""WITH {_ASSIGNED}, l AS (SELECT scenario_run_id, queue_rank FROM assigned WHERE period <> 2 AND NOT (period = 4 AND queue_rank % 2 = 0)), s AS (SELECT scenario_run_id, count(*) AS assigned FROM l GROUP BY 1)
+SELECT scenario_run_id, headcount, coalesce(assigned, 0) AS assigned, CASE WHEN assigned IS NULL THEN 'missing' WHEN assigned = headcount THEN 'complete' ELSE 'partial' END AS status FROM runs LEFT JOIN s USING (scenario_run_id)""")
+def queue_completeness(spark, sf):
+    """Runs against what a load that lost a period and every second row of another has left of them."""
+    ranked = _cut(spark, sf)
+    name = _RUN(F.col("model"), F.col("period"))
+    runs = ranked.groupBy("model", "period").agg(F.max("group_size").alias("n")).select(queue.uuid5(name).alias("scenario_run_id"), queue.headcount(F.col("n"), 0.05).alias("headcount"))
+    left = ranked.where((F.col("period") != 2) & ~((F.col("period") == 4) & (F.col("rank") % 2 == 0)))
+    return queue.completeness(queue.assignments(left, name), runs)
+
+
 @query(f"""SELECT count(*) AS drift_checks, count(*) FILTER (WHERE status = 'warn') AS drift_warnings, count(*) FILTER (WHERE status = 'block') AS drift_blocks, max(psi) AS max_psi, CAST(count(*) FILTER (WHERE status = 'warn') AS VARCHAR) || ' warnings, ' || CAST(count(*) FILTER (WHERE status = 'block') AS VARCHAR) || ' blocks' AS drift_summary FROM ({SQL["drift_matrix"]})""")
 def bi_drift(spark, sf):
     d = QUERIES["drift_matrix"](spark, sf).agg(F.count("*").alias("drift_checks"), F.count_if(F.col("status") == "warn").alias("drift_warnings"), F.count_if(F.col("status") == "block").alias("drift_blocks"), F.max("psi").alias("max_psi"))
@@ -201,11 +230,36 @@ def star_extract(spark, sf):
     return out
 
 
-@query(f"SELECT CASE WHEN recommendation = 'no robust recommendation' THEN 'No robust recommendation - the incumbent is retained' ELSE 'Recommended strategy: ' || recommendation END AS decision_headline, champion, reasons AS refusal_reasons FROM ({SQL['governance_refusal']})")
+_LAST = 7
+_HEADLINE = "CASE WHEN recommendation = 'no robust recommendation' THEN 'No robust recommendation - the incumbent is retained' ELSE 'Recommended strategy: ' || recommendation END"
+
+
+@query(f"""WITH {APPS_SQL}, g AS ({SQL["governance_refusal"]}), f AS ({SQL["behaviour_fingerprint"]}), n AS (SELECT count(*) AS n FROM apps WHERE period = {_LAST})
+SELECT {_HEADLINE} AS decision_headline, champion, reasons AS refusal_reasons, 'Orders, period {_LAST} (untouched test period) - ' || CAST(n AS VARCHAR) || ' applications' AS evidence_period,
+  substr(sha256(fingerprint || '|' || champion || '|' || recommendation || '|' || reasons), 1, 12) AS evidence_revision, 'orders-' || substr(fingerprint, 1, 12) AS dataset_version FROM g, f, n""")
 def bi_headline(spark, sf):
-    r = QUERIES["governance_refusal"](spark, sf)
+    """Decision, and what it rests on: the test period, the version of the data by its scores' fingerprint, the revision of data and decision."""
     headline = F.when(F.col("recommendation") == "no robust recommendation", "No robust recommendation - the incumbent is retained").otherwise(F.concat(F.lit("Recommended strategy: "), F.col("recommendation")))
-    return r.select(headline.alias("decision_headline"), "champion", F.col("reasons").alias("refusal_reasons"))
+    n = applications(spark, sf, _LAST, _LAST).agg(F.count("*").alias("n"))
+    r = QUERIES["governance_refusal"](spark, sf).crossJoin(F.broadcast(QUERIES["behaviour_fingerprint"](spark, sf))).crossJoin(F.broadcast(n))
+    return r.select(
+        headline.alias("decision_headline"), "champion", F.col("reasons").alias("refusal_reasons"), F.concat(F.lit(f"Orders, period {_LAST} (untouched test period) - "), F.col("n").cast("string"), F.lit(" applications")).alias("evidence_period"),
+        F.substring(F.sha2(F.concat_ws("|", "fingerprint", "champion", "recommendation", "reasons"), 256), 1, 12).alias("evidence_revision"), F.concat(F.lit("orders-"), F.substring("fingerprint", 1, 12)).alias("dataset_version"),
+    )
+
+
+#: What every figure with assumed values says beside it.
+NOTICE = "Scenario values rest on assumed costs (12,500 a catch, 150 a good customer, 17 a review); they are no measured savings"
+
+
+@query(f"""WITH {decisions._FRONT_SQL}, d AS (SELECT a.*, EXISTS (SELECT 1 FROM u b WHERE b.caught >= a.caught AND b.utility >= a.utility AND b.false_positives <= a.false_positives AND b.queue_size <= a.queue_size
+  AND (b.caught > a.caught OR b.utility > a.utility OR b.false_positives < a.false_positives OR b.queue_size < a.queue_size)) AS dominated FROM u a)
+SELECT policy, utility AS scenario_value, CASE WHEN dominated THEN 'Dominated' ELSE 'On frontier' END AS frontier_label, overflow > 0 AS has_overflow, '{NOTICE}' AS assumption_notice FROM d""")
+def bi_policy_frontier(spark, sf):
+    """Every policy with its label; the 1,152 policies are a table of known size."""
+    p = cut(decisions._policies(spark, sf))
+    front = decide.pareto(p, "policy", ["caught", "utility"], ["false_positives", "queue_size"]).select("policy", F.lit("On frontier").alias("label"))
+    return p.join(F.broadcast(front), "policy", "left").select("policy", F.col("utility").alias("scenario_value"), F.coalesce("label", F.lit("Dominated")).alias("frontier_label"), (F.col("overflow") > 0).alias("has_overflow"), F.lit(NOTICE).alias("assumption_notice"))
 
 
 @query(f"SELECT count(*) AS gates_total, count(*) FILTER (WHERE passed) AS gates_passed, count(*) FILTER (WHERE NOT passed) AS gates_failed, CAST(count(*) FILTER (WHERE passed) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) || ' gates passed' AS promotion_summary FROM ({SQL['promotion_gates']})")

@@ -49,7 +49,7 @@ l AS (SELECT replicate, max(ap) FILTER (WHERE model = 'challenger') - max(ap) FI
 SELECT count(*) AS replicates, round(avg(lift), 6) AS lift, round(quantile_cont(lift, 25e-3), 6) AS lo, round(quantile_cont(lift, 975e-3), 6) AS hi FROM l""")
 def bootstrap_ap_lift(spark, sf):
     """Paired and stratified: both models see a replicate's rows with the same weights, positives and negatives keep their totals."""
-    a = cut(applications(spark, sf).where("period = 7").select("pos", "label", "challenger", "incumbent"))
+    a = cut(applications(spark, sf, 7, 7).select("pos", "label", "challenger", "incumbent"))
     positives, rows = a.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     steps = cut(resample.positive_steps(resample.positive_steps(a, "challenger"), "incumbent"))
     drawn = resample.replicates(steps, LIFT_N, SEED, "pos").select("replicate", "label", "weight", "challenger", "incumbent")

@@ -20,9 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pos, application_id, custkey, period, channel, segment, nation, order_date, incumbent_score, incumbent, challenger, label."""
+def applications(spark: SparkSession, sf_dir: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """pos, application_id, custkey, period, channel, segment, nation, order_date, incumbent_score, incumbent, challenger, label.
+
+    With ``low`` and ``high`` only those periods (both included): bounds of dates that reach the scan of orders, which a filter
+    of the computed period would not.
+    """
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    if low is not None:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(period_start(low)).cast(orders.schema["o_orderdate"].dataType))
+    if high is not None:
+        orders = orders.where(F.col("o_orderdate") < F.lit(period_start(high + 1)).cast(orders.schema["o_orderdate"].dataType))
     customer = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_discount")
     # Only orders with a marked line leave the scan of lines.
@@ -49,6 +57,11 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def period_start(period: int) -> str:
+    """The first day of a period of ten months; period 0 begins in January 1995."""
+    return f"{1995 + 10 * period // 12}-{10 * period % 12 + 1:02d}-01"
+
+
 def stable_id(version: str, source: str, key: str):
     """32 hex digits of the SHA-256 of version|source|key."""
     return F.substring(F.sha2(F.concat_ws("|", F.lit(version), F.lit(source), F.col(key).cast("string")), 256), 1, 32)
