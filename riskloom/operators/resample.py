@@ -130,18 +130,37 @@ def stratified(df: DataFrame, strata: Sequence[str], per: int, seed: str, key: s
     return df.withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= per).drop("draw")
 
 
-def fingerprint(df: DataFrame, key: str, value: str, places: int = 6, width: int = 1024) -> DataFrame:
+def fingerprint(df: DataFrame, key: str, value: str, places: int = 6, width: int = 1024, flat: bool = False) -> DataFrame:
     """One digest of rounded values in key order: digests of blocks of ``width`` keys, digests of as many of those, and so on up to one.
 
-    No task holds more than ``width`` digests of a group, however many rows there are.
+    No task holds more than ``width`` digests of a group, however many rows there are. flat: all digests of blocks are digested
+    at once, whatever their number; they pass by in order (64 bytes a block, sorted on disk where need be) and none is kept.
     """
     text = F.concat_ws(":", F.col(key).cast("string"), F.format_string(f"%.{places}f", F.round(value, places)))
     joined = lambda k, t: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), t.alias("t")))), lambda x: x["t"]), ","), 256)
-    low, high = df.agg(F.min(key), F.max(key)).first()
     levels = df.groupBy(F.floor(F.col(key) / width).alias("block")).agg(joined(F.col(key), text).alias("d"), F.count("*").alias("n"))
+    if flat:
+        return levels.repartition(1).sortWithinPartitions("block").select("n", "d").mapInArrow(_digest, "rows long, fingerprint string").agg(F.max("rows").alias("rows"), F.max("fingerprint").alias("fingerprint"))
+    low, high = df.agg(F.min(key), F.max(key)).first()
     low, high = (low or 0) // width, (high or 0) // width
     while low != high:
         up = F.floor(F.col("block") / width).alias("block")
         levels = levels.groupBy(up).agg(joined(F.col("block"), F.col("d")).alias("d"), F.sum("n").alias("n"))
         low, high = low // width, high // width
     return levels.select(F.col("n").alias("rows"), F.col("d").alias("fingerprint"))
+
+
+def _digest(batches):
+    """Rows and digest of the digests that pass by, joined by commas; a single one is its own digest, none is NULL."""
+    import hashlib
+
+    import pyarrow as pa
+
+    rows, blocks, only, state = 0, 0, None, hashlib.sha256()
+    for batch in batches:
+        rows += sum(batch.column(0).to_pylist())
+        for d in batch.column(1).to_pylist():
+            only = d
+            state.update(f",{d}".encode() if blocks else d.encode())
+            blocks += 1
+    yield pa.RecordBatch.from_pydict({"rows": pa.array([rows if blocks else None], pa.int64()), "fingerprint": pa.array([state.hexdigest() if blocks > 1 else only], pa.string())})

@@ -337,6 +337,18 @@ def test_fingerprint_is_a_tree_of_bounded_width(spark):
         assert (got["rows"], got["fingerprint"]) == (30, level[0])
 
 
+def test_a_flat_fingerprint_has_two_levels_whatever_the_number_of_blocks(spark):
+    import hashlib
+
+    sha = lambda xs: hashlib.sha256(",".join(xs).encode()).hexdigest()
+    df = spark.range(30).select(F.col("id").alias("k"), (F.col("id") / 7.0).alias("v"))
+    leaves = [f"{i}:{i / 7:.6f}" for i in range(30)]
+    blocks = [sha(leaves[a : a + 3]) for a in range(0, 30, 3)]
+    assert tuple(resample.fingerprint(df, "k", "v", width=3, flat=True).first()) == (30, sha(blocks))
+    assert tuple(resample.fingerprint(df, "k", "v", width=30, flat=True).first()) == (30, sha(leaves))
+    assert tuple(resample.fingerprint(df.limit(0), "k", "v", flat=True).first()) == (None, None)
+
+
 def test_uuid5(spark):
     import uuid
 
