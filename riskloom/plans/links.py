@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..operators import linking
 from ..sources.tables import table
 from .registry import query
@@ -60,18 +60,35 @@ same AS (SELECT arm, device_e, address_e, max(n) AS same FROM (SELECT arm, devic
 rings AS (SELECT sz.arm, members, p[1] AS first_pos, p[3] AS flag_pos, p[3] - p[1] AS applications_to_flag, coalesce(same, 0) >= 3 AS confirmed FROM sz LEFT JOIN same USING (arm, device_e, address_e))"""
 
 
+def _arms(spark):
+    return linking.numbered(spark.createDataFrame(list(ARMS), "arm string, rate double, signals string"), [a for a, *_ in ARMS])
+
+
 def _fixture(spark, sf):
-    arms = spark.createDataFrame(list(ARMS), "arm string, rate double, signals string")
-    return linking.fixture(table(spark, sf, "customer", "c_custkey").withColumnRenamed("c_custkey", "id"), arms, SEED)
+    return linking.fixture(table(spark, sf, "customer", "c_custkey").withColumnRenamed("c_custkey", "id"), _arms(spark).drop("bit"), SEED)
+
+
+def _compact(spark, sf):
+    """The fixture, a row for all arms in which a record is the same, written once."""
+    return stored(linking.compact(_fixture(spark, sf), _arms(spark)))
+
 
+def _pairs(recs):
+    toks = stored(linking.tokens(recs, KEY, ("arms", "pos")).drop("fuzzy_tokens"))
+    return linking.compact_pairs(toks, len(ARMS))
 
-def _tokens(spark, sf):
-    return linking.tokens(_fixture(spark, sf), KEY)
 
+def _scored_pairs(spark, recs):
+    return linking.apart(linking.score_compact(_pairs(recs), recs, KEY), _arms(spark)).drop("bit")
 
-def _scored_pairs(spark, sf):
-    fix = cut(_fixture(spark, sf))
-    return linking.score_pairs(linking.candidate_pairs(_exact(fix)), fix, KEY)
+
+def _accepted(spark, recs):
+    return _scored_pairs(spark, recs).where("accepted")
+
+
+def _metrics(spark, sf):
+    recs = _compact(spark, sf)
+    return linking.pair_metrics(_accepted(spark, recs), linking.apart(linking.repeated(recs), _arms(spark)))
 
 
 def _exact(fix):
@@ -86,32 +103,35 @@ def link_fixture(spark, sf):
 
 @query(f"WITH {_TOK} SELECT arm, pos, signal_type, exact_token, len(fuzzy_tokens) AS n_fuzzy, sha256(array_to_string(fuzzy_tokens, ',')) AS fuzzy_digest FROM tokens")
 def link_tokens(spark, sf):
-    return _tokens(spark, sf).select("arm", "pos", "signal_type", "exact_token", F.size("fuzzy_tokens").cast("long").alias("n_fuzzy"), F.sha2(F.array_join("fuzzy_tokens", ","), 256).alias("fuzzy_digest"))
+    t = linking.tokens(_compact(spark, sf), KEY, ("arms", "pos")).select("arms", "pos", "signal_type", "exact_token", F.explode(F.array("fuzzy_tokens")).alias("f"))
+    t = t.select("arms", "pos", "signal_type", "exact_token", F.size("f").cast("long").alias("n_fuzzy"), F.sha2(F.array_join("f", ","), 256).alias("fuzzy_digest"))
+    return linking.apart(t, _arms(spark)).drop("bit")
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM pairs")
 def link_candidate_pairs(spark, sf):
-    return linking.candidate_pairs(_tokens(spark, sf))
+    return linking.apart(_pairs(_compact(spark, sf)), _arms(spark)).select("arm", "l", "r")
 
 
 @query(f"WITH {_SCORED} SELECT * FROM scored_pairs")
 def link_scored_pairs(spark, sf):
-    return _scored_pairs(spark, sf)
+    return _scored_pairs(spark, _compact(spark, sf))
 
 
 def _clusters(spark, sf):
-    return linking.components(_fixture(spark, sf), _scored_pairs(spark, sf).where("accepted"))
+    recs = _compact(spark, sf)
+    return linking.compact_components(recs.select("pos", "arms", "entity"), _accepted(spark, recs), _arms(spark))
 
 
 @query(f"WITH {_COMP} SELECT * FROM clusters")
 def link_components(spark, sf):
-    return _clusters(spark, sf)
+    return _clusters(spark, sf).select("arm", "pos", "cluster")
 
 
 @query(f"""WITH {_COMP}, x AS (SELECT c.arm, cluster, entity, count(*) OVER (PARTITION BY c.arm, cluster, entity) AS n, count(*) OVER (PARTITION BY c.arm, cluster) AS nc, count(*) OVER (PARTITION BY c.arm, entity) AS ne FROM clusters c JOIN fixture f ON f.arm = c.arm AND f.pos = c.pos),
 m AS (SELECT arm, avg(n / CAST(nc AS DOUBLE)) AS p, avg(n / CAST(ne AS DOUBLE)) AS r FROM x GROUP BY 1) SELECT arm, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM m""")
 def link_bcubed(spark, sf):
-    return linking.b_cubed(_clusters(spark, sf), _fixture(spark, sf).select("arm", "pos", "entity"))
+    return linking.b_cubed(_clusters(spark, sf))
 
 
 _PM = f"""{_SCORED}, truth AS (SELECT arm, min(pos) AS l, max(pos) AS r FROM fixture GROUP BY arm, entity HAVING count(*) > 1), j AS (SELECT coalesce(p.arm, t.arm) AS arm, p.l IS NOT NULL AS p, t.l IS NOT NULL AS t FROM (SELECT * FROM scored_pairs WHERE accepted) p FULL JOIN truth t ON p.arm = t.arm AND p.l = t.l AND p.r = t.r),
@@ -122,14 +142,14 @@ pm AS (SELECT *, round(tp / CAST(greatest(tp + fp, 1) AS DOUBLE), 6) AS precisio
 @query(f"WITH {_PM} SELECT * FROM pm")
 def link_program(spark, sf):
     """All corruption settings, the adversarial ones too, as one plan."""
-    return linking.pair_metrics(_scored_pairs(spark, sf).where("accepted"), _fixture(spark, sf))
+    return _metrics(spark, sf)
 
 
 @query(f"""WITH {_PM} SELECT 'clean_f1' AS gate, f1 AS observed, CAST(9e-1 AS DOUBLE) AS threshold, f1 >= 9e-1 AS passed FROM pm WHERE arm = 'clean' UNION ALL SELECT 'low_f1', f1, 8e-1, f1 >= 8e-1 FROM pm WHERE arm = 'low' UNION ALL SELECT 'false_merge', false_merge_rate, 2e-2, false_merge_rate <= 2e-2 FROM pm WHERE arm = 'low'""")
 def link_gates(spark, sf):
     from ..operators.decide import gates
 
-    m = linking.pair_metrics(_scored_pairs(spark, sf).where("accepted"), _fixture(spark, sf))
+    m = _metrics(spark, sf)
     at = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
     one = m.agg(at("clean", "f1").alias("a"), at("low", "f1").alias("b"), at("low", "false_merge_rate").alias("c"))
     return gates(one, [("clean_f1", "a", 0.9, ">="), ("low_f1", "b", 0.8, ">="), ("false_merge", "c", 0.02, "<=")])
@@ -140,7 +160,7 @@ _RATES = f"""{_PM}, rates AS (SELECT rate, count(*) AS runs, round(avg(f1), 6) A
 
 def _rates(spark, sf):
     arms = spark.createDataFrame([(a, r) for a, r, signals in ARMS if signals == _ALL], "arm string, rate double")
-    m = linking.pair_metrics(_scored_pairs(spark, sf).where("accepted"), _fixture(spark, sf)).join(F.broadcast(arms), "arm")
+    m = _metrics(spark, sf).join(F.broadcast(arms), "arm")
     return m.groupBy("rate").agg(F.count("*").alias("runs"), F.round(F.avg("f1"), 6).alias("f1_mean"), F.min("f1").alias("f1_min"), F.round(F.max("f1") - F.min("f1"), 6).alias("f1_range"), F.max("false_merge_rate").alias("false_merge_max"))
 
 
@@ -165,9 +185,7 @@ def link_program_gates(spark, sf):
 @query(f"""WITH {_COMP}, x AS (SELECT c.arm, entity, count(*) AS n, count(DISTINCT cluster) AS k FROM clusters c JOIN fixture f ON f.arm = c.arm AND f.pos = c.pos GROUP BY 1, 2)
 SELECT arm, count(*) FILTER (WHERE n > 1) AS duplicated, count(*) FILTER (WHERE n > 1 AND k > 1) AS false_splits FROM x GROUP BY 1""")
 def link_false_splits(spark, sf):
-    fix = cut(_fixture(spark, sf))
-    accepted = linking.score_pairs(linking.candidate_pairs(_exact(fix)), fix, KEY).where("accepted")
-    return linking.false_splits(linking.components(fix, accepted), fix)
+    return linking.false_splits(_clusters(spark, sf))
 
 
 #: Shares of entities with a second record, from the fixture's own down.
@@ -187,7 +205,7 @@ def link_base_rates(spark, sf):
 
 @query(f"WITH {_RINGS} SELECT * FROM rings")
 def link_rings(spark, sf):
-    return linking.rings(_tokens(spark, sf), _fixture(spark, sf))
+    return linking.compact_rings(_compact(spark, sf), _arms(spark), len(ARMS), KEY)
 
 
 _DAY = "CAST(least(floor({p} / ceil(n / 20e0)), 19) AS INTEGER)"
@@ -198,7 +216,6 @@ _DAY = "CAST(least(floor({p} / ceil(n / 20e0)), 19) AS INTEGER)"
 days AS (SELECT arm, CAST(unnest(range(20)) AS INTEGER) AS day FROM cnt)
 SELECT d.arm, d.day, CAST(coalesce(sum(received), 0) AS BIGINT) AS received, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS pairs, CAST(coalesce(sum(rings), 0) AS BIGINT) AS rings, CAST(coalesce(sum(referred), 0) AS BIGINT) AS referred FROM days d LEFT JOIN ev ON ev.arm = d.arm AND ev.day = d.day GROUP BY 1, 2""")
 def daily_suspects(spark, sf):
-    fix = cut(_fixture(spark, sf))
-    toks = _exact(fix)
-    accepted = linking.score_pairs(linking.candidate_pairs(toks), fix, KEY).where("accepted")
-    return linking.daily_report(fix, accepted, linking.rings(toks, fix), 20)
+    recs = _compact(spark, sf)
+    rings = linking.compact_rings(recs, _arms(spark), len(ARMS), KEY)
+    return linking.daily_report(linking.apart(recs.select("pos", "arms"), _arms(spark)), _accepted(spark, recs), rings, 20)

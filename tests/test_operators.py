@@ -208,6 +208,29 @@ def test_linking_on_the_clean_fixture(spark):
     assert fix.exceptAll(linking.fixture(spark.range(1, 600), arms)).isEmpty()
 
 
+def test_compact_records_link_as_all_arms_do(spark):
+    key, every = "a-key-for-tests-only", "email phone device address"
+    rows = [("clean", 0.0, every), ("some", 0.3, every), ("few", 0.05, every), ("strong", 1.0, "email phone"), *((f"more{i}", 0.1, every) for i in range(6))]
+    arms = linking.numbered(frame(spark, rows, "arm string, rate double, signals string"), [r[0] for r in rows])
+    fix = linking.fixture(spark.range(1, 600), arms.drop("bit")).cache()
+    recs = linking.compact(fix, arms).cache()
+    assert recs.count() * 5 < fix.count()
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert same(linking.apart(recs, arms).select(*fix.columns), fix)
+    pairs = linking.compact_pairs(linking.tokens(recs, key, ("arms", "pos")), len(rows)).cache()
+    long = linking.candidate_pairs(linking.tokens(fix, key)).cache()
+    assert same(linking.apart(pairs, arms).select("arm", "l", "r"), long)
+    scored = linking.apart(linking.score_compact(pairs, recs, key), arms).drop("bit").cache()
+    assert same(scored, linking.score_pairs(long, fix, key).select(*scored.columns))
+    accepted = scored.where("accepted")
+    got = linking.compact_components(recs.select("pos", "arms", "entity"), accepted, arms)
+    assert same(got.select("arm", "pos", "cluster"), linking.components(fix, accepted).select("arm", "pos", "cluster"))
+    assert linking.pair_metrics(accepted, linking.apart(linking.repeated(recs), arms)).orderBy("arm").collect() == linking.pair_metrics(accepted, fix).orderBy("arm").collect()
+    assert same(linking.compact_rings(recs, arms, len(rows), key), linking.rings(linking.tokens(fix, key), fix))
+    with pytest.raises(ValueError):
+        linking.numbered(arms.drop("bit"), [str(i) for i in range(63)])
+
+
 def test_false_splits_and_thinned_records(spark):
     truth = frame(spark, [("a", 0, 1), ("a", 1, 1), ("a", 2, 2), ("a", 3, 2), ("a", 4, 3)], "arm string, pos long, entity long")
     clusters = frame(spark, [("a", 0, 0), ("a", 1, 0), ("a", 2, 2), ("a", 3, 3), ("a", 4, 4)], "arm string, pos long, cluster long")
