@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..operators import explain, learn, metrics, search
 from ..operators.quantiles import exact_quantiles
 from ..sources.tables import applications, features
@@ -17,8 +17,9 @@ TREES = ((10, 3, 0.1, 1.0), (20, 3, 0.1, 0.8), (10, 5, 0.05, 1.0), (20, 5, 0.1,
 
 
 def _data(spark, sf):
+    """The rows of all models, joined once: every fit passes over them several times."""
     a = features(spark, sf, applications(spark, sf))
-    return a.select("pos", "period", "label", *CATEGORICAL, *(F.col(c).cast("double").alias(c) for c in NUMERIC))
+    return stored(a.select("pos", "period", "label", *CATEGORICAL, *(F.col(c).cast("double").alias(c) for c in NUMERIC)))
 
 
 def _logistic(df):
@@ -170,6 +171,6 @@ SPACE: search.Space = {"rounds": search.Number(10, 30, step=10), "depth": search
 @query()
 def adaptive_search(spark, sf):
     """The boosted-tree settings of the grid first, then proposals of Parzen estimators, on all rolling folds unless a median rule ends them."""
-    d = cut(_data(spark, sf).where("period <= 5"))
+    d = _data(spark, sf).where("period <= 5")
     grid = [dict(zip(("rounds", "depth", "step", "share"), t, strict=True)) for t in TREES]
     return search.search(d, lambda rows, **k: learn.fit_trees(rows, NUMERIC, CATEGORICAL, **k), SPACE, len(grid) + 3, first=grid)
