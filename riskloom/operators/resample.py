@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import stored
 from ..functions.scalars import uniform
 from .quantiles import spread
 
@@ -123,6 +124,91 @@ def stratified_average_precision(df: DataFrame, by: Sequence[str], positives: in
     return c.groupBy(*by).agg(F.sum(F.col("tp") / F.col("all_bt") * hits / (hits + misses)).alias("average_precision"))
 
 
+#: Rows of a run of scores, and rows whose draws are held at once.
+RUN, CHUNK = 20_000, 1000
+
+
+def _weights(keys, n: int, seed: str):
+    """Poisson(1) counts of rows (down) in replicates 1..n (across): those of `replicates`."""
+    import hashlib
+
+    import numpy as np
+
+    heads = [f"{seed}|{turn}|".encode() for turn in range(-(-n // DRAWS))]
+    digests = b"".join(hashlib.sha256(h + k).digest() for k in (str(k).encode() for k in keys) for h in heads)
+    draws = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(keys), -1)[:, :n]
+    return np.searchsorted(np.array([int(h, 16) for h in POISSON_HEX], dtype=np.uint32), draws, side="right").astype(np.int16)
+
+
+def _hits(rows, n: int, seed: str, at: slice):
+    """(positives, negatives) drawn in each replicate, row by row, of some rows."""
+    w = _weights(rows["key"].to_numpy()[at], n, seed)
+    y = rows["label"].to_numpy()[at, None].astype(w.dtype)
+    return w * y, w * (1 - y)
+
+
+def replicated_average_precision(df: DataFrame, n: int, seed: str, positives: int, negatives: int, key: str = "key", score: str = "score", label: str = "label", by: str = "model") -> DataFrame:
+    """(by, replicate, average_precision): stratified_average_precision on the replicates of df, none of which becomes a row.
+
+    Rows go in runs of falling scores. A run's draws are added up a thousand rows at a time as arrays over the replicates; then running
+    sums over runs (a row for each run and replicate) give every run what lies above it, and its draws are made again for its
+    share of the precision. Rows of one score lie in one run; rows without a score lie below all and are dealt out by key.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.select(F.col(by).alias("by"), F.col(key).cast("long").alias("key"), F.col(label).cast("long").alias("label"), F.col(score).alias("score"))
+    counted = rows.agg(F.count("score"), F.count("*")).first()
+    runs, rest = (max(1, math.ceil(c / RUN)) for c in (counted[0], counted[1] - counted[0]))
+    above = rows.where("score is not null").repartitionByRange(runs, F.col("by"), F.desc("score")).withColumn("run", F.spark_partition_id())
+    below = rows.where("score is null").withColumn("run", (runs + F.pmod(F.xxhash64("key"), F.lit(rest))).cast("int"))
+    # Rows are few and each costs much, so their number of tasks is given: by size, they would be put together into one.
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    x = stored(above.unionByName(below)).repartition(tasks, "by", "run")
+
+    def total(keys, part):
+        sums = np.zeros((2, n), dtype=np.int64)
+        for a in range(0, len(part), CHUNK):
+            sums += [h.sum(axis=0, dtype=np.int64) for h in _hits(part, n, seed, slice(a, a + CHUNK))]
+        return pd.DataFrame({"by": keys[0], "run": keys[1], "replicate": np.arange(1, n + 1, dtype=np.int32), "tp": sums[0], "fp": sums[1]})
+
+    sums = x.groupBy("by", "run").applyInPandas(total, "by string, run int, replicate int, tp long, fp long")
+    group = Window.partitionBy("by", "replicate")
+    before = group.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("by", "run", "replicate", "tp", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"above_{c}") for c in ("tp", "fp")), *(F.sum(c).over(group).alias(f"all_{c}") for c in ("tp", "fp")))
+
+    def precision(keys, part, base):
+        part, base = part.sort_values("score", ascending=False), base.sort_values("replicate")
+        ct, cf, pt, pf = (base[c].to_numpy().astype(float) for c in ("above_tp", "above_fp", "all_tp", "all_fp"))
+        p, q = positives / np.maximum(pt, 1), negatives / np.maximum(pf, 1)
+        scores, found = part["score"].to_numpy(), np.zeros(n)
+        starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+        ends = np.r_[starts[1:], len(scores)]
+        i = 0
+        while i < len(starts):
+            # Whole steps up to a thousand rows, or one step, which may be longer.
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, side="right")))
+            tp, fp = np.zeros((j - i, n), dtype=np.int64), np.zeros((j - i, n), dtype=np.int64)
+            for a in range(int(starts[i]), int(ends[j - 1]), CHUNK):
+                b = min(a + CHUNK, int(ends[j - 1]))
+                t, f = _hits(part, n, seed, slice(a, b))
+                cuts = starts[i:j] - a if j - i > 1 else [0]
+                tp += np.add.reduceat(t, cuts, axis=0, dtype=np.int64)
+                fp += np.add.reduceat(f, cuts, axis=0, dtype=np.int64)
+            hits, misses = (ct + tp.cumsum(axis=0)) * p, (cf + fp.cumsum(axis=0)) * q
+            found += np.where(tp > 0, tp / np.maximum(pt, 1) * hits / np.maximum(hits + misses, 1e-300), 0.0).sum(axis=0)
+            ct, cf, i = ct + tp.sum(axis=0), cf + fp.sum(axis=0), j
+        return pd.DataFrame({"by": keys[0], "replicate": base["replicate"].to_numpy(), "found": found})[pt > 0]
+
+    scored = x.where("score is not null").groupBy("by", "run").cogroup(base.where(F.col("run") < runs).repartition(tasks, "by", "run").groupBy("by", "run"))
+    parts = scored.applyInPandas(precision, "by string, replicate int, found double")
+    # Rows without a score are one step, the last: all rows lie at or above it.
+    last = (F.col("run") >= runs) & (F.col("tp") > 0)
+    share = F.col("tp") / F.col("all_tp") * positives / (positives + F.col("all_fp") * (negatives / F.greatest(F.col("all_fp"), F.lit(1))))
+    parts = parts.unionByName(base.where(last).select("by", "replicate", share.alias("found")))
+    return parts.groupBy(F.col("by").alias(by), "replicate").agg(F.sum("found").alias("average_precision"))
+
+
 def stratified(df: DataFrame, strata: Sequence[str], per: int, seed: str, key: str) -> DataFrame:
     """Exactly ``per`` rows of each stratum (all, if fewer): those of smallest hash."""
     h = F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256)

@@ -345,6 +345,19 @@ def test_lift_bootstrap_is_that_of_the_rows(spark):
             assert got[k, m] == pytest.approx(ap)
 
 
+def test_replicated_average_precision_is_that_of_replicates_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(resample, "RUN", 40)
+    monkeypatch.setattr(resample, "CHUNK", 7)
+    rows = [(i, m, int(i % 5 == 0), None if i % 11 == 3 else (i * 37 % 100 // k) / 100) for i in range(200) for m, k in (("fine", 1), ("coarse", 30))]
+    df = frame(spark, rows, "pos long, model string, label int, score double").cache()
+    want = resample.stratified_average_precision(resample.replicates(df, 20, "s", "pos"), ["model", "replicate"], 40, 160)
+    got = resample.replicated_average_precision(df, 20, "s", 40, 160, key="pos")
+    a, b = ({(r["model"], r["replicate"]): r["average_precision"] for r in x.collect()} for x in (want, got))
+    assert len(a) == 40 and a == pytest.approx(b)
+    # Rows are as many as the table's: none is made for a row in a replicate.
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fingerprint_is_a_tree_of_bounded_width(spark):
     import hashlib
 
