@@ -54,7 +54,11 @@ def capacity_curve(df: DataFrame, by: Sequence[str], capacities: Sequence[float]
 
 def capacity_sweep(df: DataFrame, by: Sequence[str], capacities: Sequence[float], **names: str) -> DataFrame:
     """capacity_curve with rates and Wilson intervals."""
-    out = capacity_curve(df, by, capacities, **names)
+    return with_intervals(capacity_curve(df, by, capacities, **names))
+
+
+def with_intervals(out: DataFrame) -> DataFrame:
+    """Rows of a curve with rates and Wilson intervals."""
     bounds = {}
     for name, hits, total in (("catch", F.col("caught"), F.col("positives")), ("precision", F.col("caught"), F.col("queue_size")), ("fpr", F.col("false_positives"), F.col("applications") - F.col("positives"))):
         bounds |= {f"{name}_rate": F.round(safe_rate(hits, total), 6), f"{name}_lo": F.round(wilson(hits, total, False), 6), f"{name}_hi": F.round(wilson(hits, total, True), 6)}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, metrics, policy, queue, warehouse
-from ..sources.tables import CAPACITIES, SCORED_SQL, applications, scored, table
+from ..sources.tables import SCORED_SQL, applications, scored, table
 from .evaluation import _STEPS_SQL
-from .queues import _CURVE_SQL, _RULES_SQL, CURVE, GROUP, HEAD5, _forced, _scored
+from .queues import _CURVE_SQL, _RULES_SQL, CURVE, GROUP, HEAD5, _curve, _forced, _scored
 from .registry import query
 from .star import _ACTED_SQL, _fact, _kpi_sql
 
@@ -18,7 +18,7 @@ _R = lambda a, b: f"round({a} / CAST(nullif({b}, 0) AS DOUBLE), 6)"  # noqa: E73
   round(queue_size / CAST(greatest(CAST(floor(CAST(applications AS DOUBLE) * capacity) AS BIGINT), 1) AS DOUBLE), 6) AS utilisation, {_R("false_positives", "(applications - positives)")} AS insult_rate,
   round(caught * 5000e0 - false_positives * 300e0 - queue_size * 27e0, 2) AS net_low, round(caught * 20000e0 - queue_size * 7e0, 2) AS net_high FROM curved""")
 def policy_cards(spark, sf):
-    return dashboard.measures(policy.capacity_curve(_scored(spark, sf), GROUP, CAPACITIES))
+    return dashboard.measures(_curve(spark, sf))
 
 
 def _caps(values):

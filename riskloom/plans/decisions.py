@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decide, metrics, policy
-from ..sources.tables import CAPACITIES, SCORED_SQL, applications, scored
+from ..functions.lineage import once, sharing
+from ..operators import decide, metrics
+from ..sources.tables import SCORED_SQL, applications, scored
 from .evaluation import _parity, _parity_sql
-from .queues import _CURVE_SQL, _RULES_SQL, CURVE, GROUP, _flagged, _scored
+from .queues import _CURVE_SQL, _RULES_SQL, CURVE, _curve, _flagged
 from .registry import query
 
 _L = lambda xs: "[" + ", ".join(f"CAST({x} AS DOUBLE)" for x in xs) + "]"
@@ -20,7 +21,7 @@ _STATS = "count(*) AS cells, count(*) FILTER (WHERE d > 0) AS positive, round(mi
 
 def _pairs(spark, sf):
     """Challenger and incumbent side by side, by conditional sums over one curve."""
-    curve = policy.capacity_curve(_scored(spark, sf), GROUP, CAPACITIES)
+    curve = _curve(spark, sf)
     cols = [F.sum(F.when(F.col("model") == m, F.col(c))).alias(f"{p}_{n}") for p, m in (("c", "challenger"), ("i", "incumbent")) for c, n in (("caught", "caught"), ("false_positives", "fp"), ("queue_size", "queue"))]
     return curve.groupBy("period", "capacity").agg(*cols)
 
@@ -96,8 +97,13 @@ obs AS (SELECT CAST((SELECT count(*) FILTER (WHERE delta > 0) FROM v) AS DOUBLE)
 _GATE_SQL = f"{_OBS_SQL}, gates AS (" + " UNION ALL ".join(f"SELECT '{n}' AS gate, {c} AS observed, CAST({t} AS DOUBLE) AS threshold, {c} {o} CAST({t} AS DOUBLE) AS passed FROM obs" for n, c, t, o in GATES) + ")"
 
 
+@sharing
 def _gates(spark, sf):
-    curve = policy.capacity_curve(_scored(spark, sf), GROUP, CAPACITIES)
+    return once(("promotion_gates", sf), lambda: _gate_rows(spark, sf))
+
+
+def _gate_rows(spark, sf):
+    curve = _curve(spark, sf)
     sign = F.when(F.col("model") == "challenger", 1).otherwise(-1)
     by_cap = curve.groupBy("capacity").agg(
         (F.sum(sign * F.col("caught")) / F.sum(F.when(F.col("model") == "challenger", F.col("positives")))).alias("delta"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import once, sharing
 from ..functions.scalars import ratio
 from ..operators import metrics
 from ..sources.tables import APPS_SQL, SCORED_SQL, applications, scored, table
@@ -16,19 +17,23 @@ def _scored(spark, sf, *keep):
     return scored(applications(spark, sf), *keep)
 
 
+def _steps(spark, sf):
+    return once(("score_steps", sf), lambda: metrics.score_steps(_scored(spark, sf), BY))
+
+
 _STEPS_SQL = SCORED_SQL + """, steps AS (SELECT model, score, count(*) AS n, sum(label) AS tp FROM scored GROUP BY 1, 2),
 cum AS (SELECT *, sum(n) OVER w AS cum_n, sum(tp) OVER w AS cum_tp FROM steps WINDOW w AS (PARTITION BY model ORDER BY score DESC))"""
 
 
 @query(f"WITH {_STEPS_SQL} SELECT model, round(sum(CAST(tp AS DOUBLE) * CAST(cum_tp AS DOUBLE) / CAST(cum_n AS DOUBLE)) / CAST(sum(tp) AS DOUBLE), 6) AS average_precision FROM cum GROUP BY 1")
 def average_precision(spark, sf):
-    return metrics.average_precision(metrics.score_steps(_scored(spark, sf), BY), BY).withColumn("average_precision", F.round("average_precision", 6))
+    return metrics.average_precision(_steps(spark, sf), BY).withColumn("average_precision", F.round("average_precision", 6))
 
 
 @query(f"""WITH {SCORED_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2e0 AS ar FROM scored)
 SELECT model, round((sum(CASE WHEN label = 1 THEN ar END) - sum(label) * (sum(label) + 1) / 2e0) / (CAST(sum(label) AS DOUBLE) * CAST(sum(1 - label) AS DOUBLE)), 6) AS auroc FROM r GROUP BY 1""")
 def auroc(spark, sf):
-    return metrics.auroc(metrics.score_steps(_scored(spark, sf), BY), BY).withColumn("auroc", F.round("auroc", 6))
+    return metrics.auroc(_steps(spark, sf), BY).withColumn("auroc", F.round("auroc", 6))
 
 
 @query(f"""WITH {SCORED_SQL}, m AS (SELECT model, avg(label) AS prevalence, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS log_loss, avg((score - label) * (score - label)) AS brier FROM (SELECT *, least(greatest(score, 1e-9), 1 - 1e-9) AS p FROM scored) GROUP BY 1)
@@ -91,6 +96,7 @@ SELECT *, CASE WHEN psi >= 25e-2 THEN 'block' WHEN psi >= 1e-1 THEN 'warn' ELSE
 
 
 @query(_drift_sql())
+@sharing
 def drift_matrix(spark, sf):
     """Every feature in months 1 to 7 against pooled months 0 to 5: categories are counted once by period, and only
     those counts are paired with the months."""

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, once, sharing
 from ..operators import contract, dashboard, decide, governance, metrics, queue
 from ..sources.tables import APPS_SQL, SCORED_SQL, applications, scored
 from . import cards, curation, decisions, evaluation, links, queues, sampling, star  # noqa: F401  (fill the catalogue)
 from .registry import QUERIES, SQL, query
 
 _PROJECT, _CODE = "riskloom", "c0de"
+
+
+def _once(name, spark, sf):
+    """A query of few rows, run once for all that ask for it inside `sharing`."""
+    return once((name, sf), lambda: QUERIES[name](spark, sf))
+
+
 #: Registration runs: their periods, code and dataset version. The second comes back to some versions of the first.
 RUNS = (("run1", 0, 4), ("run2", 3, 99))
 
@@ -109,16 +116,18 @@ def queue_completeness(spark, sf):
 
 
 @query(f"""SELECT count(*) AS drift_checks, count(*) FILTER (WHERE status = 'warn') AS drift_warnings, count(*) FILTER (WHERE status = 'block') AS drift_blocks, max(psi) AS max_psi, CAST(count(*) FILTER (WHERE status = 'warn') AS VARCHAR) || ' warnings, ' || CAST(count(*) FILTER (WHERE status = 'block') AS VARCHAR) || ' blocks' AS drift_summary FROM ({SQL["drift_matrix"]})""")
+@sharing
 def bi_drift(spark, sf):
-    d = QUERIES["drift_matrix"](spark, sf).agg(F.count("*").alias("drift_checks"), F.count_if(F.col("status") == "warn").alias("drift_warnings"), F.count_if(F.col("status") == "block").alias("drift_blocks"), F.max("psi").alias("max_psi"))
+    d = _once("drift_matrix", spark, sf).agg(F.count("*").alias("drift_checks"), F.count_if(F.col("status") == "warn").alias("drift_warnings"), F.count_if(F.col("status") == "block").alias("drift_blocks"), F.max("psi").alias("max_psi"))
     return d.withColumn("drift_summary", F.concat(F.col("drift_warnings").cast("string"), F.lit(" warnings, "), F.col("drift_blocks").cast("string"), F.lit(" blocks")))
 
 
 @query(f"SELECT DISTINCT a.model AS comparator_key, a.model = g.champion AS is_champion, a.model <> g.champion AS is_challenger FROM ({SQL['average_precision']}) a, ({SQL['governance_refusal']}) g")
+@sharing
 def extract_comparators(spark, sf):
     """The models that are compared, and which of them is the champion."""
-    champion = F.broadcast(QUERIES["governance_refusal"](spark, sf).select("champion"))
-    m = QUERIES["average_precision"](spark, sf).select("model").distinct().crossJoin(champion)
+    champion = F.broadcast(_once("governance_refusal", spark, sf).select("champion"))
+    m = _once("average_precision", spark, sf).select("model").distinct().crossJoin(champion)
     return m.select(F.col("model").alias("comparator_key"), (F.col("model") == F.col("champion")).alias("is_champion"), (F.col("model") != F.col("champion")).alias("is_challenger"))
 
 
@@ -138,7 +147,7 @@ _VARIANT_ROWS = APPS_SQL + ", v AS (" + " UNION ALL ".join(f"SELECT pos, label,
 def extract_sources(spark, sf):
     """Where evidence comes from: the variants of the scored applications, and the fixture of linking."""
     v = _variants(spark, sf).groupBy("evidence_source_key").agg(F.count("*").alias("applications")).select("evidence_source_key", F.lit("Orders").alias("family"), "applications")
-    return v.unionByName(QUERIES["link_fixture"](spark, sf).agg(F.count("*").alias("applications")).select(F.lit("link_fixture").alias("evidence_source_key"), F.lit("Synthetic fixture").alias("family"), "applications"))
+    return v.unionByName(links.fixture_size(spark, sf).select(F.lit("link_fixture").alias("evidence_source_key"), F.lit("Synthetic fixture").alias("family"), F.col("n").alias("applications")))
 
 
 @query(f"""WITH {_VARIANT_ROWS}, steps AS (SELECT evidence_source_key, score, count(*) AS n, sum(label) AS tp FROM v GROUP BY 1, 2),
@@ -146,6 +155,7 @@ cum AS (SELECT *, sum(n) OVER w AS cn, sum(tp) OVER w AS ct FROM steps WINDOW w
 m AS (SELECT evidence_source_key, 'average_precision' AS metric_name, sum(CAST(tp AS DOUBLE) * CAST(ct AS DOUBLE) / CAST(cn AS DOUBLE)) / CAST(sum(tp) AS DOUBLE) AS metric_value FROM cum GROUP BY 1
   UNION ALL SELECT evidence_source_key, 'brier', avg((score - label) * (score - label)) FROM v GROUP BY 1 UNION ALL SELECT evidence_source_key, 'prevalence', avg(label) FROM v GROUP BY 1)
 SELECT m.evidence_source_key, c.applications, metric_name, round(metric_value, 6) AS metric_value FROM m JOIN (SELECT evidence_source_key, count(*) AS applications FROM v GROUP BY 1) c USING (evidence_source_key)""")
+@sharing
 def extract_variants(spark, sf):
     """The challenger's figures under every variant of its score."""
     v, by = _variants(spark, sf), ["evidence_source_key"]
@@ -157,16 +167,18 @@ _METRIC_SOURCES = {"average_precision": "average_precision", "auroc": "auroc", "
 
 
 @query(" UNION ALL ".join(f"SELECT model AS comparator_key, 'base' AS evidence_source_key, '{m}' AS metric_name, {m} AS metric_value FROM ({SQL[q]})" for m, q in _METRIC_SOURCES.items()))
+@sharing
 def extract_model_metrics(spark, sf):
     """Every figure of every model, a row each."""
     out = None
     for m, q in _METRIC_SOURCES.items():
-        one = QUERIES[q](spark, sf).select(F.col("model").alias("comparator_key"), F.lit("base").alias("evidence_source_key"), F.lit(m).alias("metric_name"), F.col(m).alias("metric_value"))
+        one = _once(q, spark, sf).select(F.col("model").alias("comparator_key"), F.lit("base").alias("evidence_source_key"), F.lit(m).alias("metric_name"), F.col(m).alias("metric_value"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query(f"SELECT gate AS gate_key, passed AS gate_passed, 'Model promotion' AS gate_family FROM ({SQL['promotion_gates']}) UNION ALL SELECT gate, passed, 'Identity linking' FROM ({SQL['link_program_gates']})")
+@sharing
 def extract_gates(spark, sf):
     of = lambda q, family: QUERIES[q](spark, sf).select(F.col("gate").alias("gate_key"), F.col("passed").alias("gate_passed"), F.lit(family).alias("gate_family"))
     return of("promotion_gates", "Model promotion").unionByName(of("link_program_gates", "Identity linking"))
@@ -195,10 +207,11 @@ def extract_run_context(spark, sf):
 @query(f"""WITH c AS ({SQL["extract_comparators"]}), s AS ({SQL["extract_sources"]})
 SELECT 'fact_model_metric' AS fact, count(*) FILTER (WHERE comparator_key NOT IN (SELECT comparator_key FROM c)) AS comparators_missing, count(*) FILTER (WHERE evidence_source_key NOT IN (SELECT evidence_source_key FROM s)) AS sources_missing FROM ({SQL["extract_model_metrics"]})
 UNION ALL SELECT 'fact_capacity', count(*) FILTER (WHERE model NOT IN (SELECT comparator_key FROM c)), 0 FROM ({SQL["capacity_sweep_wilson"]}) UNION ALL SELECT 'fact_variant', 0, count(*) FILTER (WHERE evidence_source_key NOT IN (SELECT evidence_source_key FROM s)) FROM ({SQL["extract_variants"]})""")
+@sharing
 def extract_orphans(spark, sf):
     """Rows of facts whose key is in no dimension: none."""
-    c, s = QUERIES["extract_comparators"](spark, sf).select("comparator_key"), QUERIES["extract_sources"](spark, sf).select("evidence_source_key")
-    facts = {"fact_model_metric": QUERIES["extract_model_metrics"](spark, sf), "fact_capacity": QUERIES["capacity_sweep_wilson"](spark, sf).withColumnRenamed("model", "comparator_key"), "fact_variant": QUERIES["extract_variants"](spark, sf)}
+    c, s = _once("extract_comparators", spark, sf).select("comparator_key"), _once("extract_sources", spark, sf).select("evidence_source_key")
+    facts = {"fact_model_metric": _once("extract_model_metrics", spark, sf), "fact_capacity": _once("capacity_sweep_wilson", spark, sf).withColumnRenamed("model", "comparator_key"), "fact_variant": _once("extract_variants", spark, sf)}
     out = None
     for name, fact in facts.items():
         missing = lambda dim, key: fact.join(F.broadcast(dim), key, "left_anti").agg(F.count("*").alias(f"{key}_n")) if key in fact.columns else spark.range(1).select(F.lit(0).cast("long").alias(f"{key}_n"))  # noqa: B023, E731
@@ -216,13 +229,14 @@ EXTRACT = {
 
 def extract_table(spark, sf, name):
     """A table of the star, typed, out of its JSON evidence document."""
-    rows = QUERIES[EXTRACT[name]](spark, sf)
+    rows = _once(EXTRACT[name], spark, sf)
     return dashboard.extract(dashboard.document(rows), rows.schema)
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM ({SQL[q]})) AS rows" for t, q in EXTRACT.items()))
+@sharing
 def star_extract(spark, sf):
-    """Rows of the 12 tables of the extract."""
+    """Rows of the 12 tables of the extract. What several tables rest on is made once: applications are joined once, records are linked once."""
     out = None
     for t in EXTRACT:
         one = extract_table(spark, sf, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("table_name"), "rows")
@@ -237,6 +251,7 @@ _HEADLINE = "CASE WHEN recommendation = 'no robust recommendation' THEN 'No robu
 @query(f"""WITH {APPS_SQL}, g AS ({SQL["governance_refusal"]}), f AS ({SQL["behaviour_fingerprint"]}), n AS (SELECT count(*) AS n FROM apps WHERE period = {_LAST})
 SELECT {_HEADLINE} AS decision_headline, champion, reasons AS refusal_reasons, 'Orders, period {_LAST} (untouched test period) - ' || CAST(n AS VARCHAR) || ' applications' AS evidence_period,
   substr(sha256(fingerprint || '|' || champion || '|' || recommendation || '|' || reasons), 1, 12) AS evidence_revision, 'orders-' || substr(fingerprint, 1, 12) AS dataset_version FROM g, f, n""")
+@sharing
 def bi_headline(spark, sf):
     """Decision, and what it rests on: the test period, the version of the data by its scores' fingerprint, the revision of data and decision."""
     headline = F.when(F.col("recommendation") == "no robust recommendation", "No robust recommendation - the incumbent is retained").otherwise(F.concat(F.lit("Recommended strategy: "), F.col("recommendation")))

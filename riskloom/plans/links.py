@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, stored
+from ..functions.lineage import cut, once, stored
 from ..operators import linking
 from ..sources.tables import table
 from .registry import query
@@ -65,7 +65,16 @@ def _arms(spark):
 
 
 def _fixture(spark, sf):
-    return linking.fixture(table(spark, sf, "customer", "c_custkey").withColumnRenamed("c_custkey", "id"), _arms(spark).drop("bit"), SEED)
+    return linking.fixture(_entities(spark, sf), _arms(spark).drop("bit"), SEED)
+
+
+def _entities(spark, sf):
+    return table(spark, sf, "customer", "c_custkey").withColumnRenamed("c_custkey", "id")
+
+
+def fixture_size(spark, sf):
+    """The number of rows (n) of the fixture: none of its signals is made."""
+    return linking.originals(_entities(spark, sf), SEED).crossJoin(F.broadcast(_arms(spark))).agg(F.count("*").alias("n"))
 
 
 def _compact(spark, sf):
@@ -87,6 +96,10 @@ def _accepted(spark, recs):
 
 
 def _metrics(spark, sf):
+    return once(("link_metrics", sf), lambda: _measured(spark, sf))
+
+
+def _measured(spark, sf):
     recs = _compact(spark, sf)
     return linking.pair_metrics(_accepted(spark, recs), linking.apart(linking.repeated(recs), _arms(spark)))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import once
 from ..operators import policy, queue
 from ..sources.tables import APPS_SQL, CAPACITIES, FEATURES_SQL, SCORED_SQL, applications, features, scored
 from .registry import query
@@ -21,6 +22,11 @@ def _scored(spark, sf):
     return scored(applications(spark, sf))
 
 
+def _curve(spark, sf):
+    """Both models' queues of every period at the few capacities."""
+    return once(("capacity_curve", sf), lambda: policy.capacity_curve(_scored(spark, sf), GROUP, CAPACITIES))
+
+
 @query(f"""WITH {SCORED_SQL}, {_RANKED}
 SELECT model, period, count(*) AS applications, count(*) FILTER (WHERE rank <= {HEAD5}) AS queue_size, CAST(sum(CASE WHEN rank <= {HEAD5} THEN label ELSE 0 END) AS BIGINT) AS fraud_caught, max({HEAD5}) AS headcount FROM ranked GROUP BY 1, 2""")
 def queue_rank_cut(spark, sf):
@@ -121,7 +127,7 @@ _CURVE_SQL = f"""{_RANKED}, {CAPS_SQL}, curve AS (
 
 @query(f"WITH {SCORED_SQL}, {_CURVE_SQL} SELECT *, {_sweep_cols()} FROM curved")
 def capacity_sweep_wilson(spark, sf):
-    return policy.capacity_sweep(_scored(spark, sf), GROUP, CAPACITIES)
+    return policy.with_intervals(_curve(spark, sf))
 
 
 @query(f"""WITH {APPS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY challenger DESC, pos) AS ra, row_number() OVER (PARTITION BY period ORDER BY incumbent DESC, pos) AS rb, count(*) OVER (PARTITION BY period) AS n FROM apps),
@@ -162,7 +168,7 @@ SELECT c.period, c.capacity, c.caught - i.caught AS caught_gain, c.false_positiv
   round((c.caught - i.caught) * 5000e0, 2) AS value_low, round((c.caught - i.caught) * 20000e0, 2) AS value_high FROM curved c JOIN curved i ON c.period = i.period AND c.capacity = i.capacity AND c.model = 'challenger' AND i.model = 'incumbent'""")
 def scenario_impact(spark, sf):
     """Challenger less incumbent at the same period and capacity, from one curve by conditional sums."""
-    curve = policy.capacity_curve(_scored(spark, sf), GROUP, CAPACITIES)
+    curve = _curve(spark, sf)
     sign = F.when(F.col("model") == "challenger", 1).otherwise(-1)
     d = curve.groupBy("period", "capacity").agg(F.sum(sign * F.col("caught")).alias("caught_gain"), F.sum(sign * F.col("false_positives")).alias("good_reviewed_change"), F.sum(sign * F.col("queue_size")).alias("demand_change"))
     return d.withColumns({"value_low": F.round(F.col("caught_gain") * 5000.0, 2), "value_high": F.round(F.col("caught_gain") * 20000.0, 2)})

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import once
+
 #: Capacities at which policies are compared.
 CAPACITIES = (0.01, 0.03, 0.05, 0.10)
 SENTINEL = -1
@@ -24,8 +26,17 @@ def applications(spark: SparkSession, sf_dir: str, low: int | None = None, high:
     """pos, application_id, custkey, period, channel, segment, nation, order_date, incumbent_score, incumbent, challenger, label.
 
     With ``low`` and ``high`` only those periods (both included): bounds of dates that reach the scan of orders, which a filter
-    of the computed period would not.
+    of the computed period would not. All periods are joined once for queries that share steps (`lineage.sharing`).
     """
+    rows = once(("applications", sf_dir), lambda: _joined(spark, sf_dir)) if low is None and high is None else _joined(spark, sf_dir, low, high)
+    return rows.select(
+        "pos", stable_id("v1", "orders", "pos").alias("application_id"), "custkey", "period", "channel", "segment", "nation", "order_date",
+        "incumbent_score", ((F.col("incumbent_score") + 10.5) / 111.0).alias("incumbent"), "challenger", "label",
+    )
+
+
+def _joined(spark: SparkSession, sf_dir: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """applications without the columns that others give."""
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     if low is not None:
         orders = orders.where(F.col("o_orderdate") >= F.lit(period_start(low)).cast(orders.schema["o_orderdate"].dataType))
@@ -42,7 +53,6 @@ def applications(spark: SparkSession, sf_dir: str, low: int | None = None, high:
         .join(marked, orders["o_orderkey"] == marked["l_orderkey"], "left")
         .select(
             F.col("o_orderkey").alias("pos"),
-            stable_id("v1", "orders", "o_orderkey").alias("application_id"),
             F.col("o_custkey").alias("custkey"),
             F.floor(month / 10.0).cast("int").alias("period"),
             F.col("o_orderpriority").alias("channel"),
@@ -50,7 +60,6 @@ def applications(spark: SparkSession, sf_dir: str, low: int | None = None, high:
             F.col("c_nationkey").alias("nation"),
             F.col("o_orderdate").cast("date").alias("order_date"),
             score.alias("incumbent_score"),
-            ((score + 10.5) / 111.0).alias("incumbent"),
             (F.col("o_totalprice") / (F.col("o_totalprice") + 150000.0)).alias("challenger"),
             F.coalesce("hit", F.lit(0)).alias("label"),
         )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import contract, governance
-from riskloom.plans import QUERIES
+from riskloom.functions import lineage
+from riskloom.operators import contract, governance, linking
+from riskloom.plans import QUERIES, links
 from riskloom.plans.governance import extract_table
+from riskloom.sources import tables
 
 
 def test_rules_on_odd_values(spark):
@@ -37,3 +39,26 @@ def test_documents_give_back_every_row(spark, sf):
         want = QUERIES[source](spark, sf)
         got = extract_table(spark, sf, table)
         assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_extract_joins_applications_once(spark, sf, monkeypatch):
+    joined, linked, fixtures = [], [], []
+    for module, name, seen in ((tables, "_joined", joined), (links, "_measured", linked), (linking, "fixture", fixtures)):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, f=f, seen=seen, **b: (seen.append(a), f(*a, **b))[1])
+    QUERIES["star_extract"](spark, sf)
+    assert len(joined) == len(linked) == len(fixtures) == 1
+    assert QUERIES["apps_base"](spark, sf).count() > 0 and len(joined) == 2  # nothing is kept beyond the call
+
+
+def test_steps_are_kept_inside_sharing_only(spark):
+    made = []
+    step = lambda key: lineage.once(key, lambda: (made.append(key), spark.range(3))[1])
+
+    def both(a, b):
+        return step(a).count() + step(b).count()
+
+    assert both(("x", 1), ("x", 1)) == 6 and len(made) == 2
+    assert lineage.sharing(both)(("x", 1), ("x", 1)) == 6 and len(made) == 3
+    assert lineage.sharing(both)(("x", 1), ("x", 2)) == 6 and len(made) == 5
+    assert lineage.sharing(lambda: lineage.sharing(both)(("y",), ("y",)) + step(("y",)).count())() == 9 and len(made) == 6
