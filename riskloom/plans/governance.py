@@ -188,10 +188,11 @@ def extract_gates(spark, sf):
 SELECT 'champion' AS context_key, champion AS context_value FROM g UNION ALL SELECT 'strategy_recommendation', recommendation FROM g UNION ALL SELECT 'drift_warnings', CAST(drift_warnings AS VARCHAR) FROM d UNION ALL SELECT 'drift_blocks', CAST(drift_blocks AS VARCHAR) FROM d
 UNION ALL SELECT 'linking_all_gates_pass', CASE WHEN bool_and(passed) THEN 'true' ELSE 'false' END FROM l UNION ALL SELECT 'applications', CAST(count(*) AS VARCHAR) FROM apps
 UNION ALL SELECT 'refusal_reason_' || CAST(k AS VARCHAR), r FROM (SELECT unnest(string_split(reasons, '; ')) AS r, generate_subscripts(string_split(reasons, '; '), 1) AS k FROM g WHERE reasons <> '')""")
+@sharing
 def extract_run_context(spark, sf):
     """What the extract says of its run, key by key; refusal reasons are numbered."""
     pair = lambda df, key, value: df.select(F.lit(key).alias("context_key") if isinstance(key, str) else key.alias("context_key"), value.cast("string").alias("context_value"))
-    g, d = QUERIES["governance_refusal"](spark, sf), QUERIES["bi_drift"](spark, sf)
+    g, d = _once("governance_refusal", spark, sf), _once("bi_drift", spark, sf)
     passed = QUERIES["link_program_gates"](spark, sf).agg(F.bool_and("passed").alias("p"))
     why = g.where("reasons <> ''").select(F.posexplode(F.split("reasons", "; ")).alias("k", "r"))
     parts = [

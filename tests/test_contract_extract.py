@@ -62,3 +62,10 @@ def test_steps_are_kept_inside_sharing_only(spark):
     assert lineage.sharing(both)(("x", 1), ("x", 1)) == 6 and len(made) == 3
     assert lineage.sharing(both)(("x", 1), ("x", 2)) == 6 and len(made) == 5
     assert lineage.sharing(lambda: lineage.sharing(both)(("y",), ("y",)) + step(("y",)).count())() == 9 and len(made) == 6
+
+
+def test_run_context_joins_applications_once(spark, sf, monkeypatch):
+    joined = []
+    f = tables._joined
+    monkeypatch.setattr(tables, "_joined", lambda *a, **b: (joined.append(a), f(*a, **b))[1])
+    assert QUERIES["extract_run_context"](spark, sf).count() > 0 and len(joined) == 1
