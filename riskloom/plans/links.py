@@ -83,7 +83,8 @@ def _compact(spark, sf):
 
 
 def _pairs(recs):
-    toks = stored(linking.tokens(recs, KEY, ("arms", "pos")).drop("fuzzy_tokens"))
+    # Tokens only tell blocks apart here: their 16 bytes do that as well as 32 hex digits.
+    toks = stored(linking.tokens(recs, KEY, ("arms", "pos")).select("arms", "pos", "signal_type", F.unhex("exact_token").alias("exact_token")))
     return linking.compact_pairs(toks, len(ARMS))
 
 

@@ -450,3 +450,16 @@ def test_fingerprint_follows_values_not_order(spark):
     c = a.withColumn("v", F.when(F.col("k") == 5, 0.0).otherwise(F.col("v")))
     d = [resample.fingerprint(x, "k", "v").first()["fingerprint"] for x in (a, b, c)]
     assert d[0] == d[1] != d[2]
+
+
+def test_tokens_of_pairs_are_bytes(spark, sf, monkeypatch):
+    from riskloom.plans import links
+
+    seen = []
+    f = linking.compact_pairs
+    monkeypatch.setattr(linking, "compact_pairs", lambda toks, arms: (seen.append(toks), f(toks, arms))[1])
+    recs = links._compact(spark, sf)
+    pairs = links._pairs(recs)
+    assert {r["n"] for r in seen[0].select(F.length("exact_token").alias("n")).distinct().collect()} == {16}
+    in_hex = f(linking.tokens(recs, links.KEY, ("arms", "pos")), len(links.ARMS))
+    assert sorted(pairs.collect()) == sorted(in_hex.collect())
