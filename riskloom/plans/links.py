@@ -79,7 +79,7 @@ def fixture_size(spark, sf):
 
 def _compact(spark, sf):
     """The fixture, a row for all arms in which a record is the same, written once."""
-    return stored(linking.compact(_fixture(spark, sf), _arms(spark)))
+    return stored(linking.compact_fixture(_entities(spark, sf), _arms(spark), SEED))
 
 
 def _pairs(recs):

@@ -463,3 +463,18 @@ def test_tokens_of_pairs_are_bytes(spark, sf, monkeypatch):
     assert {r["n"] for r in seen[0].select(F.length("exact_token").alias("n")).distinct().collect()} == {16}
     in_hex = f(linking.tokens(recs, links.KEY, ("arms", "pos")), len(links.ARMS))
     assert sorted(pairs.collect()) == sorted(in_hex.collect())
+
+
+def test_only_second_copies_are_made_in_every_arm(spark, sf, monkeypatch):
+    from riskloom.plans import links
+
+    seen = []
+    f = linking.compact
+    monkeypatch.setattr(linking, "compact", lambda records, arms: (seen.append(records), f(records, arms))[1])
+    recs = links._compact(spark, sf)
+    fix = links._fixture(spark, sf).cache()
+    second = fix.join(fix.groupBy("entity").agg(F.max("pos").alias("pos"), F.min("pos").alias("least")).where("pos > least").select("pos"), "pos", "left_semi")
+    assert seen[0].count() == second.count() > 0
+    whole = f(fix, links._arms(spark))
+    assert sorted(map(str, recs.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+    fix.unpersist()
