@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.scalars import expit, logit, uniform
 from . import metrics
+from .boost import Boosted
 from .isotonic import isotonic_fit, isotonic_knots, isotonic_predict
 from .quantiles import exact_quantiles
 from .queue import ranked
 
 #: Expanding folds: train on periods up to the first, test on the second.
 ROLLING = ((2, 3), (3, 4), (4, 5))
+#: Fits of a search that run side by side: a fit is many short jobs, which leave most of a machine idle.
+TOGETHER = 4
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
@@ -53,7 +56,9 @@ def fit_trees(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     return Pipeline(stages=[*encoders(numeric, categorical, False), gbt]).fit(df)
 
 
-def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str], name: str = "score") -> DataFrame:
+def predict(model: PipelineModel | Boosted, df: DataFrame, keep: Sequence[str], name: str = "score") -> DataFrame:
+    if isinstance(model, Boosted):
+        return model.predict(df, keep, name)
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(name))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, stored
-from ..operators import explain, learn, metrics, search
+from ..operators import boost, explain, learn, metrics, search
 from ..operators.quantiles import exact_quantiles
 from ..sources.tables import applications, features
 from .registry import query
@@ -173,4 +173,5 @@ def adaptive_search(spark, sf):
     """The boosted-tree settings of the grid first, then proposals of Parzen estimators, on all rolling folds unless a median rule ends them."""
     d = _data(spark, sf).where("period <= 5")
     grid = [dict(zip(("rounds", "depth", "step", "share"), t, strict=True)) for t in TREES]
-    return search.search(d, lambda rows, **k: learn.fit_trees(rows, NUMERIC, CATEGORICAL, **k), SPACE, len(grid) + 3, first=grid)
+    with boost.Trees(NUMERIC, CATEGORICAL) as fit:
+        return search.search(d, fit, SPACE, len(grid) + 3, first=grid)
