@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -199,9 +200,11 @@ def _through(model: PipelineModel, df: DataFrame) -> DataFrame:
 def tune(df: DataFrame, fits: dict[str, object], folds: Sequence[tuple[int, int]] = ROLLING) -> DataFrame:
     """Settings (name: fit function) by their average precision over rolling folds: mean, worst and mean + 0.10 * worst."""
     out = None
-    for name, fit in fits.items():
-        s = rolling(df, fit, ["period", "label"], folds).withColumn("setting", F.lit(name))
-        out = s if out is None else out.unionByName(s)
+    with ThreadPoolExecutor(TOGETHER) as pool:
+        fitted = pool.map(lambda fit: rolling(df, fit, ["period", "label"], folds), fits.values())
+        for name, s in zip(fits, fitted, strict=True):
+            s = s.withColumn("setting", F.lit(name))
+            out = s if out is None else out.unionByName(s)
     by_fold = metrics.average_precision(metrics.score_steps(out, ["setting", "period"]), ["setting", "period"])
     m = by_fold.groupBy("setting").agg(F.avg("average_precision").alias("mean"), F.min("average_precision").alias("worst"))
     return m.select("setting", *(F.round(c, 6).alias(c) for c in ("mean", "worst")), F.round(F.col("mean") + 0.10 * F.col("worst"), 6).alias("objective"))

@@ -126,9 +126,10 @@ def hyperparameter_search(spark, sf):
     """An explicit grid, judged on all rolling folds: regularisation of the logistic model; rounds, depth, step and sampled share of boosted trees."""
     d = _data(spark, sf)
     fits = {f"reg={r:g}": (lambda x, r=r: learn.fit_logistic(x, NUMERIC, CATEGORICAL, r)) for r in (1e-4, 1e-2, 1.0)}
-    for rounds, depth, step, share in TREES:
-        fits[f"rounds={rounds},depth={depth},step={step:g},share={share:g}"] = lambda x, k=dict(rounds=rounds, depth=depth, step=step, share=share): learn.fit_trees(x, NUMERIC, CATEGORICAL, **k)
-    return learn.tune(d, fits)
+    with boost.Trees(NUMERIC, CATEGORICAL) as fit:
+        for rounds, depth, step, share in TREES:
+            fits[f"rounds={rounds},depth={depth},step={step:g},share={share:g}"] = lambda x, k=dict(rounds=rounds, depth=depth, step=step, share=share): fit(x, **k)
+        return learn.tune(d, fits)
 
 
 @query()
